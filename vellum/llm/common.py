@@ -3,38 +3,80 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Distinct words whose hashes a worker remembers; the memory starts anew beyond it, which changes no result.
-REMEMBERED = 400_000
-
-
-def words(text: str | None) -> list[bytes]:
-    """Runs of bytes other than space and \\x09-\\x0D. bytes.split() parts at these alone, unlike str.split()."""
-    return text.encode("utf-8", "replace").split() if text else []
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """words() with A-Z in lower case; bytes.lower() leaves all other letters."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
-
-
-class WordHashes(dict):
-    """64-bit hash by word, computed once for each remembered word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+#: Bytes that are hashed at a time; a longer text is taken in pieces cut between words.
+CHUNK = 1 << 20
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_BASE_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 to the 64, for at least n exponents."""
+    size = max(CHUNK, 1 << max(n - 1, 1).bit_length())
+    if size not in _powers:
+        _powers.clear()
+        _powers[size] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (_BASE, _BASE_INVERSE))
+    return _powers[size]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end], by differences of one running polynomial."""
+    up, down = powers(len(values))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values.astype(np.uint64) * up[: len(values)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_table(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of raw: runs of bytes other than space and \\x09-\\x0D."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + CHUNK)
+        if end < len(raw):  # cut between words; one word longer than a chunk is taken whole
+            cut = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            while cut < at and end < len(raw):
+                end = min(len(raw), end + CHUNK)
+                cut = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            end = cut + 1 if cut >= at else len(raw)
+        data = np.frombuffer(raw, np.uint8, end - at, at)
+        inside = np.concatenate(([False], ~_SPACE[data], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        parts.append((starts + at, ends + at, run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def in_chunks(texts: Iterable[str | None], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, UTF-8 bytes of each) for runs of texts of about limit bytes; null is empty."""
+    first, run, size = 0, [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "replace") if text else b""
+        if run and size + len(raw) > limit:
+            yield first, run
+            first, run, size = first + len(run), [], 0
+        run.append(raw)
+        size += len(raw) + 1
+    if run:
+        yield first, run
+
+
+def joined(run: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The texts with a line end after each, and where each starts (and the end)."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) + 1 for x in run])))
+    return b"\n".join(run) + b"\n", bounds
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,15 +86,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all runs of width words; of the whole sequence if it is shorter; none of no words."""
-    if not len(hashes):
-        return hashes
-    run, factor = min(width, len(hashes)), np.uint64(0x9E3779B97F4A7C15)
-    out = np.full(len(hashes) - run + 1, run, np.uint64)
-    for k in range(run):
-        out = out * factor + hashes[k : len(hashes) - run + 1 + k]
-    return np.unique(mixed(out))
+def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
+    """Per text, the sorted distinct hashes of all runs of width words, A-Z in lower case.
+
+    A text of fewer words has one, of its whole sequence; one without words has none.
+    """
+    for _, run in in_chunks(texts):
+        raw, bounds = joined(run)
+        starts, _, hashes = word_table(raw.lower())
+        cuts = np.searchsorted(starts, bounds)
+        first = np.arange(len(hashes))
+        windows = run_hashes(hashes, first, np.minimum(first + width, len(hashes)))
+        for lo, hi in itertools.pairwise(cuts):
+            if hi - lo >= width:
+                yield np.unique(windows[lo : hi - width + 1])
+            else:
+                yield run_hashes(hashes, np.array([lo]), np.array([hi])) if hi > lo else hashes[:0]
 
 
 def base_dir(spark: SparkSession) -> str:

@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat, langid, pack, quality, shard
+from vellum.llm import chat, decontaminate, html_main, langid, line_dup, near_dup, pack, quality, sentence_spans, shard
 from vellum.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.digest(shard.shard(table(spark, sf_dir, "documents"), 40))
 
 
+def op3_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.digest(near_dup.component_table(table(spark, sf_dir, "documents")))
+
+
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.pairs(chat.own_replies(table(spark, sf_dir, "conversations"))))
 
@@ -32,8 +40,26 @@ def op7_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_virtual_slots, op4_preference_pairs, op5_cost_balanced_packing, op6_risk_controlled_rules, op7_word_first_language)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_spaced_seeds, op2_virtual_slots, op3_bayesian_minhash, op4_preference_pairs, op5_cost_balanced_packing, op6_risk_controlled_rules, op7_word_first_language,
+            op8_sentence_spans, op9_text_to_tag_ratio, op10_line_similarity_join,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
