@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settled
+from vellum.llm.common import run_hashes, settled
 
 #: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id, and on words
 #: of at most WORD_BYTES bytes of them, of which it keeps the SAMPLE_WORDS most frequent. So its size is bounded.
@@ -44,40 +44,77 @@ def grams(word: str, order: int) -> list[str]:
     return [w[i : i + order] for i in range(len(w) - order + 1)]
 
 
+#: Unseen words whose scores a worker remembers; it starts anew beyond, which changes no result.
+REMEMBERED = 100_000
+
+
 class Model:
-    """Logarithmic frequencies by language: of words, and of n-grams by order."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], tables: dict[int, dict[str, np.ndarray]], floors: dict[int, np.ndarray]):
-        self.langs, self.words, self.tables, self.floors = langs, words, tables, floors
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean score of the n-grams of the longest order of which any is known; shorter ones fill its gaps."""
-        scores = []
-        for at in range(len(word[:WORD_CHARS]) + 1):
-            w = f" {word[:WORD_CHARS]} "
-            for order in ORDERS:
-                if (found := self.tables[order].get(w[at : at + order])) is not None:
-                    scores.append(found)
-                    break
-            else:
-                scores.append(self.floors[1])
-        return GRAM_WEIGHT * np.mean(scores, axis=0)
-
-    def predict(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
+    """Logarithmic frequencies by language: rows of `scores` for known words, rows of `gram_scores` for known n-grams."""
+
+    def __init__(self, langs: list[str], words: list[str], scores: np.ndarray, grams: list[str], gram_scores: np.ndarray):
+        self.langs, self.words, self.known, self.grams = langs, words, len(words), grams
+        self.row = {w: k for k, w in enumerate(words)}
+        self.scores = np.zeros((self.known + REMEMBERED, len(langs)), np.float32)
+        self.scores[: self.known] = scores
+        self.gram_scores = np.asarray(gram_scores, np.float32)  # the last row is that of an unknown letter
+        hashes = np.array([self.hashed(g, [0], [len(g)])[0] for g in grams], np.uint64)
+        order = np.argsort(hashes)
+        self.gram_hashes, self.gram_rows = hashes[order], order
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.gram_hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.memory: dict[str, int] = {}
+
+    @staticmethod
+    def hashed(text: str, starts, ends) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        return run_hashes(codes, np.asarray(starts), np.asarray(ends))
+
+    def parts(self) -> tuple:
+        return self.langs, self.words, self.scores[: self.known], self.grams, self.gram_scores
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Mean scores over each word's places: at each, of the longest known n-gram there, else of shorter ones.
+
+        Words are parted by single spaces, which n-grams have at their ends alone, so that none spans two words.
+        """
+        words = [w[:WORD_CHARS] for w in words]
+        text = f" {' '.join(words)} "
+        best = np.full(len(text) - 1, -1)
+        for order in ORDERS:
+            at = np.flatnonzero(best[: len(text) - order + 1] < 0)
+            h = self.hashed(text, at, at + order)
+            maybe = self.bits[(h >> np.uint64(44)).astype(np.int64)]
+            at, h = at[maybe], h[maybe]
+            place = np.minimum(np.searchsorted(self.gram_hashes, h), len(self.grams) - 1)
+            hit = self.gram_hashes[place] == h
+            best[at[hit]] = self.gram_rows[place[hit]]
+        places = np.array([len(w) + 1 for w in words])
+        sums = np.add.reduceat(self.gram_scores[best], np.concatenate(([0], np.cumsum(places)[:-1])), axis=0)
+        return GRAM_WEIGHT * sums / places[:, None]
+
+    def rows(self, words: list[str]) -> list[int]:
+        """The rows in `scores` of at most REMEMBERED words."""
+        new = [w for w in words if w not in self.row and w not in self.memory]
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory.clear()
+            new = [w for w in words if w not in self.row]
+        if new:
+            at = self.known + len(self.memory)
+            self.scores[at : at + len(new)] = self.unseen(new)
+            self.memory.update(zip(new, range(at, at + len(new)), strict=True))
+        return [self.row[w] if w in self.row else self.memory[w] for w in words]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior over languages, between 0 and 1."""
         found = tokens(text) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for word, k in Counter(found).items():
-            score = self.words.get(word)
-            if score is None and (score := memory.get(word)) is None:
-                if len(memory) > 200_000:
-                    memory.clear()
-                memory[word] = score = self.unseen(word)
-            total += k * score
-            n += k
-        total *= min(1.0, 30 / n)  # words of a text depend on each other: beyond 30, only their mean counts
+        total = np.zeros(len(self.langs))
+        count = Counter(found)
+        words, times = list(count), np.array(list(count.values()), float)
+        for k in range(0, len(words), REMEMBERED):
+            total += times[k : k + REMEMBERED] @ self.scores[self.rows(words[k : k + REMEMBERED])]
+        total *= min(1.0, 30 / len(found))  # words of a text depend on each other: beyond 30, only their mean counts
         p = np.exp(total - total.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
@@ -122,26 +159,47 @@ def fit(docs: DataFrame) -> Model:
     for r in rows:
         raw[r["kind"]][r["item"]] = v = np.array([r["by_lang"].get(lang, 0) for lang in langs], float)
         totals[r["kind"]] += v
-    scored = {kind: {x: np.log((v + 0.1) / (totals[kind] + 0.1 * len(of) + 1)) for x, v in of.items()} for kind, of in raw.items()}
-    floors = {kind: np.log(0.1 / (t + 0.1 * len(raw[kind]) + 1)) for kind, t in totals.items()}
-    return Model(langs, scored.pop(0), scored, floors)
+    table = {kind: {x: np.log((v + 0.1) / (totals[kind] + 0.1 * len(of) + 1)) for x, v in of.items()} for kind, of in raw.items()}
+    floor = np.log(0.1 / (totals[1] + 0.1 * len(raw[1]) + 1))
+    words = table.pop(0)
+    grams = [g for of in table.values() for g in of]  # orders differ in length, so none is there twice
+    rows = lambda of: np.array(of).reshape(len(of), len(langs))
+    return Model(langs, list(words), rows(list(words.values())), grams, rows([v for of in table.values() for v in of.values()] + [floor]))
+
+
+def predictor(docs: DataFrame, model: Model | None):
+    """A pandas UDF from text to (lang_pred, score), and the model, which is fitted on docs unless given."""
+    model = model or fit(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
+
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model(*sent.value)
+        for texts in batches:
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return F.pandas_udf(predicted, "lang_pred string, score double"), model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs(doc_id, text, lang).
 
-    A null text, or one without a letter, is `und` with score 0, as is every text if nothing could be learned; then, too,
-    nothing is known against a text. Predictions look at the text alone. A null id counts as not held out. Repeated rows
-    are predicted alike, an empty table gives no rows, and columns other than the three aren't read.
+    A null text, or one without a letter, is `und` with score 0, as is every text if nothing could be learned. Predictions
+    look at the text alone. A null id counts as not held out. Repeated rows are predicted alike, an empty table gives no
+    rows, and columns other than the three aren't read.
     """
-    spark = docs.sparkSession
-    model = model or fit(docs)
-    sent = spark.sparkContext.broadcast((model.langs, model.words, model.tables, model.floors))  # bounded, see above
+    predict, _ = predictor(docs, model)
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return docs.select("doc_id", out, predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model, memory = Model(*sent.value), {}
-        for texts in batches:
-            yield pd.DataFrame([model.predict(t, memory) for t in texts], columns=["lang_pred", "score"])
 
-    predict = F.pandas_udf(predicted, "lang_pred string, score double")
-    return docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+def accepted(docs: DataFrame, least: float = 0.5, model: Model | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a score of at least `least`.
+
+    If no row has a language to learn from, nothing is known against a text, and only those without a letter go.
+    """
+    predict, model = predictor(docs, model)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    p = predict("text")
+    judged = docs.select(*[F.col(f"`{c}`") for c in docs.columns], p.alias("__language"))
+    return judged.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)).drop("__language")
