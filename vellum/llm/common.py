@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that are hashed at a time; a longer text is taken in pieces cut between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _BASE_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -121,6 +121,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{base_dir(spark)}/vellum-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -129,8 +130,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Like keep(), in buckets by keys, so that joins on them don't shuffle df again."""
+        n, known = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"vellum_{uuid.uuid4().hex}"
+        df.repartition(n, *keys).write.option("path", f"{self.root}/{name}").bucketBy(n, *keys).saveAsTable(known)
+        self.tables.append(known)
+        return self.spark.table(known)
+
     def drop(self, name: str = "") -> None:
         try:
+            if not name:
+                for known in self.tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+                self.tables.clear()
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
