@@ -152,7 +152,23 @@ def sentences(text):
         else:
             out[-1][1], out[-1][3] = b, bare[-1] in ".!?"
             out[-1][2].append(word)
-    return out
+    parted = []
+    for a, b, ws, stop in out:
+        if len(ws) <= 40:
+            parted.append([a, b, ws, stop])
+            continue
+        at = a
+        for w, h in zip(ws, word_table(" ".join(ws).encode())[2].tolist(), strict=True):
+            at = text.index(w, at)
+            if not parted or parted[-1][0] < a or parted[-1][3] is None:
+                parted.append([at, at + len(w), [w], False])
+            else:
+                parted[-1][1] = at + len(w)
+                parted[-1][2].append(w)
+            at += len(w)
+            if h >> 60 == 0:
+                parted[-1][3] = None  # the next word begins a part
+    return parted
 
 
 def test_sentence_spans(spark, docs):

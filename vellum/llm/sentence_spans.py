@@ -1,6 +1,8 @@
 """Repeated passages: every run of several consecutive sentences is hashed, and later repeats are removed.
 
-A sentence ends at a line end, or at a word that ends in . ! or ? (closing quotes and brackets may follow). A span is
+A sentence ends at a line end, or at a word that ends in . ! or ? (closing quotes and brackets may follow). One of more than
+LONG words is parted behind words whose hash begins with four zero bits, wherever it began, so that passages without stops
+are found as well. A span is
 the shortest run from a sentence on that has at least SENTENCES sentences and WORDS words. Of the places of a span the
 first by (doc_id, text hash, sentence) stays; sentences that any other place covers are removed.
 """
@@ -16,14 +18,14 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, in_chunks, joined, run_hashes, settled, word_table
 
-SENTENCES, WORDS = 2, 20
+SENTENCES, WORDS, LONG = 2, 20, 40
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
 
 
-def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a sentence. Documents begin at bounds, each behind a line end."""
+def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a sentence. Documents end in a line end."""
     data = np.frombuffer(raw, np.uint8)
     last = ends - 1
     for _ in range(3):  # closing marks behind the stop
@@ -33,6 +35,9 @@ def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, bounds: np
         last = last - back
     lines = np.searchsorted(np.flatnonzero(data == 10), starts)
     fresh = np.concatenate(([True], _STOP[data[last[:-1]]] | (lines[1:] != lines[:-1])))
+    sentence = np.cumsum(fresh) - 1
+    long_ = np.bincount(sentence)[sentence] > LONG
+    fresh[1:] |= long_[:-1] & (hashes[:-1] >> np.uint64(60) == 0)
     return np.flatnonzero(fresh)
 
 
@@ -47,7 +52,7 @@ def spans_of(texts, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
         if not len(starts):
             yield first, raw, bounds, starts, np.zeros(0, np.int64), np.zeros((3, 0), np.int64), np.zeros(0, np.uint64)
             continue
-        heads = sentence_starts(raw, starts, ends, bounds)
+        heads = sentence_starts(raw, starts, ends, hashes)
         doc = np.searchsorted(bounds, starts[heads], side="right") - 1
         tails = np.concatenate((heads[1:], [len(starts)]))
         k = np.arange(len(heads))
