@@ -37,11 +37,17 @@ NAMED = re.compile(
 )
 #: Of these, also what claims to be an article is none.
 NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|respond|related|recommended|sidebar|teasers?)(?:$|[\s_-])", re.I)
+#: In an article, a header holds its title.
+INSIDE = re.compile(NAMED.pattern.replace("header|masthead|", ""), re.I)
 SIGMA, RADIUS = 1.0, 3
 
 
+def hidden(attrs: list) -> bool:
+    return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
+
+
 class Blocks(HTMLParser):
-    """Collects blocks [text, length outside links, tags, region, state]; state is 2 in an article, 0 in furniture, else 1."""
+    """Collects blocks (text, length outside links, tags, region, state): state 3 in an article, 2 in main, 0 in furniture, else 1."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -84,14 +90,15 @@ class Blocks(HTMLParser):
                     break
         region, state, never = self.state()
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
-        if tag in MAIN or "role" in names and ("role", "main") in attrs:
-            never = never or tag != "main" and bool(NEVER.search(names))
-            state = 0 if never else 2
-        elif tag in FURNITURE and not (tag == "header" and state == 2) or names and tag not in ("html", "body") and NAMED.search(names):
+        outer = state
+        if tag in MAIN or ("role", "main") in attrs:
+            never = never or bool(NEVER.search(names))
+            state = 0 if never else 3 if tag == "article" else max(2, outer)
+        elif tag in FURNITURE and not (tag == "header" and outer > 1) or hidden(attrs) or names and tag not in ("html", "body") and (INSIDE if outer > 1 else NAMED).search(names):
             state, never = 0, never or tag == "aside" or bool(NEVER.search(names))
-        if tag in HOLDS:
+        if tag in HOLDS and not (state > 1 and state == outer):  # an article is one region
             self.regions += 1
-            region = self.regions if state != 2 else region if self.state()[1] == 2 else self.regions
+            region = self.regions
         self.hidden += tag in UNSEEN
         self.links += tag == "a"
         self.stack.append((tag, region, state, never))
