@@ -6,8 +6,10 @@ have enough words behind the shared one (positional filter). Parity bitmaps, who
 as the sets have words of their own, drop most other pairs before the sets themselves are compared. All filters are
 lossless. A line goes if any earlier line, by document and line number, is similar to it.
 
-Equal sets are one class, which is joined once. Words of very many lines are joined apart, in rounds that first compare
-each line with the earliest one, so that thousands of variants of a line don't make all their pairs.
+One earlier line is enough, so a line isn't paired with all that resemble it: of the rows of a word, each emits the few
+partners whose bitmaps are nearest. Only lines whose partners all fail, while there were more, go into a second round, where
+they meet all rows of their prefix words that bear whole sets, and pairs are decided on the spot. Exact copies of a line are
+found by their hash and join once a task. Words of very many lines are joined apart, where Spark can split a word's rows.
 """
 
 from __future__ import annotations
@@ -19,15 +21,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, in_chunks, joined, mixed, settled, word_table
+from vellum.llm.common import Scratch, in_chunks, joined, mixed, run_hashes, settled, word_table
 
 PERCENT, MIN_WORDS = 80, 5
 #: Rarity is known by this many counters, whose logarithms (a byte each) are broadcast: 4 MB, whatever the corpus.
 COUNTERS = 1 << 22
-#: A word of more lines than this is joined in rounds, which Spark can split, rather than in one task.
-HOT = 4000
+#: Parts in which counters and filters are put together.
+BLOCKS = 64
+#: Bits of each of two filters by which documents and lines to compare are found again in the texts: 4 MB each.
+SLOTS = 1 << 25
+#: A word of more lines than this, or a line of more words than SIZES, is joined where Spark can split a word's rows.
+HOT, SIZES = 20_000, 1 << 20
+#: Partners that a row of a word emits at a time.
+PARTNERS = 2
 SALT = np.uint64(0xD6E8FEB86659FD93)
 LINE_END = 10
+#: Stands for a null id, which comes first.
+NO_ID = -(1 << 63)
 
 
 def level_of(count):
@@ -39,10 +49,7 @@ HOT_LEVEL = int(level_of(HOT))
 
 
 def lines_of(texts) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per chunk of texts: document and line number of each line with MIN_WORDS distinct words, their bounds, and the words' hashes.
-
-    The words of a line are distinct and lie together.
-    """
+    """Per chunk of texts: document and line number of each line of MIN_WORDS words, bounds of its words, and their hashes."""
     for first, run in in_chunks(texts):
         raw, bounds = joined(run)
         starts, _, hashes = word_table(raw)
@@ -50,105 +57,172 @@ def lines_of(texts) -> Iterator[tuple[np.ndarray, ...]]:
             continue
         ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == LINE_END)
         line = np.searchsorted(ends, starts)  # of the chunk
-        order = sorted_by(line, hashes >> np.uint64(24), 40)
-        line, hashes = line[order], hashes[order]
-        fresh = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
-        line, hashes = line[fresh], hashes[fresh]
         cuts = np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)]))
         size = np.diff(cuts)
         kept = size >= MIN_WORDS
         if not kept.any():
             continue
-        mask = np.repeat(kept, size)
-        number, hashes, size = line[cuts[:-1]][kept], hashes[mask], size[kept]
+        number, hashes, size = line[cuts[:-1]][kept], hashes[np.repeat(kept, size)], size[kept]
         doc = np.searchsorted(bounds, ends[number], side="right") - 1
         before = np.searchsorted(ends, bounds[:-1])  # lines of earlier documents
         yield doc + first, number - before[doc], np.concatenate(([0], np.cumsum(size))), hashes
 
 
-def sorted_by(line: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    """A stable order by line, then by a value of so many bits: one sort where both fit into 64 bits."""
-    if line[-1] < 1 << (64 - bits):
-        return np.argsort((line.astype(np.uint64) << np.uint64(bits)) | value, kind="stable")
-    return np.lexsort((value, line))
+def part_of(keep: np.ndarray, cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """cuts and hashes of the lines to keep."""
+    size = np.diff(cuts)
+    return np.concatenate(([0], np.cumsum(size[keep]))), hashes[np.repeat(keep, size)]
+
+
+def ordered_sets(cuts: np.ndarray, hashes: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Bounds and distinct words of each line, by rank (8 bits, of each word) and hash; and the line of each word."""
+    line = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    rank = np.zeros(len(hashes), np.uint64) if rank is None else rank.astype(np.uint64)
+    if len(cuts) <= 1 << 20:  # 20 bits of line, 8 of rank and 36 of hash make one sort
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(36)) | (hashes >> np.uint64(28)))
+    else:
+        order = np.lexsort((hashes, rank, line))
+    line, hashes = line[order], hashes[order]
+    fresh = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
+    line, hashes = line[fresh], hashes[fresh]
+    return np.searchsorted(line, np.arange(len(cuts))), hashes, line, order[fresh]
+
+
+def copy_keys(cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each line's words."""
+    return run_hashes(hashes, cuts[:-1], cuts[1:]), run_hashes(mixed(hashes ^ SALT), cuts[:-1], cuts[1:])
 
 
-def set_keys(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set, which its order doesn't change."""
-    return np.add.reduceat(mixed(hashes), cuts[:-1]), np.add.reduceat(mixed(hashes ^ SALT), cuts[:-1])
+def framed(parts: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    if parts:
+        yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
 
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each line (key, key2, doc, text hash, line), and the partition's counters (key: counter, n: lines)."""
-    counted = np.zeros(COUNTERS, np.int64)
+    """A row for each line (a, b: its hashes; doc, mark, line), and the partition's counters in BLOCKS blocks (a: block).
+
+    Counters stop at 65535 in a partition: only that a word is rare, or the only one of its counter, matters.
+    """
+    counted, waiting, size = np.zeros(COUNTERS, np.int32), [], 0
     for batch in batches:
-        ids, marks = batch["doc_id"].to_numpy(object), batch["mark"].to_numpy()
+        ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
         for doc, number, cuts, hashes in lines_of(batch["text"]):
-            counted += np.bincount((hashes >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
-            a, b = set_keys(hashes, cuts)
-            yield pd.DataFrame({"kind": 0, "a": a.view(np.int64), "b": b.view(np.int64), "doc_id": ids[doc], "mark": marks[doc], "line": number, "n": np.diff(cuts)})
-    found = np.flatnonzero(counted)
-    for part in np.array_split(found, max(1, len(found) // 100_000)):
-        yield pd.DataFrame({"kind": 1, "a": part, "b": 0, "doc_id": None, "mark": 0, "line": 0, "n": counted[part]})
+            a, b = copy_keys(cuts, hashes)
+            parts.append({"a": a.view(np.int64), "b": b.view(np.int64), "doc": ids[doc], "mark": marks[doc], "line": number})
+            waiting.append((hashes >> np.uint64(42)).astype(np.int64))
+            size += len(hashes)
+            if size >= 1 << 20:
+                np.add(counted, np.bincount(np.concatenate(waiting), minlength=COUNTERS), out=counted, casting="unsafe")
+                waiting, size = [], 0
+        for out in framed(parts):
+            yield out.assign(kind=0, counts=None)
+    if size or counted.any():
+        np.add(counted, np.bincount(np.concatenate([np.zeros(0, np.int64), *waiting]), minlength=COUNTERS), out=counted, casting="unsafe")
+        blocks = [x.tobytes() for x in np.minimum(counted, 65535).astype(np.uint16).reshape(BLOCKS, -1)]
+        yield pd.DataFrame({"kind": 1, "a": np.arange(BLOCKS), "b": 0, "doc": 0, "mark": 0, "line": 0, "counts": blocks})
+
+
+def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The levels of each block, from blocks of counters (a, counts) that come in any order."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch["a"], batch["counts"], strict=True):
+            found = np.frombuffer(counts, np.uint16).astype(np.int64)
+            total[block] = total[block] + found if block in total else found
+    yield pd.DataFrame([(b, level_of(np.maximum(x, 1)).astype(np.uint8).tobytes()) for b, x in total.items()], columns=["block", "data"])
+
+
+def levels_of(counts: DataFrame) -> bytes:
+    """The level of every counter, a byte each. Blocks are summed on the executors."""
+    found = {r["block"]: r["data"] for r in counts.repartition(BLOCKS, "a").mapInPandas(summed, "block long, data binary").collect()}
+    return b"".join(bytes(found.get(k, b"\0" * (COUNTERS // BLOCKS))) for k in range(BLOCKS))
 
 
-def packed_levels(counts: DataFrame) -> bytes:
-    """The COUNTERS levels, a byte each. Counters are summed and packed on the executors; 64 blocks come to the driver."""
-    block = COUNTERS // 64
+def packed(slots: DataFrame, size: int) -> bytes:
+    """One byte for each of `size` slots from slots(slot, value). It is put together on the executors, in BLOCKS blocks."""
+    block = size // BLOCKS
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(block, np.uint8)
-        out[rows["a"].to_numpy() - key[0] * block] = level_of(rows["n"].to_numpy())
-        return pd.DataFrame({"block": [key[0]], "levels": [out.tobytes()]})
+        out[rows["slot"].to_numpy() - key[0] * block] = rows["value"].to_numpy()
+        return pd.DataFrame({"block": [key[0]], "data": [out.tobytes()]})
 
-    summed = counts.groupBy("a").agg(F.sum("n").alias("n")).withColumn("block", F.floor(F.col("a") / block).cast("long"))
-    found = {r["block"]: r["levels"] for r in summed.groupBy("block").applyInPandas(pack, "block long, levels binary").collect()}
-    return b"".join(bytes(found.get(k, b"\0" * block)) for k in range(64))
+    blocks = slots.withColumn("block", F.floor(F.col("slot") / block).cast("long")).groupBy("block").applyInPandas(pack, "block long, data binary")
+    found = {r["block"]: r["data"] for r in blocks.collect()}
+    return b"".join(bytes(found.get(k, b"\0" * block)) for k in range(BLOCKS))
 
 
-def prefixes(batches: Iterator[pd.Series], levels: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
-    """(word, id, n, at, s0, s1, hot): the prefix words of each line, but those of a single line, which can't be shared.
+def prefix_of(cuts: np.ndarray, hashes: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Bounds and words of each line by rarity; each word's line, place and level; and which are prefix words that others have."""
+    level = levels[(hashes >> np.uint64(42)).astype(np.int64)]
+    cuts, hashes, line, order = ordered_sets(cuts, hashes, level)
+    level, size = level[order], np.diff(cuts)
+    place, length = np.arange(len(hashes)) - cuts[line], size - -(-percent * size // 100) + 1
+    return cuts, hashes, line, place, level, (place < length[line]) & (level > 0)
 
-    id is the first half of the set's key. Lines that a task has seen are left out, so that copies of a line arrive once
-    from each task at most.
+
+def parity(hashes: np.ndarray, cuts: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """A bitmap of 64 * lanes bits for each line, in which each word turns one bit."""
+    bit = mixed(hashes)
+    one, lane = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6)) & np.uint64(lanes - 1)
+    return [np.bitwise_xor.reduceat(np.where(lane == k, one, np.uint64(0)), cuts[:-1]) for k in range(lanes)]
+
+
+def word_bits(hashes: np.ndarray) -> np.ndarray:
+    """The bit of a word, by the 44 bits that keys hold."""
+    return (mixed(hashes >> np.uint64(20)) >> np.uint64(39)).astype(np.int64)
+
+
+def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """PREFIX rows: the prefix words of each line, but those of a single line, which can't be shared.
+
+    key holds 44 bits of the word, then the set's size. Of the copies of a line that a task sees, those go on that come
+    before all copies seen so far. So the first of all does, and a line of very many copies arrives few times. With a
+    filter `only`, words whose bit is set, hot ones aside, with the line's mark and whole set.
     """
-    seen: set[int] = set()
-    for texts in batches:
-        for _, _, cuts, hashes in lines_of(texts["text"]):
-            keys, _ = set_keys(hashes, cuts)
-            new = np.array([k not in seen for k in keys.tolist()])
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(keys.tolist())
-            size = np.diff(cuts)
-            hashes, size, keys = hashes[np.repeat(new, size)], size[new], keys[new]
-            if not len(keys):
+    seen: dict[int, tuple] = {}
+    for batch in batches:
+        ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
+        for doc, number, cuts, hashes in lines_of(batch["text"]):
+            new = np.zeros(len(doc), bool)
+            if only is not None:  # most lines have none of the words
+                some = (only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0
+                new |= np.add.reduceat(some, cuts[:-1]) > 0
+            else:
+                if len(seen) > 100_000:
+                    seen.clear()
+                for k, (key, *place) in enumerate(zip(run_hashes(hashes, cuts[:-1], cuts[1:]).tolist(), ids[doc].tolist(), marks[doc].tolist(), number.tolist(), strict=True)):
+                    best = seen.get(key)
+                    if best is None or place < best:
+                        seen[key] = place
+                        new[k] = True
+            if not new.any():
                 continue
-            keys, at = np.unique(keys, return_index=True)  # copies within the chunk
-            take = np.zeros(len(size), bool)
-            take[at] = True
-            order = np.argsort(at)
-            keys, hashes, size = keys[order], hashes[np.repeat(take, size)], size[take]
-            cuts = np.concatenate(([0], np.cumsum(size)))
-            line = np.repeat(np.arange(len(size)), size)
-            level = levels[(hashes >> np.uint64(42)).astype(np.int64)]
-            # ties of 36 bits keep the order of lines_of, which is by the hash, too
-            by = sorted_by(line, (level.astype(np.uint64) << np.uint64(36)) | (hashes >> np.uint64(28)), 44)
-            hashes, level = hashes[by], level[by]
-            place = np.arange(len(hashes)) - cuts[line]
-            bit = mixed(hashes)
-            one = np.uint64(1) << (bit & np.uint64(63))
-            high = (bit & np.uint64(64)) > 0
-            s0, s1 = (np.bitwise_xor.reduceat(np.where(w, one, np.uint64(0)), cuts[:-1]) for w in (~high, high))
-            length = size - -(-percent * size // 100) + 1
-            use = (place < length[line]) & (level > 0)
+            doc, number = doc[new], number[new]
+            cuts, hashes, line, place, level, use = prefix_of(*part_of(new, cuts, hashes), levels, percent)
+            size, hot = np.diff(cuts), (level >= HOT_LEVEL) | (np.diff(cuts)[line] >= SIZES)
+            s0, s1 = parity(hashes, cuts, 2)
+            if only is not None:
+                use &= ~hot & ((only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0)
+                if not use.any():
+                    continue
             line = line[use]
-            yield pd.DataFrame(
-                {"word": hashes[use].view(np.int64), "id": keys[line].view(np.int64), "n": size[line], "at": place[use], "s0": s0[line].view(np.int64), "s1": s1[line].view(np.int64), "hot": level[use] >= HOT_LEVEL}
-            )
+            part = {
+                "key": ((hashes[use] & ~np.uint64(SIZES - 1)) | np.minimum(size[line], SIZES - 1).astype(np.uint64)).view(np.int64),
+                "doc": ids[doc][line], "line": number[line], "at": place[use], "s0": s0[line].view(np.int64), "s1": s1[line].view(np.int64), "n": size[line], "hot": hot[use],
+            }
+            if only is not None:
+                sets = np.empty(len(size), object)
+                sets[:] = np.split(hashes.view(np.int64), cuts[1:-1])
+                part |= {"mark": marks[doc][line], "words": sets[line]}
+            parts.append(part)
+        yield from framed(parts)
 
 
-PREFIX = "word long, id long, n int, at int, s0 long, s1 long, hot boolean"
+PREFIX = "key long, doc long, line int, at int, s0 long, s1 long, n int, hot boolean"
+#: Candidates; or rows of hot words, which are handed on (word not null).
+WITH_SETS = PREFIX + ", mark long, words array<long>"
+PAIR = "doc long, line int, doc0 long, line0 int, more boolean, word long, n int, s0 long, s1 long"
 
 
 def needed(n, m, percent: int):
@@ -156,131 +230,253 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def among(x: dict[str, np.ndarray], lo: int, percent: int, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of rows i < j, lo <= j, of one word; x is sorted by (word, n). At most about `most` pairs at a time."""
-    group = np.cumsum(np.concatenate(([0], x["word"][1:] != x["word"][:-1]))) * (x["n"].max() + 1)
+def matches(x: dict[str, np.ndarray], lo: int, percent: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i < j, lo <= j, of one word that pass the filters, and how far their bitmaps differ.
+
+    x is sorted by (word, n). About `most` pairs are looked at at a time.
+    """
+    group = np.cumsum(np.concatenate(([0], x["word"][1:] != x["word"][:-1]))) * SIZES
     least = np.searchsorted(group + x["n"], group + -(-percent * x["n"] // 100))  # length filter: the first row that is long enough
+    # the smaller set of a pair shares a word in an even shorter prefix
+    small = x["at"] <= x["n"] - -(-2 * percent * x["n"] // (100 + percent))
+    index, upto = np.flatnonzero(small), np.concatenate(([0], np.cumsum(small)))
     rows = np.arange(lo, len(group))
-    width = rows - least[lo:]
+    start = upto[least[lo:]]
+    width = upto[rows] - start
     total = np.cumsum(width)
     for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(most, total[-1], most))):
         w = width[part]
+        if not w.any():
+            continue
         j = np.repeat(rows[part], w)
-        i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(w) - w, w))
-        need = needed(x["n"][i], x["n"][j], percent)
+        i = index[np.repeat(start[part] - (np.cumsum(w) - w), w) + np.arange(len(j))]
+        n, m = x["n"][i], x["n"][j]
         own = np.bitwise_count(x["s0"][i] ^ x["s0"][j]).astype(np.int64) + np.bitwise_count(x["s1"][i] ^ x["s1"][j])
-        fit = np.flatnonzero((own <= x["n"][i] + x["n"][j] - 2 * need) & (x["id"][i] != x["id"][j]))
-        i, j, need = i[fit], j[fit], need[fit]
-        fit = np.minimum(x["n"][i] - x["at"][i], x["n"][j] - x["at"][j]) + np.minimum(x["at"][i], x["at"][j]) >= need  # positional filter
-        a, b = x["id"][i[fit]], x["id"][j[fit]]
-        if len(a):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        fit = np.flatnonzero(own <= n + m - 2 * needed(n, m, percent))
+        i, j, n, m, own = i[fit], j[fit], n[fit], m[fit], own[fit]
+        at, bt = x["at"][i], x["at"][j]
+        fit = np.minimum(n - at, m - bt) + np.minimum(at, bt) >= needed(n, m, percent)  # positional filter
+        if fit.any():
+            yield i[fit], j[fit], own[fit]
+
+
+def nearest(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, own: np.ndarray, partners: int) -> pd.DataFrame:
+    """PAIR rows of the later of each two rows, with their nearest partners; more: whether a row has others."""
+    same, before = x["doc"][i] == x["doc"][j], x["doc"][i] < x["doc"][j]  # in one document, marks may decide: both ways
+    late, early = np.concatenate((j[same | before], i[same | ~before])), np.concatenate((i[same | before], j[same | ~before]))
+    own = np.concatenate((own[same | before], own[same | ~before]))
+    order = np.lexsort((x["line"][early], x["doc"][early], own, late))
+    late, early = late[order], early[order]
+    first = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1])))
+    size = np.diff(np.concatenate((first, [len(late)])))
+    few, more = np.arange(len(late)) - np.repeat(first, size) < partners, np.repeat(size > partners, size)
+    late, early, more = late[few], early[few], more[few]
+    return pd.DataFrame({"doc": x["doc"][late], "line": x["line"][late], "doc0": x["doc"][early], "line0": x["line"][early], "more": more}).drop_duplicates()
+
+
+def windows(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[tuple[dict[str, np.ndarray], int]]:
+    """Rows sorted by key, batch by batch, each behind the window of rows that may still match: (rows, the first new one)."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = {c: batch[c].to_numpy() if c == "words" else batch[c].to_numpy().astype(np.int64) for c in batch.columns if c not in ("n", "hot")}
+        new |= {"word": new["key"] >> 20, "n": new["key"] & (SIZES - 1), "s0": new["s0"].view(np.uint64), "s1": new["s1"].view(np.uint64)}
+        x = {c: np.concatenate((held[c], v)) if held else v for c, v in new.items()}
+        yield x, len(held.get("n", ()))
+        keep = (x["word"] == x["word"][-1]) & (100 * x["n"] >= percent * x["n"][-1])
+        held = {c: v[keep] for c, v in x.items()}
+
+
+def compared(batches: Iterator[pd.DataFrame], percent: int, partners: int) -> Iterator[pd.DataFrame]:
+    """Candidates of PREFIX rows that are sorted by key, and hot rows as they are."""
+    names, hot = [x.split()[0] for x in PAIR.split(", ")], []
+
+    def cold() -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hot.append(batch[batch["hot"]])
+            yield batch[~batch["hot"]]
+
+    for x, lo in windows(cold(), percent):
+        while hot:
+            yield (h := hot.pop()).assign(word=h["key"].to_numpy() >> 20, doc0=0, line0=0, more=False)[names]
+        for i, j, own in matches(x, lo, percent):
+            yield nearest(x, i, j, own, partners).assign(word=None, n=None, s0=None, s1=None)
+    while hot:
+        yield (h := hot.pop()).assign(word=h["key"].to_numpy() >> 20, doc0=0, line0=0, more=False)[names]
 
 
-def compared(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Candidate pairs (a, b) of ids from rows that are sorted by (word, n).
+def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 16) -> Iterator[pd.DataFrame]:
+    """(doc, mark, line) of the wanted among WITH_SETS rows, sorted by key, to which an earlier row is similar.
 
-    Only a window of rows is held from batch to batch: those of the current word whose size still fits.
+    Pairs are decided here, on whole sets, after a wider bitmap. A row that is decided isn't compared any more.
     """
-    types = {"word": np.int64, "id": np.int64, "n": np.int64, "at": np.int64, "s0": np.int64, "s1": np.int64}
-    held = {c: np.zeros(0, t) for c, t in types.items()}
+    for x, lo in windows(batches, percent):
+        size = np.array([len(w) for w in x["words"]])
+        wide = np.stack(parity(np.concatenate(x["words"]).view(np.uint64), np.concatenate(([0], np.cumsum(size))), lanes), axis=1)
+        done: set[int] = set()
+        for i, j, _ in matches(x, lo, percent):
+            before = (x["doc"][i] < x["doc"][j]) | (x["doc"][i] == x["doc"][j]) & ((x["mark"][i] < x["mark"][j]) | (x["mark"][i] == x["mark"][j]) & (x["line"][i] < x["line"][j]))
+            late, early = np.where(before, j, i), np.where(before, i, j)
+            want = x["want"][late] > 0
+            late, early = late[want], early[want]
+            need = needed(size[late], size[early], percent)
+            near = np.bitwise_count(wide[late] ^ wide[early]).sum(axis=1, dtype=np.int64) <= size[late] + size[early] - 2 * need
+            for a, b, least in zip(late[near].tolist(), early[near].tolist(), need[near].tolist(), strict=True):
+                same = (x["doc"][a], x["mark"][a], x["line"][a]) == (x["doc"][b], x["mark"][b], x["line"][b])
+                if a not in done and not same and len(np.intersect1d(x["words"][a], x["words"][b], assume_unique=True)) >= least:
+                    done.add(a)
+        if done:
+            at = sorted(done)
+            yield pd.DataFrame({c: x[c][at] for c in ("doc", "mark", "line")})
+
+
+def prefix_slots(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
+    """Bytes, with a bit set, of the filter for the prefix words of lines (words)."""
     for batch in batches:
-        x = {c: np.concatenate((held[c], batch[c].to_numpy().astype(t))) for c, t in types.items()}
-        for c in ("s0", "s1"):
-            x[c] = x[c].view(np.uint64)
         if len(batch):
-            yield from among(x, len(held["word"]), percent)
-            keep = (x["word"] == x["word"][-1]) & (100 * x["n"] >= percent * x["n"][-1])
-            held = {c: v[keep].view(np.int64) for c, v in x.items()}
+            words = np.concatenate(batch["words"].to_list()).view(np.uint64)
+            cuts = np.concatenate(([0], np.cumsum([len(w) for w in batch["words"]])))
+            _, hashes, _, _, _, use = prefix_of(cuts, words, levels, percent)
+            bits = np.unique(word_bits(hashes[use]))
+            yield pd.DataFrame({"slot": bits >> 3, "value": 1 << (bits & 7)})
 
 
-def hot_pairs(hot: DataFrame, earliest: DataFrame, percent: int, verified) -> DataFrame:
-    """Links of lines that share a word of very many lines, in two rounds of joins whose hot keys AQE can split.
-
-    First each line meets the earliest line of its word. A line that is similar to it goes, so in the second round only
-    the others meet all earlier lines. earliest(id, first): where each set occurs first.
-    """
-    rows = settled(hot.dropDuplicates(["word", "id"]).join(earliest, "id"))
-    pivots = rows.groupBy("word").agg(F.min(F.struct("first", "id", "n", "s0", "s1")).alias("p"))
-    met = rows.join(pivots, "word").filter((F.col("id") != F.col("p.id")) & may_match("n", "p.n", "s0", "p.s0", "s1", "p.s1", percent))
-    one = settled(verified(met.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()))
-    left = rows.join(one.select(F.col("b").alias("id")).distinct(), "id", "left_anti").alias("y")
-    x = rows.alias("x")
-    again = x.join(left, (F.col("x.word") == F.col("y.word")) & (F.col("x.first") < F.col("y.first")) & may_match("x.n", "y.n", "x.s0", "y.s0", "x.s1", "y.s1", percent))
-    return one.union(verified(again.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
-
-
-def may_match(n, m, s0, t0, s1, t1, percent: int):
-    n, m = F.col(n), F.col(m)
+def may_match(percent: int):
+    """Whether rows x and y pass the length filter and the bitmaps, as a column."""
+    n, m = F.col("x.n"), F.col("y.n")
     need = F.ceil(percent * (n + m) / (100 + percent))
-    own = F.bit_count(F.col(s0).bitwiseXOR(F.col(t0))) + F.bit_count(F.col(s1).bitwiseXOR(F.col(t1)))
+    own = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (own <= n + m - 2 * need)
 
 
-def line_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, mark, line, words) of the wanted lines: rows of doc_id, mark, text and numbers."""
+def paired(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Rows y with the rows x of the same word that may be similar and come before, or are of the same document."""
+    before = (F.col("x.doc") <= F.col("y.doc")) & ((F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line")))
+    both = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & before & may_match(percent))
+    return both.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
+
+
+def bits_of(doc: np.ndarray, line: np.ndarray | None = None) -> np.ndarray:
+    """The bit of each line, or behind those of all lines, of each document."""
+    h = mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.zeros(len(doc)) if line is None else line + 1).astype(np.uint64))
+    return (h >> np.uint64(39)).astype(np.int64) + (SLOTS if line is None else 0)
+
+
+def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bytes, with a bit set, of the filters for rows (doc, line)."""
     for batch in batches:
-        ids, marks, wanted = batch["doc_id"].to_numpy(object), batch["mark"].to_numpy(), [set(x) for x in batch["numbers"]]
+        doc, line = batch["doc"].to_numpy(), batch["line"].to_numpy()
+        bits = np.unique(np.concatenate((bits_of(doc, line), bits_of(doc))))
+        yield pd.DataFrame({"slot": bits >> 3, "value": 1 << (bits & 7)})
+
+
+def line_sets(batches: Iterator[pd.DataFrame], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(doc, mark, line, words) of the lines whose bit is set: all that are sought, and about one in a hundred others."""
+    has = lambda bits: (wanted[bits >> 3] >> (bits & 7)) & 1 > 0
+    for batch in batches:
+        batch = batch[has(bits_of(batch["doc"].to_numpy()))]
+        ids, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
         for doc, number, cuts, hashes in lines_of(batch["text"]):
-            at = [k for k in range(len(doc)) if number[k] in wanted[doc[k]]]
-            if at:
-                yield pd.DataFrame({"doc_id": ids[doc[at]], "mark": marks[doc[at]], "line": number[at], "words": [hashes[cuts[k] : cuts[k + 1]].view(np.int64) for k in at]})
+            keep = has(bits_of(ids[doc], number))
+            if keep.any():
+                doc, number = doc[keep], number[keep]
+                cuts, hashes, _, _ = ordered_sets(*part_of(keep, cuts, hashes))
+                yield pd.DataFrame({"doc": ids[doc], "mark": marks[doc], "line": number, "words": np.split(hashes.view(np.int64), cuts[1:-1])})
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, mark, line) of every line of docs(doc_id, text) that is similar to an earlier one; mark is the text's hash.
+    """(doc, mark, line) of every line of docs(doc_id, text) that is similar to an earlier one.
 
-    Lines are numbered from 0 and ordered by (doc_id, mark, line), null ids first. Only lines with MIN_WORDS distinct
-    words are compared. Rows with one id and one text are one document. Null and empty texts have no lines, an empty
-    table gives no rows, and other columns aren't read.
+    doc is the id, or NO_ID for a null one, and mark the text's hash. Lines are numbered from 0 and ordered by
+    (doc, mark, line). Only lines of MIN_WORDS words are compared. Rows with one id and one text are one document. Null and
+    empty texts have no lines, an empty table gives no rows, and other columns aren't read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).filter("text is not null")
-    # ids pass through pandas as strings, where a null would turn whole numbers into floating ones
-    named = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
-    found = scratch.keep(named.mapInPandas(scan, "kind int, a long, b long, doc_id string, mark long, line int, n long").withColumn("doc_id", F.col("doc_id").cast("long")), "lines")
-    lines = found.filter("kind = 0").select("a", "b", "n", F.struct("doc_id", "mark", "line").alias("where"))
-    sent = spark.sparkContext.broadcast(packed_levels(found.filter("kind = 1").select("a", "n")))
-    entries = texts.select("text").mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent), PREFIX)
-    common = entries.filter("not hot").drop("hot").repartition("word").sortWithinPartitions("word", "n", "id").mapInPandas(lambda it: compared(it, percent), "a long, b long")
-    classes = lines.groupBy("a", "b").agg(F.min("where").alias("first"), F.count(F.lit(1)).alias("size"))
-    firsts = scratch.keep(classes.select(F.col("a").alias("id"), "b", "first", "size"), "classes")
+    texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
+    found = scratch.keep(texts.mapInPandas(scan, "kind int, a long, b long, doc long, mark long, line int, counts binary"), "lines")
+    sent = spark.sparkContext.broadcast(levels_of(found.filter("kind = 1").select("a", "counts")))
+    entries = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent), PREFIX)
+
+    place = F.struct("doc", "mark", "line").alias("place")
+    lines = found.filter("kind = 0").select("a", "b", place)
+    copies = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    repeats = scratch.keep(lines.join(copies, ["a", "b"]).filter(F.col("place") != F.col("first")).select("place.*"), "repeats")
+    # later copies go anyway and needn't be compared; ids that stand for several texts are left to the comparison
+    plural = found.filter("kind = 0").groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("doc")
+    decided = settled(repeats.join(plural, "doc", "left_anti").select("doc", "line"))
+
+    def filled(bits: DataFrame, size: int) -> bytes:
+        return packed(bits.groupBy("slot").agg(F.bit_or("value").alias("value")), size)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of pairs whose sets are similar, the earlier first. A half key may stand for several sets: each is tried."""
-        ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        wanted = settled(firsts.join(ids, "id", "left_semi").select("id", "first.*"))
-        numbers = wanted.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("numbers"))
-        n, t = numbers.alias("n"), texts.alias("t")
-        chosen = t.join(n, F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.mark") == F.col("n.mark")))
-        sets = chosen.select(F.col("t.doc_id").cast("string").alias("doc_id"), "t.mark", "t.text", "n.numbers").mapInPandas(line_sets, "doc_id string, mark long, line int, words array<long>")
-        s, w = sets.withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id", "mark", "line"]).alias("s"), wanted.alias("w")
-        known = settled(s.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.mark") == F.col("w.mark")) & (F.col("s.line") == F.col("w.line"))).select("w.id", F.struct("w.doc_id", "w.mark", "w.line").alias("first"), "s.words"))
-        x, y = (known.select(F.col("id").alias(k), F.col("first").alias(f"{k}_first"), F.col("words").alias(f"{k}_words")) for k in "ab")
-        shared = pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
-        like = shared.filter(100 * F.col("common") >= percent * (F.size("a_words") + F.size("b_words") - F.col("common")))
-        swap = F.col("a_first") > F.col("b_first")
-        return like.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("a_first", "b_first").alias("first"))
-
-    links = settled(verified(settled(common.distinct())))
-    hot = settled(entries.filter("hot").drop("hot"))
-    if not hot.isEmpty():
-        links = links.union(hot_pairs(hot, firsts.select("id", "first"), percent, verified))
-    gone = links.select(F.col("first").alias("where")).distinct()
-    again = firsts.filter("size > 1").select(F.col("id").alias("a"), "b", "first")
-    repeats = lines.join(again, ["a", "b"]).filter(F.col("where") != F.col("first")).select("where")
-    out = settled(gone.union(repeats).distinct().select("where.*"))
+        """(doc, mark, line) of the lines to which the earlier line of a pair is similar."""
+        y = sets.select("doc", "line", "mark", F.col("words").alias("y"))
+        x = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("mark").alias("mark0"), F.col("words").alias("x"))
+        both = pairs.select("doc", "line", "doc0", "line0").join(y, ["doc", "line"]).join(x, ["doc0", "line0"])
+        both = both.filter(F.struct("doc0", "mark0", "line0") < F.struct("doc", "mark", "line")).withColumn("common", F.size(F.array_intersect("x", "y")))
+        return settled(both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("doc", "mark", "line").distinct())
+
+    def still_open(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+        """pairs of lines that aren't gone, or whose id stands for several texts."""
+        done = gone.join(plural, "doc", "left_anti").select("doc", "line")
+        return pairs.join(done, ["doc", "line"], "left_anti")
+
+    # a word's rows come together; those of a hot word, which are handed on, anywhere
+    where = F.when(F.col("hot"), F.xxhash64("doc", "line")).otherwise(F.shiftright("key", 20))
+    partners = PARTNERS
+    raw = scratch.keep(entries.repartition(where).sortWithinPartitions("key").mapInPandas(lambda it: compared(it, percent, partners), PAIR), "raw")
+    pairs = raw.filter("word is null").groupBy("doc", "line", "doc0", "line0").agg(F.max("more").alias("more")).join(decided, ["doc", "line"], "left_anti")
+    hot = settled(raw.filter("word is not null").select("word", "doc", "line", "n", "s0", "s1").distinct())
+    some_hot = not hot.isEmpty()
+    if some_hot:  # first each line meets the earliest of its word
+        pivots = hot.groupBy("word").agg(F.min(F.struct("doc", "line", "n", "s0", "s1")).alias("p")).select("word", "p.*")
+        pairs = pairs.unionByName(paired(pivots, hot, percent).withColumn("more", F.lit(False)))
+    pairs = scratch.keep(pairs, "pairs")
+    places = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).union(hot.select("doc", "line"))
+    wanted = spark.sparkContext.broadcast(filled(places.distinct().mapInPandas(slots, "slot long, value int"), SLOTS // 4))
+    sets = scratch.bucketed(texts.mapInPandas(lambda it: line_sets(it, np.frombuffer(wanted.value, np.uint8)), "doc long, mark long, line int, words array<long>"), "sets", "doc", "line")
+    picked = pairs.groupBy("doc", "line").agg(F.min(F.struct("doc0", "line0")).alias("e")).select("doc", "line", "e.*")
+    gone = verified(picked)
+    rest = settled(still_open(pairs, gone))
+    gone = settled(gone.union(verified(rest)))
+    # lines whose partners all failed, while there were more, meet all rows of their words
+    left = settled(still_open(rest.filter("more").select("doc", "line").distinct(), gone))
+    if not left.isEmpty():
+        own_words = sets.join(left, ["doc", "line"], "left_semi").select("words")
+        only = spark.sparkContext.broadcast(filled(own_words.mapInPandas(lambda it: prefix_slots(it, np.frombuffer(sent.value, np.uint8), percent), "slot long, value int"), SLOTS // 8))
+        whole = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, np.frombuffer(only.value, np.uint8)), WITH_SETS)
+        asked = whole.join(left.withColumn("want", F.lit(1)), ["doc", "line"], "left").fillna(0, ["want"])
+        near = asked.repartition(F.shiftright("key", 20)).sortWithinPartitions("key")
+        gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "doc long, mark long, line int").distinct()))
+    if some_hot:
+        gone = gone.union(verified(paired(hot, still_open(still_open(hot, gone), repeats), percent)))
+    out = settled(gone.union(repeats).distinct())
     scratch.drop()
     return out
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.xxhash64("text")})
+
+
+def gone_by_document(later: DataFrame) -> DataFrame:
+    return later.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+
+
+def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, removed): for every row of docs(doc_id, text), the numbers of the lines that go, in order."""
+    known = marked(docs.select("doc_id", "text")).drop("text")
+    return known.join(gone_by_document(later_lines(docs, percent)), ["doc", "mark"], "left").select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+
+
 def without_lines(docs: DataFrame, later: DataFrame) -> DataFrame:
     """docs without those lines; n_chars, if there, is counted anew. Documents that lose no line come out as they are.
 
-    A document whose every line goes stays, with an empty text.
+    A document whose every line goes stays, with an empty text. docs may have further columns of any name.
     """
-    numbers = later.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "__gone")
-    cut = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left")
+    gone = gone_by_document(later).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    cut = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
     new = {"text": text} | ({"n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(rest)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.llm import chat, decontaminate, html_main, langid, line_dup, near_dup, pack, quality, sentence_spans, shard
 from vellum.llm.common import table
@@ -49,7 +50,8 @@ def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    found = line_dup.removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
 
 
 def queries() -> dict[str, Query]:
