@@ -154,7 +154,7 @@ def sentences(text):
             out[-1][2].append(word)
     parted = []
     for a, b, ws, stop in out:
-        if len(ws) <= 40:
+        if len(ws) <= sentence_spans.LONG:
             parted.append([a, b, ws, stop])
             continue
         at = a
@@ -166,7 +166,7 @@ def sentences(text):
                 parted[-1][1] = at + len(w)
                 parted[-1][2].append(w)
             at += len(w)
-            if h >> 60 == 0:
+            if h >> (64 - sentence_spans.ZEROS) == 0:
                 parted[-1][3] = None  # the next word begins a part
     return parted
 

@@ -1,8 +1,8 @@
 """Repeated passages: every run of several consecutive sentences is hashed, and later repeats are removed.
 
 A sentence ends at a line end, or at a word that ends in . ! or ? (closing quotes and brackets may follow). One of more than
-LONG words is parted behind words whose hash begins with four zero bits, wherever it began, so that passages without stops
-are found as well. A span is
+LONG words is parted behind words whose hash begins with ZEROS zero bits, wherever it began, so that passages that begin or
+end within a sentence, or have no stops, are found as well. A span is
 the shortest run from a sentence on that has at least SENTENCES sentences and WORDS words. Of the places of a span the
 first by (doc_id, text hash, sentence) stays; sentences that any other place covers are removed.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, in_chunks, joined, run_hashes, settled, word_table
 
-SENTENCES, WORDS, LONG = 2, 20, 40
+SENTENCES, WORDS, LONG, ZEROS = 2, 20, 16, 3
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
@@ -37,7 +37,7 @@ def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np
     fresh = np.concatenate(([True], _STOP[data[last[:-1]]] | (lines[1:] != lines[:-1])))
     sentence = np.cumsum(fresh) - 1
     long_ = np.bincount(sentence)[sentence] > LONG
-    fresh[1:] |= long_[:-1] & (hashes[:-1] >> np.uint64(60) == 0)
+    fresh[1:] |= long_[:-1] & (hashes[:-1] >> np.uint64(64 - ZEROS) == 0)
     return np.flatnonzero(fresh)
 
 
