@@ -115,6 +115,17 @@ def base_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Rows of texts that a Python worker takes at a time. Spark's default of 10000 costs it hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes this session hand at most BATCH_ROWS rows at a time to Python workers; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. They outlive lost executors, and drop() removes them."""
 
@@ -122,6 +133,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{base_dir(spark)}/vellum-{uuid.uuid4().hex}"
         self.tables: list[str] = []
+        small_batches(spark)
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

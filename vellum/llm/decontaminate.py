@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_chunks, joined, mixed, run_hashes, settled, word_table
+from vellum.llm.common import in_chunks, joined, mixed, run_hashes, settled, small_batches, word_table
 
 #: Fixed masks; each looks at six words.
 MASKS = ("111111", "11101011", "110100111", "1100101011", "11010001011")
@@ -144,6 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents, each for its own share of the items.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n_words = F.size(F.split(F.trim("text"), "\\s+"))
     items = settled(benchmark.filter("text is not null and item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
     total = items.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import small_batches
+
 #: Fixed values of HTML: elements without content, and elements that begin and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -179,5 +181,6 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.map(main_text, na_action=None)
 
+    small_batches(pages.sparkSession)
     text = F.pandas_udf(texts, "string")
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import run_hashes, settled
+from vellum.llm.common import run_hashes, settled, small_batches
 
 #: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id, and on words
 #: of at most WORD_BYTES bytes of them, of which it keeps the SAMPLE_WORDS most frequent. So its size is bounded.
@@ -169,6 +169,7 @@ def fit(docs: DataFrame) -> Model:
 
 def predictor(docs: DataFrame, model: Model | None):
     """A pandas UDF from text to (lang_pred, score), and the model, which is fitted on docs unless given."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded, see above
 

@@ -34,6 +34,8 @@ SLOTS = 1 << 25
 HOT, SIZES = 20_000, 1 << 20
 #: Partners that a row of a word emits at a time.
 PARTNERS = 2
+#: Rows that a worker gathers before it hands them on.
+FRAME = 20_000
 SALT = np.uint64(0xD6E8FEB86659FD93)
 LINE_END = 10
 #: Stands for a null id, which comes first.
@@ -93,9 +95,11 @@ def copy_keys(cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return run_hashes(hashes, cuts[:-1], cuts[1:]), run_hashes(mixed(hashes ^ SALT), cuts[:-1], cuts[1:])
 
 
-def framed(parts: list[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
-    if parts:
+def framed(parts: list[dict[str, np.ndarray]], least: int = 1) -> Iterator[pd.DataFrame]:
+    """One frame of all parts, which it takes away, once they have so many rows."""
+    if parts and sum(len(p["line"]) for p in parts) >= least:
         yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+        parts.clear()
 
 
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +113,9 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, number, cuts, hashes in lines_of(batch["text"]):
             a, b = copy_keys(cuts, hashes)
             parts.append({"a": a.view(np.int64), "b": b.view(np.int64), "doc": ids[doc], "mark": marks[doc], "line": number})
-            waiting.append((hashes >> np.uint64(42)).astype(np.int64))
+            for out in framed(parts, FRAME):
+                yield out.assign(kind=0, counts=None)
+            waiting.append((hashes >> np.uint64(42)).astype(np.int32))
             size += len(hashes)
             if size >= 1 << 20:
                 np.add(counted, np.bincount(np.concatenate(waiting), minlength=COUNTERS), out=counted, casting="unsafe")
@@ -117,7 +123,7 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in framed(parts):
             yield out.assign(kind=0, counts=None)
     if size or counted.any():
-        np.add(counted, np.bincount(np.concatenate([np.zeros(0, np.int64), *waiting]), minlength=COUNTERS), out=counted, casting="unsafe")
+        np.add(counted, np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=COUNTERS), out=counted, casting="unsafe")
         blocks = [x.tobytes() for x in np.minimum(counted, 65535).astype(np.uint16).reshape(BLOCKS, -1)]
         yield pd.DataFrame({"kind": 1, "a": np.arange(BLOCKS), "b": 0, "doc": 0, "mark": 0, "line": 0, "counts": blocks})
 
@@ -216,6 +222,7 @@ def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int,
                 sets[:] = np.split(hashes.view(np.int64), cuts[1:-1])
                 part |= {"mark": marks[doc][line], "words": sets[line]}
             parts.append(part)
+            yield from framed(parts, FRAME)
         yield from framed(parts)
 
 
@@ -230,7 +237,7 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def matches(x: dict[str, np.ndarray], lo: int, percent: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def matches(x: dict[str, np.ndarray], lo: int, percent: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows i < j, lo <= j, of one word that pass the filters, and how far their bitmaps differ.
 
     x is sorted by (word, n). About `most` pairs are looked at at a time.
@@ -274,12 +281,22 @@ def nearest(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, own: np.ndar
     return pd.DataFrame({"doc": x["doc"][late], "line": x["line"][late], "doc0": x["doc"][early], "line0": x["line"][early], "more": more}).drop_duplicates()
 
 
+def gathered(batches: Iterator[pd.DataFrame], least: int = 8192) -> Iterator[pd.DataFrame]:
+    """Batches put together to so many rows, of which a window is cheap to compare."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= least:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting = []
+    if sum(map(len, waiting)):
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def windows(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[tuple[dict[str, np.ndarray], int]]:
     """Rows sorted by key, batch by batch, each behind the window of rows that may still match: (rows, the first new one)."""
     held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in gathered(batches):
         new = {c: batch[c].to_numpy() if c == "words" else batch[c].to_numpy().astype(np.int64) for c in batch.columns if c not in ("n", "hot")}
         new |= {"word": new["key"] >> 20, "n": new["key"] & (SIZES - 1), "s0": new["s0"].view(np.uint64), "s1": new["s1"].view(np.uint64)}
         x = {c: np.concatenate((held[c], v)) if held else v for c, v in new.items()}

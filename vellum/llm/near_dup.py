@@ -153,8 +153,9 @@ def meet(batches: Iterator[pd.DataFrame], percent: int, least: list[int], most:
 
 def set_rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(batch["text"], width)]
-        yield pd.DataFrame({"id": batch["doc_id"], "shingles": sets})
+        for at in range(0, len(batch), 1000):
+            part = batch.iloc[at : at + 1000]
+            yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "shingles": [s.view(np.int64) for s in shingle_sets(part["text"], width)]})
 
 
 def long_signatures(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:

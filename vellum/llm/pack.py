@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import small_batches
+
 #: Documents that are packed together, on average. A group holds one rest of less than `capacity` tokens of each.
 GROUP_DOCS = 4096
 END_ID = 1
@@ -111,6 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic:
     ids holds the token ids as little-endian unsigned 16-bit values. Documents are dealt to groups at random, as one
     source, or one repeated row, may hold a third of the table.
     """
+    small_batches(docs.sparkSession)
     paths = paths or vocabulary()
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
     dealt = docs.select(F.col("doc_id").cast("string"), "text", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).alias("group"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settled
+from vellum.llm.common import settled, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
@@ -132,6 +132,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     no rule has a cutoff, so that the base rules alone decide. Null and empty texts have no words and fail the base
     rules. A repeated row gets a verdict each time. Only the named columns are read, so others can't clash.
     """
+    small_batches(docs.sparkSession)
     found = settled(signals(docs))
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     limits = cutoffs(found.filter(~failed()).join(known, "doc_id"), alpha, delta)
