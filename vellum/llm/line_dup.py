@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch, in_chunks, joined, mixed, run_hashes, settled, word_table
 
 PERCENT, MIN_WORDS = 80, 5
+#: Fewest words of a line that the query and the pipeline compare: all lines with a word.
+ANY = 1
 #: Rarity is known by this many counters, whose logarithms (a byte each) are broadcast: 4 MB, whatever the corpus.
 COUNTERS = 1 << 22
 #: Parts in which counters and filters are put together.
@@ -50,8 +52,8 @@ def level_of(count):
 HOT_LEVEL = int(level_of(HOT))
 
 
-def lines_of(texts) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per chunk of texts: document and line number of each line of MIN_WORDS words, bounds of its words, and their hashes."""
+def lines_of(texts, fewest: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per chunk of texts: document and line number of each line of so many words, bounds of its words, and their hashes."""
     for first, run in in_chunks(texts):
         raw, bounds = joined(run)
         starts, _, hashes = word_table(raw)
@@ -61,7 +63,7 @@ def lines_of(texts) -> Iterator[tuple[np.ndarray, ...]]:
         line = np.searchsorted(ends, starts)  # of the chunk
         cuts = np.concatenate(([0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)]))
         size = np.diff(cuts)
-        kept = size >= MIN_WORDS
+        kept = size >= fewest
         if not kept.any():
             continue
         number, hashes, size = line[cuts[:-1]][kept], hashes[np.repeat(kept, size)], size[kept]
@@ -102,7 +104,7 @@ def framed(parts: list[dict[str, np.ndarray]], least: int = 1) -> Iterator[pd.Da
         parts.clear()
 
 
-def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scan(batches: Iterator[pd.DataFrame], fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
     """A row for each line (a, b: its hashes; doc, mark, line), and the partition's counters in BLOCKS blocks (a: block).
 
     Counters stop at 65535 in a partition: only that a word is rare, or the only one of its counter, matters.
@@ -110,7 +112,7 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counted, waiting, size = np.zeros(COUNTERS, np.int32), [], 0
     for batch in batches:
         ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
-        for doc, number, cuts, hashes in lines_of(batch["text"]):
+        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
             a, b = copy_keys(cuts, hashes)
             parts.append({"a": a.view(np.int64), "b": b.view(np.int64), "doc": ids[doc], "mark": marks[doc], "line": number})
             for out in framed(parts, FRAME):
@@ -179,17 +181,18 @@ def word_bits(hashes: np.ndarray) -> np.ndarray:
     return (mixed(hashes >> np.uint64(20)) >> np.uint64(39)).astype(np.int64)
 
 
-def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int, only: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int, only: np.ndarray | None = None, fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
     """PREFIX rows: the prefix words of each line, but those of a single line, which can't be shared.
 
     key holds 44 bits of the word, then the set's size. Of the copies of a line that a task sees, those go on that come
     before all copies seen so far. So the first of all does, and a line of very many copies arrives few times. With a
-    filter `only`, words whose bit is set, hot ones aside, with the line's mark and whole set.
+    filter `only`, words whose bit is set, hot ones aside, with the line's mark and whole set. A set so small that only its
+    equals reach the threshold has its own hash for the word, which is never hot.
     """
     seen: dict[int, tuple] = {}
     for batch in batches:
         ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
-        for doc, number, cuts, hashes in lines_of(batch["text"]):
+        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
             new = np.zeros(len(doc), bool)
             if only is not None:  # most lines have none of the words
                 some = (only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0
@@ -206,7 +209,10 @@ def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int,
                 continue
             doc, number = doc[new], number[new]
             cuts, hashes, line, place, level, use = prefix_of(*part_of(new, cuts, hashes), levels, percent)
-            size, hot = np.diff(cuts), (level >= HOT_LEVEL) | (np.diff(cuts)[line] >= SIZES)
+            size = np.diff(cuts)
+            alone = 100 * size < percent * (size + 1)
+            hot = (level >= HOT_LEVEL) & ~alone[line] | (size[line] >= SIZES)
+            word = np.where(alone[line], mixed(np.add.reduceat(hashes, cuts[:-1]))[line], hashes)
             s0, s1 = parity(hashes, cuts, 2)
             if only is not None:
                 use &= ~hot & ((only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0)
@@ -214,7 +220,7 @@ def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int,
                     continue
             line = line[use]
             part = {
-                "key": ((hashes[use] & ~np.uint64(SIZES - 1)) | np.minimum(size[line], SIZES - 1).astype(np.uint64)).view(np.int64),
+                "key": ((word[use] & ~np.uint64(SIZES - 1)) | np.minimum(size[line], SIZES - 1).astype(np.uint64)).view(np.int64),
                 "doc": ids[doc][line], "line": number[line], "at": place[use], "s0": s0[line].view(np.int64), "s1": s1[line].view(np.int64), "n": size[line], "hot": hot[use],
             }
             if only is not None:
@@ -388,13 +394,13 @@ def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"slot": bits >> 3, "value": 1 << (bits & 7)})
 
 
-def line_sets(batches: Iterator[pd.DataFrame], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+def line_sets(batches: Iterator[pd.DataFrame], wanted: np.ndarray, fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
     """(doc, mark, line, words) of the lines whose bit is set: all that are sought, and about one in a hundred others."""
     has = lambda bits: (wanted[bits >> 3] >> (bits & 7)) & 1 > 0
     for batch in batches:
         batch = batch[has(bits_of(batch["doc"].to_numpy()))]
         ids, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
-        for doc, number, cuts, hashes in lines_of(batch["text"]):
+        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
             keep = has(bits_of(ids[doc], number))
             if keep.any():
                 doc, number = doc[keep], number[keep]
@@ -402,18 +408,18 @@ def line_sets(batches: Iterator[pd.DataFrame], wanted: np.ndarray) -> Iterator[p
                 yield pd.DataFrame({"doc": ids[doc], "mark": marks[doc], "line": number, "words": np.split(hashes.view(np.int64), cuts[1:-1])})
 
 
-def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = MIN_WORDS) -> DataFrame:
     """(doc, mark, line) of every line of docs(doc_id, text) that is similar to an earlier one.
 
     doc is the id, or NO_ID for a null one, and mark the text's hash. Lines are numbered from 0 and ordered by
-    (doc, mark, line). Only lines of MIN_WORDS words are compared. Rows with one id and one text are one document. Null and
+    (doc, mark, line). Only lines of `fewest` words are compared; ANY takes all that have one. Rows with one id and one text are one document. Null and
     empty texts have no lines, an empty table gives no rows, and other columns aren't read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
-    found = scratch.keep(texts.mapInPandas(scan, "kind int, a long, b long, doc long, mark long, line int, counts binary"), "lines")
+    found = scratch.keep(texts.mapInPandas(lambda it: scan(it, fewest), "kind int, a long, b long, doc long, mark long, line int, counts binary"), "lines")
     sent = spark.sparkContext.broadcast(levels_of(found.filter("kind = 1").select("a", "counts")))
-    entries = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent), PREFIX)
+    entries = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, fewest=fewest), PREFIX)
 
     place = F.struct("doc", "mark", "line").alias("place")
     lines = found.filter("kind = 0").select("a", "b", place)
@@ -452,7 +458,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = scratch.keep(pairs, "pairs")
     places = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).union(hot.select("doc", "line"))
     wanted = spark.sparkContext.broadcast(filled(places.distinct().mapInPandas(slots, "slot long, value int"), SLOTS // 4))
-    sets = scratch.bucketed(texts.mapInPandas(lambda it: line_sets(it, np.frombuffer(wanted.value, np.uint8)), "doc long, mark long, line int, words array<long>"), "sets", "doc", "line")
+    sets = scratch.bucketed(texts.mapInPandas(lambda it: line_sets(it, np.frombuffer(wanted.value, np.uint8), fewest), "doc long, mark long, line int, words array<long>"), "sets", "doc", "line")
     picked = pairs.groupBy("doc", "line").agg(F.min(F.struct("doc0", "line0")).alias("e")).select("doc", "line", "e.*")
     gone = verified(picked)
     rest = settled(still_open(pairs, gone))
@@ -462,7 +468,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not left.isEmpty():
         own_words = sets.join(left, ["doc", "line"], "left_semi").select("words")
         only = spark.sparkContext.broadcast(filled(own_words.mapInPandas(lambda it: prefix_slots(it, np.frombuffer(sent.value, np.uint8), percent), "slot long, value int"), SLOTS // 8))
-        whole = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, np.frombuffer(only.value, np.uint8)), WITH_SETS)
+        whole = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, np.frombuffer(only.value, np.uint8), fewest), WITH_SETS)
         asked = whole.join(left.withColumn("want", F.lit(1)), ["doc", "line"], "left").fillna(0, ["want"])
         near = asked.repartition(F.shiftright("key", 20)).sortWithinPartitions("key")
         gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "doc long, mark long, line int").distinct()))
@@ -484,7 +490,7 @@ def gone_by_document(later: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, removed): for every row of docs(doc_id, text), the numbers of the lines that go, in order."""
     known = marked(docs.select("doc_id", "text")).drop("text")
-    return known.join(gone_by_document(later_lines(docs, percent)), ["doc", "mark"], "left").select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    return known.join(gone_by_document(later_lines(docs, percent, ANY)), ["doc", "mark"], "left").select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, later: DataFrame) -> DataFrame:
@@ -501,4 +507,4 @@ def without_lines(docs: DataFrame, later: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    return without_lines(docs, later_lines(docs, percent))
+    return without_lines(docs, later_lines(docs, percent, ANY))
