@@ -29,6 +29,8 @@ BLOCK = frozenset(
 UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video select option textarea button input".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset(("article", "main"))
+#: What can stand in a head. Anything else begins the body, whether the head was closed or not.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What the end of an element that needs no end tag looks like: the start of one of these.
 CLOSES = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
 HOLDS = frozenset("article aside body div footer header html main nav section table ul ol dl form td th blockquote".split())
@@ -75,9 +77,23 @@ class Blocks(HTMLParser):
             self.links -= element == "a"
         del self.stack[at:]
 
+    def end_head(self) -> None:
+        at = next((k for k, (element, *_) in enumerate(self.stack) if element == "head"), None)
+        if at is not None:
+            self.pop(at)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Any <![ is a comment up to the next '>', as in browsers; the standard library raises on unknown ones."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        close = self.rawdata.find(">", i)
+        return close + 1 if close >= 0 else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
+        if tag == "body" or tag not in HEAD and self.stack and self.stack[-1][0] == "head":
+            self.end_head()
         self.tags += 1
         if tag in VOID:
             if tag == "br":
@@ -122,6 +138,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             self.free += 0 if self.links else len(data)
@@ -151,11 +169,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Blocks()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a broken declaration; what came before it counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     if not parser.blocks:
         return ""
