@@ -23,3 +23,18 @@ def test_marked_sections_cut_nothing(mark):
     text = html_main.main_text(f"<div><p>First part of the text, some words.</p>{mark}{end}<p>Second part of the text, some words.</p></div>")
     assert text == "First part of the text, some words.\nSecond part of the text, some words."
     assert html_main.main_text("<p>Text before it.<![ open at the end") == "Text before it."
+
+
+CARD = '<article class="card"><h3>A card</h3><p>Other story</p></article>'
+
+
+@pytest.mark.parametrize("page", ["<main><h1>Title</h1>" + BODY + CARD + "</main>", "<body><div><h1>Title</h1>" + BODY + "</div>" + CARD])
+def test_a_card_is_not_the_main_text(page):
+    text = html_main.main_text(page)
+    assert text.startswith("Title\n") and text.count("number") == 4 and "Other story" not in text
+
+
+def test_articles_are_chosen_by_ratio():
+    page = "<main><article><h2>One</h2>" + BODY + "</article><article><h2>Two</h2>" + BODY + "</article><article><a href=1>Next</a></article></main>"
+    text = html_main.main_text(page)
+    assert text.count("number") == 8 and "Next" not in text

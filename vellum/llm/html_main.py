@@ -3,7 +3,8 @@
 The parser's events make blocks, which take the part of lines in pages that have none: a block ends where a block-level
 element starts or ends. A block's ratio is its text, without that of links, per tag. Menus, footers and other furniture
 that markup names have ratio 0. The ratios are smoothed by a Gaussian kernel and parted by 2-means; regions, which are
-runs of blocks within one sectioning element, are content if any of their blocks lies above the threshold.
+runs of blocks within one sectioning element, are content if any of their blocks lies above the threshold. An article, or
+what of a main element lies in no article, is one region, and is compared with all others like them.
 """
 
 from __future__ import annotations
@@ -174,13 +175,12 @@ def main_text(html: str | None) -> str:
     parser.flush()
     if not parser.blocks:
         return ""
-    best = max(b[4] for b in parser.blocks)
-    if not best:
+    open_ = np.array([b[4] > 0 for b in parser.blocks])
+    if not open_.any():
         return ""
-    blocks = [b for b in parser.blocks if b[4] == best]
-    ratios = np.array([b[1] / max(1, b[2]) if b[4] == best else 0.0 for b in parser.blocks])
-    smooth = smoothed(ratios)[[b[4] == best for b in parser.blocks]]
-    limit = threshold(smooth) if best == 1 else 0.0  # the markup has parted content from the rest already
+    blocks = [b for b in parser.blocks if b[4]]
+    smooth = smoothed(np.array([b[1] / max(1, b[2]) if b[4] else 0.0 for b in parser.blocks]))[open_]
+    limit = threshold(smooth)
     chosen = {b[3] for b, v in zip(blocks, smooth, strict=True) if v >= limit}
     return "\n".join(b[0] for b in blocks if b[3] in chosen)
 
