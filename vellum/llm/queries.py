@@ -42,7 +42,7 @@ def op7_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.without_repeats(table(spark, sf_dir, "documents"))
+    return sentence_spans.without_repeats(table(spark, sf_dir, "documents"), window=sentence_spans.WINDOW)
 
 
 def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

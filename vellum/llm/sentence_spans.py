@@ -1,8 +1,10 @@
 """Repeated passages: every run of several consecutive sentences is hashed, and later repeats are removed.
 
 A sentence ends at a line end, or at a word that ends in . ! or ? (closing quotes and brackets may follow). One of more than
-LONG words is parted behind words whose hash begins with ZEROS zero bits, wherever it began, so that passages that begin or
-end within a sentence, or have no stops, are found as well. A span is
+LONG words is parted behind words whose hash is the least of any WINDOW consecutive words of it, wherever it began, so that
+passages that begin or end within a sentence, or have no stops, are found as well: two cuts are at most WINDOW words apart,
+and from WINDOW - 1 words within a passage on they depend on it alone. A passage of over 50 words without stops so holds a
+span. Without a window, sentences are parted behind words whose hash begins with ZEROS zero bits. A span is
 the shortest run from a sentence on that has at least SENTENCES sentences and WORDS words. Of the places of a span the
 first by (doc_id, text hash, sentence) stays; sentences that any other place covers are removed.
 """
@@ -19,12 +21,29 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch, in_chunks, joined, run_hashes, settled, word_table
 
 SENTENCES, WORDS, LONG, ZEROS = 2, 20, 16, 3
+#: Long sentences are cut at least every so many words.
+WINDOW = 8
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _CLOSE[list(b"\"')]}")] = True
 
 
-def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def least_of_window(hashes: np.ndarray, sentence: np.ndarray, window: int) -> np.ndarray:
+    """Which words have the least hash of any `window` consecutive words that lie in one sentence."""
+    n = len(hashes) - window + 1
+    out = np.zeros(len(hashes), bool)
+    if n <= 0:
+        return out
+    least = hashes[:n].copy()
+    for k in range(1, window):
+        np.minimum(least, hashes[k : k + n], out=least)
+    whole = sentence[:n] == sentence[window - 1 :]
+    for k in range(window):
+        out[k : k + n] |= whole & (hashes[k : k + n] == least)
+    return out
+
+
+def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, window: int = 0) -> np.ndarray:
     """Numbers of the words that begin a sentence. Documents end in a line end."""
     data = np.frombuffer(raw, np.uint8)
     last = ends - 1
@@ -37,11 +56,12 @@ def sentence_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np
     fresh = np.concatenate(([True], _STOP[data[last[:-1]]] | (lines[1:] != lines[:-1])))
     sentence = np.cumsum(fresh) - 1
     long_ = np.bincount(sentence)[sentence] > LONG
-    fresh[1:] |= long_[:-1] & (hashes[:-1] >> np.uint64(64 - ZEROS) == 0)
+    cut = least_of_window(hashes, sentence, window) if window else hashes >> np.uint64(64 - ZEROS) == 0
+    fresh[1:] |= (long_ & cut)[:-1]
     return np.flatnonzero(fresh)
 
 
-def spans_of(texts, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[tuple]:
+def spans_of(texts, sentences: int = SENTENCES, words: int = WORDS, window: int = 0) -> Iterator[tuple]:
     """Per chunk: bytes, document bounds, word starts, first word of each sentence, and spans (document, sentence there, end, hash).
 
     Documents and sentences count from the chunk's first; `end` is the sentence behind the span.
@@ -52,7 +72,7 @@ def spans_of(texts, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
         if not len(starts):
             yield first, raw, bounds, starts, np.zeros(0, np.int64), np.zeros((3, 0), np.int64), np.zeros(0, np.uint64)
             continue
-        heads = sentence_starts(raw, starts, ends, hashes)
+        heads = sentence_starts(raw, starts, ends, hashes, window)
         doc = np.searchsorted(bounds, starts[heads], side="right") - 1
         tails = np.concatenate((heads[1:], [len(starts)]))
         k = np.arange(len(heads))
@@ -64,21 +84,21 @@ def spans_of(texts, sentences: int = SENTENCES, words: int = WORDS) -> Iterator[
         yield first, raw, bounds, starts, heads, np.stack((doc[k], k, end)), span_hash
 
 
-def hashed(batches: Iterator[pd.DataFrame], sentences: int, words: int) -> Iterator[pd.DataFrame]:
+def hashed(batches: Iterator[pd.DataFrame], sentences: int, words: int, window: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, marks = batch["doc_id"].to_numpy(object), batch["mark"].to_numpy()
-        for first, _, bounds, starts, heads, (doc, k, _), h in spans_of(batch["text"], sentences, words):
+        for first, _, bounds, starts, heads, (doc, k, _), h in spans_of(batch["text"], sentences, words, window):
             if len(h):
                 base = np.searchsorted(starts[heads], bounds[:-1])  # sentences of earlier documents
                 yield pd.DataFrame({"hash": h.view(np.int64), "doc_id": ids[doc + first], "mark": marks[doc + first], "at": k - base[doc]})
 
 
-def cleaned(batches: Iterator[pd.DataFrame], sentences: int, words: int) -> Iterator[pd.DataFrame]:
+def cleaned(batches: Iterator[pd.DataFrame], sentences: int, words: int, window: int) -> Iterator[pd.DataFrame]:
     """Texts without the sentences that spans starting at `later` cover; sentences go with the white space behind them."""
     for batch in batches:
         later = batch["later"].tolist()
         out, counts = [], []
-        for first, raw, bounds, starts, heads, (doc, k, end), _ in spans_of(batch["text"], sentences, words):
+        for first, raw, bounds, starts, heads, (doc, k, end), _ in spans_of(batch["text"], sentences, words, window):
             base = np.searchsorted(starts[heads], bounds[:-1])
             at = k - base[doc]
             for d in range(len(bounds) - 1):
@@ -96,7 +116,7 @@ def cleaned(batches: Iterator[pd.DataFrame], sentences: int, words: int) -> Iter
         yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "rest": out, "removed": counts})
 
 
-def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0) -> DataFrame:
     """(doc_id, mark, later): for documents with any, the sentences at which a span starts that occurs earlier, too.
 
     docs(doc_id, text); mark is a hash of the text. Rows with one id and one text are one document. Null and empty texts
@@ -104,7 +124,7 @@ def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     """
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.hash("text").alias("mark")).filter("text is not null")
     schema = "hash long, doc_id string, mark int, at int"
-    spans = texts.mapInPandas(lambda it: hashed(it, sentences, words), schema).select("hash", F.struct(F.col("doc_id").cast("long").alias("doc_id"), "mark", "at").alias("place"))
+    spans = texts.mapInPandas(lambda it: hashed(it, sentences, words, window), schema).select("hash", F.struct(F.col("doc_id").cast("long").alias("doc_id"), "mark", "at").alias("place"))
     scratch = Scratch(docs.sparkSession)
     repeated = scratch.keep(spans.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("hash", "first"), "repeated")
     later = spans.join(repeated, "hash").filter("place > first")
@@ -113,15 +133,15 @@ def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     return out
 
 
-def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, window: int = 0) -> DataFrame:
     """doc_id, text, removed (sentences) for every row of docs(doc_id, text); see later_spans for the unusual cases.
 
     A null text stays null. A document all of whose sentences repeat stays, with what white space stood before them.
     """
-    found = later_spans(docs, sentences, words)
+    found = later_spans(docs, sentences, words, window)
     d, s = docs.select("doc_id", "text").alias("d"), found.alias("s")
     both = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.hash("d.text") == F.col("s.mark")), "left").select("d.doc_id", "d.text", "s.mark", "s.later")
     same = both.filter("later is null").select("doc_id", "text", F.lit(0).cast("long").alias("removed"))
     named = both.filter("later is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
-    cut = named.mapInPandas(lambda it: cleaned(it, sentences, words), "doc_id string, mark int, rest string, removed long")
+    cut = named.mapInPandas(lambda it: cleaned(it, sentences, words, window), "doc_id string, mark int, rest string, removed long")
     return same.union(cut.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]), "rest", "removed"))
