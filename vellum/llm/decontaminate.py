@@ -107,10 +107,11 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return same, end - start, diagonal + lo + start
 
 
-def search(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
+def search(batches: Iterator[pd.DataFrame], index: Index, names: list[int | None]) -> Iterator[pd.DataFrame]:
+    """FOUND rows; names: the item_id of each text of the index."""
     for batch in batches:
         rows = []
-        ids = batch["doc_id"].to_numpy(object)
+        ids, marks = batch["doc_id"].to_numpy(object), batch["mark"].tolist()
         for first, run in in_chunks(map(folded, batch["text"])):
             raw, bounds = joined(run)
             starts, hashes = words_of(raw)
@@ -129,41 +130,50 @@ def search(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFra
                         continue
                     done.add((d, item, diagonal))
                     if found := overlap(hashes[cuts[d] : cuts[d + 1]], words, diagonal - int(cuts[d])):
-                        rows.append((ids[first + d], item, *found, len(words)))
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "overlap_words", "start_word", "item_words"])
+                        rows.append((ids[first + d], marks[first + d], names[item], *found, len(words)))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")], dtype=object)  # else ids beside a null would be floats
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, overlap_words, start_word, item_words): the best overlap of each document and test item.
+FOUND = "doc_id string, mark long, item_id long, matched long, overlap_words long, start_word long, item_words long"
 
-    docs(doc_id, text), benchmark(item_id, text). Null, empty and wordless texts overlap with nothing, nor do items of
-    fewer than LEAST_ITEM words. Of equal overlaps the first counts; repeated rows and repeated items count once. Empty
-    tables on either side give no rows, null ids stay null, and other columns aren't read.
 
-    A pass broadcasts the seeds of at most about BLOCK_WORDS words of test items; more items take more passes over the
-    documents, each for its own share of the items.
-    """
+def found_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """FOUND rows of every document (mark: its text's hash) and every text of an item. Blocks are shared out by id and text."""
     spark = docs.sparkSession
     small_batches(spark)
     n_words = F.size(F.split(F.trim("text"), "\\s+"))
-    items = settled(benchmark.filter("text is not null and item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text")))
+    items = settled(benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct())
     total = items.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).filter("text is not null")
     found = None
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        words = {r["item_id"]: words_of(folded(r["text"]).encode("utf-8", "replace"))[1] for r in block.toLocalIterator()}
-        sent = spark.sparkContext.broadcast({i: w.tobytes() for i, w in words.items() if len(w) >= LEAST_ITEM})
-        part = texts.mapInPandas(lambda it, s=sent: search(it, Index({i: np.frombuffer(w, np.uint64) for i, w in s.value.items()})), "doc_id string, item_id long, matched long, overlap_words long, start_word long, item_words long")
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        words = ((r["item_id"], words_of(folded(r["text"]).encode("utf-8", "replace"))[1]) for r in block.toLocalIterator())
+        sent = spark.sparkContext.broadcast([(i, w.tobytes()) for i, w in words if len(w) >= LEAST_ITEM])
+        part = texts.mapInPandas(lambda it, s=sent: search(it, Index({k: np.frombuffer(w, np.uint64) for k, (_, w) in enumerate(s.value)}), [i for i, _ in s.value]), FOUND)
         found = part if found is None else found.union(part)
+    return found
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, overlap_words, start_word, item_words): the best overlap of each document and test item.
+
+    docs(doc_id, text), benchmark(item_id, text). Null, empty and wordless texts overlap with nothing, nor do items of
+    fewer than LEAST_ITEM words. All texts of an item are looked for, and the best overlap of any counts; items without an id
+    are one. Of equal overlaps the first counts; repeated rows count once. Empty tables on either side give no rows, null
+    ids stay null, and other columns aren't read.
+
+    A pass broadcasts the seeds of at most about BLOCK_WORDS words of test items; more items take more passes over the
+    documents, each for its own share of the items.
+    """
     best = F.max(F.struct("matched", (-F.col("overlap_words")).alias("o"), (-F.col("start_word")).alias("s"), "item_words"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select(
+    return found_overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("m")).select(
         F.col("doc_id").cast("long").alias("doc_id"), "item_id", "m.matched", (-F.col("m.o")).alias("overlap_words"), (-F.col("m.s")).alias("start_word"), "m.item_words"
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that overlap with no test item. Rows without an id are judged together."""
-    hit = settled(overlaps(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of docs, with all their columns, that overlap with no test item. Each is judged by its own text."""
+    hit = settled(found_overlaps(docs, benchmark).select(F.col("doc_id").cast("long").alias("__hit"), F.col("mark").alias("__mark")).distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_anti")
