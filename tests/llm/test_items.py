@@ -1,5 +1,7 @@
 """Test items of several texts or none's id, and rows that share an id."""
 
+import numpy as np
+
 from vellum.llm import decontaminate
 
 DOCS = "doc_id long, text string"
@@ -35,3 +37,26 @@ def test_rows_are_judged_by_their_own_text(spark):
     rows = [(5, f"x {ONE} y"), (5, "clean text"), (None, f"z {ONE} y"), (None, "also clean"), (None, None), (6, None)]
     rest = decontaminate.clean(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, ONE)], ITEMS)).collect()
     assert sorted(((r.doc_id or 0), r.text or "") for r in rest) == [(0, ""), (0, "also clean"), (5, "clean text"), (6, "")]
+
+
+def test_a_verbatim_part_counts_whatever_follows():
+    """14 equal words before a tail of which 70 % are equal, against all stretches."""
+    rng, found, want = np.random.default_rng(11), 0, 0
+    for n in [200] * 60 + [30] * 60:
+        equal = np.concatenate((np.ones(14 * (n > 100), bool), rng.random(n) < 0.7))
+        item = np.arange(len(equal))
+        got = decontaminate.overlap(np.where(equal, item, -1), item, 0)
+        count = np.concatenate(([0], np.cumsum(equal)))
+        exists = any(count[b] - count[a] >= 13 and count[b] - count[a] >= 0.75 * (b - a) for a in range(len(equal)) for b in range(a + 13, len(equal) + 1))
+        assert (got is not None) == exists
+        if got:
+            same, length, start = got
+            assert same >= 13 and same >= 0.75 * length and same == equal[start : start + length].sum()
+        found, want = found + (got is not None), want + exists
+    assert found == want >= 60
+
+
+def test_the_share_is_exact():
+    equal = np.array(([True] * 3 + [False]) * 6)
+    assert decontaminate.fullest_stretch(equal) == (0, 23)
+    assert decontaminate.fullest_stretch(np.zeros(5, bool)) == (0, 0)

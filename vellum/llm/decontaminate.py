@@ -3,7 +3,8 @@
 A seed is a fixed mask over consecutive words that ignores some positions, so that a hit outlives a word that was
 replaced there. Hashes of the test items under every mask are joined with those of all windows of the documents, and
 around each hit document and item are laid side by side: the overlap is the best-scoring stretch, replaced words
-included, and counts if it is long and equal enough.
+included, and counts if it is long and equal enough. Where it isn't, that stretch does which has the most equal words of
+those that are equal enough.
 """
 
 from __future__ import annotations
@@ -94,16 +95,31 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def fullest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """The stretch [start, end) with the most equal words of those with EQUAL_SHARE of them; the first of equals."""
+    count = np.concatenate(([0], np.cumsum(equal)))
+    over = count - EQUAL_SHARE * np.arange(len(count))  # a stretch has the share if this doesn't fall over it
+    start = np.searchsorted(-np.minimum.accumulate(over), -over)  # the first place from which it doesn't
+    end = int((count - count[start]).argmax())
+    return int(start[end]), end
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """(equal words, length, start in the document) of the overlap on that diagonal, if it counts."""
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if hi <= lo:
         return None
     equal = doc[diagonal + lo : diagonal + hi] == item[lo:hi]
+    least = min(MATCHED, -(-int(100 * ITEM_SHARE) * len(item) // 100))
+    if equal.sum() < least:
+        return None
     start, end = best_stretch(equal)
     same = int(equal[start:end].sum())
-    if same < min(MATCHED, -(-int(100 * ITEM_SHARE) * len(item) // 100)) or same < EQUAL_SHARE * (end - start):
-        return None
+    if same < least or same < EQUAL_SHARE * (end - start):  # a part of it, or a longer one, may still count
+        start, end = fullest_stretch(equal)
+        same = int(equal[start:end].sum())
+        if same < least:
+            return None
     return same, end - start, diagonal + lo + start
 
 
