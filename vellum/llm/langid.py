@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from vellum.llm.common import run_hashes, settled, small_batches
 
 #: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id, and on words
-#: of at most WORD_BYTES bytes of them, of which it keeps the SAMPLE_WORDS most frequent. So its size is bounded.
+#: of at most WORD_CHARS letters of them, of which it keeps the SAMPLE_WORDS most frequent. So its size is bounded. Longer
+#: runs of letters are no words, but their n-grams count. Languages beyond the SAMPLE_LANGS most frequent are one, OTHER.
 SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_GRAMS, SAMPLE_LANGS = 1500, 40_000, 20_000, 64
 WORD_CHARS = 40
 ORDERS = (5, 4, 3, 2, 1)
 #: An unseen word is weaker evidence than a known one.
 GRAM_WEIGHT = 0.5
-UNKNOWN = "und"
+UNKNOWN, OTHER = "und", "other"
+#: Places whose scores are summed at a time.
+PLACES = 1 << 16
 #: Runs of letters; numerals such as \u00b2, which \\w has as well, make the slower exact pattern decide.
 WORDLIKE, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 
@@ -40,7 +43,7 @@ def tokens(text: str) -> list[str]:
 
 
 def grams(word: str, order: int) -> list[str]:
-    w = f" {word[:WORD_CHARS]} "
+    w = f" {word} "
     return [w[i : i + order] for i in range(len(w) - order + 1)]
 
 
@@ -77,7 +80,6 @@ class Model:
 
         Words are parted by single spaces, which n-grams have at their ends alone, so that none spans two words.
         """
-        words = [w[:WORD_CHARS] for w in words]
         text = f" {' '.join(words)} "
         best = np.full(len(text) - 1, -1)
         for order in ORDERS:
@@ -89,7 +91,11 @@ class Model:
             hit = self.gram_hashes[place] == h
             best[at[hit]] = self.gram_rows[place[hit]]
         places = np.array([len(w) + 1 for w in words])
-        sums = np.add.reduceat(self.gram_scores[best], np.concatenate(([0], np.cumsum(places)[:-1])), axis=0)
+        sums, ends = np.zeros((len(words), len(self.langs))), np.cumsum(places)
+        for at in range(0, len(best), PLACES):
+            part = self.gram_scores[best[at : at + PLACES]]
+            first, last = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+            sums[first : last + 1] += np.add.reduceat(part, np.concatenate(([0], ends[first:last] - at)), axis=0)
         return GRAM_WEIGHT * sums / places[:, None]
 
     def rows(self, words: list[str]) -> list[int]:
@@ -124,10 +130,12 @@ def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words and n-grams of a sample's rows, counted by language before they are shuffled."""
     for batch in batches:
         found: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
+        runs: defaultdict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(batch["text"], batch["lang"], strict=True):
-            found[lang, 0].update(w for w in tokens(text) if len(w) <= WORD_CHARS)
-        for lang in {lang for lang, _ in found}:
-            for word, k in found[lang, 0].items():
+            runs[lang].update(tokens(text))
+        for lang, of in runs.items():
+            found[lang, 0].update({w: k for w, k in of.items() if len(w) <= WORD_CHARS})
+            for word, k in of.items():
                 for order in ORDERS:
                     table = found[lang, order]
                     for g in grams(word, order):
@@ -141,10 +149,13 @@ def fit(docs: DataFrame) -> Model:
 
     Per language, rows are chosen whose id's hash is below a threshold that depends on the language's row count alone.
     Word and n-gram tables are cut to the most frequent entries over all languages, so that what is sent to the driver
-    and to each worker is bounded whatever the corpus holds.
+    and to each worker is bounded whatever the corpus holds. Languages beyond the bound are learned and predicted as OTHER.
     """
     train = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS)
+    named = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS + 1).collect()]
+    if len(named) > SAMPLE_LANGS:
+        train = train.withColumn("lang", F.when(F.col("lang").isin(named[:SAMPLE_LANGS]), F.col("lang")).otherwise(OTHER))
+    sizes = train.groupBy("lang").count()
     share = sizes.select("lang", (F.lit(SAMPLE_ROWS) / F.col("count")).alias("share"))
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = train.join(F.broadcast(share), "lang").filter(bucket < F.col("share")).select("text", "lang")
