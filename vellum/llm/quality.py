@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs are risk-controlled.
 
-Each rule rejects a text whose signal exceeds a cutoff. For every stratum and rule the cutoff comes from a labelled
-holdout: among a fixed grid, those are valid for which an exact binomial test shows that good texts are rejected at a
-rate of at most `alpha`, with the error probability `delta` shared out over all strata, rules and cutoffs that are
-tested (Bonferroni). Of the valid ones the rule takes that which best separates bad from good, or none.
+Each rule rejects a text whose signal exceeds a cutoff, and a text goes if any rule rejects it. Of a labelled holdout, one
+half (by a hash of the id) chooses for every stratum and rule the cutoff of a fixed grid that best separates bad from good,
+or none, and the order of the rules. The other half then certifies the rules together: as many of them, in that order, as
+an exact binomial test shows to reject good texts at a joint rate of at most `alpha`, with the error probability `delta`
+shared out over all strata and numbers of rules that are tested (Bonferroni).
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ CONTINUED = bytes(range(0x80, 0xC0))  # bytes that don't begin a code point
 #: signal of each rule and its grid of cutoffs, in thousandths; a text is rejected above the cutoff
 RULES = ("symbols_per_word", "dup_line_share", "repeat_share", "capital_share", "long_word_share", "short_line_share")
 GRID = (20, 50, 100, 200, 300, 400, 600, 800)
-#: Most good texts that a rule may reject, as a rate, and the probability that any rule of any stratum exceeds it
+#: Most good texts that the rules of a stratum may reject together, as a rate, and the probability that any stratum exceeds it
 ALPHA, DELTA = 0.05, 0.05
-#: Of valid cutoffs the best is sought; a good text that is rejected counts as so many bad ones that are kept
+#: The best cutoff is sought; a good text that is rejected counts as so many bad ones that are kept
 COST = 20
 LANGS = ("en", "de", "fr", "es")
 
@@ -108,20 +109,33 @@ def certified(rejected: int, n: int, alpha: float, error: float) -> bool:
 
 
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """{stratum: {rule: cutoff}} from labelled rows: stratum, the rules' signals and quality 0 or 1.
+    """{stratum: {rule: cutoff}} from labelled rows: doc_id, stratum, the rules' signals and quality 0 or 1.
 
     All labelled rows are counted on the executors; the driver gets strata * rules * cutoffs counts, a fixed number.
     """
     over = [F.sum(((F.col(r) > c) & (F.col("quality") == q)).cast("long")).alias(f"{r}:{c}:{q}") for r in RULES for c in GRID for q in (0, 1)]
-    counts = labelled.filter(F.col("quality").isin(0, 1)).groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), *over).collect()
-    error = delta / (len(LANGS) + 1) / len(RULES) / len(GRID)
-    out: dict[str, dict[str, int]] = {}
+    half = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(2))
+    known = labelled.filter(F.col("quality").isin(0, 1)).withColumn("half", half)
+    counts = known.filter("half = 0").groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), *over).collect()
+    chosen: dict[str, list[tuple[str, int]]] = {}
     for row in counts:
-        for rule in RULES:
-            valid = [c for c in GRID if certified(row[f"{rule}:{c}:1"], row["good"], alpha, error)]
-            gain = lambda c: row[f"{rule}:{c}:0"] / max(row["bad"], 1) - COST * row[f"{rule}:{c}:1"] / max(row["good"], 1)  # noqa: E731, B023
-            if valid and gain(best := max(valid, key=lambda c: (gain(c), c))) > 0:
-                out.setdefault(row["stratum"], {})[rule] = best
+        gain = lambda rule, c: row[f"{rule}:{c}:0"] / max(row["bad"], 1) - COST * row[f"{rule}:{c}:1"] / max(row["good"], 1)  # noqa: E731, B023
+        best = [max((gain(rule, c), c, rule) for c in GRID) for rule in RULES]
+        chosen[row["stratum"]] = [(rule, c) for g, c, rule in sorted(best, reverse=True) if g > 0]
+    joint = []
+    for k in range(1, len(RULES) + 1):
+        any_of = F.lit(False)
+        for s, of in sorted(chosen.items()):
+            for rule, c in of[:k]:
+                any_of = any_of | ((F.col("stratum") == s) & (F.col(rule) > c))
+        joint.append(F.count_if(any_of).alias(f"first{k}"))
+    error = delta / (len(LANGS) + 1) / len(RULES)
+    out: dict[str, dict[str, int]] = {}
+    for row in known.filter("half = 1 AND quality = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *joint).collect():
+        of = chosen.get(row["stratum"], [])
+        most = max((k for k in range(1, len(of) + 1) if certified(row[f"first{k}"], row["good"], alpha, error)), default=0)
+        if most:
+            out[row["stratum"]] = dict(of[:most])
     return out
 
 
