@@ -111,14 +111,12 @@ def test_miss_probability():
     assert (steps < np.array(near_dup.needed(0.75, near_dup.LONG))).any(axis=1).mean() < 1e-3
 
 
-@pytest.mark.parametrize(("hot", "partners"), [(None, None), (8, None), (None, 1)])
-def test_lines(spark, docs, monkeypatch, hot, partners):
-    if hot:
-        monkeypatch.setattr(line_dup, "HOT_LEVEL", hot)
-    if partners:
-        monkeypatch.setattr(line_dup, "PARTNERS", partners)
+@pytest.mark.parametrize("values", [{}, {"PARTNERS": 1}, {"PARTNERS": 1, "ROWS": 64, "HOT": 2}, {"FREQUENT": 0}, {"FREQUENT": 300, "SEEN": 5}])
+def test_lines(spark, docs, monkeypatch, values):
+    for name, value in values.items():
+        monkeypatch.setattr(line_dup, name, value)
     rows = edited(docs)[: 200 + 40]
-    lines = [((i, k), frozenset(x.encode().split())) for i, t in rows for k, x in enumerate(t.split("\n")) if len(x.encode().split()) >= 5]
+    lines = [((i, k), frozenset(x.encode().split())) for i, t in rows for k, x in enumerate(t.split("\n")) if x.encode().split()]
     want, index = set(), defaultdict(set)
     for n, (place, s) in enumerate(lines):
         near = Counter(m for w in s for m in index[w])
@@ -129,9 +127,27 @@ def test_lines(spark, docs, monkeypatch, hot, partners):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     later = line_dup.later_lines(table)
     assert {(r.doc, r.line) for r in later.collect()} == want
-    if not hot and not partners:
-        texts = {r.doc_id: r.text for r in line_dup.without_lines(table, later).collect()}
-        assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in rows}
+    texts = {r.doc_id: r.text for r in line_dup.without_lines(table, later).collect()}
+    assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want) for i, t in rows}
+
+
+def test_random_near_lines(spark, monkeypatch):
+    """Lines over few words, edited by degrees around the threshold, in rows that share ids or have none."""
+    monkeypatch.setattr(line_dup, "ROWS", 256)
+    monkeypatch.setattr(line_dup, "HOT", 8)
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 40))]
+        for _ in range(20):
+            line = list(base)
+            for _ in range(rng.integers(0, 5) if line else 0):
+                k = rng.integers(0, len(line))
+                line[k : k + 1] = [[] if line[1:] else line, [f"w{rng.integers(0, 60)}"], [line[k], f"v{rng.integers(0, 9)}"]][rng.integers(0, 3)]
+            rows.append((None if rng.random() < 0.1 else int(rng.integers(0, 300)), " ".join(line)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sorted({(r.doc, r.mark, frozenset(r.text.split())) for r in line_dup.marked(table).collect()}, key=lambda r: r[:2])
+    want = {(d, m) for k, (d, m, s) in enumerate(placed) if s and any(100 * len(s & t) >= 80 * len(s | t) for _, _, t in placed[:k])}
+    assert {(r.doc, r.mark) for r in line_dup.later_lines(table).collect()} == want and 100 < len(want) < len(placed)
 
 
 def sentences(text):

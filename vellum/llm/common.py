@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import tempfile
 import uuid
@@ -105,10 +106,12 @@ def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.nda
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this machine only where none is named, as in tests."""
+    """The shared folder that the cluster names; one of this machine only where Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="vellum-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -126,35 +129,38 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: its result is in the shared folder, and nothing reads them again."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. They outlive lost executors, and drop() removes them."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{base_dir(spark)}/vellum-{uuid.uuid4().hex}"
-        self.tables: list[str] = []
         small_batches(spark)
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns a DataFrame that reads it, without df's lineage."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """Like keep(), in buckets by keys, so that joins on them don't shuffle df again."""
-        n, known = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"vellum_{uuid.uuid4().hex}"
-        df.repartition(n, *keys).write.option("path", f"{self.root}/{name}").bucketBy(n, *keys).saveAsTable(known)
-        self.tables.append(known)
-        return self.spark.table(known)
-
     def drop(self, name: str = "") -> None:
         try:
-            if not name:
-                for known in self.tables:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {known}")
-                self.tables.clear()
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -165,7 +171,32 @@ class Scratch:
 def settled(df: DataFrame) -> DataFrame:
     """df without its lineage: a reliable checkpoint, for results that are small beside the input."""
     base_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of whole numbers, those of equal weight together, so that leading zeros compress to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data: memoryview, dtype: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, n).T).view(dtype)[:, 0]
+
+
+def blob(sorted_: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of equal length as bytes; the first is in ascending order and written as differences."""
+    return b"".join([planes(np.diff(sorted_, prepend=sorted_.dtype.type(0))), *map(planes, others)])
+
+
+def unblob(data: bytes, *dtypes: type) -> list[np.ndarray]:
+    """The columns of blob()."""
+    sizes = [np.dtype(d).itemsize for d in dtypes]
+    n, at, out, view = len(data) // sum(sizes), 0, [], memoryview(data)
+    for dtype, size in zip(dtypes, sizes, strict=True):
+        out.append(from_planes(view[at : at + n * size], dtype, n))
+        at += n * size
+    return [np.cumsum(out[0], dtype=dtypes[0]), *out[1:]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Near-equal lines, by an exact set-similarity join, and their removal.
 
-A line is the set of its words. Words are ordered by rarity over the whole corpus; two lines whose Jaccard similarity
-reaches the threshold share a word among the rarest few of each (prefix filter), have similar sizes (length filter), and
-have enough words behind the shared one (positional filter). Parity bitmaps, whose bits differ in at most as many places
-as the sets have words of their own, drop most other pairs before the sets themselves are compared. All filters are
-lossless. A line goes if any earlier line, by document and line number, is similar to it.
-
-One earlier line is enough, so a line isn't paired with all that resemble it: of the rows of a word, each emits the few
-partners whose bitmaps are nearest. Only lines whose partners all fail, while there were more, go into a second round, where
-they meet all rows of their prefix words that bear whole sets, and pairs are decided on the spot. Exact copies of a line are
-found by their hash and join once a task. Words of very many lines are joined apart, where Spark can split a word's rows.
+A line is the set of its words. Words are ordered by rarity over the whole corpus. Two sets whose Jaccard similarity reaches
+the threshold differ in few words, and these part the words they have in common, in that order, into few runs: so they share
+RUN consecutive words among the first of each (prefix filter; with RUN = 1 it would be a single word, which many lines
+share by chance). Sizes must be similar (length filter), and enough words must lie before and behind the shared ones
+(positional filter). Whatever passes is verified on the whole sets. All filters are lossless. A line goes if any earlier
+line, by document, text and line number, is similar to it.
+
+Lines with equal sets are one class, and only its first line goes on; classes are what is joined. Of the classes that share a
+run of words, each is paired with the first PARTNERS alone, as one similar line is enough. Classes that stay after that, and
+share a run with more than these, meet all of its classes in a second step, where pairs are decided on the spot and none is
+emitted. The rows of the join are packed by the thousand into a few columns of bytes for each range of keys.
 """
 
 from __future__ import annotations
@@ -18,41 +19,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, in_chunks, joined, mixed, run_hashes, settled, word_table
-
-PERCENT, MIN_WORDS = 80, 5
-#: Fewest words of a line that the query and the pipeline compare: all lines with a word.
-ANY = 1
-#: Rarity is known by this many counters, whose logarithms (a byte each) are broadcast: 4 MB, whatever the corpus.
-COUNTERS = 1 << 22
-#: Parts in which counters and filters are put together.
-BLOCKS = 64
-#: Bits of each of two filters by which documents and lines to compare are found again in the texts: 4 MB each.
-SLOTS = 1 << 25
-#: A word of more lines than this, or a line of more words than SIZES, is joined where Spark can split a word's rows.
-HOT, SIZES = 20_000, 1 << 20
-#: Partners that a row of a word emits at a time.
-PARTNERS = 2
-#: Rows that a worker gathers before it hands them on.
-FRAME = 20_000
+from vellum.llm.common import Scratch, blob, in_chunks, joined, mixed, run_hashes, settled, unblob, word_table
+
+PERCENT, RUN, PARTNERS = 80, 2, 2
+#: So many of the most frequent words are broadcast, with their order, 8 bytes each. All others come before them, by hash.
+FREQUENT, SLOTS = 1 << 19, 1 << 22
+#: Steps of the logarithm by which words are ordered, to a doubling of their count.
+STEPS = 8
+#: Rows that a task packs, or takes apart, at a time; rows for each partition of the join, and ranges of keys in it.
+ROWS, PER_TASK, RANGES = 1 << 21, 1 << 24, 8
+#: Lines of which a task remembers the first place, and rows in a frame that it hands on.
+SEEN, FRAME = 100_000, 20_000
+#: Rows of one run of words from which on they needn't be held together.
+HOT = 64
+KNOWN, CODE = np.uint64(1 << 47), np.uint64((1 << 48) - 1)
 SALT = np.uint64(0xD6E8FEB86659FD93)
 LINE_END = 10
 #: Stands for a null id, which comes first.
 NO_ID = -(1 << 63)
 
 
-def level_of(count):
-    """Logarithm of a count in eighths of a bit, 0 exactly for 1."""
-    return np.minimum(255, np.ceil(8 * np.log2(count)))
-
-
-HOT_LEVEL = int(level_of(HOT))
-
-
-def lines_of(texts, fewest: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, ...]]:
+def lines_of(texts, fewest: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
     """Per chunk of texts: document and line number of each line of so many words, bounds of its words, and their hashes."""
     for first, run in in_chunks(texts):
         raw, bounds = joined(run)
@@ -72,219 +62,385 @@ def lines_of(texts, fewest: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, ...]]
         yield doc + first, number - before[doc], np.concatenate(([0], np.cumsum(size))), hashes
 
 
-def part_of(keep: np.ndarray, cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """cuts and hashes of the lines to keep."""
-    size = np.diff(cuts)
-    return np.concatenate(([0], np.cumsum(size[keep]))), hashes[np.repeat(keep, size)]
-
+def summed(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and the sums of their counts."""
+    x, n = np.concatenate(values), np.concatenate(counts)
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[first], np.add.reduceat(n, first)
 
-def ordered_sets(cuts: np.ndarray, hashes: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Bounds and distinct words of each line, by rank (8 bits, of each word) and hash; and the line of each word."""
-    line = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    rank = np.zeros(len(hashes), np.uint64) if rank is None else rank.astype(np.uint64)
-    if len(cuts) <= 1 << 20:  # 20 bits of line, 8 of rank and 36 of hash make one sort
-        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(36)) | (hashes >> np.uint64(28)))
-    else:
-        order = np.lexsort((hashes, rank, line))
-    line, hashes = line[order], hashes[order]
-    fresh = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
-    line, hashes = line[fresh], hashes[fresh]
-    return np.searchsorted(line, np.arange(len(cuts))), hashes, line, order[fresh]
 
+def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """The rows of each range of ascending 64-bit keys, of which there are so many; ranges without a row are left out."""
+    at = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi > lo:
+            yield int(at[lo]), slice(lo, hi)
 
-def copy_keys(cuts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each line's words."""
-    return run_hashes(hashes, cuts[:-1], cuts[1:]), run_hashes(mixed(hashes ^ SALT), cuts[:-1], cuts[1:])
 
+def counted(batches: Iterator[pd.DataFrame], ranges: int, fewest: int) -> Iterator[pd.DataFrame]:
+    """(range, data): the words of a task's lines and how often they occur."""
 
-def framed(parts: list[dict[str, np.ndarray]], least: int = 1) -> Iterator[pd.DataFrame]:
-    """One frame of all parts, which it takes away, once they have so many rows."""
-    if parts and sum(len(p["line"]) for p in parts) >= least:
-        yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
-        parts.clear()
+    def handed(words: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([(k, blob(words[x], counts[x])) for k, x in ranges_of(words, ranges)], columns=["range", "data"])
 
+    words, counts, size = [], [], 0
+    for batch in batches:
+        for _, _, _, hashes in lines_of(batch["text"], fewest):
+            x, n = np.unique(hashes, return_counts=True)
+            words.append(x)
+            counts.append(n)
+            size += len(x)
+            if size > ROWS:
+                x, n = summed(words, counts)
+                words, counts, size = [x], [n], len(x)
+                if size > ROWS // 2:
+                    yield handed(x, n)
+                    words, counts, size = [], [], 0
+    if size:
+        yield handed(*summed(words, counts))
+
+
+def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(level, n, data): the words of each level, a logarithm of their count, that occur more than once. Rows come by range."""
+    held: dict[str, list] = {"words": [], "counts": []}
+
+    def done() -> Iterator[pd.DataFrame]:
+        x, n = summed(held["words"], held["counts"])
+        level = np.floor(STEPS * np.log2(n)).astype(np.int64)
+        yield pd.DataFrame([(k, int((level == k).sum()), x[level == k].tobytes()) for k in np.unique(level[n > 1]).tolist()], columns=["level", "n", "data"])
+        held.update(words=[], counts=[])
+
+    at = None
+    for batch in batches:
+        for k, data in zip(batch["range"], batch["data"], strict=True):
+            if held["words"] and k != at:
+                yield from done()
+            at = k
+            x, n = unblob(data, np.uint64, np.int64)
+            held["words"].append(x)
+            held["counts"].append(n)
+    if held["words"]:
+        yield from done()
+
+
+def frequent_words(texts: DataFrame, scratch: Scratch, most: int, fewest: int) -> np.ndarray:
+    """Hashes of at most so many words, rarest first: those of all the highest levels that they hold whole."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.mapInPandas(lambda it: counted(it, parts * RANGES, fewest), "range int, data binary")
+    found = scratch.keep(words.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(levels, "level int, n long, data binary"), "words")
+    chosen, total = [], 0
+    for row in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        if total + row["n"] > most:
+            break
+        chosen.append(row["level"])
+        total += row["n"]
+    rows = found.filter(F.col("level") >= chosen[-1]).select("level", "data").collect() if chosen else []
+    by_level = {k: np.sort(np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows if r["level"] == k])) for k in chosen}
+    scratch.drop("words")
+    return np.concatenate([np.zeros(0, np.uint64), *(by_level[k] for k in sorted(by_level))])
+
+
+class Codes:
+    """Words as 48-bit numbers, rarest first: 47 bits of the hash, or behind these the place among the frequent words."""
+
+    def __init__(self, frequent: bytes):
+        self.words = np.frombuffer(frequent, np.uint64) if frequent else np.zeros(1, np.uint64)
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.slots[(self.words >> np.uint64(42)).astype(np.int64)] = np.arange(len(self.words))  # of equals the last, most frequent, stays
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.slots[(hashes >> np.uint64(42)).astype(np.int64)]
+        return np.where(self.words[at] == hashes, KNOWN + at.astype(np.uint64), hashes >> np.uint64(17))
+
+
+def sets_of(cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and distinct codes, in order, of each line."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(cuts) - 1, 1 << 16):  # 16 bits of line and 48 of code make one sort
+        here = cuts[lo : lo + (1 << 16) + 1]
+        line = np.repeat(np.arange(len(here) - 1, dtype=np.uint64), np.diff(here))
+        x = np.sort((line << np.uint64(48)) | codes[here[0] : here[-1]])
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))[: len(x)]]
+        sizes.append(np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=len(here) - 1))
+        parts.append(x & CODE)
+    return np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(parts)
+
+
+def cut_bytes(values: np.ndarray, width: int, cuts: np.ndarray) -> list[bytes]:
+    """The low bytes of values, so many of each, from cut to cut."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    ends = (cuts * width).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def whole(parts, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of cut_bytes()."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return np.array([len(x) // width for x in parts], np.int64), out.view(np.uint64)[:, 0]
+
+
+def encoded(cuts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Each set as the bytes of its rare words, 6 a word, and of its frequent ones, 3 a word."""
+    known = np.concatenate(([0], np.cumsum(codes >= KNOWN)))[cuts]
+    return cut_bytes(codes[codes < KNOWN], 6, cuts - known), cut_bytes(codes[codes >= KNOWN] - KNOWN, 3, known)
+
+
+def decoded(rare, common) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and codes of the sets that encoded() made."""
+    (n, x), (m, y) = whole(rare, 6), whole(common, 3)
+    cuts = np.concatenate(([0], np.cumsum(n + m)))
+    out, first = np.empty(cuts[-1], np.uint64), np.repeat(np.arange(len(n)), n)
+    is_rare = np.zeros(cuts[-1], bool)
+    is_rare[np.arange(len(x)) - (np.cumsum(n) - n)[first] + cuts[first]] = True
+    out[is_rare], out[~is_rare] = x, y + KNOWN
+    return cuts, out
+
+
+LINE = "repeat boolean, a long, b long, doc long, mark long, line int, rare binary, common binary"
+
+
+def scan(batches: Iterator[pd.DataFrame], frequent: bytes, fewest: int) -> Iterator[pd.DataFrame]:
+    """LINE rows. Of the lines with one set (a, b: its hashes) that a task sees, those go on that come before all seen so far,
+    with their words. So the first of all does, and a line of very many copies arrives few times. The others are repeats.
+    """
+    code_of, seen, waiting = Codes(frequent), {}, []
 
-def scan(batches: Iterator[pd.DataFrame], fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
-    """A row for each line (a, b: its hashes; doc, mark, line), and the partition's counters in BLOCKS blocks (a: block).
+    def framed() -> pd.DataFrame:
+        out = pd.DataFrame({c: np.concatenate([p[c] for p in waiting]) for c in waiting[0]})
+        waiting.clear()
+        return out
 
-    Counters stop at 65535 in a partition: only that a word is rare, or the only one of its counter, matters.
-    """
-    counted, waiting, size = np.zeros(COUNTERS, np.int32), [], 0
     for batch in batches:
-        ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
+        ids, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
         for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
-            a, b = copy_keys(cuts, hashes)
-            parts.append({"a": a.view(np.int64), "b": b.view(np.int64), "doc": ids[doc], "mark": marks[doc], "line": number})
-            for out in framed(parts, FRAME):
-                yield out.assign(kind=0, counts=None)
-            waiting.append((hashes >> np.uint64(42)).astype(np.int32))
-            size += len(hashes)
-            if size >= 1 << 20:
-                np.add(counted, np.bincount(np.concatenate(waiting), minlength=COUNTERS), out=counted, casting="unsafe")
-                waiting, size = [], 0
-        for out in framed(parts):
-            yield out.assign(kind=0, counts=None)
-    if size or counted.any():
-        np.add(counted, np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=COUNTERS), out=counted, casting="unsafe")
-        blocks = [x.tobytes() for x in np.minimum(counted, 65535).astype(np.uint16).reshape(BLOCKS, -1)]
-        yield pd.DataFrame({"kind": 1, "a": np.arange(BLOCKS), "b": 0, "doc": 0, "mark": 0, "line": 0, "counts": blocks})
-
-
-def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The levels of each block, from blocks of counters (a, counts) that come in any order."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch["a"], batch["counts"], strict=True):
-            found = np.frombuffer(counts, np.uint16).astype(np.int64)
-            total[block] = total[block] + found if block in total else found
-    yield pd.DataFrame([(b, level_of(np.maximum(x, 1)).astype(np.uint8).tobytes()) for b, x in total.items()], columns=["block", "data"])
+            cuts, codes = sets_of(cuts, code_of(hashes))
+            a, b = run_hashes(mixed(codes), cuts[:-1], cuts[1:]).view(np.int64), run_hashes(mixed(codes ^ SALT), cuts[:-1], cuts[1:]).view(np.int64)
+            new, same = np.zeros((2, len(doc)), bool)
+            if len(seen) > SEEN:
+                seen.clear()
+            for k, (x, y, *place) in enumerate(zip(a.tolist(), b.tolist(), ids[doc].tolist(), marks[doc].tolist(), number.tolist(), strict=True)):
+                best = seen.get((x, y))
+                if best is None or place < best:
+                    seen[x, y] = place
+                    new[k] = True
+                same[k] = not new[k] and place == best  # of a repeated row
+            rare, common = np.full((2, len(doc)), None, object)
+            kept = sets_of_lines(new, cuts, codes)
+            rare[new], common[new] = (np.array([*x, None], object)[:-1] for x in encoded(*kept))
+            a = np.where(new, a, mixed((ids[doc] + number).astype(np.uint64)).view(np.int64))  # a repeat belongs to no class any more
+            row = {"repeat": ~new, "a": a, "b": b, "doc": ids[doc], "mark": marks[doc], "line": number, "rare": rare, "common": common}
+            waiting.append({c: v[~same] for c, v in row.items()})
+            if sum(len(p["a"]) for p in waiting) >= FRAME:
+                yield framed()
+        if waiting:
+            yield framed()
+
+
+def sets_of_lines(keep: np.ndarray, cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and codes of the sets to keep."""
+    size = np.diff(cuts)
+    return np.concatenate(([0], np.cumsum(size[keep]))), codes[np.repeat(keep, size)]
 
 
-def levels_of(counts: DataFrame) -> bytes:
-    """The level of every counter, a byte each. Blocks are summed on the executors."""
-    found = {r["block"]: r["data"] for r in counts.repartition(BLOCKS, "a").mapInPandas(summed, "block long, data binary").collect()}
-    return b"".join(bytes(found.get(k, b"\0" * (COUNTERS // BLOCKS))) for k in range(BLOCKS))
+def needed(n, m, percent: int):
+    """The fewest common words of sets of n and m that reach the threshold."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def packed(slots: DataFrame, size: int) -> bytes:
-    """One byte for each of `size` slots from slots(slot, value). It is put together on the executors, in BLOCKS blocks."""
-    block = size // BLOCKS
+def prefix_runs(n: int, percent: int, width: int = RUN) -> int:
+    """How many of the runs of a set of n words, the rarest first, hold one that a similar set has, too.
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(block, np.uint8)
-        out[rows["slot"].to_numpy() - key[0] * block] = rows["value"].to_numpy()
-        return pd.DataFrame({"block": [key[0]], "data": [out.tobytes()]})
+    Of n words, o = needed(n, m) or more are common with a set of m. Its other words and those of the other set, k together,
+    part the common ones into k + 1 runs at most. If no run before the first shared one holds `width` words, that one ends
+    behind at most n - o words of its own and k * (width - 1) + width common ones.
+    """
+    return max((n - o + (n + m - 2 * o) * (width - 1) + 1 for m in range(-(-percent * n // 100), n * 100 // percent + 1) for o in (needed(n, m, percent),)), default=1)
 
-    blocks = slots.withColumn("block", F.floor(F.col("slot") / block).cast("long")).groupBy("block").applyInPandas(pack, "block long, data binary")
-    found = {r["block"]: r["data"] for r in blocks.collect()}
-    return b"".join(bytes(found.get(k, b"\0" * block)) for k in range(BLOCKS))
 
+def has_runs(percent: int, width: int = RUN) -> bool:
+    """Whether unequal sets that reach the threshold always have a run of `width` words in common."""
+    sizes = ((n, m) for n in range(1, 200) for m in range(n, n * 100 // percent + 1) if needed(n, m, percent) <= n and (n, needed(n, m, percent)) != (m, m))
+    return all(needed(n, m, percent) >= (n + m - 2 * needed(n, m, percent)) * (width - 1) + width for n, m in sizes)
 
-def prefix_of(cuts: np.ndarray, hashes: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Bounds and words of each line by rarity; each word's line, place and level; and which are prefix words that others have."""
-    level = levels[(hashes >> np.uint64(42)).astype(np.int64)]
-    cuts, hashes, line, order = ordered_sets(cuts, hashes, level)
-    level, size = level[order], np.diff(cuts)
-    place, length = np.arange(len(hashes)) - cuts[line], size - -(-percent * size // 100) + 1
-    return cuts, hashes, line, place, level, (place < length[line]) & (level > 0)
 
+def runs_of(sizes: np.ndarray, percent: int, known: dict[int, int]) -> np.ndarray:
+    """prefix_runs of each size, but 0 where only equal sets reach the threshold, and at most all runs."""
+    distinct, at = np.unique(sizes, return_inverse=True)
+    for n in distinct.tolist():
+        if n not in known:
+            alone = all(needed(n, m, percent) >= max(n, m) for m in range(-(-percent * n // 100), n * 100 // percent + 1))
+            known[n] = 0 if alone else min(n - RUN + 1, prefix_runs(n, percent))
+    return np.array([known[n] for n in distinct.tolist()], np.int64)[at]
 
-def parity(hashes: np.ndarray, cuts: np.ndarray, lanes: int) -> list[np.ndarray]:
-    """A bitmap of 64 * lanes bits for each line, in which each word turns one bit."""
-    bit = mixed(hashes)
-    one, lane = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6)) & np.uint64(lanes - 1)
-    return [np.bitwise_xor.reduceat(np.where(lane == k, one, np.uint64(0)), cuts[:-1]) for k in range(lanes)]
 
+#: A packed row: key of the run, class, its document and line, its size, the place of the run in it.
+TYPES = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
+NAMES = ("key", "uid", "doc", "line", "n", "at")
 
-def word_bits(hashes: np.ndarray) -> np.ndarray:
-    """The bit of a word, by the 44 bits that keys hold."""
-    return (mixed(hashes >> np.uint64(20)) >> np.uint64(39)).astype(np.int64)
 
+def packed_runs(batches: Iterator[pd.DataFrame], percent: int, ranges: int) -> Iterator[pd.DataFrame]:
+    """(range, data): the runs of words of the prefix of each class, in ranges of their keys."""
+    known: dict[int, int] = {}
+    parts: list[tuple] = []
 
-def prefixes(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int, only: np.ndarray | None = None, fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
-    """PREFIX rows: the prefix words of each line, but those of a single line, which can't be shared.
+    def handed() -> pd.DataFrame:
+        x = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        order = np.argsort(x[0])
+        x = [c[order].astype(t) for c, t in zip(x, TYPES, strict=True)]
+        return pd.DataFrame([(k, blob(*(c[rows] for c in x))) for k, rows in ranges_of(x[0], ranges)], columns=["range", "data"])
 
-    key holds 44 bits of the word, then the set's size. Of the copies of a line that a task sees, those go on that come
-    before all copies seen so far. So the first of all does, and a line of very many copies arrives few times. With a
-    filter `only`, words whose bit is set, hot ones aside, with the line's mark and whole set. A set so small that only its
-    equals reach the threshold has its own hash for the word, which is never hot.
+    for batch in batches:
+        cuts, codes = decoded(batch["rare"], batch["common"])
+        n = np.diff(cuts)
+        count = runs_of(n, percent, known)
+        row = np.repeat(np.arange(len(n)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = cuts[row] + at
+        key = np.zeros(len(row), np.uint64)
+        for k in range(RUN):
+            key = mixed(key + codes[start + k])
+        parts.append((key, *(batch[c].to_numpy()[row] for c in ("uid", "doc", "line")), n[row], at))
+        if sum(len(p[0]) for p in parts) >= ROWS:
+            yield handed()
+    if parts:
+        yield handed()
+
+
+MET = "part int, data binary, key long, uid long"
+
+
+def partnered(x: dict[str, np.ndarray], percent: int, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of shared keys, in the order of (key, doc, line, uid): pairs i, j of rows that pass the filters, with i one of the
+    first `partners` of its key; and which rows may have earlier partners than these.
     """
-    seen: dict[int, tuple] = {}
+    first = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
+    start = np.flatnonzero(first)
+    size = np.diff(np.concatenate((start, [len(first)])))
+    place, start = np.arange(len(first)) - np.repeat(start, size), np.repeat(start, size)
+    i, j = [], []
+    for k in range(partners):
+        later = np.flatnonzero(place > k)
+        i.append(start[later] + k)
+        j.append(later)
+    i, j = np.concatenate(i), np.concatenate(j)
+    n, m, need = x["n"][i], x["n"][j], needed(x["n"][i], x["n"][j], percent)
+    before, behind = np.minimum(x["at"][i], x["at"][j]), np.minimum(n - x["at"][i], m - x["at"][j])
+    fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (before + behind >= need)  # length and positional filter
+    tie = np.concatenate((~first[1:] & (x["doc"][1:] == x["doc"][:-1]) & (x["line"][1:] == x["line"][:-1]), [False]))  # one id, several texts
+    return i[fit], j[fit], np.repeat(size > partners + 1, size) & ((place > partners) | tie), np.repeat(size > partners + 1, size)
+
+
+def met(batches: Iterator[pd.DataFrame], percent: int, parts: int, partners: int) -> Iterator[pd.DataFrame]:
+    """MET rows from packed runs that come by range: packed pairs of classes (part: of the second one), and for the keys of more
+    classes than are paired all of these (key: null for those that can't have further partners before them)."""
+    held: list[list[np.ndarray]] = []
+    limit, at = 2 * ROWS, None
+
+    def done(last: bool) -> Iterator[pd.DataFrame]:
+        """Handles what is held. Unless it is the range's last, keys of few rows are held on, and of others the first."""
+        nonlocal limit
+        x = dict(zip((*NAMES, "hot"), (np.concatenate(c) for c in zip(*held, strict=True)), strict=True))
+        held.clear()
+        order = np.argsort(x["key"], kind="stable")
+        key = x["key"][order]
+        same = key[1:] == key[:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        if not last:
+            start = np.flatnonzero(np.concatenate(([True], ~same)))
+            size = np.diff(np.concatenate((start, [len(key)])))
+            hot = np.repeat(size > HOT, size)
+            held.append([c[order[~hot]] for c in x.values()])
+            shared = hot
+        rows = order[shared]
+        x = {c: v[rows] for c, v in x.items()}
+        rows = np.lexsort((x["uid"], x["line"], x["doc"], x["key"]))
+        x = {c: v[rows] for c, v in x.items()}
+        if not len(rows):
+            limit = max(limit, 2 * sum(len(h[0]) for h in held))
+            return
+        i, j, further, crowded = partnered(x, percent, partners)
+        if not last:
+            first = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
+            place = np.arange(len(first)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            held.append([c[place < partners] for c in x.values()])
+            held[-1][-1] = np.ones(len(held[-1][0]), bool)
+            further, crowded = np.ones((2, len(rows)), bool)
+            limit = max(limit, 2 * sum(len(h[0]) for h in held))
+        elif x["hot"].any():  # other rows of these keys were handled before
+            hot = np.isin(x["key"], x["key"][x["hot"]])
+            further, crowded = further | hot, crowded | hot
+        a, b = x["uid"][i], x["uid"][j]
+        keep = a != b
+        a, b = a[keep], b[keep]
+        if len(a):
+            to = (mixed(b.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((b, a, to))
+            a, b, to = a[order], b[order], to[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b, to = a[new], b[new], to[new]
+            cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)])).tolist()
+            yield pd.DataFrame({"part": to[cuts[:-1]], "data": [blob(a[p:q], b[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)], "key": None, "uid": None})
+        if crowded.any():
+            yield pd.DataFrame({"part": None, "data": None, "key": x["key"][crowded].view(np.int64), "uid": np.where(further, x["uid"], -1 - x["uid"])[crowded]})
+
     for batch in batches:
-        ids, marks, parts = batch["doc"].to_numpy(), batch["mark"].to_numpy(), []
-        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
-            new = np.zeros(len(doc), bool)
-            if only is not None:  # most lines have none of the words
-                some = (only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0
-                new |= np.add.reduceat(some, cuts[:-1]) > 0
-            else:
-                if len(seen) > 100_000:
-                    seen.clear()
-                for k, (key, *place) in enumerate(zip(run_hashes(hashes, cuts[:-1], cuts[1:]).tolist(), ids[doc].tolist(), marks[doc].tolist(), number.tolist(), strict=True)):
-                    best = seen.get(key)
-                    if best is None or place < best:
-                        seen[key] = place
-                        new[k] = True
-            if not new.any():
-                continue
-            doc, number = doc[new], number[new]
-            cuts, hashes, line, place, level, use = prefix_of(*part_of(new, cuts, hashes), levels, percent)
-            size = np.diff(cuts)
-            alone = 100 * size < percent * (size + 1)
-            hot = (level >= HOT_LEVEL) & ~alone[line] | (size[line] >= SIZES)
-            word = np.where(alone[line], mixed(np.add.reduceat(hashes, cuts[:-1]))[line], hashes)
-            s0, s1 = parity(hashes, cuts, 2)
-            if only is not None:
-                use &= ~hot & ((only[(b := word_bits(hashes)) >> 3] >> (b & 7)) & 1 > 0)
-                if not use.any():
-                    continue
-            line = line[use]
-            part = {
-                "key": ((word[use] & ~np.uint64(SIZES - 1)) | np.minimum(size[line], SIZES - 1).astype(np.uint64)).view(np.int64),
-                "doc": ids[doc][line], "line": number[line], "at": place[use], "s0": s0[line].view(np.int64), "s1": s1[line].view(np.int64), "n": size[line], "hot": hot[use],
-            }
-            if only is not None:
-                sets = np.empty(len(size), object)
-                sets[:] = np.split(hashes.view(np.int64), cuts[1:-1])
-                part |= {"mark": marks[doc][line], "words": sets[line]}
-            parts.append(part)
-            yield from framed(parts, FRAME)
-        yield from framed(parts)
-
-
-PREFIX = "key long, doc long, line int, at int, s0 long, s1 long, n int, hot boolean"
-#: Candidates; or rows of hot words, which are handed on (word not null).
-WITH_SETS = PREFIX + ", mark long, words array<long>"
-PAIR = "doc long, line int, doc0 long, line0 int, more boolean, word long, n int, s0 long, s1 long"
+        for k, data in zip(batch["range"], batch["data"], strict=True):
+            if held and k != at:
+                yield from done(True)
+                limit = 2 * ROWS
+            at = k
+            x = unblob(data, *TYPES)
+            held.append([*x, np.zeros(len(x[0]), bool)])
+            if sum(len(h[0]) for h in held) > limit:
+                yield from done(False)
+    if held:
+        yield from done(True)
+
+
+def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct pairs (x, y) of packed ones; a pair may come again if a task has very many."""
+    held: list[list[np.ndarray]] = []
+
+    def done() -> pd.DataFrame:
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return pd.DataFrame({"x": a[new], "y": b[new]})
 
+    for batch in batches:
+        for data in batch["data"]:
+            held.append(unblob(data, np.int64, np.int64))
+            if sum(len(h[0]) for h in held) > ROWS:
+                yield done()
+    if held:
+        yield done()
 
-def needed(n, m, percent: int):
-    """The fewest common words of sets of n and m that reach the threshold."""
-    return -(-percent * (n + m) // (100 + percent))
 
+def similar(percent: int):
+    """Whether two sets are, as a function of columns of encoded ones."""
 
-def matches(x: dict[str, np.ndarray], lo: int, percent: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows i < j, lo <= j, of one word that pass the filters, and how far their bitmaps differ.
+    def test(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rare, common, rare2, common2 in batches:
+            (cuts, codes), (cuts2, codes2) = decoded(rare, common), decoded(rare2, common2)
+            n, m = np.diff(cuts), np.diff(cuts2)
+            pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)))
+            equal = np.zeros(len(n), np.int64)
+            for lo in range(0, len(n), 1 << 16):
+                here = (pair >= lo) & (pair < lo + (1 << 16)) if len(n) > 1 << 16 else slice(None)
+                x = np.sort(((pair[here] - lo).astype(np.uint64) << np.uint64(48)) | np.concatenate((codes, codes2))[here])
+                twice = x[1:][x[1:] == x[:-1]]
+                equal += np.bincount((twice >> np.uint64(48)).astype(np.int64) + lo, minlength=len(n))
+            yield pd.Series(100 * equal >= percent * (n + m - equal))
 
-    x is sorted by (word, n). About `most` pairs are looked at at a time.
-    """
-    group = np.cumsum(np.concatenate(([0], x["word"][1:] != x["word"][:-1]))) * SIZES
-    least = np.searchsorted(group + x["n"], group + -(-percent * x["n"] // 100))  # length filter: the first row that is long enough
-    # the smaller set of a pair shares a word in an even shorter prefix
-    small = x["at"] <= x["n"] - -(-2 * percent * x["n"] // (100 + percent))
-    index, upto = np.flatnonzero(small), np.concatenate(([0], np.cumsum(small)))
-    rows = np.arange(lo, len(group))
-    start = upto[least[lo:]]
-    width = upto[rows] - start
-    total = np.cumsum(width)
-    for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(most, total[-1], most))):
-        w = width[part]
-        if not w.any():
-            continue
-        j = np.repeat(rows[part], w)
-        i = index[np.repeat(start[part] - (np.cumsum(w) - w), w) + np.arange(len(j))]
-        n, m = x["n"][i], x["n"][j]
-        own = np.bitwise_count(x["s0"][i] ^ x["s0"][j]).astype(np.int64) + np.bitwise_count(x["s1"][i] ^ x["s1"][j])
-        fit = np.flatnonzero(own <= n + m - 2 * needed(n, m, percent))
-        i, j, n, m, own = i[fit], j[fit], n[fit], m[fit], own[fit]
-        at, bt = x["at"][i], x["at"][j]
-        fit = np.minimum(n - at, m - bt) + np.minimum(at, bt) >= needed(n, m, percent)  # positional filter
-        if fit.any():
-            yield i[fit], j[fit], own[fit]
-
-
-def nearest(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, own: np.ndarray, partners: int) -> pd.DataFrame:
-    """PAIR rows of the later of each two rows, with their nearest partners; more: whether a row has others."""
-    same, before = x["doc"][i] == x["doc"][j], x["doc"][i] < x["doc"][j]  # in one document, marks may decide: both ways
-    late, early = np.concatenate((j[same | before], i[same | ~before])), np.concatenate((i[same | before], j[same | ~before]))
-    own = np.concatenate((own[same | before], own[same | ~before]))
-    order = np.lexsort((x["line"][early], x["doc"][early], own, late))
-    late, early = late[order], early[order]
-    first = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1])))
-    size = np.diff(np.concatenate((first, [len(late)])))
-    few, more = np.arange(len(late)) - np.repeat(first, size) < partners, np.repeat(size > partners, size)
-    late, early, more = late[few], early[few], more[few]
-    return pd.DataFrame({"doc": x["doc"][late], "line": x["line"][late], "doc0": x["doc"][early], "line0": x["line"][early], "more": more}).drop_duplicates()
+    return F.pandas_udf(test, "boolean")
 
 
 def gathered(batches: Iterator[pd.DataFrame], least: int = 8192) -> Iterator[pd.DataFrame]:
@@ -299,182 +455,96 @@ def gathered(batches: Iterator[pd.DataFrame], least: int = 8192) -> Iterator[pd.
         yield pd.concat(waiting, ignore_index=True)
 
 
-def windows(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[tuple[dict[str, np.ndarray], int]]:
-    """Rows sorted by key, batch by batch, each behind the window of rows that may still match: (rows, the first new one)."""
+def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 16, most: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    """(uid) of the asked among rows (key, n, uid, asked, doc, mark, line, rare, common), sorted by (key, n), to which an earlier
+    row of their key is similar.
+
+    A row is compared with those of its key that pass the length filter, of which alone a window is held. Parity bitmaps, whose
+    bits differ in at most as many places as sets have words of their own, drop most pairs before the sets are compared; a row
+    that is decided isn't compared any more.
+    """
     held: dict[str, np.ndarray] = {}
     for batch in gathered(batches):
-        new = {c: batch[c].to_numpy() if c == "words" else batch[c].to_numpy().astype(np.int64) for c in batch.columns if c not in ("n", "hot")}
-        new |= {"word": new["key"] >> 20, "n": new["key"] & (SIZES - 1), "s0": new["s0"].view(np.uint64), "s1": new["s1"].view(np.uint64)}
+        cuts, codes = decoded(batch["rare"], batch["common"])
+        bit = mixed(codes)
+        one, lane = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6)) & np.uint64(lanes - 1)
+        sets = np.empty(len(batch), object)
+        sets[:] = np.split(codes, cuts[1:-1])
+        new = {c: batch[c].to_numpy() for c in ("key", "n", "uid", "doc", "mark", "line")} | {"asked": batch["asked"].to_numpy(bool), "sets": sets}
+        new["bits"] = np.stack([np.bitwise_xor.reduceat(np.where(lane == k, one, np.uint64(0)), cuts[:-1]) for k in range(lanes)], axis=1)
+        lo = len(held.get("n", ()))
         x = {c: np.concatenate((held[c], v)) if held else v for c, v in new.items()}
-        yield x, len(held.get("n", ()))
-        keep = (x["word"] == x["word"][-1]) & (100 * x["n"] >= percent * x["n"][-1])
-        held = {c: v[keep] for c, v in x.items()}
-
-
-def compared(batches: Iterator[pd.DataFrame], percent: int, partners: int) -> Iterator[pd.DataFrame]:
-    """Candidates of PREFIX rows that are sorted by key, and hot rows as they are."""
-    names, hot = [x.split()[0] for x in PAIR.split(", ")], []
-
-    def cold() -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hot.append(batch[batch["hot"]])
-            yield batch[~batch["hot"]]
-
-    for x, lo in windows(cold(), percent):
-        while hot:
-            yield (h := hot.pop()).assign(word=h["key"].to_numpy() >> 20, doc0=0, line0=0, more=False)[names]
-        for i, j, own in matches(x, lo, percent):
-            yield nearest(x, i, j, own, partners).assign(word=None, n=None, s0=None, s1=None)
-    while hot:
-        yield (h := hot.pop()).assign(word=h["key"].to_numpy() >> 20, doc0=0, line0=0, more=False)[names]
-
-
-def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 16) -> Iterator[pd.DataFrame]:
-    """(doc, mark, line) of the wanted among WITH_SETS rows, sorted by key, to which an earlier row is similar.
-
-    Pairs are decided here, on whole sets, after a wider bitmap. A row that is decided isn't compared any more.
-    """
-    for x, lo in windows(batches, percent):
-        size = np.array([len(w) for w in x["words"]])
-        wide = np.stack(parity(np.concatenate(x["words"]).view(np.uint64), np.concatenate(([0], np.cumsum(size))), lanes), axis=1)
-        done: set[int] = set()
-        for i, j, _ in matches(x, lo, percent):
+        group = np.cumsum(np.concatenate(([0], x["key"][1:] != x["key"][:-1]))) * (int(x["n"].max()) + 1)
+        least = np.searchsorted(group + x["n"], group + -(-percent * x["n"] // 100))  # length filter: the first row that is long enough
+        rows = np.arange(lo, len(group))
+        width = rows - least[rows]
+        total = np.cumsum(width)
+        done = np.zeros(len(group), bool)
+        for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(most, total[-1], most))):
+            w = width[part]
+            j = np.repeat(rows[part], w)
+            i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(w) - w, w))
+            open_ = x["asked"] & ~done
+            fit = open_[i] | open_[j]
+            i, j = i[fit], j[fit]
             before = (x["doc"][i] < x["doc"][j]) | (x["doc"][i] == x["doc"][j]) & ((x["mark"][i] < x["mark"][j]) | (x["mark"][i] == x["mark"][j]) & (x["line"][i] < x["line"][j]))
             late, early = np.where(before, j, i), np.where(before, i, j)
-            want = x["want"][late] > 0
-            late, early = late[want], early[want]
-            need = needed(size[late], size[early], percent)
-            near = np.bitwise_count(wide[late] ^ wide[early]).sum(axis=1, dtype=np.int64) <= size[late] + size[early] - 2 * need
-            for a, b, least in zip(late[near].tolist(), early[near].tolist(), need[near].tolist(), strict=True):
-                same = (x["doc"][a], x["mark"][a], x["line"][a]) == (x["doc"][b], x["mark"][b], x["line"][b])
-                if a not in done and not same and len(np.intersect1d(x["words"][a], x["words"][b], assume_unique=True)) >= least:
-                    done.add(a)
-        if done:
-            at = sorted(done)
-            yield pd.DataFrame({c: x[c][at] for c in ("doc", "mark", "line")})
-
-
-def prefix_slots(batches: Iterator[pd.DataFrame], levels: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
-    """Bytes, with a bit set, of the filter for the prefix words of lines (words)."""
-    for batch in batches:
-        if len(batch):
-            words = np.concatenate(batch["words"].to_list()).view(np.uint64)
-            cuts = np.concatenate(([0], np.cumsum([len(w) for w in batch["words"]])))
-            _, hashes, _, _, _, use = prefix_of(cuts, words, levels, percent)
-            bits = np.unique(word_bits(hashes[use]))
-            yield pd.DataFrame({"slot": bits >> 3, "value": 1 << (bits & 7)})
-
-
-def may_match(percent: int):
-    """Whether rows x and y pass the length filter and the bitmaps, as a column."""
-    n, m = F.col("x.n"), F.col("y.n")
-    need = F.ceil(percent * (n + m) / (100 + percent))
-    own = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (own <= n + m - 2 * need)
-
-
-def paired(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Rows y with the rows x of the same word that may be similar and come before, or are of the same document."""
-    before = (F.col("x.doc") <= F.col("y.doc")) & ((F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line")))
-    both = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & before & may_match(percent))
-    return both.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
-
-
-def bits_of(doc: np.ndarray, line: np.ndarray | None = None) -> np.ndarray:
-    """The bit of each line, or behind those of all lines, of each document."""
-    h = mixed(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.zeros(len(doc)) if line is None else line + 1).astype(np.uint64))
-    return (h >> np.uint64(39)).astype(np.int64) + (SLOTS if line is None else 0)
-
-
-def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes, with a bit set, of the filters for rows (doc, line)."""
-    for batch in batches:
-        doc, line = batch["doc"].to_numpy(), batch["line"].to_numpy()
-        bits = np.unique(np.concatenate((bits_of(doc, line), bits_of(doc))))
-        yield pd.DataFrame({"slot": bits >> 3, "value": 1 << (bits & 7)})
-
-
-def line_sets(batches: Iterator[pd.DataFrame], wanted: np.ndarray, fewest: int = MIN_WORDS) -> Iterator[pd.DataFrame]:
-    """(doc, mark, line, words) of the lines whose bit is set: all that are sought, and about one in a hundred others."""
-    has = lambda bits: (wanted[bits >> 3] >> (bits & 7)) & 1 > 0
-    for batch in batches:
-        batch = batch[has(bits_of(batch["doc"].to_numpy()))]
-        ids, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
-        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
-            keep = has(bits_of(ids[doc], number))
-            if keep.any():
-                doc, number = doc[keep], number[keep]
-                cuts, hashes, _, _ = ordered_sets(*part_of(keep, cuts, hashes))
-                yield pd.DataFrame({"doc": ids[doc], "mark": marks[doc], "line": number, "words": np.split(hashes.view(np.int64), cuts[1:-1])})
+            fit = open_[late] & (x["uid"][late] != x["uid"][early])
+            late, early = late[fit], early[fit]
+            need = needed(x["n"][late], x["n"][early], percent)
+            near = np.bitwise_count(x["bits"][late] ^ x["bits"][early]).sum(axis=1, dtype=np.int64) <= x["n"][late] + x["n"][early] - 2 * need
+            for a, b, common in zip(late[near].tolist(), early[near].tolist(), need[near].tolist(), strict=True):
+                if not done[a] and len(np.intersect1d(x["sets"][a], x["sets"][b], assume_unique=True)) >= common:
+                    done[a] = True
+        if done.any():
+            yield pd.DataFrame({"uid": x["uid"][done]})
+        keep = (x["key"] == x["key"][-1]) & (100 * x["n"] >= percent * x["n"][-1])
+        x["asked"] &= ~done
+        held = {c: v[keep] for c, v in x.items()}
 
 
-def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = MIN_WORDS) -> DataFrame:
+def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> DataFrame:
     """(doc, mark, line) of every line of docs(doc_id, text) that is similar to an earlier one.
 
     doc is the id, or NO_ID for a null one, and mark the text's hash. Lines are numbered from 0 and ordered by
-    (doc, mark, line). Only lines of `fewest` words are compared; ANY takes all that have one. Rows with one id and one text are one document. Null and
-    empty texts have no lines, an empty table gives no rows, and other columns aren't read.
+    (doc, mark, line), so that there are no ties. Only lines of `fewest` words are compared. Rows with one id and one text are
+    one document. Null and empty texts have no lines, very long texts are taken in pieces and long lines whole, an empty table
+    gives no rows, and other columns aren't read. percent must be one at which unequal similar sets always share a run: 75 is.
     """
+    if not has_runs(percent):
+        raise ValueError(f"at {percent} % some similar lines share no run of {RUN} words")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
-    found = scratch.keep(texts.mapInPandas(lambda it: scan(it, fewest), "kind int, a long, b long, doc long, mark long, line int, counts binary"), "lines")
-    sent = spark.sparkContext.broadcast(levels_of(found.filter("kind = 1").select("a", "counts")))
-    entries = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, fewest=fewest), PREFIX)
-
-    place = F.struct("doc", "mark", "line").alias("place")
-    lines = found.filter("kind = 0").select("a", "b", place)
-    copies = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    repeats = scratch.keep(lines.join(copies, ["a", "b"]).filter(F.col("place") != F.col("first")).select("place.*"), "repeats")
-    # later copies go anyway and needn't be compared; ids that stand for several texts are left to the comparison
-    plural = found.filter("kind = 0").groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi").select("doc")
-    decided = settled(repeats.join(plural, "doc", "left_anti").select("doc", "line"))
-
-    def filled(bits: DataFrame, size: int) -> bytes:
-        return packed(bits.groupBy("slot").agg(F.bit_or("value").alias("value")), size)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(doc, mark, line) of the lines to which the earlier line of a pair is similar."""
-        y = sets.select("doc", "line", "mark", F.col("words").alias("y"))
-        x = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("mark").alias("mark0"), F.col("words").alias("x"))
-        both = pairs.select("doc", "line", "doc0", "line0").join(y, ["doc", "line"]).join(x, ["doc0", "line0"])
-        both = both.filter(F.struct("doc0", "mark0", "line0") < F.struct("doc", "mark", "line")).withColumn("common", F.size(F.array_intersect("x", "y")))
-        return settled(both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("doc", "mark", "line").distinct())
-
-    def still_open(pairs: DataFrame, gone: DataFrame) -> DataFrame:
-        """pairs of lines that aren't gone, or whose id stands for several texts."""
-        done = gone.join(plural, "doc", "left_anti").select("doc", "line")
-        return pairs.join(done, ["doc", "line"], "left_anti")
-
-    # a word's rows come together; those of a hot word, which are handed on, anywhere
-    where = F.when(F.col("hot"), F.xxhash64("doc", "line")).otherwise(F.shiftright("key", 20))
+    sent = spark.sparkContext.broadcast(frequent_words(texts, scratch, FREQUENT, fewest).tobytes())
+    lines = texts.mapInPandas(lambda it: scan(it, sent.value, fewest), LINE)
+    placed = Window.partitionBy("a", "b").orderBy("doc", "mark", "line")
+    ranked = lines.withColumn("later", F.col("repeat") | (F.rank().over(placed) > 1)).withColumn("nth", F.row_number().over(placed))
+    known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
+    known = scratch.keep(known.withColumn("uid", F.monotonically_increasing_id()), "lines")
+    classes, repeats = known.filter("not later").drop("later"), known.filter("later").select("doc", "mark", "line")
+
+    words = F.floor(F.octet_length("rare") / 6 + F.octet_length("common") / 3)
+    size = classes.agg(F.sum(words)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_TASK))
     partners = PARTNERS
-    raw = scratch.keep(entries.repartition(where).sortWithinPartitions("key").mapInPandas(lambda it: compared(it, percent, partners), PAIR), "raw")
-    pairs = raw.filter("word is null").groupBy("doc", "line", "doc0", "line0").agg(F.max("more").alias("more")).join(decided, ["doc", "line"], "left_anti")
-    hot = settled(raw.filter("word is not null").select("word", "doc", "line", "n", "s0", "s1").distinct())
-    some_hot = not hot.isEmpty()
-    if some_hot:  # first each line meets the earliest of its word
-        pivots = hot.groupBy("word").agg(F.min(F.struct("doc", "line", "n", "s0", "s1")).alias("p")).select("word", "p.*")
-        pairs = pairs.unionByName(paired(pivots, hot, percent).withColumn("more", F.lit(False)))
-    pairs = scratch.keep(pairs, "pairs")
-    places = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).union(hot.select("doc", "line"))
-    wanted = spark.sparkContext.broadcast(filled(places.distinct().mapInPandas(slots, "slot long, value int"), SLOTS // 4))
-    sets = scratch.bucketed(texts.mapInPandas(lambda it: line_sets(it, np.frombuffer(wanted.value, np.uint8), fewest), "doc long, mark long, line int, words array<long>"), "sets", "doc", "line")
-    picked = pairs.groupBy("doc", "line").agg(F.min(F.struct("doc0", "line0")).alias("e")).select("doc", "line", "e.*")
-    gone = verified(picked)
-    rest = settled(still_open(pairs, gone))
-    gone = settled(gone.union(verified(rest)))
-    # lines whose partners all failed, while there were more, meet all rows of their words
-    left = settled(still_open(rest.filter("more").select("doc", "line").distinct(), gone))
+    runs = classes.mapInPandas(lambda it: packed_runs(it, percent, parts * RANGES), "range int, data binary")
+    found = runs.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(lambda it: met(it, percent, parts, partners), MET)
+    found = scratch.keep(found, "met")
+    pairs = found.filter("part is not null").select("part", "data").repartitionById(parts, F.col("part")).mapInPandas(pairs_of, "x long, y long")
+    side = lambda k: classes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(similar(percent)("rare_x", "common_x", "rare_y", "common_y"))
+    before = F.struct("doc_x", "mark_x", "line_x") < F.struct("doc_y", "mark_y", "line_y")
+    gone = settled(both.select(F.when(before, F.col("y")).otherwise(F.col("x")).alias("uid")).distinct())
+
+    # classes that stay, and share a run with more classes than those that they were paired with, meet all of these
+    crowd = found.filter("key is not null").select("key", (F.col("uid") >= 0).alias("further"), F.when(F.col("uid") < 0, -1 - F.col("uid")).otherwise(F.col("uid")).alias("uid"))
+    left = settled(crowd.filter("further").select("key", "uid").distinct().join(gone, "uid", "left_anti"))
     if not left.isEmpty():
-        own_words = sets.join(left, ["doc", "line"], "left_semi").select("words")
-        only = spark.sparkContext.broadcast(filled(own_words.mapInPandas(lambda it: prefix_slots(it, np.frombuffer(sent.value, np.uint8), percent), "slot long, value int"), SLOTS // 8))
-        whole = texts.mapInPandas(lambda it: prefixes(it, np.frombuffer(sent.value, np.uint8), percent, np.frombuffer(only.value, np.uint8), fewest), WITH_SETS)
-        asked = whole.join(left.withColumn("want", F.lit(1)), ["doc", "line"], "left").fillna(0, ["want"])
-        near = asked.repartition(F.shiftright("key", 20)).sortWithinPartitions("key")
-        gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "doc long, mark long, line int").distinct()))
-    if some_hot:
-        gone = gone.union(verified(paired(hot, still_open(still_open(hot, gone), repeats), percent)))
-    out = settled(gone.union(repeats).distinct())
+        rows = crowd.select("key", "uid").distinct().join(left.select("key").distinct(), "key", "left_semi").join(left.withColumn("asked", F.lit(True)), ["key", "uid"], "left").fillna(False, ["asked"])
+        rows = rows.join(classes, "uid").withColumn("n", words)
+        near = rows.repartition("key").sortWithinPartitions("key", "n")
+        gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "uid long").distinct()))
+    out = settled(classes.join(gone.distinct(), "uid", "left_semi").select("doc", "mark", "line").union(repeats).distinct())
     scratch.drop()
     return out
 
@@ -488,23 +558,28 @@ def gone_by_document(later: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, removed): for every row of docs(doc_id, text), the numbers of the lines that go, in order."""
-    known = marked(docs.select("doc_id", "text")).drop("text")
-    return known.join(gone_by_document(later_lines(docs, percent, ANY)), ["doc", "mark"], "left").select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    """(doc_id, text, removed): for every row of docs(doc_id, text), what stays of the text, and the numbers of the lines that go."""
+    return without_lines(docs.select("doc_id", "text"), later_lines(docs, percent), "removed")
 
 
-def without_lines(docs: DataFrame, later: DataFrame) -> DataFrame:
+def without_lines(docs: DataFrame, later: DataFrame, removed: str = "") -> DataFrame:
     """docs without those lines; n_chars, if there, is counted anew. Documents that lose no line come out as they are.
 
-    A document whose every line goes stays, with an empty text. docs may have further columns of any name.
+    A document whose every line goes stays, with an empty text; a null text stays null. docs may have further columns of any
+    name. With a name for them, the numbers of the lines that go are another column.
     """
     gone = gone_by_document(later).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     cut = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # between two lines that go, and before the first and behind the last, a slice of lines stays
+    kept = F.flatten(F.transform(F.arrays_zip(F.concat(F.array(F.lit(-1)), "__gone").alias("p"), F.concat("__gone", F.array(F.size("__lines"))).alias("q")), lambda x: F.slice("__lines", x["p"] + 2, x["q"] - x["p"] - 1)))
+    rest = F.array_join(kept, "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
     new = {"text": text} | ({"n_chars": F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(rest)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    cut = cut.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
+    numbers = [F.coalesce("__gone", F.array().cast("array<int>")).alias(removed)] if removed else []
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns], *numbers)
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    return without_lines(docs, later_lines(docs, percent, ANY))
+    """docs without lines that are similar to an earlier one; see later_lines and without_lines for the unusual cases."""
+    return without_lines(docs, later_lines(docs, percent))

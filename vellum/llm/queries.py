@@ -51,7 +51,7 @@ def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dup.removed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+    return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
 
 
 def queries() -> dict[str, Query]:
