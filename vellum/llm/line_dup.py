@@ -169,30 +169,41 @@ def sets_of(cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(parts)
 
 
-def cut_bytes(values: np.ndarray, width: int, cuts: np.ndarray) -> list[bytes]:
-    """The low bytes of values, so many of each, from cut to cut."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-    ends = (cuts * width).tolist()
+def as_bytes(values: np.ndarray, cuts: np.ndarray, width: int) -> list[bytes]:
+    """The ascending values from cut to cut as the low bytes of their differences, those of equal weight together."""
+    size = np.diff(cuts)
+    row = np.repeat(np.arange(len(size)), size)
+    steps = np.diff(values, prepend=np.uint64(0))
+    first = cuts[:-1][size > 0]
+    steps[first] = values[first]
+    at, out = (width - 1) * cuts[row] + np.arange(len(row)), np.empty(width * len(row), np.uint8)
+    for k in range(width):
+        out[at + k * size[row]] = (steps >> np.uint64(8 * k)) & np.uint64(255)
+    raw, ends = out.tobytes(), (width * cuts).tolist()
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def whole(parts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and values of cut_bytes()."""
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return np.array([len(x) // width for x in parts], np.int64), out.view(np.uint64)[:, 0]
+def from_bytes(parts, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of as_bytes()."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(x) // width for x in parts], np.int64)
+    cuts, row = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    at, steps = (width - 1) * cuts[row] + np.arange(len(row)), np.zeros(len(row), np.uint64)
+    for k in range(width):
+        steps |= raw[at + k * size[row]].astype(np.uint64) << np.uint64(8 * k)
+    total = np.cumsum(steps)
+    return size, total - (total - steps)[cuts[row]] if len(row) else total
 
 
 def encoded(cuts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Each set as the bytes of its rare words, 6 a word, and of its frequent ones, 3 a word."""
     known = np.concatenate(([0], np.cumsum(codes >= KNOWN)))[cuts]
-    return cut_bytes(codes[codes < KNOWN], 6, cuts - known), cut_bytes(codes[codes >= KNOWN] - KNOWN, 3, known)
+    return as_bytes(codes[codes < KNOWN], cuts - known, 6), as_bytes(codes[codes >= KNOWN] - KNOWN, known, 3)
 
 
 def decoded(rare, common) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and codes of the sets that encoded() made."""
-    (n, x), (m, y) = whole(rare, 6), whole(common, 3)
+    (n, x), (m, y) = from_bytes(rare, 6), from_bytes(common, 3)
     cuts = np.concatenate(([0], np.cumsum(n + m)))
     out, first = np.empty(cuts[-1], np.uint64), np.repeat(np.arange(len(n)), n)
     is_rare = np.zeros(cuts[-1], bool)
@@ -531,17 +542,21 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     found = runs.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(lambda it: met(it, percent, parts, partners), MET)
     found = scratch.keep(found, "met")
     pairs = found.filter("part is not null").select("part", "data").repartitionById(parts, F.col("part")).mapInPandas(pairs_of, "x long, y long")
-    side = lambda k: classes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k))
+    pairs = scratch.keep(pairs, "pairs")
+    crowd = found.filter("key is not null").select("key", (F.col("uid") >= 0).alias("further"), F.when(F.col("uid") < 0, -1 - F.col("uid")).otherwise(F.col("uid")).alias("uid"))
+    # few classes are in any pair, so that their sets are picked out once
+    compared = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).union(crowd.select("uid")).distinct()
+    sets = scratch.keep(classes.join(compared, "uid", "left_semi"), "sets")
+    side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k))
     both = pairs.join(side("x"), "x").join(side("y"), "y").filter(similar(percent)("rare_x", "common_x", "rare_y", "common_y"))
     before = F.struct("doc_x", "mark_x", "line_x") < F.struct("doc_y", "mark_y", "line_y")
     gone = settled(both.select(F.when(before, F.col("y")).otherwise(F.col("x")).alias("uid")).distinct())
 
     # classes that stay, and share a run with more classes than those that they were paired with, meet all of these
-    crowd = found.filter("key is not null").select("key", (F.col("uid") >= 0).alias("further"), F.when(F.col("uid") < 0, -1 - F.col("uid")).otherwise(F.col("uid")).alias("uid"))
     left = settled(crowd.filter("further").select("key", "uid").distinct().join(gone, "uid", "left_anti"))
     if not left.isEmpty():
         rows = crowd.select("key", "uid").distinct().join(left.select("key").distinct(), "key", "left_semi").join(left.withColumn("asked", F.lit(True)), ["key", "uid"], "left").fillna(False, ["asked"])
-        rows = rows.join(classes, "uid").withColumn("n", words)
+        rows = rows.join(sets, "uid").withColumn("n", words)
         near = rows.repartition("key").sortWithinPartitions("key", "n")
         gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "uid long").distinct()))
     out = settled(classes.join(gone.distinct(), "uid", "left_semi").select("doc", "mark", "line").union(repeats).distinct())
