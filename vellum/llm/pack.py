@@ -2,29 +2,31 @@
 
 The cost of a piece of n tokens is estimated as linear * n + quadratic * n * n, as attention grows with the square of
 a segment and all else with its length. Whole runs of `capacity` tokens make sequences of their own. The rests are
-dealt over groups of bounded size; in a group, pieces go in descending order to the sequence of lowest cost that can
+gathered in groups of bounded size; in a group, pieces go in descending order to the sequence of lowest cost that can
 still hold them. What fits nowhere whole is cut to fill the room that is left, so that a group pads fewer than
-`capacity` tokens in all.
+`capacity` tokens in all. Groups are formed where the documents are read, so that nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import small_batches
 
-#: Documents that are packed together, on average. A group holds one rest of less than `capacity` tokens of each.
+#: Documents that are packed together at most. A group holds one rest of less than `capacity` tokens of each.
 GROUP_DOCS = 4096
 END_ID = 1
 SPECIAL = "<|endoftext|>"
-COLUMNS = ["doc_id", "group", "start", "doc_tokens", "ids"]
+PIECE = "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
@@ -87,22 +89,39 @@ def balanced(lengths: list[int], capacity: int, linear: float, quadratic: float)
     return out
 
 
-def encoded(batches: Iterator[pd.DataFrame], paths: tuple[str, str, str], capacity: int) -> Iterator[pd.DataFrame]:
-    """A row for each whole run of capacity tokens, which is final but for its sequence, and one for the rest, with its ids."""
-    encode = Encoder(*paths)
+def packed(batches: Iterator[pd.DataFrame], paths: tuple[str, str, str], capacity: int, linear: float, quadratic: float, group_docs: int) -> Iterator[pd.DataFrame]:
+    """PIECE rows of a task's documents. Sequences are numbered within the task, and by the task."""
+    encode, names = Encoder(*paths), [x.split()[0] for x in PIECE.split(", ")]
+    number = itertools.count(TaskContext.get().partitionId() << 32)
+    rests: list[tuple] = []
+
+    def group() -> Iterator[tuple]:
+        ids_of = {}
+        used: dict[int, int] = {}
+        for i, at, size, k in balanced([len(r[2]) for r in rests], capacity, linear, quadratic):
+            doc_id, start, ids, total = rests[i]
+            if k not in ids_of:
+                ids_of[k] = next(number)
+            yield doc_id, start + at, size, ids[at : at + size].tobytes(), total, ids_of[k], used.get(k, 0)
+            used[k] = used.get(k, 0) + size
+        rests.clear()
+
+    rows: list[tuple] = []
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, text, group in zip(batch["doc_id"], batch["text"], batch["group"], strict=True):
-            ids = np.array([*encode(text or ""), END_ID], "<u4")
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            ids = np.array([*encode(text or ""), END_ID], "<u2")
             whole = len(ids) // capacity * capacity
-            rows += [(doc_id, group, s, len(ids), ids[s : s + capacity].astype("<u2").tobytes()) for s in range(0, whole, capacity)]
+            rows += [(doc_id, s, capacity, ids[s : s + capacity].tobytes(), len(ids), next(number), 0) for s in range(0, whole, capacity)]
             if whole < len(ids):
-                rows.append((doc_id, group, whole, len(ids), ids[whole:].astype("<u2").tobytes()))
+                rests.append((doc_id, whole, ids[whole:], len(ids)))
+            if len(rests) >= group_docs:
+                rows += group()
             if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield pd.DataFrame(rows, columns=names)
                 rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=COLUMNS)
+    rows += group()
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 6144, group_docs: int = GROUP_DOCS, paths: tuple[str, str, str] | None = None) -> DataFrame:
@@ -110,32 +129,16 @@ def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic:
 
     A null text is empty and so is a document of the end id alone; repeated rows are packed as often as they occur; a
     null doc_id stays null; an empty table gives no pieces. Only doc_id and text are read, so other columns can't clash.
-    ids holds the token ids as little-endian unsigned 16-bit values. Documents are dealt to groups at random, as one
-    source, or one repeated row, may hold a third of the table.
+    ids holds the token ids as little-endian unsigned 16-bit values. A very long text is encoded whole and cut into runs. Of
+    pieces of equal size the one read first goes first, and of sequences of equal cost the first takes it. A group has at most
+    group_docs documents of one task, whichever source they are of; small tasks are joined, so that few groups stay small.
     """
     small_batches(docs.sparkSession)
     paths = paths or vocabulary()
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    dealt = docs.select(F.col("doc_id").cast("string"), "text", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).alias("group"))
-    tokens = dealt.mapInPandas(lambda it: encoded(it, paths, capacity), "doc_id string, group long, start long, doc_tokens long, ids binary")
-
-    def packed(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start", "doc_tokens", "ids"], kind="stable", ignore_index=True)
-        size = (pieces["ids"].str.len() // 2).tolist()
-        whole, rests = [i for i, n in enumerate(size) if n == capacity], [i for i, n in enumerate(size) if n < capacity]
-        placed = [(i, 0, capacity, k) for k, i in enumerate(whole)]
-        placed += [(rests[i], s, n, len(whole) + k) for i, s, n, k in balanced([size[i] for i in rests], capacity, linear, quadratic)]
-        used: dict[int, int] = {}
-        rows = []
-        doc_ids, starts, totals, ids = (pieces[c].tolist() for c in ("doc_id", "start", "doc_tokens", "ids"))
-        for i, s, n, k in placed:
-            at = used.get(k, 0)
-            used[k] = at + n
-            rows.append((doc_ids[i], starts[i] + s, n, ids[i][2 * s : 2 * (s + n)], totals[i], (int(key[0]) << 32) + k, at))
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").coalesce(groups)
     # ids pass through pandas as strings, where a null would turn whole numbers into floating ones
-    pieces = tokens.groupBy("group").applyInPandas(packed, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = texts.mapInPandas(lambda it: packed(it, paths, capacity, linear, quadratic, group_docs), PIECE)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
