@@ -260,13 +260,23 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each component: the one whose id is the component's.
+    """docs with one row of each group of near-duplicates: the first by (doc_id, hash of the text).
 
-    Rows without an id stay. Of several rows with one id a single one stays, the least by text. docs may have further
-    columns of any name.
+    Each row is judged by its own text: of rows that share an id, those stay whose texts resemble no earlier one, and repeated
+    rows are copies of each other, of which one stays. Rows without an id come last, so that one whose text resembles that of
+    a row with an id goes. Null, empty and wordless texts resemble nothing and all stay. A very long text is compared whole. docs
+    may have further columns of any name; an empty table gives no rows.
     """
-    kept = settled(digest(component_table(docs, percent)).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    only = lambda where: docs.join(kept.filter(where).select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = only("rows > 1").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("__row"))
-    return docs.filter("doc_id is null").unionByName(only("rows = 1")).unionByName(least.select("__row.*"))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    # a number for each row, by which rows are linked; it must not change, so the rows are written
+    rows = scratch.keep(docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = component_table(rows.select(F.col("__row").alias("doc_id"), "text"), percent)
+    several = groups.filter("component_id is not null").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    linked = settled(groups.join(several, "component_id").select(F.col("doc_id").alias("__linked"), F.col("component_id").alias("__of")))
+    places = rows.select("doc_id", F.xxhash64("text").alias("__mark"), "__row").join(linked, F.col("__row") == F.col("__linked"))
+    place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), F.col("__mark").alias("m"), F.col("__row").alias("r"))
+    first = places.groupBy("__of").agg(F.min(place).alias("first")).select("first.r")
+    gone = settled(linked.select("__linked").join(first, F.col("__linked") == F.col("r"), "left_anti"))
+    return rows.join(gone, F.col("__row") == F.col("__linked"), "left_anti").drop("__row")
+
+
