@@ -13,20 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import run_hashes, settled, small_batches
 
-#: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id, and on words
-#: of at most WORD_CHARS letters of them, of which it keeps the SAMPLE_WORDS most frequent. So its size is bounded. Longer
-#: runs of letters are no words, but their n-grams count. Languages beyond the SAMPLE_LANGS most frequent are one, OTHER.
-SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_GRAMS, SAMPLE_LANGS = 1500, 40_000, 20_000, 64
-WORD_CHARS = 40
+#: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id. Every language is
+#: learned. The most frequent words and n-grams of each language are kept, so many in all as long as each language has FEWEST.
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_GRAMS, FEWEST = 1500, 40_000, 20_000, 400
 ORDERS = (5, 4, 3, 2, 1)
 #: An unseen word is weaker evidence than a known one.
 GRAM_WEIGHT = 0.5
-UNKNOWN, OTHER = "und", "other"
+UNKNOWN = "und"
 #: Places whose scores are summed at a time.
 PLACES = 1 << 16
 #: Runs of letters; numerals such as \u00b2, which \\w has as well, make the slower exact pattern decide.
@@ -47,8 +45,8 @@ def grams(word: str, order: int) -> list[str]:
     return [w[i : i + order] for i in range(len(w) - order + 1)]
 
 
-#: Unseen words whose scores a worker remembers; it starts anew beyond, which changes no result.
-REMEMBERED = 100_000
+#: Unseen words, and scores of these, that a worker remembers at most; it starts anew beyond, which changes no result.
+REMEMBERED, CELLS = 100_000, 1 << 24
 
 
 class Model:
@@ -57,7 +55,8 @@ class Model:
     def __init__(self, langs: list[str], words: list[str], scores: np.ndarray, grams: list[str], gram_scores: np.ndarray):
         self.langs, self.words, self.known, self.grams = langs, words, len(words), grams
         self.row = {w: k for k, w in enumerate(words)}
-        self.scores = np.zeros((self.known + REMEMBERED, len(langs)), np.float32)
+        self.most = max(1000, min(REMEMBERED, CELLS // max(1, len(langs))))
+        self.scores = np.zeros((self.known + self.most, len(langs)), np.float32)
         self.scores[: self.known] = scores
         self.gram_scores = np.asarray(gram_scores, np.float32)  # the last row is that of an unknown letter
         hashes = np.array([self.hashed(g, [0], [len(g)])[0] for g in grams], np.uint64)
@@ -99,9 +98,9 @@ class Model:
         return GRAM_WEIGHT * sums / places[:, None]
 
     def rows(self, words: list[str]) -> list[int]:
-        """The rows in `scores` of at most REMEMBERED words."""
+        """The rows in `scores` of at most self.most words."""
         new = [w for w in words if w not in self.row and w not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
+        if len(self.memory) + len(new) > self.most:
             self.memory.clear()
             new = [w for w in words if w not in self.row]
         if new:
@@ -111,15 +110,15 @@ class Model:
         return [self.row[w] if w in self.row else self.memory[w] for w in words]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the posterior over languages, between 0 and 1."""
+        """The language and its share of the posterior over languages, between 0 and 1; of equals the first by name."""
         found = tokens(text) if text else []
         if not found or not self.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
         count = Counter(found)
         words, times = list(count), np.array(list(count.values()), float)
-        for k in range(0, len(words), REMEMBERED):
-            total += times[k : k + REMEMBERED] @ self.scores[self.rows(words[k : k + REMEMBERED])]
+        for k in range(0, len(words), self.most):
+            total += times[k : k + self.most] @ self.scores[self.rows(words[k : k + self.most])]
         total *= min(1.0, 30 / len(found))  # words of a text depend on each other: beyond 30, only their mean counts
         p = np.exp(total - total.max())
         best = int(p.argmax())
@@ -134,7 +133,7 @@ def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, lang in zip(batch["text"], batch["lang"], strict=True):
             runs[lang].update(tokens(text))
         for lang, of in runs.items():
-            found[lang, 0].update({w: k for w, k in of.items() if len(w) <= WORD_CHARS})
+            found[lang, 0].update(of)
             for word, k in of.items():
                 for order in ORDERS:
                     table = found[lang, order]
@@ -148,22 +147,21 @@ def fit(docs: DataFrame) -> Model:
     """A model from the text and non-null lang of docs(doc_id, text, lang), without the held-out rows.
 
     Per language, rows are chosen whose id's hash is below a threshold that depends on the language's row count alone.
-    Word and n-gram tables are cut to the most frequent entries over all languages, so that what is sent to the driver
-    and to each worker is bounded whatever the corpus holds. Languages beyond the bound are learned and predicted as OTHER.
+    Word and n-gram tables are cut to the most frequent entries of each language, so that what is sent to the driver and to
+    each worker grows with the number of languages only; ties go by the entry itself.
     """
     train = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    named = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS + 1).collect()]
-    if len(named) > SAMPLE_LANGS:
-        train = train.withColumn("lang", F.when(F.col("lang").isin(named[:SAMPLE_LANGS]), F.col("lang")).otherwise(OTHER))
-    sizes = train.groupBy("lang").count()
+    sizes = settled(train.groupBy("lang").count())
+    languages = max(1, sizes.count())
     share = sizes.select("lang", (F.lit(SAMPLE_ROWS) / F.col("count")).alias("share"))
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = train.join(F.broadcast(share), "lang").filter(bucket < F.col("share")).select("text", "lang")
     counted = sample.mapInPandas(counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    by_item = settled(counted.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("total")))
-    rows = []
-    for kind in (0, *ORDERS):
-        rows += by_item.filter((F.col("kind") == kind) & (F.col("total") > 1)).orderBy(F.desc("total"), "item").limit(SAMPLE_GRAMS if kind else SAMPLE_WORDS).collect()
+    of_item, of_lang = Window.partitionBy("kind", "item"), Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
+    several = settled(counted.withColumn("total", F.sum("n").over(of_item)).filter("total > 1").drop("total"))
+    quota = F.when(F.col("kind") > 0, max(FEWEST, SAMPLE_GRAMS // languages)).otherwise(max(FEWEST, SAMPLE_WORDS // languages))
+    kept = several.withColumn("nth", F.row_number().over(of_lang)).filter(F.col("nth") <= quota).select("kind", "item").distinct()
+    rows = several.join(kept, ["kind", "item"]).groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).orderBy("kind", "item").collect()
     langs = sorted({lang for r in rows for lang in r["by_lang"]})
     totals = {kind: np.zeros(len(langs)) for kind in (0, *ORDERS)}
     raw: dict[int, dict[str, np.ndarray]] = {kind: {} for kind in totals}
