@@ -30,7 +30,8 @@ GRID = (20, 50, 100, 200, 300, 400, 600, 800)
 ALPHA, DELTA = 0.05, 0.05
 #: The best cutoff is sought; a good text that is rejected counts as so many bad ones that are kept
 COST = 20
-LANGS = ("en", "de", "fr", "es")
+#: A language is a stratum of its own from so many labelled good texts on, of which half can certify rules; others share one.
+LEAST_GOOD, OTHER = 250, "other"
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, capital_share int, long_word_share int, short_line_share int"
 
@@ -74,9 +75,9 @@ def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def signals(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum and signals for every row of docs(doc_id, text, lang), in thousandths."""
+    """doc_id, lang and signals for every row of docs(doc_id, text, lang), in thousandths."""
     measure_of = F.pandas_udf(measured, SCHEMA)
-    m = docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), measure_of("text").alias("m")).select("doc_id", "stratum", "m.*")
+    m = docs.select("doc_id", "lang", measure_of("text").alias("m")).select("doc_id", "lang", "m.*")
     n = F.greatest("n_words", F.lit(1))
     return m.select(
         "*",
@@ -86,9 +87,14 @@ def signals(docs: DataFrame) -> DataFrame:
     )
 
 
-def stratum(lang: Column) -> Column:
-    """Strata are the known languages and `other`, so that their number is fixed."""
-    return F.when(lang.isin(*LANGS), lang).otherwise(F.lit("other"))
+def strata(labelled: DataFrame) -> list[str]:
+    """The languages with LEAST_GOOD good texts or more among labelled(lang, quality): at most one for so many labels."""
+    good = labelled.filter("quality = 1 AND lang IS NOT NULL").groupBy("lang").count()
+    return sorted(r["lang"] for r in good.filter(F.col("count") >= LEAST_GOOD).collect())
+
+
+def stratum(lang: Column, langs: list[str]) -> Column:
+    return F.when(lang.isin(*langs), lang).otherwise(F.lit(OTHER)) if langs else F.lit(OTHER)
 
 
 def failed() -> Column:
@@ -111,7 +117,8 @@ def certified(rejected: int, n: int, alpha: float, error: float) -> bool:
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """{stratum: {rule: cutoff}} from labelled rows: doc_id, stratum, the rules' signals and quality 0 or 1.
 
-    All labelled rows are counted on the executors; the driver gets strata * rules * cutoffs counts, a fixed number.
+    All labelled rows are counted on the executors; the driver gets strata * rules * cutoffs counts. Of equal gains the higher
+    cutoff, which rejects less, is taken, and rules of equal gain go by their cutoffs and names, last first.
     """
     over = [F.sum(((F.col(r) > c) & (F.col("quality") == q)).cast("long")).alias(f"{r}:{c}:{q}") for r in RULES for c in GRID for q in (0, 1)]
     half = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(2))
@@ -129,7 +136,7 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
             for rule, c in of[:k]:
                 any_of = any_of | ((F.col("stratum") == s) & (F.col(rule) > c))
         joint.append(F.count_if(any_of).alias(f"first{k}"))
-    error = delta / (len(LANGS) + 1) / len(RULES)
+    error = delta / max(1, len(counts)) / len(RULES)
     out: dict[str, dict[str, int]] = {}
     for row in known.filter("half = 1 AND quality = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *joint).collect():
         of = chosen.get(row["stratum"], [])
@@ -144,12 +151,16 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
     labels(doc_id, quality) may cover some rows; those with a null id or quality count for nothing, and without labels
     no rule has a cutoff, so that the base rules alone decide. Null and empty texts have no words and fail the base
-    rules. A repeated row gets a verdict each time. Only the named columns are read, so others can't clash.
+    rules; a very long text is measured whole. A repeated row gets a verdict each time, and of several labels of a document
+    the lowest counts. Only the named columns are read, so others can't clash.
     """
     small_batches(docs.sparkSession)
     found = settled(signals(docs))
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    limits = cutoffs(found.filter(~failed()).join(known, "doc_id"), alpha, delta)
+    labelled = settled(found.filter(~failed()).join(known, "doc_id"))
+    langs = strata(labelled)
+    found = found.withColumn("stratum", stratum(F.col("lang"), langs))
+    limits = cutoffs(labelled.withColumn("stratum", stratum(F.col("lang"), langs)), alpha, delta)
     broken = [
         F.when((F.col("stratum") == s) & (F.col(rule) > cut), F.lit(rule)) for s, of in sorted(limits.items()) for rule, cut in sorted(of.items())
     ]
