@@ -1,18 +1,24 @@
 """Sharding by fixed virtual slots [native: DataFrame functions only].
 
 Records are hashed into thousands of slots, bytes are summed per slot, and a small versioned map from slots to shards
-says where each slot lives. Only the map is edited when shards are rebalanced or added; records never hash anew.
-A slot that one hot key has made large is split by salt, and the map then holds its parts.
+says where each slot lives. The map is stored, a folder a version, and a later run loads it: records stay where they are.
+Only the map is edited when shards are rebalanced or added; records never hash anew. A slot that one hot key has made large
+is split by salt, and the map then holds its parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch
+from vellum.llm.common import Scratch, base_dir, settled
 
 SLOTS = 4096
+#: A shard gives up slots once it holds so much more than an even shard.
+TOLERANCE = 0.01
+MAP = "vslot int, part int, bytes long, n long, shard int"
 #: Parts of a hot slot. A slot is hot if it outweighs a quarter of an even shard, so fewer than 4 per shard are.
 PARTS = 64
 PER_RECORD = 16
@@ -44,20 +50,81 @@ def slot_loads(parted: DataFrame) -> DataFrame:
 
 
 def build_map(loads: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the map (version, vslot, part, bytes, n, shard): descending slots, each to the lightest shard.
+    """Version 1 of the map (version, vslot, part, bytes, n, shard): all slots of loads are dealt out."""
+    units = loads.select("vslot", "part", "bytes", "n", F.lit(None).cast("int").alias("shard"), F.lit(True).alias("leaves"))
+    return dealt(units, shards).select(F.lit(1).alias("version"), "*")
+
+
+def dealt(units: DataFrame, shards: int) -> DataFrame:
+    """(vslot, part, bytes, n, shard): slots that leave go, the largest first, to the shard that is lightest then, the first of equals.
 
-    The greedy choice is a fold over one array of bounded length, so it stays one SQL expression.
+    units has at most SLOTS + 4 * PARTS * shards rows, whatever the input, so the choice is a fold over one array and stays
+    one SQL expression. Slots of equal size go by number.
     """
-    units = loads.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("b"), "vslot", "part", "n"))).alias("units"))
-    folded = units.select("units", F.expr(f"""
-        aggregate(units, named_struct('loads', array_repeat(0L, {int(shards)}), 'at', 0L, 'picks', cast(array() as array<int>)),
+    all_ = units.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("b"), "vslot", "part", "n", "shard", "leaves"))).alias("all"))
+    folded = all_.select("all", F.expr("filter(all, u -> u.leaves)").alias("units")).select("all", "units", F.expr(f"""
+        aggregate(units, named_struct('loads', transform(sequence(0, {int(shards) - 1}), i -> aggregate(filter(all, u -> not u.leaves and u.shard = i), 0L, (x, u) -> x - u.b)), 'picks', cast(array() as array<int>)),
           (acc, u) -> named_struct(
             'loads', transform(acc.loads, (x, i) -> if(i = array_position(acc.loads, array_min(acc.loads)) - 1, x - u.b, x)),
-            'at', acc.at + 1,
             'picks', concat(acc.picks, array(cast(array_position(acc.loads, array_min(acc.loads)) - 1 as int)))),
           acc -> acc.picks)""").alias("picks"))
-    placed = folded.select(F.explode(F.arrays_zip("units", "picks")).alias("u"))
-    return placed.select(F.lit(1).alias("version"), "u.units.vslot", "u.units.part", (-F.col("u.units.b")).alias("bytes"), "u.units.n", F.col("u.picks").alias("shard"))
+    new = folded.select(F.explode(F.arrays_zip("units", "picks")).alias("u")).select("u.units.vslot", "u.units.part", (-F.col("u.units.b")).alias("bytes"), "u.units.n", F.col("u.picks").alias("shard"))
+    return units.filter("not leaves").select("vslot", "part", "bytes", "n", "shard").unionByName(new)
+
+
+def edited(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
+    """The next version of a map, for loads as they are now.
+
+    Slots stay in their shard, but those that a shard over TOLERANCE gives up, in hash order and while they fit in what is
+    over, and those that are new or whose shard isn't there any more. They go, the largest first, to the lightest shard.
+    """
+    last = slot_map.select("version", "vslot", "part", F.when(F.col("shard") < shards, F.col("shard")).alias("shard"))
+    known = loads.join(F.broadcast(last.drop("version")), ["vslot", "part"], "left")
+    by_shard = Window.partitionBy("shard")
+    order = by_shard.orderBy(F.xxhash64("vslot", "part"), "vslot", "part").rowsBetween(Window.unboundedPreceding, 0)
+    total = loads.agg((F.sum("bytes") / shards).alias("fair"))
+    over = F.sum("bytes").over(by_shard) - F.col("fair")
+    leaves = F.col("shard").isNull() | (over > TOLERANCE * F.col("fair")) & (F.sum("bytes").over(order) <= over)
+    units = settled(known.join(F.broadcast(total)).withColumn("leaves", leaves).select("vslot", "part", "bytes", "n", "shard", "leaves"))
+    version = last.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
+    return dealt(units, shards).join(F.broadcast(version)).select("version", "vslot", "part", "bytes", "n", "shard")
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions of the map in a folder, those that were written whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [f.getPath() for f in files.listStatus(path)]
+    return sorted(int(p.getName().rpartition("-")[2]) for p in found if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """A version of the map, the last unless given; None if the folder has none."""
+    there = versions(spark, folder)
+    return spark.read.schema("version int, " + MAP).parquet(f"{folder}/version-{version or there[-1]:06d}") if there else None
+
+
+def store_map(slot_map: DataFrame, folder: str, version: int) -> DataFrame:
+    """Writes a map as a version of the folder's, and reads it. Versions are never written over."""
+    slot_map.withColumn("version", F.lit(version)).coalesce(1).write.parquet(f"{folder}/version-{version:06d}")
+    return load_map(slot_map.sparkSession, folder, version)
+
+
+def current_map(loads: DataFrame, shards: int, folder: str | None) -> DataFrame:
+    """The stored map, edited for the loads and stored anew if slots have to move or are new; else a map of its own."""
+    if folder is None:
+        return settled(build_map(loads, shards))
+    there = versions(loads.sparkSession, folder)
+    if not there:
+        return store_map(settled(build_map(loads, shards)), folder, 1)
+    last = load_map(loads.sparkSession, folder, there[-1])
+    made = settled(edited(last, loads, shards))
+    where = ["vslot", "part", "shard"]
+    if made.select(where).join(last.select(where), where, "left_anti").isEmpty():
+        return made.withColumn("version", F.lit(there[-1]))  # as it was; bytes and rows are today's
+    return store_map(made, folder, there[-1] + 1)
 
 
 def grow(slot_map: DataFrame, shards: int) -> DataFrame:
@@ -84,18 +151,23 @@ def place(parted: DataFrame, slot_map: DataFrame) -> DataFrame:
     return parted.withColumn("rank", rank).join(F.broadcast(lookup), ["vslot", "part"]).withColumn("slot", F.col("base") + F.col("rank") - 1)
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, vslot, part, version) for every row of docs(doc_id, text).
 
-    Sizes of shards come out nearly equal (law `bytes`); a text larger than an even shard can't be halved. Null texts
-    have no bytes, null ids share a slot, repeated rows are placed as often as they occur, an empty table gives no
-    rows. No other column is read, so names can't clash.
+    Sizes of shards come out nearly equal (law `bytes`); a text larger than an even shard can't be halved. With a folder, its
+    map is used, edited and stored as a new version where the table has changed. Null texts have no bytes, null ids share a slot,
+    repeated rows are placed as often as they occur and in no order among each other, a very long text counts whole, an empty
+    table gives no rows. No other column is read, so names can't clash.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(records(docs, slots), "records")
     parted = with_parts(rows, shards)
-    slot_map = scratch.keep(build_map(slot_loads(parted), shards), "map")
-    return place(parted, slot_map).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot", "part", "version")
+    return place(parted, current_map(slot_loads(parted), shards, folder)).select("doc_id", "size", "text_crc32", "shard", "slot", "vslot", "part", "version")
+
+
+def folder_of(spark: SparkSession, name: str) -> str:
+    """Where maps of that name are stored: in the cluster's shared folder."""
+    return f"{base_dir(spark)}/slot-maps/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
 
 
 def digest(placed: DataFrame) -> DataFrame:
