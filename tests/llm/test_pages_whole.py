@@ -38,3 +38,60 @@ def test_articles_are_chosen_by_ratio():
     page = "<main><article><h2>One</h2>" + BODY + "</article><article><h2>Two</h2>" + BODY + "</article><article><a href=1>Next</a></article></main>"
     text = html_main.main_text(page)
     assert text.count("number") == 8 and "Next" not in text
+
+
+def test_formulas_and_named_paragraphs_of_an_article_stay():
+    page = '<article><p>One <math><mi>x</mi><annotation encoding="tex">x</annotation></math> two.</p><p class="notice">A notice of the article itself.</p><p class="related-work">Related work.</p><p class="ad">Buy</p><div class="notice">Box</div></article>'
+    assert html_main.main_text(page) == "One x two.\nA notice of the article itself.\nRelated work."
+
+
+def test_pages_take_time_by_their_length():
+    """Elements left open, and ends without a start, cost no search through all that is open."""
+    import time
+
+    def seconds(n):
+        pages = ["<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<p>x" * n, "<body>" * n + "</head>" * n, "<td>" * n + "</li>" * n, "<li><b>" * n]
+        start = time.process_time()
+        for p in pages:
+            html_main.main_text(p)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16000) < 40 * max(seconds(1000), 0.005)
+
+
+def plain_main_text(blocks):
+    """The choice of regions by hand: ratios, Gaussian means, two clusters, whole regions."""
+    import math
+
+    ratio = [b[1] / max(1, b[2]) if b[4] else 0.0 for b in blocks]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratio[j]) for j in range(max(0, i - 3), min(len(ratio), i + 4))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    open_ = [(b, v) for b, v in zip(blocks, smooth, strict=True) if b[4]]
+    if not open_:
+        return ""
+    low, high = min(v for _, v in open_), max(v for _, v in open_)
+    while True:
+        near = [v for _, v in open_ if v < (low + high) / 2]
+        far = [v for _, v in open_ if v >= (low + high) / 2]
+        if not near or not far or (sum(near) / len(near), sum(far) / len(far)) == (low, high):
+            break
+        low, high = sum(near) / len(near), sum(far) / len(far)
+    regions = {b[3] for b, v in open_ if v >= (low + high) / 2 - 1e-9}
+    return "\n".join(b[0] for b, _ in open_ if b[3] in regions)
+
+
+def test_regions_are_chosen_as_by_a_plain_version():
+    import pandas as pd
+
+    from tests.conftest import DATA
+
+    pages = pd.read_parquet(f"{DATA}/sf0.01/pages.parquet").html.tolist()
+    for html in [*pages, "<div><a href=1>x</a> y</div><div>" + BODY + "</div><footer>z</footer>"]:
+        parser = html_main.Blocks()
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        assert html_main.main_text(html) == plain_main_text(parser.blocks)

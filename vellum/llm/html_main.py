@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,13 +28,14 @@ BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre "
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
-UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video select option textarea button input".split())
+UNSEEN = frozenset("script style head title noscript template iframe object svg annotation annotation-xml canvas audio video select option textarea button input".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset(("article", "main"))
 #: What can stand in a head. Anything else begins the body, whether the head was closed or not.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What the end of an element that needs no end tag looks like: the start of one of these.
 CLOSES = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
+CLOSED_BY = {tag: tuple(c for c, of in CLOSES.items() if tag in of) for tag in BLOCK}
 HOLDS = frozenset("article aside body div footer header html main nav section table ul ol dl form td th blockquote".split())
 #: Names in class, id or role that mark furniture.
 NAMED = re.compile(
@@ -42,8 +44,10 @@ NAMED = re.compile(
 )
 #: Of these, also what claims to be an article is none.
 NEVER = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|respond|related|recommended|sidebar|teasers?)(?:$|[\s_-])", re.I)
-#: In an article, a header holds its title.
+#: In an article, a header holds its title, and of what holds no further blocks only adverts are furniture: a paragraph named
+#: `notice` or `related-work` is the article's own.
 INSIDE = re.compile(NAMED.pattern.replace("header|masthead|", ""), re.I)
+ADVERT = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisement|promo|promotion|sponsor|sponsored|share|newsletter|subscribe|signup)(?:$|\s)", re.I)
 SIGMA, RADIUS = 1.0, 3
 
 
@@ -58,6 +62,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, int, int, bool]] = []  # element, region, state, whether nothing inside can be content
+        self.open: Counter[str] = Counter()
+        self.levels: list[tuple[str, Counter[str]]] = [("", Counter())]  # elements of HOLDS, and what is open in each: no search is in vain
         self.text: list[str] = []
         self.free = self.tags = self.links = self.hidden = self.regions = 0
 
@@ -72,16 +78,33 @@ class Blocks(HTMLParser):
             self.tags = 0
         self.text, self.free = [], 0
 
-    def pop(self, at: int) -> None:
-        for element, *_ in self.stack[at:]:
+    def push(self, element: str, *state) -> None:
+        self.hidden += element in UNSEEN
+        self.links += element == "a"
+        self.open[element] += 1
+        if element in HOLDS:
+            self.levels.append((element, Counter()))
+        else:
+            self.levels[-1][1][element] += 1
+        self.stack.append((element, *state))
+
+    def pop_to(self, elements: tuple[str, ...]) -> None:
+        """Closes what was opened last, up to one of these, which is open."""
+        while True:
+            element, *_ = self.stack.pop()
             self.hidden -= element in UNSEEN
             self.links -= element == "a"
-        del self.stack[at:]
+            self.open[element] -= 1
+            if element in HOLDS:
+                self.levels.pop()
+            else:
+                self.levels[-1][1][element] -= 1
+            if element in elements:
+                return
 
     def end_head(self) -> None:
-        at = next((k for k, (element, *_) in enumerate(self.stack) if element == "head"), None)
-        if at is not None:
-            self.pop(at)
+        if self.open["head"]:
+            self.pop_to(("head",))
 
     def parse_html_declaration(self, i: int) -> int:
         """Any <![ is a comment up to the next '>', as in browsers; the standard library raises on unknown ones."""
@@ -100,27 +123,22 @@ class Blocks(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        if tag in BLOCK:
-            for at in range(len(self.stack) - 1, -1, -1):
-                if tag in CLOSES.get(self.stack[at][0], ()):
-                    self.pop(at)
-                    break
-                if self.stack[at][0] in HOLDS:
-                    break
+        if ends := CLOSED_BY.get(tag):
+            holder, inside = self.levels[-1]
+            if holder in ends or any(inside[e] for e in ends):
+                self.pop_to(ends)
         region, state, never = self.state()
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
         outer = state
         if tag in MAIN or ("role", "main") in attrs:
             never = never or bool(NEVER.search(names))
             state = 0 if never else 3 if tag == "article" else max(2, outer)
-        elif tag in FURNITURE and not (tag == "header" and outer > 1) or hidden(attrs) or names and tag not in ("html", "body") and (INSIDE if outer > 1 else NAMED).search(names):
+        elif tag in FURNITURE and not (tag == "header" and outer > 1) or hidden(attrs) or names and tag not in ("html", "body") and (NAMED if outer <= 1 else INSIDE if tag in HOLDS else ADVERT).search(names):
             state, never = 0, never or tag == "aside" or bool(NEVER.search(names))
         if tag in HOLDS and not (state > 1 and state == outer):  # an article is one region
             self.regions += 1
             region = self.regions
-        self.hidden += tag in UNSEEN
-        self.links += tag == "a"
-        self.stack.append((tag, region, state, never))
+        self.push(tag, region, state, never)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -131,12 +149,8 @@ class Blocks(HTMLParser):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop(at)
-                return
-            if self.stack[at][0] in HOLDS and tag not in HOLDS:
-                return
+        if self.open[tag] if tag in HOLDS else self.levels[-1][1][tag]:  # others end nothing: they began outside, or never
+            self.pop_to((tag,))
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and data.strip():
@@ -188,8 +202,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
 
-    A null or empty page, or one without content, has an empty text. Ids and urls come out as they are, null or repeated;
-    an empty table gives no rows; other columns aren't read.
+    A null or empty page, or one without content, has an empty text. Blocks whose ratio equals the threshold are content. A very
+    long page is parsed whole, in time that grows with its length alone, however its elements are nested or left open. Ids and
+    urls come out as they are, null or repeated; an empty table gives no rows; other columns aren't read.
     """
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
