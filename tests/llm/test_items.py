@@ -60,3 +60,21 @@ def test_the_share_is_exact():
     equal = np.array(([True] * 3 + [False]) * 6)
     assert decontaminate.fullest_stretch(equal) == (0, 23)
     assert decontaminate.fullest_stretch(np.zeros(5, bool)) == (0, 0)
+
+
+def test_items_that_are_too_short_are_named(spark):
+    items = spark.createDataFrame([(1, "one two"), (2, None), (None, "a b c d"), (3, "a b c d e")], "item_id long, text string")
+    assert sorted((r.item_id or 0, r.n_words) for r in decontaminate.not_searched(items).collect()) == [(0, 4), (1, 2), (2, 0)]
+
+
+def test_hits_of_equal_words_are_found_at_once():
+    import time
+
+    import numpy as np
+
+    words = np.full(3000, 7, np.uint64)
+    index = decontaminate.Index({0: words})
+    start = time.process_time()
+    hits = index.hits(words)
+    assert {d for _, d in hits} == set(range(-2994, 2995)) and time.process_time() - start < 20
+    assert index.hits(words, most=1000) == hits

@@ -59,30 +59,40 @@ class Index:
 
     def __init__(self, items: dict[int, np.ndarray]):
         self.items, self.short = items, {}
-        parts: list[tuple[np.ndarray, int, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
         for item, hashes in items.items():
             if len(hashes) < max(map(len, MASKS)):  # a short item must be there whole
                 self.short.setdefault(len(hashes), {})[int(run_hashes(hashes, np.array([0]), np.array([len(hashes)]))[0])] = item
             for mask in MASKS:
                 h = seeds(hashes, mask)
-                parts.append((h, item, np.arange(len(h))))
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, _, _ in parts)])
+                parts.append((h, item, np.arange(len(h)), np.concatenate(([np.uint64(0)], h[:-1]))[: len(h)]))
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, *_ in parts)])
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), i) for h, i, _ in parts)])[order]
-        self.at = np.concatenate([np.zeros(0, np.int64), *(k for _, _, k in parts)])[order]
+        self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), i) for h, i, *_ in parts)])[order]
+        self.at = np.concatenate([np.zeros(0, np.int64), *(k for _, _, k, _ in parts)])[order]
+        self.before = np.concatenate([np.zeros(0, np.uint64), *(b for *_, b in parts)])[order]  # the item's seed one place before
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal): places where a document's window and an item's agree under a mask."""
+    def hits(self, hashes: np.ndarray, most: int = 1 << 20) -> set[tuple[int, int]]:
+        """(item, diagonal): places where a document's window and an item's agree under a mask.
+
+        Of hits that follow each other on a diagonal only the first is kept, so that long runs of equal words give few.
+        """
         found: set[tuple[int, int]] = set()
         for mask in MASKS:
             h = seeds(hashes, mask)
             p = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
             lo, hi = (np.searchsorted(self.hash, h[p], side) for side in ("left", "right"))
-            for k, a, b in zip(p[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                found.update((int(self.item[x]), k - int(self.at[x])) for x in range(a, b))
+            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            total, behind = np.cumsum(n), np.concatenate(([np.uint64(0xFFFFFFFFFFFFFFFF)], h[:-1]))[: len(h)]
+            for part in np.split(np.arange(len(p)), np.searchsorted(total, np.arange(most, total[-1], most)) if len(p) else []):
+                row = np.repeat(part, n[part])
+                at = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                first = self.before[at] != behind[p[row]]
+                row, at = row[first], at[first]
+                found.update(zip(self.item[at].tolist(), (p[row] - self.at[at]).tolist(), strict=True))
         return found
 
 
@@ -172,12 +182,23 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def not_searched(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
+    """(item_id, n_words) of the texts of benchmark(item_id, text) that are too short to be looked for, those without a word included."""
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = [len(words_of(folded(t).encode("utf-8", "replace"))[1]) for t in batch["text"]]
+            yield pd.DataFrame({"item_id": batch["item_id"], "n_words": n})[np.array(n, np.int64) < least]
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(short, "item_id string, n_words long").select(F.col("item_id").cast("long").alias("item_id"), "n_words")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, overlap_words, start_word, item_words): the best overlap of each document and test item.
 
     docs(doc_id, text), benchmark(item_id, text). Null, empty and wordless texts overlap with nothing, nor do items of
-    fewer than LEAST_ITEM words. All texts of an item are looked for, and the best overlap of any counts; items without an id
-    are one. Of equal overlaps the first counts; repeated rows count once. Empty tables on either side give no rows, null
+    fewer than LEAST_ITEM words, which not_searched() names. All texts of an item are looked for, and the best overlap of any
+    counts; items without an id are one. Very long texts are searched whole, piece by piece of several texts. Of equal overlaps the first counts; repeated rows count once. Empty tables on either side give no rows, null
     ids stay null, and other columns aren't read.
 
     A pass broadcasts the seeds of at most about BLOCK_WORDS words of test items; more items take more passes over the
@@ -190,6 +211,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that overlap with no test item. Each is judged by its own text."""
+    """The rows of docs, with all their columns, that overlap with no test item. Each is judged by its own text.
+
+    So of rows that share an id, or have none, only those go that overlap themselves. Null, empty and wordless texts stay, as
+    all do without test items; repeated rows go or stay together; an empty table gives no rows, and columns of any name are kept.
+    """
     hit = settled(found_overlaps(docs, benchmark).select(F.col("doc_id").cast("long").alias("__hit"), F.col("mark").alias("__mark")).distinct())
     return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__hit")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left_anti")
