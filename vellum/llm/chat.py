@@ -18,13 +18,16 @@ def head(role: Column) -> Column:
 
 
 def pairs(turns: DataFrame) -> DataFrame:
-    """One row (pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask, prompt_turns) for each pair of turns.
+    """One row (pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask, prompt_turns, has_preference) for each pair of turns.
+
+    A pair whose sides are equal is all prompt, with empty completions; has_preference is false for it, and training leaves it out.
 
     turns(pair_id, side 'chosen' or 'rejected', turn, role, text) may come in any order; a null role or text is empty.
     Turns are numbered anew by (turn, role, text), so gaps don't matter, and a repeated row is a repeated turn. A turn is
     common if both sides have the same role and text there and in all turns before. A side without further turns has an
     empty completion; a side that is missing has an empty prefix. Null pair ids form one pair. Turns with another side
-    are ignored, an empty table gives no rows and other columns aren't read.
+    are ignored, an empty table gives no rows and other columns aren't read. A very long text is rendered whole; a pair's turns
+    make one row, as the pair that is returned does.
     """
     clean = turns.filter(F.col("side").isin("chosen", "rejected")).select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("turn", "role", "text"))))
@@ -42,6 +45,7 @@ def pairs(turns: DataFrame) -> DataFrame:
         mask(rest("a")).alias("chosen_mask"),
         mask(rest("b")).alias("rejected_mask"),
         F.col("prompt_turns").cast("long").alias("prompt_turns"),
+        (F.col("prompt_turns") < F.greatest(F.size("a"), F.size("b"))).alias("has_preference"),
     )
 
 
@@ -62,7 +66,10 @@ def own_replies(conversations: DataFrame) -> DataFrame:
     """Turns of preference pairs that a plain table conversations(conv_id, turn, role, text) yields.
 
     Chosen is each conversation as it is; rejected is the same with its last assistant turn answered off the point, by
-    the assistant turn before it or, where there is none, by an echo of the turn before it (else by nothing).
+    the assistant turn before it or, where there is none, by an echo of the turn before it (else by nothing). Of turns with
+    one number the one whose text comes last counts. Without an assistant turn, or where the echo equals the reply, both sides
+    are equal. A null text is empty, a null role no assistant's; repeated rows are repeated turns; null ids are one conversation;
+    an empty table gives no rows, and other columns aren't read.
     """
     base = conversations.select("conv_id", "turn", "role", "text")
     last = base.filter(F.col("role") == REPLY).groupBy("conv_id").agg(F.max("turn").alias("last"))
@@ -81,4 +88,4 @@ def own_replies(conversations: DataFrame) -> DataFrame:
 
 def digest(formatted: DataFrame) -> DataFrame:
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return formatted.select(F.col("pair_id").alias("conv_id"), "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"), "prompt_turns")
+    return formatted.select(F.col("pair_id").alias("conv_id"), "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"), "prompt_turns", "has_preference")

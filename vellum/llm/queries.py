@@ -18,7 +18,7 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard.digest(shard.shard(table(spark, sf_dir, "documents"), 40))
+    return shard.digest(shard.shard(table(spark, sf_dir, "documents"), 40, folder=shard.folder_of(spark, f"{sf_dir}/documents/40")))
 
 
 def op3_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,30 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_pairs": OP4_SQL}
+    return {"op4_preference_pairs": OP4_SQL, "op10_line_similarity_join": OP10_SQL}
+
+
+#: Lines as sets of words; a later one goes if any earlier one is similar. Equal sets are one class, and classes of similar
+#: sizes are compared whole.
+OP10_SQL = """
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+sets AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+firsts AS (SELECT s, len(s) AS n, min(struct_pack(d := doc_id, k := k)) AS first FROM sets WHERE len(s) > 0 GROUP BY s),
+numbered AS (SELECT row_number() OVER (ORDER BY first) AS c, * FROM firsts),
+words AS (SELECT c, n, first, unnest(s) AS w FROM numbered),
+ranked AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY f, w) AS at FROM words JOIN (SELECT w, count(*) AS f FROM words GROUP BY w) USING (w)),
+prefix AS (SELECT c, n, w FROM ranked WHERE at <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs AS (SELECT DISTINCT x.c AS x, y.c AS y FROM prefix x JOIN prefix y ON x.w = y.w AND x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+near AS (SELECT y FROM pairs JOIN numbered a ON a.c = x JOIN numbered b ON b.c = y WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
+gone AS (
+  SELECT doc_id, k FROM sets JOIN firsts USING (s) WHERE struct_pack(d := doc_id, k := k) <> first
+  UNION SELECT (first).d, (first).k FROM numbered SEMI JOIN near ON y = c),
+by_doc AS (SELECT doc_id, list_sort(list(k)) AS ks FROM gone GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ks, i - 1)), chr(10)) END AS text,
+  coalesce(len(ks), 0)::BIGINT AS n_removed, coalesce(array_to_string(ks, ','), '') AS removed_lines
+FROM documents LEFT JOIN by_doc USING (doc_id)
+"""
 
 
 OP4_SQL = """
@@ -92,6 +115,6 @@ SELECT conv_id,
   coalesce(string_agg(rb, '' ORDER BY i) FILTER (i >= p), '') AS rejected,
   coalesce(string_agg((ea - 8 - length(a)  )::BIGINT::VARCHAR || '-' || (ea - 1)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (i >= p AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg((eb - 8 - length(b)  )::BIGINT::VARCHAR || '-' || (eb - 1)::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (i >= p AND role = 'assistant'), '') AS rejected_mask,
-  max(p)::BIGINT AS prompt_turns
+  max(p)::BIGINT AS prompt_turns, max(p) < count(*) AS has_preference
 FROM placed GROUP BY conv_id
 """
