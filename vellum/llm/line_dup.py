@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, blob, in_chunks, joined, mixed, run_hashes, settled, unblob, word_table
 
-PERCENT, RUN, PARTNERS = 80, 2, 2
+PERCENT, RUN, PARTNERS = 80, 2, 4
 #: So many of the most frequent words are broadcast, with their order, 8 bytes each. All others come before them, by hash.
 FREQUENT, SLOTS = 1 << 19, 1 << 22
 #: Steps of the logarithm by which words are ordered, to a doubling of their count.
@@ -35,6 +35,8 @@ ROWS, PER_TASK, RANGES = 1 << 21, 1 << 24, 8
 SEEN, FRAME = 100_000, 20_000
 #: Rows of one run of words from which on they needn't be held together.
 HOT = 64
+#: Rows of one run up to which it is looked up whether further ones pass the filters.
+HELD = 1024
 KNOWN, CODE = np.uint64(1 << 47), np.uint64((1 << 48) - 1)
 SALT = np.uint64(0xD6E8FEB86659FD93)
 LINE_END = 10
@@ -80,26 +82,38 @@ def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
             yield int(at[lo]), slice(lo, hi)
 
 
-def counted(batches: Iterator[pd.DataFrame], ranges: int, fewest: int) -> Iterator[pd.DataFrame]:
+def counted(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
     """(range, data): the words of a task's lines and how often they occur."""
 
     def handed(words: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame([(k, blob(words[x], counts[x])) for k, x in ranges_of(words, ranges)], columns=["range", "data"])
 
-    words, counts, size = [], [], 0
+    raw, size, words, counts = [], 0, [], []
+
+    def counted_now() -> None:
+        nonlocal size
+        x = np.sort(np.concatenate(raw))
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        words.append(x[first])
+        counts.append(np.diff(first, append=len(x)))
+        raw.clear()
+        size = 0
+
     for batch in batches:
-        for _, _, _, hashes in lines_of(batch["text"], fewest):
-            x, n = np.unique(hashes, return_counts=True)
-            words.append(x)
-            counts.append(n)
-            size += len(x)
+        for _, run in in_chunks(batch["text"]):
+            raw.append(word_table(joined(run)[0])[2])
+            size += len(raw[-1])
             if size > ROWS:
-                x, n = summed(words, counts)
-                words, counts, size = [x], [n], len(x)
-                if size > ROWS // 2:
-                    yield handed(x, n)
-                    words, counts, size = [], [], 0
+                counted_now()
+                if sum(map(len, words)) > 2 * ROWS:
+                    x, n = summed(words, counts)
+                    words, counts = [x], [n]
+                    if len(x) > ROWS:
+                        yield handed(x, n)
+                        words, counts = [], []
     if size:
+        counted_now()
+    if words:
         yield handed(*summed(words, counts))
 
 
@@ -126,10 +140,10 @@ def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from done()
 
 
-def frequent_words(texts: DataFrame, scratch: Scratch, most: int, fewest: int) -> np.ndarray:
+def frequent_words(texts: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
     """Hashes of at most so many words, rarest first: those of all the highest levels that they hold whole."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInPandas(lambda it: counted(it, parts * RANGES, fewest), "range int, data binary")
+    words = texts.mapInPandas(lambda it: counted(it, parts * RANGES), "range int, data binary")
     found = scratch.keep(words.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(levels, "level int, n long, data binary"), "words")
     chosen, total = [], 0
     for row in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
@@ -212,7 +226,7 @@ def decoded(rare, common) -> tuple[np.ndarray, np.ndarray]:
     return cuts, out
 
 
-LINE = "repeat boolean, a long, b long, doc long, mark long, line int, rare binary, common binary"
+LINE = "repeat boolean, a long, b long, doc long, mark long, line int, n int, rare binary, common binary"
 
 
 def scan(batches: Iterator[pd.DataFrame], frequent: bytes, fewest: int) -> Iterator[pd.DataFrame]:
@@ -244,7 +258,7 @@ def scan(batches: Iterator[pd.DataFrame], frequent: bytes, fewest: int) -> Itera
             kept = sets_of_lines(new, cuts, codes)
             rare[new], common[new] = (np.array([*x, None], object)[:-1] for x in encoded(*kept))
             a = np.where(new, a, mixed((ids[doc] + number).astype(np.uint64)).view(np.int64))  # a repeat belongs to no class any more
-            row = {"repeat": ~new, "a": a, "b": b, "doc": ids[doc], "mark": marks[doc], "line": number, "rare": rare, "common": common}
+            row = {"repeat": ~new, "a": a, "b": b, "doc": ids[doc], "mark": marks[doc], "line": number, "n": np.diff(cuts), "rare": rare, "common": common}
             waiting.append({c: v[~same] for c, v in row.items()})
             if sum(len(p["a"]) for p in waiting) >= FRAME:
                 yield framed()
@@ -323,12 +337,12 @@ def packed_runs(batches: Iterator[pd.DataFrame], percent: int, ranges: int) -> I
         yield handed()
 
 
-MET = "part int, data binary, key long, uid long"
+MET = "part int, data binary, key long, uid long, further boolean"
 
 
 def partnered(x: dict[str, np.ndarray], percent: int, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of shared keys, in the order of (key, doc, line, uid): pairs i, j of rows that pass the filters, with i one of the
-    first `partners` of its key; and which rows may have earlier partners than these.
+    first `partners` of its key; which rows may have earlier partners than these; and which rows these and their partners are.
     """
     first = np.concatenate(([True], x["key"][1:] != x["key"][:-1]))
     start = np.flatnonzero(first)
@@ -340,18 +354,35 @@ def partnered(x: dict[str, np.ndarray], percent: int, partners: int) -> tuple[np
         i.append(start[later] + k)
         j.append(later)
     i, j = np.concatenate(i), np.concatenate(j)
-    n, m, need = x["n"][i], x["n"][j], needed(x["n"][i], x["n"][j], percent)
-    before, behind = np.minimum(x["at"][i], x["at"][j]), np.minimum(n - x["at"][i], m - x["at"][j])
-    fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (before + behind >= need)  # length and positional filter
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = x["n"][i], x["n"][j]
+        before, behind = np.minimum(x["at"][i], x["at"][j]), np.minimum(n - x["at"][i], m - x["at"][j])
+        return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (before + behind >= needed(n, m, percent))  # length and positional filter
+
     tie = np.concatenate((~first[1:] & (x["doc"][1:] == x["doc"][:-1]) & (x["line"][1:] == x["line"][:-1]), [False]))  # one id, several texts
-    return i[fit], j[fit], np.repeat(size > partners + 1, size) & ((place > partners) | tie), np.repeat(size > partners + 1, size)
+    size, fit = np.repeat(size, size), fits(i, j)
+    further = (size > partners + 1) & ((place > partners) | tie)
+    # of keys of few rows it is known which others pass the filters, and only these and their partners go on
+    rows, met_again = np.flatnonzero(further & (size <= HELD) & ~tie), (size > HELD) | tie
+    width = place[rows] - partners
+    total = np.cumsum(width)
+    for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(1 << 20, total[-1], 1 << 20)) if len(rows) else []):
+        b = np.repeat(rows[part], width[part])
+        a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(width[part]) - width[part], width[part]))
+        pass_ = fits(a, b)
+        met_again[a[pass_]] = met_again[b[pass_]] = True
+        hit = np.bincount(np.searchsorted(rows[part], b[pass_]), minlength=len(part)) > 0
+        further[rows[part][~hit]] = False
+    tied = np.unique(x["key"][tie & (size > partners + 1)])
+    return i[fit], j[fit], further, (size > partners + 1) & (met_again | np.isin(x["key"], tied))
 
 
 def met(batches: Iterator[pd.DataFrame], percent: int, parts: int, partners: int) -> Iterator[pd.DataFrame]:
-    """MET rows from packed runs that come by range: packed pairs of classes (part: of the second one), and for the keys of more
-    classes than are paired all of these (key: null for those that can't have further partners before them)."""
+    """MET rows from packed runs that come by range: packed pairs of classes (part: of the second one); and rows of keys of more
+    classes than are paired: those that may have further partners before them, and these partners."""
     held: list[list[np.ndarray]] = []
     limit, at = 2 * ROWS, None
+    names = [c.split()[0] for c in MET.split(", ")]
 
     def done(last: bool) -> Iterator[pd.DataFrame]:
         """Handles what is held. Unless it is the range's last, keys of few rows are held on, and of others the first."""
@@ -396,9 +427,10 @@ def met(batches: Iterator[pd.DataFrame], percent: int, parts: int, partners: int
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             a, b, to = a[new], b[new], to[new]
             cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)])).tolist()
-            yield pd.DataFrame({"part": to[cuts[:-1]], "data": [blob(a[p:q], b[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)], "key": None, "uid": None})
+            yield pd.DataFrame({"part": to[cuts[:-1]], "data": [blob(a[p:q], b[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]}).reindex(columns=names)
         if crowded.any():
-            yield pd.DataFrame({"part": None, "data": None, "key": x["key"][crowded].view(np.int64), "uid": np.where(further, x["uid"], -1 - x["uid"])[crowded]})
+            row = {"key": x["key"].view(np.int64), "uid": x["uid"], "further": further}
+            yield pd.DataFrame({c: v[crowded] for c, v in row.items()}).reindex(columns=names)
 
     for batch in batches:
         for k, data in zip(batch["range"], batch["data"], strict=True):
@@ -466,7 +498,7 @@ def gathered(batches: Iterator[pd.DataFrame], least: int = 8192) -> Iterator[pd.
         yield pd.concat(waiting, ignore_index=True)
 
 
-def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 16, most: int = 1 << 17) -> Iterator[pd.DataFrame]:
+def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 4, most: int = 1 << 17) -> Iterator[pd.DataFrame]:
     """(uid) of the asked among rows (key, n, uid, asked, doc, mark, line, rare, common), sorted by (key, n), to which an earlier
     row of their key is similar.
 
@@ -526,16 +558,15 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
         raise ValueError(f"at {percent} % some similar lines share no run of {RUN} words")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
-    sent = spark.sparkContext.broadcast(frequent_words(texts, scratch, FREQUENT, fewest).tobytes())
+    sent = spark.sparkContext.broadcast(frequent_words(texts, scratch, FREQUENT).tobytes())
     lines = texts.mapInPandas(lambda it: scan(it, sent.value, fewest), LINE)
     placed = Window.partitionBy("a", "b").orderBy("doc", "mark", "line")
     ranked = lines.withColumn("later", F.col("repeat") | (F.rank().over(placed) > 1)).withColumn("nth", F.row_number().over(placed))
-    known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
+    known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", "n", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
     known = scratch.keep(known.withColumn("uid", F.monotonically_increasing_id()), "lines")
     classes, repeats = known.filter("not later").drop("later"), known.filter("later").select("doc", "mark", "line")
 
-    words = F.floor(F.octet_length("rare") / 6 + F.octet_length("common") / 3)
-    size = classes.agg(F.sum(words)).first()[0] or 0
+    size = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_TASK))
     partners = PARTNERS
     runs = classes.mapInPandas(lambda it: packed_runs(it, percent, parts * RANGES), "range int, data binary")
@@ -543,7 +574,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     found = scratch.keep(found, "met")
     pairs = found.filter("part is not null").select("part", "data").repartitionById(parts, F.col("part")).mapInPandas(pairs_of, "x long, y long")
     pairs = scratch.keep(pairs, "pairs")
-    crowd = found.filter("key is not null").select("key", (F.col("uid") >= 0).alias("further"), F.when(F.col("uid") < 0, -1 - F.col("uid")).otherwise(F.col("uid")).alias("uid"))
+    crowd = found.filter("key is not null").drop("part", "data")
     # few classes are in any pair, so that their sets are picked out once
     compared = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).union(crowd.select("uid")).distinct()
     sets = scratch.keep(classes.join(compared, "uid", "left_semi"), "sets")
@@ -552,11 +583,12 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     before = F.struct("doc_x", "mark_x", "line_x") < F.struct("doc_y", "mark_y", "line_y")
     gone = settled(both.select(F.when(before, F.col("y")).otherwise(F.col("x")).alias("uid")).distinct())
 
-    # classes that stay, and share a run with more classes than those that they were paired with, meet all of these
-    left = settled(crowd.filter("further").select("key", "uid").distinct().join(gone, "uid", "left_anti"))
+    # classes that stay, and may have further partners, meet all of these
+    left = settled(crowd.filter("further").join(gone, "uid", "left_anti").select("key", "uid").distinct())
     if not left.isEmpty():
-        rows = crowd.select("key", "uid").distinct().join(left.select("key").distinct(), "key", "left_semi").join(left.withColumn("asked", F.lit(True)), ["key", "uid"], "left").fillna(False, ["asked"])
-        rows = rows.join(sets, "uid").withColumn("n", words)
+        asked = left.select("uid").distinct().withColumn("asked", F.lit(True))
+        rows = crowd.select("key", "uid").join(left.select("key").distinct(), "key", "left_semi")
+        rows = rows.join(sets.join(asked, "uid", "left").fillna(False, ["asked"]), "uid")
         near = rows.repartition("key").sortWithinPartitions("key", "n")
         gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "uid long").distinct()))
     out = settled(classes.join(gone.distinct(), "uid", "left_semi").select("doc", "mark", "line").union(repeats).distinct())

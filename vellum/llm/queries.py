@@ -76,8 +76,8 @@ sets AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\
 firsts AS (SELECT s, len(s) AS n, min(struct_pack(d := doc_id, k := k)) AS first FROM sets WHERE len(s) > 0 GROUP BY s),
 numbered AS (SELECT row_number() OVER (ORDER BY first) AS c, * FROM firsts),
 words AS (SELECT c, n, first, unnest(s) AS w FROM numbered),
-ranked AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY f, w) AS at FROM words JOIN (SELECT w, count(*) AS f FROM words GROUP BY w) USING (w)),
-prefix AS (SELECT c, n, w FROM ranked WHERE at <= n - ceil(0.8 * n - 1e-9) + 1),
+ranked AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY f, w) AS place FROM words JOIN (SELECT w, count(*) AS f FROM words GROUP BY w) USING (w)),
+prefix AS (SELECT c, n, w FROM ranked WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
 pairs AS (SELECT DISTINCT x.c AS x, y.c AS y FROM prefix x JOIN prefix y ON x.w = y.w AND x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
 near AS (SELECT y FROM pairs JOIN numbered a ON a.c = x JOIN numbered b ON b.c = y WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
 gone AS (
