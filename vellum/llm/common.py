@@ -60,11 +60,11 @@ def word_table(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def in_chunks(texts: Iterable[str | None], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+def in_chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first, UTF-8 bytes of each) for runs of texts of about limit bytes; null is empty."""
     first, run, size = 0, [], 0
     for text in texts:
-        raw = text.encode("utf-8", "replace") if text else b""
+        raw = b"" if not text else text if isinstance(text, bytes) else text.encode("utf-8", "replace")
         if run and size + len(raw) > limit:
             yield first, run
             first, run, size = first + len(run), [], 0

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ PERCENT, RUN, PARTNERS = 80, 2, 4
 FREQUENT, SLOTS = 1 << 19, 1 << 22
 #: Steps of the logarithm by which words are ordered, to a doubling of their count.
 STEPS = 8
-#: Rows that a task packs, or takes apart, at a time; rows for each partition of the join, and ranges of keys in it.
-ROWS, PER_TASK, RANGES = 1 << 21, 1 << 24, 8
+#: Rows that a task packs, or takes apart, at a time, and words that it counts; rows for each partition of the join, and ranges of keys in it.
+ROWS, COUNTED, PER_TASK, RANGES = 1 << 19, 1 << 20, 1 << 24, 8
 #: Lines of which a task remembers the first place, and rows in a frame that it hands on.
 SEEN, FRAME = 100_000, 20_000
 #: Rows of one run of words from which on they needn't be held together.
@@ -82,11 +83,17 @@ def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
             yield int(at[lo]), slice(lo, hi)
 
 
-def counted(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
+def packed(rows) -> pa.RecordBatch:
+    """(range, data) rows."""
+    ranges, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
+
+
+def counted(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """(range, data): the words of a task's lines and how often they occur."""
 
-    def handed(words: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(k, blob(words[x], counts[x])) for k, x in ranges_of(words, ranges)], columns=["range", "data"])
+    def handed(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return packed((k, blob(words[x], counts[x])) for k, x in ranges_of(words, ranges))
 
     raw, size, words, counts = [], 0, [], []
 
@@ -100,15 +107,15 @@ def counted(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFra
         size = 0
 
     for batch in batches:
-        for _, run in in_chunks(batch["text"]):
+        for _, run in in_chunks(texts_of(batch)):
             raw.append(word_table(joined(run)[0])[2])
             size += len(raw[-1])
-            if size > ROWS:
+            if size > COUNTED:
                 counted_now()
-                if sum(map(len, words)) > 2 * ROWS:
+                if sum(map(len, words)) > COUNTED:
                     x, n = summed(words, counts)
                     words, counts = [x], [n]
-                    if len(x) > ROWS:
+                    if len(x) > COUNTED // 2:
                         yield handed(x, n)
                         words, counts = [], []
     if size:
@@ -143,7 +150,7 @@ def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def frequent_words(texts: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
     """Hashes of at most so many words, rarest first: those of all the highest levels that they hold whole."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInPandas(lambda it: counted(it, parts * RANGES), "range int, data binary")
+    words = texts.mapInArrow(lambda it: counted(it, parts * RANGES), "range int, data binary")
     found = scratch.keep(words.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(levels, "level int, n long, data binary"), "words")
     chosen, total = [], 0
     for row in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
@@ -183,7 +190,7 @@ def sets_of(cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), np.concatenate(parts)
 
 
-def as_bytes(values: np.ndarray, cuts: np.ndarray, width: int) -> list[bytes]:
+def as_bytes(values: np.ndarray, cuts: np.ndarray, width: int) -> np.ndarray:
     """The ascending values from cut to cut as the low bytes of their differences, those of equal weight together."""
     size = np.diff(cuts)
     row = np.repeat(np.arange(len(size)), size)
@@ -193,31 +200,32 @@ def as_bytes(values: np.ndarray, cuts: np.ndarray, width: int) -> list[bytes]:
     at, out = (width - 1) * cuts[row] + np.arange(len(row)), np.empty(width * len(row), np.uint8)
     for k in range(width):
         out[at + k * size[row]] = (steps >> np.uint64(8 * k)) & np.uint64(255)
-    raw, ends = out.tobytes(), (width * cuts).tolist()
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
 
 
-def from_bytes(parts, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and values of as_bytes()."""
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.array([len(x) // width for x in parts], np.int64)
+def from_bytes(raw: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Values of as_bytes(), so many for each size."""
     cuts, row = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
     at, steps = (width - 1) * cuts[row] + np.arange(len(row)), np.zeros(len(row), np.uint64)
     for k in range(width):
         steps |= raw[at + k * size[row]].astype(np.uint64) << np.uint64(8 * k)
     total = np.cumsum(steps)
-    return size, total - (total - steps)[cuts[row]] if len(row) else total
+    return total - (total - steps)[cuts[row]] if len(row) else total
+
 
+RARE, COMMON = 6, 3
 
-def encoded(cuts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Each set as the bytes of its rare words, 6 a word, and of its frequent ones, 3 a word."""
+
+def encoded(cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each set as bytes of its rare words, 6 a word, and of its frequent ones, 3 a word: sizes and bytes of both, set after set."""
     known = np.concatenate(([0], np.cumsum(codes >= KNOWN)))[cuts]
-    return as_bytes(codes[codes < KNOWN], cuts - known, 6), as_bytes(codes[codes >= KNOWN] - KNOWN, known, 3)
+    return RARE * np.diff(cuts - known), as_bytes(codes[codes < KNOWN], cuts - known, RARE), COMMON * np.diff(known), as_bytes(codes[codes >= KNOWN] - KNOWN, known, COMMON)
 
 
-def decoded(rare, common) -> tuple[np.ndarray, np.ndarray]:
+def decoded(rare_size: np.ndarray, rare: np.ndarray, common_size: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and codes of the sets that encoded() made."""
-    (n, x), (m, y) = from_bytes(rare, 6), from_bytes(common, 3)
+    n, m = rare_size // RARE, common_size // COMMON
+    x, y = from_bytes(rare, n, RARE), from_bytes(common, m, COMMON)
     cuts = np.concatenate(([0], np.cumsum(n + m)))
     out, first = np.empty(cuts[-1], np.uint64), np.repeat(np.arange(len(n)), n)
     is_rare = np.zeros(cuts[-1], bool)
@@ -226,23 +234,48 @@ def decoded(rare, common) -> tuple[np.ndarray, np.ndarray]:
     return cuts, out
 
 
+def of_objects(rare: pd.Series, common: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """decoded() for columns of bytes."""
+    parts = [(np.array([len(x) for x in c], np.int64), np.frombuffer(b"".join(c), np.uint8)) for c in (rare, common)]
+    return decoded(*parts[0], *parts[1])
+
+
+def of_arrow(rare: pa.Array, common: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """decoded() for Arrow's columns, whose bytes aren't taken apart."""
+
+    def part(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = c.cast(pa.binary()).buffers()
+        ends = np.frombuffer(offsets, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        return np.diff(ends), np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(c) else np.zeros(0, np.uint8)
+
+    return decoded(*part(rare), *part(common))
+
+
+def binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 LINE = "repeat boolean, a long, b long, doc long, mark long, line int, n int, rare binary, common binary"
 
 
-def scan(batches: Iterator[pd.DataFrame], frequent: bytes, fewest: int) -> Iterator[pd.DataFrame]:
+def scan(batches: Iterator[pa.RecordBatch], frequent: bytes, fewest: int) -> Iterator[pa.RecordBatch]:
     """LINE rows. Of the lines with one set (a, b: its hashes) that a task sees, those go on that come before all seen so far,
     with their words. So the first of all does, and a line of very many copies arrives few times. The others are repeats.
     """
     code_of, seen, waiting = Codes(frequent), {}, []
+    names, types = zip(*(c.split() for c in LINE.split(", ")), strict=True)
+    types = [{"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}.get(t) for t in types]
 
-    def framed() -> pd.DataFrame:
-        out = pd.DataFrame({c: np.concatenate([p[c] for p in waiting]) for c in waiting[0]})
+    def framed() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
         waiting.clear()
-        return out
+        plain = [pa.array(c, t) for c, t in zip(columns[:7], types[:7], strict=True)]
+        return pa.RecordBatch.from_arrays([*plain, binary(*columns[7:9]), binary(*columns[9:11])], list(names))
 
     for batch in batches:
-        ids, marks = batch["doc"].to_numpy(), batch["mark"].to_numpy()
-        for doc, number, cuts, hashes in lines_of(batch["text"], fewest):
+        ids, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
+        for doc, number, cuts, hashes in lines_of(texts_of(batch), fewest):
             cuts, codes = sets_of(cuts, code_of(hashes))
             a, b = run_hashes(mixed(codes), cuts[:-1], cuts[1:]).view(np.int64), run_hashes(mixed(codes ^ SALT), cuts[:-1], cuts[1:]).view(np.int64)
             new, same = np.zeros((2, len(doc)), bool)
@@ -254,18 +287,23 @@ def scan(batches: Iterator[pd.DataFrame], frequent: bytes, fewest: int) -> Itera
                     seen[x, y] = place
                     new[k] = True
                 same[k] = not new[k] and place == best  # of a repeated row
-            rare, common = np.full((2, len(doc)), None, object)
-            kept = sets_of_lines(new, cuts, codes)
-            rare[new], common[new] = (np.array([*x, None], object)[:-1] for x in encoded(*kept))
             a = np.where(new, a, mixed((ids[doc] + number).astype(np.uint64)).view(np.int64))  # a repeat belongs to no class any more
-            row = {"repeat": ~new, "a": a, "b": b, "doc": ids[doc], "mark": marks[doc], "line": number, "n": np.diff(cuts), "rare": rare, "common": common}
-            waiting.append({c: v[~same] for c, v in row.items()})
-            if sum(len(p["a"]) for p in waiting) >= FRAME:
+            rare_size, rare, common_size, common = encoded(*sets_of_lines(new, cuts, codes))
+            sizes = np.zeros((2, len(doc)), np.int64)
+            sizes[0][new], sizes[1][new] = rare_size, common_size
+            kept = ~same
+            waiting.append((~new[kept], a[kept], b[kept], ids[doc][kept], marks[doc][kept], number[kept], np.diff(cuts)[kept], sizes[0][kept], rare, sizes[1][kept], common))
+            if sum(len(p[0]) for p in waiting) >= FRAME:
                 yield framed()
         if waiting:
             yield framed()
 
 
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The column `text` as UTF-8, without a string in between."""
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 def sets_of_lines(keep: np.ndarray, cuts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and codes of the sets to keep."""
     size = np.diff(cuts)
@@ -308,20 +346,20 @@ TYPES = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
 NAMES = ("key", "uid", "doc", "line", "n", "at")
 
 
-def packed_runs(batches: Iterator[pd.DataFrame], percent: int, ranges: int) -> Iterator[pd.DataFrame]:
+def packed_runs(batches: Iterator[pa.RecordBatch], percent: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """(range, data): the runs of words of the prefix of each class, in ranges of their keys."""
     known: dict[int, int] = {}
     parts: list[tuple] = []
 
-    def handed() -> pd.DataFrame:
+    def handed() -> pa.RecordBatch:
         x = [np.concatenate(c) for c in zip(*parts, strict=True)]
         parts.clear()
         order = np.argsort(x[0])
         x = [c[order].astype(t) for c, t in zip(x, TYPES, strict=True)]
-        return pd.DataFrame([(k, blob(*(c[rows] for c in x))) for k, rows in ranges_of(x[0], ranges)], columns=["range", "data"])
+        return packed((k, blob(*(c[rows] for c in x))) for k, rows in ranges_of(x[0], ranges))
 
     for batch in batches:
-        cuts, codes = decoded(batch["rare"], batch["common"])
+        cuts, codes = of_arrow(batch.column("rare"), batch.column("common"))
         n = np.diff(cuts)
         count = runs_of(n, percent, known)
         row = np.repeat(np.arange(len(n)), count)
@@ -330,10 +368,10 @@ def packed_runs(batches: Iterator[pd.DataFrame], percent: int, ranges: int) -> I
         key = np.zeros(len(row), np.uint64)
         for k in range(RUN):
             key = mixed(key + codes[start + k])
-        parts.append((key, *(batch[c].to_numpy()[row] for c in ("uid", "doc", "line")), n[row], at))
+        parts.append((key, *(batch.column(c).to_numpy()[row] for c in ("uid", "doc", "line")), n[row], at))
         if sum(len(p[0]) for p in parts) >= ROWS:
             yield handed()
-    if parts:
+    if sum(len(p[0]) for p in parts):
         yield handed()
 
 
@@ -470,20 +508,19 @@ def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar(percent: int):
     """Whether two sets are, as a function of columns of encoded ones."""
 
-    def test(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for rare, common, rare2, common2 in batches:
-            (cuts, codes), (cuts2, codes2) = decoded(rare, common), decoded(rare2, common2)
-            n, m = np.diff(cuts), np.diff(cuts2)
-            pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)))
-            equal = np.zeros(len(n), np.int64)
-            for lo in range(0, len(n), 1 << 16):
-                here = (pair >= lo) & (pair < lo + (1 << 16)) if len(n) > 1 << 16 else slice(None)
-                x = np.sort(((pair[here] - lo).astype(np.uint64) << np.uint64(48)) | np.concatenate((codes, codes2))[here])
-                twice = x[1:][x[1:] == x[:-1]]
-                equal += np.bincount((twice >> np.uint64(48)).astype(np.int64) + lo, minlength=len(n))
-            yield pd.Series(100 * equal >= percent * (n + m - equal))
+    def test(rare: pa.Array, common: pa.Array, rare2: pa.Array, common2: pa.Array) -> pa.Array:
+        (cuts, codes), (cuts2, codes2) = of_arrow(rare, common), of_arrow(rare2, common2)
+        n, m = np.diff(cuts), np.diff(cuts2)
+        equal = np.zeros(len(n), np.int64)
+        for lo in range(0, len(n), 1 << 16):  # 16 bits of pair and 48 of code make one sort
+            hi = min(lo + (1 << 16), len(n))
+            pair = np.concatenate((np.repeat(np.arange(hi - lo), n[lo:hi]), np.repeat(np.arange(hi - lo), m[lo:hi]))).astype(np.uint64)
+            x = np.sort((pair << np.uint64(48)) | np.concatenate((codes[cuts[lo] : cuts[hi]], codes2[cuts2[lo] : cuts2[hi]])))
+            twice = x[1:][x[1:] == x[:-1]]
+            equal[lo:hi] = np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=hi - lo)
+        return pa.array(100 * equal >= percent * (n + m - equal))
 
-    return F.pandas_udf(test, "boolean")
+    return F.arrow_udf(test, "boolean")
 
 
 def gathered(batches: Iterator[pd.DataFrame], least: int = 8192) -> Iterator[pd.DataFrame]:
@@ -508,7 +545,7 @@ def settle(batches: Iterator[pd.DataFrame], percent: int, lanes: int = 4, most:
     """
     held: dict[str, np.ndarray] = {}
     for batch in gathered(batches):
-        cuts, codes = decoded(batch["rare"], batch["common"])
+        cuts, codes = of_objects(batch["rare"], batch["common"])
         bit = mixed(codes)
         one, lane = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6)) & np.uint64(lanes - 1)
         sets = np.empty(len(batch), object)
@@ -559,7 +596,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
     sent = spark.sparkContext.broadcast(frequent_words(texts, scratch, FREQUENT).tobytes())
-    lines = texts.mapInPandas(lambda it: scan(it, sent.value, fewest), LINE)
+    lines = texts.mapInArrow(lambda it: scan(it, sent.value, fewest), LINE)
     placed = Window.partitionBy("a", "b").orderBy("doc", "mark", "line")
     ranked = lines.withColumn("later", F.col("repeat") | (F.rank().over(placed) > 1)).withColumn("nth", F.row_number().over(placed))
     known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", "n", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
@@ -569,7 +606,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     size = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_TASK))
     partners = PARTNERS
-    runs = classes.mapInPandas(lambda it: packed_runs(it, percent, parts * RANGES), "range int, data binary")
+    runs = classes.mapInArrow(lambda it: packed_runs(it, percent, parts * RANGES), "range int, data binary")
     found = runs.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(lambda it: met(it, percent, parts, partners), MET)
     found = scratch.keep(found, "met")
     pairs = found.filter("part is not null").select("part", "data").repartitionById(parts, F.col("part")).mapInPandas(pairs_of, "x long, y long")
@@ -616,6 +653,7 @@ def without_lines(docs: DataFrame, later: DataFrame, removed: str = "") -> DataF
     name. With a name for them, the numbers of the lines that go are another column.
     """
     gone = gone_by_document(later).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    gone = gone.hint("shuffle_hash")  # texts needn't be sorted
     cut = docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__mark")), "left")
     # between two lines that go, and before the first and behind the last, a slice of lines stays
     kept = F.flatten(F.transform(F.arrays_zip(F.concat(F.array(F.lit(-1)), "__gone").alias("p"), F.concat("__gone", F.array(F.size("__lines"))).alias("q")), lambda x: F.slice("__lines", x["p"] + 2, x["q"] - x["p"] - 1)))
