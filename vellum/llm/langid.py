@@ -148,7 +148,7 @@ def fit(docs: DataFrame) -> Model:
 
     Per language, rows are chosen whose id's hash is below a threshold that depends on the language's row count alone.
     Word and n-gram tables are cut to the most frequent entries of each language, so that what is sent to the driver and to
-    each worker grows with the number of languages only; ties go by the entry itself.
+    each worker grows with the number of languages only.
     """
     train = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     sizes = settled(train.groupBy("lang").count())
@@ -157,11 +157,22 @@ def fit(docs: DataFrame) -> Model:
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = train.join(F.broadcast(share), "lang").filter(bucket < F.col("share")).select("text", "lang")
     counted = sample.mapInPandas(counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    of_item, of_lang = Window.partitionBy("kind", "item"), Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item")
-    several = settled(counted.withColumn("total", F.sum("n").over(of_item)).filter("total > 1").drop("total"))
+    by_item = settled(counted.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("total")).filter("total > 1").drop("total"))
+    # the count from which on entries are among the most frequent ones of a language; of those with just that count, a part by hash
     quota = F.when(F.col("kind") > 0, max(FEWEST, SAMPLE_GRAMS // languages)).otherwise(max(FEWEST, SAMPLE_WORDS // languages))
-    kept = several.withColumn("nth", F.row_number().over(of_lang)).filter(F.col("nth") <= quota).select("kind", "item").distinct()
-    rows = several.join(kept, ["kind", "item"]).groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).orderBy("kind", "item").collect()
+    with_count = by_item.select("kind", F.explode("by_lang").alias("lang", "n")).groupBy("kind", "lang", "n").agg(F.count(F.lit(1)).alias("items"))
+    before = F.sum("items").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"))) - F.col("items")
+    border = with_count.withColumn("before", before).filter((F.col("before") <= quota) & (F.col("before") + F.col("items") > quota))
+    limit = F.struct("n", ((quota - F.col("before")) / F.col("items")).alias("share"))
+    limits = border.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "lang"), limit))).alias("limits"))
+    spot = F.pmod(F.xxhash64("item"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+    def fits(entry: Column) -> Column:
+        of = F.try_element_at("limits", F.concat_ws("|", "kind", entry["key"]))
+        return of.isNull() | (entry["value"] > of["n"]) | ((entry["value"] == of["n"]) & (F.col("spot") < of["share"]))
+
+    by_item = by_item.withColumn("spot", spot).join(F.broadcast(limits)).filter(F.exists(F.map_entries("by_lang"), fits))
+    rows = sorted(by_item.select("kind", "item", "by_lang").collect(), key=lambda r: (r["kind"], r["item"]))
     langs = sorted({lang for r in rows for lang in r["by_lang"]})
     totals = {kind: np.zeros(len(langs)) for kind in (0, *ORDERS)}
     raw: dict[int, dict[str, np.ndarray]] = {kind: {} for kind in totals}
