@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, in_chunks, joined, run_hashes, settled, word_table
 
-SENTENCES, WORDS, LONG, ZEROS = 2, 20, 50, 3
+SENTENCES, WORDS, LONG, ZEROS = 2, 20, 30, 3
 #: Long sentences are cut at least every so many words.
 WINDOW = 8
 _STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
