@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,8 +81,11 @@ def bracket_of(token: Column) -> Column:
     )
 
 
+WIDEST = 1_000_000
+
+
 def cited_numbers(token: Column) -> Column:
-    """The numbers of a citation token, ranges written with a dash expanded."""
+    """The numbers of a citation token, ranges written with a dash expanded. One of over WIDEST numbers is no range but two numbers."""
     body = F.regexp_replace(F.regexp_extract(token, CITE, 2), r"\s", "")
     return F.flatten(F.transform(F.split(body, "[,，、]"), _range_of))
 
@@ -88,7 +93,7 @@ def cited_numbers(token: Column) -> Column:
 def _range_of(piece: Column) -> Column:
     ends = F.transform(F.split(piece, "[-–—~]"), lambda x: x.cast("int"))
     first, last = F.element_at(ends, 1), F.element_at(ends, -1)
-    wide = F.when((F.size(ends) == 2) & (first < last) & (last - first < 1000), F.sequence(first, last))
+    wide = F.when((F.size(ends) == 2) & (first < last) & (last - first < WIDEST), F.sequence(first, last))
     return F.when(piece.rlike(r"^\d+([-–—~]\d+)*$"), F.coalesce(wide, ends)).otherwise(F.array().cast("array<int>"))
 
 
@@ -145,20 +150,31 @@ def number_after(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).try_cast("int")
 
 
-PLANNED = (r"计划访谈\s*(\d+)\s*(?:[-–—]\s*(\d+))?\s*人", r"拟访谈\s*(\d+)\s*(?:[-–—]\s*(\d+))?\s*人")
-ACTUAL = (r"完成访谈\s*(\d+)\s*人", r"访谈\s*(\d+)\s*人")
-OBSERVED, PROMISED = r"(\d+)\s*次[机构]?观察", r"不少于\s*(\d+)\s*条"
+#: What an anchors file may say instead: the words before a planned and a reached number of people, and before a promised one.
+PLAN_WORDS, DONE_WORDS, PROMISE_WORDS = ("计划访谈", "拟访谈"), ("完成访谈", "访谈"), ("不少于",)
+
+
+def counted_as(words: tuple[str, ...], unit: str) -> str:
+    """Pattern of a number, or of two with a dash between, behind one of the words and before the unit."""
+    return f"(?:{'|'.join(map(re.escape, words))})\\s*([0-9]+)\\s*(?:[-–—]\\s*([0-9]+)\\s*)?{re.escape(unit)}"
+
+
+def sample_range(c: Column, words: tuple[str, ...], unit: str = "人") -> tuple[Column, Column]:
+    """(least, most) of a number of people, of the first of the words that has one; both equal for a single number."""
+    found = [(number_after(c, p), F.nullif(F.regexp_extract(c, p, 2), F.lit("")).try_cast("int")) for p in (counted_as((w,), unit) for w in words)]
+    return F.coalesce(*[lo for lo, _ in found]), F.coalesce(*[F.when(lo.isNotNull(), F.coalesce(hi, lo)) for lo, hi in found])
+
+
+def planned_sample(c: Column, words: tuple[str, ...] = PLAN_WORDS) -> tuple[Column, Column]:
+    return sample_range(c, words)
 
 
-def planned_sample(c: Column) -> tuple[Column, Column]:
-    """(least, most) of a planned sample such as 30-40; both equal for a single number."""
-    low = F.coalesce(*[number_after(c, p) for p in PLANNED])
-    high = F.coalesce(*[F.when(c.rlike(p), F.coalesce(F.nullif(F.regexp_extract(c, p, 2), F.lit("")).try_cast("int"), number_after(c, p))) for p in PLANNED])
-    return low, high
+def actual_sample(c: Column, words: tuple[str, ...] = DONE_WORDS) -> Column:
+    return sample_range(c, words)[0]
 
 
-def actual_sample(c: Column) -> Column:
-    return F.coalesce(*[number_after(c, p) for p in ACTUAL])
+def promised(c: Column, words: tuple[str, ...] = PROMISE_WORDS) -> Column:
+    return sample_range(c, words, "条")[0]
 
 
 def size_in_points(label: Column) -> Column:

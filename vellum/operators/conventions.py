@@ -85,12 +85,21 @@ def roll_up(groups: DataFrame) -> DataFrame:
 def sizes_of_spans(spans: DataFrame) -> DataFrame:
     """Roles of font sizes in a page document: the size of most characters is the body, larger ones are h1 to h4.
 
-    spans(doc_id, size, font, bold, text). Sizes within 0.4 of the body's are the body's.
+    spans(doc_id, size, font, bold, text), and for centred also x0, x1, page_width. Sizes within 0.4 of the body's are the
+    body's. A size's font is the one of most characters, without a subset prefix; it is bold or centred if most characters
+    are. A span is centred if its middle is the page's and it doesn't fill the lines.
     """
-    by_size = spans.withColumn("size", F.round("size", 1)).groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.when(F.col("bold"), F.length("text")).otherwise(0)).alias("bold"))
+    chars = F.length("text")
+    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2) <= 0.02 * F.col("page_width")
+    centred = middle & (F.col("x1") - F.col("x0") < 0.6 * F.col("page_width")) if "page_width" in spans.columns else F.lit(False)
+    rows = spans.select("doc_id", F.round("size", 1).alias("size"), F.regexp_replace("font", r"^[A-Z]{6}\+", "").alias("font"), "bold", centred.alias("mid"), chars.alias("n"))
+    by_font = rows.groupBy("doc_id", "size", "font").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)).alias("bold"), F.sum(F.when(F.col("mid"), F.col("n")).otherwise(0)).alias("mid"))
+    first = F.min(F.struct((-F.col("n")).alias("m"), "font")).alias("f")
+    by_size = by_font.groupBy("doc_id", "size").agg(F.sum("n").alias("chars"), F.sum("bold").alias("bold"), F.sum("mid").alias("mid"), first)
     w = Window.partitionBy("doc_id")
     body = by_size.withColumn("body", F.first("size").over(w.orderBy(F.desc("chars"), "size")))
     larger = F.col("size") > F.col("body") + 0.4
     ranked = body.withColumn("k", F.when(larger, F.row_number().over(Window.partitionBy("doc_id", larger).orderBy(F.desc("size")))))
     role = F.when(F.col("size") == F.col("body"), "body").when(F.col("k") <= 4, F.concat(F.lit("h"), F.col("k").cast("string"))).otherwise("other")
-    return ranked.select("doc_id", "size", "chars", role.alias("role"), (F.col("bold") * 2 > F.col("chars")).alias("bold"))
+    most = lambda c: F.col(c) * 2 > F.col("chars")
+    return ranked.select("doc_id", "size", "chars", role.alias("role"), most("bold").alias("bold"), F.col("f.font").alias("font"), most("mid").alias("centred"))

@@ -42,7 +42,10 @@ def page_format(fmt: Column) -> Column:
 
 
 def page_numbering(sections: DataFrame, std: dict) -> DataFrame:
-    """Sections without numbers, of another format than the scheme, Arabic in front, or unnumbered among numbered ones."""
+    """Sections without numbers, of another format than the scheme, Arabic in front, or unnumbered among numbered ones.
+
+    Without a scheme the first front section with Arabic numbers ends a document's check: its later sections aren't judged.
+    """
     bare = sections.filter("not has_pgnumtype and not has_page_field")
     index = F.col("section_index")
     out = as_issues(bare.filter("is_front"), "page-numbering", "no-front", "L1", "warn", F.lit("none"), index, kind="section")
@@ -53,7 +56,9 @@ def page_numbering(sections: DataFrame, std: dict) -> DataFrame:
         return out.unionByName(as_issues(sections.filter("has_pgnumtype").filter(fmt != scheme), "page-numbering", "format", "L1", "error", fmt, index, scheme, kind="section"))
     w = Window.partitionBy("doc_id")
     several = sections.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("any", F.max("has_pgnumtype").over(w)).filter("n > 1")
-    out = out.unionByName(as_issues(several.filter("is_front and has_pgnumtype").filter(fmt == "arabic"), "page-numbering", "front-arabic", "L1", "warn", fmt, index, kind="section"))
+    arabic = F.coalesce(F.col("is_front") & F.col("has_pgnumtype") & (fmt == "arabic"), F.lit(False))
+    several = several.withColumn("arabic", arabic).withColumn("stop", F.min(F.when(arabic, index)).over(w)).filter("stop is null or section_index <= stop")
+    out = out.unionByName(as_issues(several.filter("arabic"), "page-numbering", "front-arabic", "L1", "warn", fmt, index, kind="section"))
     return out.unionByName(as_issues(several.filter("any and not has_pgnumtype"), "page-numbering", "missing", "L1", "warn", F.lit("no type"), index, kind="section"))
 
 
@@ -64,7 +69,7 @@ def header(sections: DataFrame, std: dict) -> DataFrame:
     judged = headed.filter("header_has_rule is not null")
     wrong = judged.filter(F.col("header_has_rule") != F.lit(bool(rule))) if rule is not None else judged.limit(0)
     action = "para.border" if rule else None
-    out = as_issues(wrong, "header", "line", "L1", "warn", F.col("header_has_rule"), index, str(rule).lower(), kind="section", action=action)
+    out = as_issues(wrong, "header", "line", "L1", "warn", F.col("header_has_rule"), index, str(rule).lower(), kind="section", action=action, params=F.create_map(F.lit("part"), F.lit("header")))
     mixed = sections.groupBy("doc_id").agg(F.bool_or(F.coalesce("header_has_rule", F.lit(False))).alias("some"), F.bool_and(F.coalesce("header_has_rule", F.lit(False))).alias("all")).filter("some and not all")
     out = out.unionByName(as_issues(mixed, "header", "line-mixed", "L1", "warn", F.lit("mixed"), kind="document"))
     want = std.get("header_content")

@@ -117,6 +117,12 @@ def chapter_lengths(blocks: DataFrame) -> DataFrame:
     return placed.groupingSets([["doc_id", "chapter"], ["doc_id"]], "doc_id", "chapter").agg(*sums, F.grouping("chapter").alias("total"))
 
 
+def chapter_shares(sums: DataFrame) -> DataFrame:
+    """(doc_id, chapter, share): each chapter's share of the body's Han characters, from chapter_lengths()."""
+    whole = sums.filter("total = 1 and han > 0").select("doc_id", F.col("han").alias("all"))
+    return sums.filter("total = 0").join(whole, "doc_id").select("doc_id", "chapter", (F.col("han") / F.col("all")).alias("share"))
+
+
 def length(blocks: DataFrame, std: dict) -> DataFrame:
     sums = chapter_lengths(blocks)
     whole = sums.filter("total = 1")

@@ -2,46 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
+INHERITED = ("size_pt", "font_ea", "font_ascii", "bold", "align", "space_before_pt", "space_after_pt", "line_spacing", "first_line_indent_chars")
+
+
+def by_document(rows: DataFrame, columns: str, step) -> DataFrame:
+    """step(list of a document's rows) -> rows of `columns`, document by document.
+
+    A document's styles are few, however many documents there are: one shuffle brings them together, and a task holds one
+    document at a time.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held, at = [], [], None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if held and row.doc_id != at:
+                    out += step(held)
+                    held = []
+                at = row.doc_id
+                held.append(row)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out = []
+        if held:
+            out += step(held)
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, columns)
+
+
+def known(value) -> bool:
+    return value is not None and value == value
+
+
+def inherited(styles: DataFrame, fields: Iterable[str] = ("size_pt", "font_ea")) -> DataFrame:
+    """(doc_id, style_id, fields): the first value of each field up the based_on chain, however long; a cycle ends where it began.
+
+    styles(doc_id, style_id, based_on, fields). Each style is resolved once, from what its base has become.
+    """
+    fields = list(fields)
+    types = dict(styles.dtypes)
+
+    def resolve(rows: list) -> list[tuple]:
+        of = {r.style_id: r for r in rows}
+        out = []
+        for row in rows:
+            values = {f: None for f in fields}
+            seen, at = set(), row
+            while at is not None and at.style_id not in seen and any(v is None for v in values.values()):
+                seen.add(at.style_id)
+                for f in fields:
+                    if values[f] is None and known(v := getattr(at, f)):
+                        values[f] = v
+                at = of.get(at.based_on) if known(at.based_on) else None
+            out.append((row.doc_id, row.style_id, *values.values()))
+        return out
+
+    columns = ", ".join(f"{c} {types[c]}" for c in ("doc_id", "style_id", *fields))
+    return by_document(styles.select("doc_id", "style_id", "based_on", *fields), columns, resolve)
+
+
+def reachable(styles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, style_id, needed): whether a style is wanted, the default, or one that such a style is based on, linked to or followed by.
+
+    Each style is visited once, so mutual links cost nothing. The column `next` may be absent.
+    """
+    follow = [c for c in ("based_on", "link", "next") if c in styles.columns]
+    marked = styles.join(wanted.select("doc_id", "style_id").distinct().withColumn("wanted", F.lit(True)), ["doc_id", "style_id"], "left")
+
+    def visit(rows: list) -> list[tuple]:
+        of = {r.style_id: r for r in rows}
+        seen: set = set()
+        waiting = [r.style_id for r in rows if r.wanted is True or r.is_default is True]
+        while waiting:
+            at = waiting.pop()
+            if at in seen or at not in of:
+                continue
+            seen.add(at)
+            waiting += [v for c in follow if known(v := getattr(of[at], c))]
+        return [(r.doc_id, r.style_id, r.style_id in seen) for r in rows]
+
+    t = dict(styles.dtypes)
+    return by_document(marked.select("doc_id", "style_id", "is_default", "wanted", *follow), f"doc_id {t['doc_id']}, style_id {t['style_id']}, needed boolean", visit)
+
+
+def needed(styles: DataFrame, wanted: DataFrame) -> DataFrame:
+    return reachable(styles, wanted).filter("needed").select("doc_id", "style_id")
+
+
+def dead(styles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, style_id) of styles that nothing needs."""
+    return reachable(styles, wanted).filter("not needed").select("doc_id", "style_id")
 
 
-def inherited(spark: SparkSession, styles: DataFrame) -> DataFrame:
-    """(doc_id, style_id, size_pt, font_ea): the first value up the based_on chain; a cycle ends at MAX_DEPTH.
+def pruned(styles: DataFrame, wanted: DataFrame, numbering: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(styles that stay, with `hidden`; numbering that stays): the clean-up of a template in one pass.
 
-    styles(doc_id, style_id, based_on, size_pt, font_ea).
+    Styles that nothing needs go, and with them numbering(doc_id, num_id, abstract_id) that only they used; of those that
+    stay, all but the wanted ones and the default are hidden. styles may name its numbering in num_id.
     """
-    styles.select("doc_id", "style_id", "based_on", "size_pt", "font_ea").createOrReplaceTempView("vellum_styles")
-    chain = spark.sql(f"""
-        WITH RECURSIVE up (doc_id, style_id, at, depth) AS (
-          SELECT doc_id, style_id, style_id, 0 FROM vellum_styles
-          UNION ALL
-          SELECT u.doc_id, u.style_id, s.based_on, u.depth + 1 FROM up u JOIN vellum_styles s ON s.doc_id = u.doc_id AND s.style_id = u.at
-          WHERE s.based_on IS NOT NULL AND u.depth < {MAX_DEPTH})
-        SELECT u.doc_id, u.style_id, u.depth, s.size_pt, s.font_ea FROM up u JOIN vellum_styles s ON s.doc_id = u.doc_id AND s.style_id = u.at""")
-    nearest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
-    return chain.groupBy("doc_id", "style_id").agg(nearest("size_pt"), nearest("font_ea"))
-
-
-def needed(spark: SparkSession, styles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, style_id) of wanted and default styles and of all that these are based on or linked to."""
-    seeds = wanted.select("doc_id", "style_id").union(styles.filter("is_default").select("doc_id", "style_id")).distinct()
-    edges = styles.select("doc_id", "style_id", F.explode(F.array_compact(F.array("based_on", "link"))).alias("to"))
-    seeds.createOrReplaceTempView("vellum_seeds")
-    edges.createOrReplaceTempView("vellum_edges")
-    reached = spark.sql(f"""
-        WITH RECURSIVE r (doc_id, style_id, depth) AS (
-          SELECT doc_id, style_id, 0 FROM vellum_seeds
-          UNION ALL
-          SELECT r.doc_id, e.to, r.depth + 1 FROM r JOIN vellum_edges e ON e.doc_id = r.doc_id AND e.style_id = r.style_id WHERE r.depth < {MAX_DEPTH})
-        SELECT DISTINCT doc_id, style_id FROM r""")
-    return reached.join(styles.select("doc_id", "style_id"), ["doc_id", "style_id"], "left_semi")
-
-
-def dead(spark: SparkSession, styles: DataFrame, wanted: DataFrame) -> DataFrame:
-    return styles.select("doc_id", "style_id").join(needed(spark, styles, wanted), ["doc_id", "style_id"], "left_anti")
+    kept = styles.join(reachable(styles, wanted).filter("needed").select("doc_id", "style_id"), ["doc_id", "style_id"], "left_semi")
+    shown = wanted.select("doc_id", "style_id").distinct().withColumn("shown", F.lit(True))
+    kept = kept.join(shown, ["doc_id", "style_id"], "left").withColumn("hidden", ~(F.coalesce("shown", F.lit(False)) | F.coalesce("is_default", F.lit(False)))).drop("shown")
+    if numbering is None:
+        return kept, styles.sparkSession.createDataFrame([], "doc_id long, num_id string, abstract_id string")
+    used = kept.filter("num_id is not null").select("doc_id", "num_id").distinct() if "num_id" in kept.columns else kept.select("doc_id", F.lit(None).cast("string").alias("num_id")).limit(0)
+    return kept, numbering.join(used, ["doc_id", "num_id"], "left_semi")
+
+
+def removable(styles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, before, after): how many styles a document has, and how many a clean-up leaves."""
+    return reachable(styles, wanted).groupBy("doc_id").agg(F.count(F.lit(1)).alias("before"), F.count_if("needed").alias("after"))
 
 
 def resolved_names(names: DataFrame, styles: DataFrame) -> DataFrame:

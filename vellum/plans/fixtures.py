@@ -1,4 +1,4 @@
-"""Small literal relations, as SQL that both engines read, and injected variants of the documents table."""
+"""Small literal relations that a person writes, as SQL that both engines read, and defects put into the documents table."""
 
 from __future__ import annotations
 
@@ -7,84 +7,14 @@ def values(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
 
 
-NULL_S, NULL_I, NULL_D, NULL_B = (f"CAST(NULL AS {t})" for t in ("STRING", "INT", "DOUBLE", "BOOLEAN"))
-
-TEXT = values(
-    "doc_id, para_index, style_name, text",
-    "(1, 1, '一级标题', '第1章 绪论')", "(1, 2, '正文文本', '这是“弯引号”示例')", "(1, 3, '正文文本', '重复标点。。错误')", "(1, 4, '正文文本', '前文，。后文')",
-    "(1, 5, '正文文本', '中文,中文')", "(1, 6, '正文文本', '省略...号')", "(1, 7, '正文文本', '全角（一）半角(a)')", "(1, 8, '正文文本', '甲—乙—丙—丁')",
-    "(1, 9, '正文文本', 'TODO：待补')", "(1, 10, '正文文本', '版本０１与v2')", "(1, 11, '二级标题', '浅析：方法')", "(1, 12, '三级标题', '甲')", "(1, 13, '三级标题', '乙')",
-    "(1, 14, '三级标题', '丙')", "(1, 15, '三级标题', '丁')", "(2, 1, '正文文本', '数据Spark与 Spark 引擎')", "(2, 2, '正文文本', '知识图谱与图谱知识')",
-)
-
-CITES = values(
-    "doc_id, para_index, run_ord, text, superscript, anchor, link_kind, size_pt",
-    f"(1, 1, 0, '前人指出', false, {NULL_S}, {NULL_S}, {NULL_D})", "(1, 1, 1, '[1]', true, 'ref1', 'hyperlink', CAST(NULL AS DOUBLE))", f"(1, 1, 2, '。后文', false, {NULL_S}, {NULL_S}, {NULL_D})",
-    f"(1, 2, 0, '又有研究。', false, {NULL_S}, {NULL_S}, {NULL_D})", f"(1, 2, 1, '[3]', true, {NULL_S}, {NULL_S}, {NULL_D})", f"(1, 2, 2, '后续', false, {NULL_S}, {NULL_S}, {NULL_D})",
-    f"(1, 3, 0, '其他', false, {NULL_S}, {NULL_S}, {NULL_D})", "(1, 3, 1, '[2]', false, 'ref2', 'hyperlink', CAST(NULL AS DOUBLE))", f"(1, 3, 2, '，后', false, {NULL_S}, {NULL_S}, {NULL_D})",
-    f"(1, 4, 0, '再有', false, {NULL_S}, {NULL_S}, {NULL_D})", f"(1, 4, 1, '[9]', true, {NULL_S}, {NULL_S}, CAST(9.0 AS DOUBLE))", f"(1, 4, 2, '；末', false, {NULL_S}, {NULL_S}, {NULL_D})",
-    f"(2, 1, 0, '[1-3,5]', true, {NULL_S}, {NULL_S}, {NULL_D})", f"(2, 1, 1, '为首', false, {NULL_S}, {NULL_S}, {NULL_D})",
-)
-ENTRIES = values(
-    "doc_id, nr, number, text, para_index",
-    "(1, 1, 1, '[1] 甲. 题名[M]. 北京: 出版社, 2011.', 21)", "(1, 2, 2, '[2] 乙. 题名[J]. 刊名, 2025(11).', 22)", "(1, 3, 3, '[3] 丙. 题名. 北京: 出版社, 2019.', 23)",
-    "(1, 4, 5, '[5] 甲. 题名[M]. 北京: 出版社, 2011.', 24)",
-)
-BOOKMARKS = values("doc_id, para_index, name", "(1, 21, 'ref1')", "(1, 23, 'ref3')", "(1, 24, 'ref5')")
-HEADINGS = values(
-    "doc_id, kind, ord, para_index, style_name, text",
-    "(1, 'p', 1, 1, '一级标题', '第1章 绪论')", "(1, 'p', 2, 2, '二级标题', '1.1 背景')", "(1, 'p', 3, 3, '二级标题', '1.3 方法')", "(1, 'p', 4, 4, '三级标题', '1.3.1 数据')",
-    "(1, 'p', 5, 5, '二级标题', '2.1 现状')", "(1, 'p', 6, 6, '一级标题', '1.2.1 补充')", "(2, 'p', 1, 1, '一级标题', '第二十三章 结语')", "(2, 'p', 2, 2, '一级标题', '第23章 再结')",
-)
-CAPTIONS = values(
-    "doc_id, kind, ord, para_index, style_name, text",
-    "(1, 'p', 1, 1, '表题', '表 1-1 甲')", "(1, 'tbl', 2, CAST(NULL AS INT), CAST(NULL AS STRING), '')", "(1, 'p', 3, 2, '正文文本', '如表 1-2 所示')", "(1, 'tbl', 4, CAST(NULL AS INT), CAST(NULL AS STRING), '')",
-    "(1, 'p', 5, 3, '表题', '表 1-3 乙')",
-)
-SECTIONS = values(
-    "doc_id, section_index, page_fmt, header_text, header_has_rule, has_pgnumtype, has_page_field, is_front, width_cm, height_cm, top_cm, right_cm, bottom_cm, left_cm",
-    "(1, 1, CAST(NULL AS STRING), '论文', CAST(NULL AS BOOLEAN), false, false, true, 21.0e0, 29.7e0, 2.5e0, 2.5e0, 2.5e0, 3.0e0)", "(1, 2, 'decimal', '论文', true, true, false, false, 21.59e0, 27.94e0, 2.5e0, 2.5e0, 2.5e0, 3.0e0)",
-    "(2, 1, 'decimal', '甲', false, true, true, true, 21.0e0, 29.7e0, 2.5e0, 2.5e0, 2.5e0, 3.0e0)", "(2, 2, 'lowerRoman', '乙', true, false, true, false, 21.0e0, 29.7e0, 2.0e0, 2.5e0, 2.5e0, 3.0e0)",
-)
-STYLES = values(
-    "doc_id, style_id, name, based_on, link, is_default, size_pt, font_ea",
-    "(1, 'a', 'Normal', CAST(NULL AS STRING), CAST(NULL AS STRING), true, 12.0e0, '宋体')", "(1, 'b', '正文文本', 'a', CAST(NULL AS STRING), false, CAST(NULL AS DOUBLE), CAST(NULL AS STRING))",
-    "(1, 'c', '一级标题', 'b', 'd', false, 16.0e0, CAST(NULL AS STRING))", "(1, 'd', '标题字符', CAST(NULL AS STRING), CAST(NULL AS STRING), false, 15.0e0, '黑体')",
-    "(1, 'e', '圈1', 'f', CAST(NULL AS STRING), false, CAST(NULL AS DOUBLE), CAST(NULL AS STRING))", "(1, 'f', '圈2', 'e', CAST(NULL AS STRING), false, CAST(NULL AS DOUBLE), '楷体')",
-)
-ISSUES = values(
-    "doc_id, issue_key, id, rule, severity, skill, standard_source, suppressible, loc_index, action",
-    "(1, 'i1', 'cite-form-0001', 'cite-form', 'error', 'cite-doctor', 'default', true, 5, 'cite.superscript')", "(1, 'i2', 'cite-form-0002', 'cite-form', 'warn', 'cite-doctor', 'template', true, 9, 'run.clear_size')",
-    "(1, 'i3', 'cite-jump-0003', 'cite-jump', 'error', 'cite-doctor', 'default', false, 7, 'ref.bookmark')", "(1, 'i4', 'toc-0004', 'toc', 'error', 'format-audit', 'default', false, 2, CAST(NULL AS STRING))",
-    "(2, 'i5', 'style-0005', 'style-compliance', 'warn', 'format-audit', 'config', true, 3, 'para.delete')", "(2, 'i6', 'dash-0006', 'dash-density', 'info', 'text-style', 'default', true, CAST(NULL AS INT), CAST(NULL AS STRING))",
-)
-IGNORE = values("kind, value", "('id', 'cite-form-0002')", "('rule', 'dash-density')", "('rule', 'toc')")
-SNAPSHOTS = " UNION ALL ".join(f"SELECT 1 AS doc_id, '2024-01-{k:02d}' AS stamp, {k % 2} AS dup_no" for k in range(1, 15))
-PROPOSALS = values(
-    "doc_id, proposal, thesis", "(1, '题目《乡村教育》。计划访谈 30-40人。不少于 3 条', '乡村教育研究。完成访谈 15 人，3次观察')", "(2, '计划访谈15人', '完成访谈 15 人')", "(3, '没有数字', '正文')"
-)
+IGNORE = values("kind, value", "('id', 'cite-form-15')", "('id', 'cite-jump-16')", "('rule', 'dash-density')", "('rule', 'toc')")
 PHRASES = values(
     "skill, kind, phrase",
     "('cite-doctor', 'trigger', '引用序号改成右上角')", "('cite-doctor', 'trigger', '参考文献的顺序')", "('text-style', 'trigger', '破折号太多')", "('text-style', 'trigger', '标题太玄乎')",
     "('format-audit', 'trigger', '页眉横线')", "('structure-length', 'trigger', '字数超出要求')", "('text-style', 'not_for', '标题编号')", "('-', 'out_of_scope', '帮我写个摘要')", "('-', 'out_of_scope', '查重')",
 )
 PROMPTS = values("prompt", "('引用序号放右上角，能跳过去')", "('我这章的破折号是不是太多了')", "('页眉是不是该有根横线')", "('字数超出要求了')", "('帮我查重')", "('完全无关的话')")
-SPANS = values(
-    "doc_id, size, font, bold, text",
-    "(1, 10.5e0, 'A', false, '正文正文正文正文正文')", "(1, 10.54e0, 'A', false, '正文正文')", "(1, 16.0e0, 'B', true, '大标题')", "(1, 14.0e0, 'B', true, '中标题')", "(1, 10.8e0, 'A', true, '注')", "(1, 9.0e0, 'A', false, '脚注')",
-)
-SPECS = values(
-    "doc_id, template, config",
-    """(1, '{"citation":{"style":"bracket"},"page":{"margins_cm":[]},"header":{"rule":false}}', '{"text":{"heading_max_chars":30}}')""",
-    """(2, CAST(NULL AS STRING), CAST(NULL AS STRING))""", """(3, '{"citation":{"superscript_size_ratio":0.6},"length":{"body_min_chars":0}}', '{"citation":{"style":""}}')""",
-)
-ABSTRACT = values(
-    "doc_id, kind, ord, para_index, style_name, text",
-    "(1, 'p', 1, 1, '摘要标题', '摘要')", "(1, 'p', 2, 2, '正文文本', '本文研究乡村教育，见图1-1。')", "(1, 'p', 3, 3, '关键词', '关键词：乡村；教育,访谈')", "(1, 'p', 4, 4, '英文摘要标题', 'Abstract')",
-    "(1, 'p', 5, 5, '正文文本', 'This paper studies rural schools [3] in 2020')", "(1, 'p', 6, 6, '一级标题', '第1章 绪论')", "(1, 'p', 7, 7, '正文文本', '正文内容，含ABC。')", "(1, 'p', 8, 8, '一级标题', '第2章 结语')",
-    "(1, 'p', 9, 9, '正文文本', '结语')", "(1, 'p', 10, 10, '参考文献标题', '参考文献')", "(1, 'p', 11, 11, '参考文献条目', '[1] 甲. 题名[M]. 2011.')", "(2, 'p', 1, 1, '摘要标题', '摘要')", "(2, 'p', 2, 2, '正文文本', '只有摘要')",
-)
 
 #: Deterministic defects for the documents table, as one SQL expression for both engines.
-INJECTED = """CASE WHEN doc_id % 7 = 0 THEN translate(text, '.,', '。，') WHEN doc_id % 7 = 1 THEN replace(text, ' the ', ' “the” ') WHEN doc_id % 7 = 2 THEN replace(text, ' of ', '—of— ')
- WHEN doc_id % 7 = 3 THEN concat(text, ' TODO 待补') WHEN doc_id % 7 = 4 THEN translate(text, 'ae', '中文') WHEN doc_id % 7 = 5 THEN concat(translate(text, 'o', '０'), ' 9') ELSE text END"""
+INJECTED = """CASE WHEN doc_id % 7 = 0 THEN replace(replace(translate(text, '.,', '。，'), '。 ', '。。 '), '， a', '，。 a') WHEN doc_id % 7 = 1 THEN replace(text, ' the ', ' “the” ') WHEN doc_id % 7 = 2 THEN replace(text, ' of ', '—of— ')
+ WHEN doc_id % 7 = 3 THEN concat(text, ' TODO 待补') WHEN doc_id % 7 = 4 THEN replace(translate(text, 'ae', '中文'), ' ', CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE ',' END) WHEN doc_id % 7 = 5 THEN concat(translate(text, 'o', '０'), ' 9') ELSE text END"""

@@ -1,47 +1,21 @@
-"""Queries over the driver's tables and the literal relations, each with the SQL that another engine checks it by."""
+"""Queries over the driver's tables, each with the SQL that another engine checks it by."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import cite_rules as C
-from vellum.operators import conventions as V
 from vellum.operators import derive as D
-from vellum.operators import format_rules as FR
 from vellum.operators import issues as I
 from vellum.operators import proposal_rules as P
-from vellum.operators import repair as R
-from vellum.operators import routing as RT
-from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
-from vellum.operators import styles as Y
 from vellum.operators import text_rules as X
 from vellum.plans import fixtures as L
+from vellum.plans.registry import ORACLES, QUERIES, STD, brief, found, long, query, table
 from vellum.sources import tables as B
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-STD = S.defaults()
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.blocks_of_text(table(spark, sf_dir, "documents"))
@@ -51,22 +25,10 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.blocks_of_text(table(spark, sf_dir, "documents").select("doc_id", F.expr(L.INJECTED).alias("text")))
 
 
-def long(c: str | Column, name: str | None = None) -> Column:
-    return T.col(c).cast("long").alias(name or c)
-
-
-def brief(issues: DataFrame) -> DataFrame:
-    return issues.select(long("doc_id"), "rule", "sub_check", "severity", long("loc_index"), "actual")
-
-
 BL = "bl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)"
 BI = f"bl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM (SELECT doc_id, {L.INJECTED} AS text FROM documents))"
 
 
-def found(sql_from: str, rule: str, sub: str, severity: str, index: str, actual: str) -> str:
-    return f"SELECT doc_id::BIGINT AS doc_id, '{rule}' AS rule, '{sub}' AS sub_check, {severity if severity.startswith('CASE') else repr(severity)} AS severity, ({index})::BIGINT AS loc_index, ({actual})::VARCHAR AS actual {sql_from}"
-
-
 REPEATED_LATIN = "(\\.{2,}|,{2,}|!{2,}|\\?{2,}|;{2,}|:{2,})"
 
 
@@ -97,7 +59,6 @@ CJK_CHECKS = {"repeated": "(。{2,}|，{2,}|！{2,}|？{2,}|；{2,}|：{2,}|、{
 _LABELS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in CJK_CHECKS.items())
 _AT = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN strpos(text, regexp_extract(text, '{p}', 0)) - 1 END" for p in CJK_CHECKS.values())
 _PUNCT = found("FROM (SELECT *, concat_ws(',', " + _LABELS + ", CASE WHEN regexp_matches(text, '[（）]') AND regexp_matches(text, '[()]') THEN 'mixed-brackets' END) AS labels, least(" + _AT + ") AS pos0 FROM bl) WHERE labels <> ''", "punctuation", "marks", "warn", "p", "labels || '@' || coalesce(pos0::VARCHAR, '-')")
-TL = f"bl AS (SELECT doc_id, para_index AS p, style_name, text FROM ({L.TEXT}))"
 
 
 @query(f"WITH {BI} {_PUNCT}")
@@ -105,11 +66,6 @@ def punctuation_cjk(spark, sf):
     return brief(X.punctuation(injected(spark, sf), STD))
 
 
-@query(f"WITH {TL} {_PUNCT}")
-def punctuation_literal(spark, sf):
-    return brief(X.punctuation(spark.sql(L.TEXT), STD))
-
-
 _COUNT = "length(regexp_replace(text, '[^{0}]', '', 'g'))"
 
 
@@ -158,85 +114,9 @@ def term_consistency(spark, sf):
     return brief(X.term_consistency(blocks(spark, sf), spark.sql(TERMS)))
 
 
-HS = "h AS (SELECT doc_id, para_index AS p, text, CASE style_name WHEN '一级标题' THEN 1 WHEN '二级标题' THEN 2 WHEN '三级标题' THEN 3 END AS l FROM ({0}) WHERE style_name IN ('一级标题','二级标题','三级标题'))"
-
-
-@query(f"WITH {HS.format(L.TEXT)}, e AS (SELECT *, concat_ws(',', CASE WHEN length(text) > 25 THEN 'long' END, CASE WHEN regexp_matches(text, '浅析|初探|试论|刍议|略论') THEN 'hedge' END, CASE WHEN regexp_matches(text, '[：:？?！!]') THEN 'mark' END, CASE WHEN regexp_matches(text, '[。！？；，、：]\\s*$') THEN 'trailing' END) AS labels FROM h), "
-       "u AS (SELECT doc_id, l, last_value(CASE WHEN l = 2 THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p) AS h2 FROM h), m AS (SELECT doc_id, h2, count(*) AS n FROM u WHERE l = 3 AND h2 IS NOT NULL GROUP BY ALL) "
-       + found("FROM e WHERE labels <> ''", "heading-style", "each", "warn", "p", "labels") + " UNION ALL " + found("FROM m WHERE n > 3", "heading-style", "h3-per-h2", "warn", "h2", "n"))
-def heading_style(spark, sf):
-    return brief(X.heading_style(D.headings(spark.sql(L.TEXT).withColumn("kind", F.lit("p"))), STD))
-
-
-# citations and references
-
-
-def cites(spark) -> DataFrame:
-    return D.citations(spark.sql(L.CITES))
-
-
-def entries(spark) -> DataFrame:
-    return spark.sql(L.ENTRIES).withColumnRenamed("nr", "order")
-
-
-_CT = f"""r AS ({L.CITES}), w AS (SELECT *, string_agg(text, '' ORDER BY run_ord) OVER (PARTITION BY doc_id, para_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS para,
- coalesce(sum(length(text)) OVER (PARTITION BY doc_id, para_index ORDER BY run_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM r),
-ct AS (SELECT *, s + length(text) AS e, CASE WHEN s > 0 THEN substr(para, s, 1) ELSE '' END AS b, substr(para, s + length(text) + 1, 1) AS a FROM w WHERE regexp_matches(text, '^\\s*[\\[［【（(]?\\s*\\d+([,-]\\d+)*\\s*[\\]］】）)]?\\s*$') AND (superscript OR regexp_matches(text, '[\\[(]'))),
-cp AS (SELECT *, CASE WHEN a = '' AND b <> '' AND strpos('。！？；，、：!?,;:', b) > 0 THEN 'after-punct' WHEN a = '' THEN 'end-of-paragraph' WHEN strpos('。！？!?；，、：,;:）)】」”', a) > 0 THEN 'before-punct' WHEN b <> '' AND strpos('。！？；，、：!?,;:', b) > 0 THEN 'after-punct' ELSE 'mid-sentence' END AS pos FROM ct),
-rf AS (SELECT doc_id, para_index, s, text, x.k AS k, x.n AS n FROM (SELECT *, unnest(CASE WHEN text = '[1-3,5]' THEN [{{'k': 0, 'n': 1}}, {{'k': 1, 'n': 2}}, {{'k': 2, 'n': 3}}, {{'k': 3, 'n': 5}}] ELSE [{{'k': 0, 'n': regexp_extract(text, '\\d+')::INT}}] END) AS x FROM cp)), en AS ({L.ENTRIES}), bm AS ({L.BOOKMARKS})"""
-
-
-@query(f"WITH {_CT} SELECT doc_id::BIGINT AS doc_id, para_index::BIGINT AS para_index, text AS token, 'square' AS bracket, (SELECT string_agg(n::VARCHAR, ',' ORDER BY k) FROM rf WHERE rf.doc_id = cp.doc_id AND rf.para_index = cp.para_index) AS refs, s::BIGINT AS start_at, pos AS position FROM cp")
-def cite_tokens(spark, sf):
-    return cites(spark).select(long("doc_id"), long("para_index"), F.col("text").alias("token"), "bracket", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"), long("start", "start_at"), "position")
-
-
-@query(f"WITH {_CT} " + found("FROM cp WHERE pos = 'after-punct'", "cite-position", "after", "error", "para_index", "text") + " UNION ALL " + found("FROM cp WHERE pos = 'end-of-paragraph'", "cite-position", "paragraph-end", "warn", "para_index", "text"))
-def cite_position(spark, sf):
-    return brief(C.cite_position(cites(spark), STD))
-
-
-@query(f"WITH {_CT} " + found("FROM cp WHERE NOT superscript", "cite-form", "superscript", "error", "para_index", "text") + " UNION ALL " + found("FROM cp WHERE size_pt IS NOT NULL", "cite-form", "explicit-size", "warn", "para_index", "size_pt"))
-def cite_form(spark, sf):
-    return brief(C.cite_form(cites(spark), STD))
-
-
-@query(f"""WITH {_CT}, st AS (SELECT cp.doc_id, cp.para_index, cp.text, CASE WHEN cp.text LIKE '%-%' OR cp.text LIKE '%,%' THEN 'multi' WHEN anchor = 'ref' || regexp_extract(text, '\\d+') AND b.name IS NOT NULL THEN 'ok' WHEN anchor = 'ref' || regexp_extract(text, '\\d+') THEN 'dangling'
- WHEN anchor IS NOT NULL THEN 'wrong' WHEN b.name IS NOT NULL THEN 'nolink' ELSE 'dangling' END AS state FROM cp LEFT JOIN (SELECT DISTINCT doc_id, name FROM bm) b ON b.doc_id = cp.doc_id AND b.name = 'ref' || regexp_extract(text, '\\d+')) """
-       + found("FROM en WHERE number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bm WHERE bm.doc_id = en.doc_id AND bm.para_index = en.para_index AND bm.name = 'ref' || en.number)", "cite-jump", "bookmark", "error", "para_index", "'ref' || number")
-       + " UNION ALL SELECT doc_id::BIGINT, 'cite-jump', state, CASE WHEN state = 'multi' THEN 'warn' ELSE 'error' END, para_index::BIGINT, text FROM st WHERE state <> 'ok'")
-def cite_jump(spark, sf):
-    return brief(C.cite_jump(cites(spark), entries(spark), spark.sql(L.BOOKMARKS)))
-
-
-@query(f"""WITH {_CT}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS k FROM en), g AS (SELECT doc_id, bool_or(number <> k) AS bad, string_agg(number::VARCHAR, ',' ORDER BY k) AS shown FROM rk GROUP BY doc_id),
- f AS (SELECT doc_id, n, min(struct_pack(p := para_index, s := s, k := k)) AS first FROM rf GROUP BY ALL), o AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY first) AS b, first FROM f), x AS (SELECT doc_id, string_agg(b || '>' || n, ',' ORDER BY first) AS shown FROM o WHERE b > n GROUP BY doc_id) """
-       + found("FROM g WHERE bad", "cite-numbering", "discontinuous", "error", "NULL", "shown") + " UNION ALL " + found("FROM x", "cite-numbering", "first-cite-order", "warn", "NULL", "shown"))
-def cite_numbering(spark, sf):
-    return brief(C.cite_numbering(cites(spark), entries(spark), STD))
-
-
-@query(f"WITH {_CT}, u AS (SELECT doc_id, string_agg(number::VARCHAR, ',' ORDER BY number) AS w FROM en WHERE doc_id IN (SELECT doc_id FROM rf) AND NOT EXISTS (SELECT 1 FROM rf WHERE rf.doc_id = en.doc_id AND rf.n = en.number) GROUP BY doc_id), m AS (SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS w FROM (SELECT DISTINCT doc_id, n FROM rf) r WHERE doc_id IN (SELECT doc_id FROM en) AND NOT EXISTS (SELECT 1 FROM en WHERE r.doc_id = en.doc_id AND r.n = en.number) GROUP BY doc_id) "
-       + found("FROM u", "ref-coverage", "unused", "warn", "NULL", "w") + " UNION ALL " + found("FROM m", "ref-coverage", "missing", "error", "NULL", "w"))
-def ref_coverage(spark, sf):
-    return brief(C.ref_coverage(cites(spark), entries(spark)))
-
-
-@query(f"WITH en AS ({L.ENTRIES}) " + found("FROM en WHERE NOT regexp_matches(text, '\\[(M|J|D|C|N|R|S|P|A|Z|G|EB/OL|DB/OL|J/OL|M/CD|C/OL|N/OL)\\]')", "ref-format", "type", "warn", "para_index", "nr") + " UNION ALL "
-       + found("FROM en WHERE NOT regexp_matches(text, '(^|\\D)(19|20)\\d{2}(\\D|$)')", "ref-format", "year", "warn", "para_index", "nr") + " UNION ALL "
-       + found("FROM en WHERE contains(text, '[J]') AND regexp_matches(text, '(^|\\D)(19|20)\\d{2}(\\D|$)') AND NOT regexp_matches(text, '(^|\\D)(19|20)\\d{2}(\\D.*)?[:：]\\s*\\d')", "ref-format", "pages", "warn", "para_index", "nr"))
-def ref_format(spark, sf):
-    return brief(C.ref_format(entries(spark)))
-
-
 _KEY = "substr(lower(regexp_replace(regexp_replace({0}, '^\\s*[\\[［]\\s*(\\d+)\\s*[\\]］]', ''), '\\s+', '', 'g')), 1, 30)"
 
 
-@query(f"WITH k AS (SELECT *, {_KEY.format('text')} AS key FROM ({L.ENTRIES})), d AS (SELECT *, row_number() OVER w AS n, first_value(number) OVER w AS f FROM k WINDOW w AS (PARTITION BY doc_id, key ORDER BY nr)) " + found("FROM d WHERE n > 1", "ref-duplicate", "key", "error", "para_index", "'=' || f"))
-def ref_duplicate(spark, sf):
-    return brief(C.ref_duplicate(entries(spark)))
-
-
 @query(f"WITH k AS (SELECT doc_id, {_KEY.format('text')} AS key FROM documents) SELECT doc_id, first_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n, first_value(doc_id) OVER (PARTITION BY key ORDER BY doc_id) AS first_id FROM k WHERE key <> '') WHERE n > 1")
 def duplicate_openings(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", C.duplicate_key().alias("key")).filter("key <> ''")
@@ -247,14 +127,14 @@ def duplicate_openings(spark, sf):
 # the same operators on the star schema
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def coverage_unused_customers(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")
 def coverage_missing_orders(spark, sf):
-    return table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").join(table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
 @query("WITH g AS (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, list(DISTINCT l_linenumber) AS seen FROM lineitem GROUP BY 1) SELECT l_orderkey, m::BIGINT AS missing FROM (SELECT l_orderkey, seen, unnest(range(lo, hi + 1)) AS m FROM g) WHERE NOT list_contains(seen, m::INT)")
@@ -298,271 +178,9 @@ def golden_scores(spark, sf):
     return P.scores(flagged, labels.filter("quality = 0"), ["doc_id"])
 
 
-# structure
-
-
-HN = f"""hh AS (SELECT doc_id, para_index AS p, text, CASE style_name WHEN '一级标题' THEN 1 WHEN '二级标题' THEN 2 WHEN '三级标题' THEN 3 END AS sl, CASE WHEN regexp_matches(text, '^第\\s*\\d+\\s*章') THEN [regexp_extract(text, '\\d+')::INT] WHEN text LIKE '第二十三章%' THEN [23] ELSE list_transform(string_split(regexp_extract(text, '^\\d+(\\.\\d+)+'), '.'), lambda x: x::INT) END AS num FROM ({L.HEADINGS})),
- nn AS (SELECT *, len(num) AS nl, array_to_string(num, '.') AS d FROM hh)"""
-
-
-@query(f"WITH {HN}, j AS (SELECT doc_id, p, d, unnest(range(1, nl)) AS k, num FROM nn), jj AS (SELECT doc_id, p, d, array_to_string(num[1:k], '.') AS pre FROM j), s AS (SELECT doc_id, num[1:nl-1] AS pre, nl, num[nl] AS last FROM nn), g AS (SELECT doc_id, pre, nl, min(last) AS lo, max(last) AS hi, list(DISTINCT last) AS seen FROM s GROUP BY ALL), m AS (SELECT doc_id, pre, seen, unnest(range(lo, hi + 1)) AS m FROM g), t AS (SELECT doc_id, d, count(*) AS n FROM nn GROUP BY ALL) "
-       + found("FROM nn WHERE sl <> nl", "heading-sequence", "level", "error", "p", "d || ':' || sl || ':' || nl") + " UNION ALL " + found("FROM jj WHERE NOT EXISTS (SELECT 1 FROM nn WHERE nn.doc_id = jj.doc_id AND nn.d = jj.pre)", "heading-sequence", "jump", "warn", "p", "pre || '<' || d") + " UNION ALL "
-       + found("FROM m WHERE NOT list_contains(seen, m::INT)", "heading-sequence", "gap", "error", "NULL", "array_to_string(list_append(pre, m::INT), '.')") + " UNION ALL " + found("FROM t WHERE n > 1", "heading-sequence", "repeat", "error", "NULL", "d || 'x' || n"))
-def heading_sequence(spark, sf):
-    return brief(ST.heading_sequence(D.headings(spark.sql(L.HEADINGS))))
-
-
-CP = f"b AS ({L.CAPTIONS}), c AS (SELECT doc_id, ord, substr(text, 1, 1) AS type, regexp_extract(text, '(\\d+)[-—.](\\d+)', 1)::INT AS ch, regexp_extract(text, '(\\d+)[-—.](\\d+)', 2)::INT AS seq FROM b WHERE kind = 'p' AND regexp_matches(text, '^(图|表)\\s*[0-9]+[-—.][0-9]+'))"
-
-
-@query(f"WITH {CP}, n AS (SELECT t.doc_id, t.ord AS t_ord, c.ord AS c_ord, ch, seq, row_number() OVER (PARTITION BY t.doc_id, t.ord ORDER BY abs(c.ord - t.ord), c.ord) AS k FROM b t JOIN c ON c.doc_id = t.doc_id AND abs(c.ord - t.ord) <= 4 WHERE t.kind = 'tbl' AND type = '表'), g AS (SELECT doc_id, type, ch, list(seq) AS seen, unnest(range(min(seq), max(seq) + 1)) AS m FROM c GROUP BY doc_id, type, ch), "
-       "r AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(图|表)\\s*[0-9]+[-—.][0-9]+')), '\\s', '', 'g') AS ref FROM b WHERE kind = 'p' AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = b.doc_id AND c.ord = b.ord)) "
-       + found("FROM n WHERE k = 1 AND c_ord > t_ord", "figure-table", "position", "warn", "t_ord", "ch || '-' || seq || ' below'") + " UNION ALL " + found("FROM g WHERE NOT list_contains(seen, m::INT)", "figure-table", "gap", "error", "NULL", "type || ch || '-' || m") + " UNION ALL "
-       + found("FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = r.doc_id AND type || ch || '-' || seq = ref)", "figure-table", "dangling", "warn", "NULL", "ref"))
-def figure_table(spark, sf):
-    b = spark.sql(L.CAPTIONS)
-    return brief(ST.figure_table(b, D.captions(b), STD))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'abstract-layout', 'length', 'info', NULL::BIGINT, 'cn:10'), (1, 'abstract-layout', 'length', 'info', NULL, 'en:6'), (1, 'abstract-layout', 'keywords', 'warn', 3, '3:；,'), (1, 'abstract-layout', 'citation', 'warn', 5, 'en'), (1, 'abstract-layout', 'figure', 'warn', 2, 'cn'), (2, 'abstract-layout', 'length', 'info', NULL, 'cn:4'), (2, 'abstract-layout', 'no-keywords', 'warn', NULL, 'none')) t(doc_id, rule, sub_check, severity, loc_index, actual)")
-def abstract_layout(spark, sf):
-    return brief(ST.abstract_layout(spark.sql(L.ABSTRACT), STD))
-
-
-@query(f"""WITH b AS ({L.ABSTRACT}), m AS (SELECT doc_id, min(ord) FILTER (style_name = '一级标题') AS h, min(ord) FILTER (text = '参考文献') AS r FROM b GROUP BY 1), x AS (SELECT b.*, sum((style_name = '一级标题')::INT) OVER (PARTITION BY b.doc_id ORDER BY ord)::BIGINT AS chapter, CASE WHEN ord < h THEN 'front' WHEN ord >= r THEN 'ref' ELSE 'body' END AS region FROM b JOIN m USING (doc_id)),
- y AS (SELECT doc_id, chapter, len(regexp_extract_all(text, '[一-鿿]')) AS han, len(regexp_extract_all(text, '[⺀-鿿　-〿＀-￯]')) AS fw, length(regexp_replace(text, '\\s', '', 'g')) AS v FROM x WHERE region = 'body')
- SELECT doc_id::BIGINT AS doc_id, coalesce(chapter, -1) AS chapter, sum(han)::BIGINT AS han, sum(fw)::BIGINT AS fullwidth, sum(v)::BIGINT AS visible FROM y GROUP BY GROUPING SETS ((doc_id, chapter), (doc_id))""")
-def chapter_lengths(spark, sf):
-    out = ST.chapter_lengths(D.regions(spark.sql(L.ABSTRACT)))
-    return out.select(long("doc_id"), long(F.coalesce("chapter", F.lit(-1)), "chapter"), long("han"), long("fullwidth"), long("visible"))
-
-
-# format
-
-
-_SEC = f"s AS ({L.SECTIONS})"
-
-
-@query(f"WITH {_SEC} " + found("FROM s WHERE abs(width_cm - 21.0) > 0.05 OR abs(height_cm - 29.7) > 0.05", "page-setup", "size", "error", "section_index", "width_cm || 'x' || height_cm") + " UNION ALL " + found("FROM s WHERE abs(top_cm - 2.5) > 0.05", "page-setup", "margin", "error", "section_index", "'top:' || top_cm"))
-def page_setup(spark, sf):
-    return brief(FR.page_setup(spark.sql(L.SECTIONS), STD | {"page_margins_cm": [2.5, 2.5, 2.5, 3.0]}))
-
-
-@query(f"WITH {_SEC} " + found("FROM s WHERE NOT has_pgnumtype AND NOT has_page_field AND is_front", "page-numbering", "no-front", "warn", "section_index", "'none'") + " UNION ALL " + found("FROM s WHERE NOT has_pgnumtype AND NOT has_page_field AND NOT is_front", "page-numbering", "no-body", "error", "section_index", "'none'") + " UNION ALL "
-       + found("FROM s WHERE is_front AND has_pgnumtype AND page_fmt = 'decimal'", "page-numbering", "front-arabic", "warn", "section_index", "'arabic'") + " UNION ALL " + found("FROM s WHERE NOT has_pgnumtype AND doc_id IN (SELECT doc_id FROM s WHERE has_pgnumtype)", "page-numbering", "missing", "warn", "section_index", "'no type'"))
-def page_numbering(spark, sf):
-    return brief(FR.page_numbering(spark.sql(L.SECTIONS), STD))
-
-
-@query(f"WITH {_SEC} " + found("FROM s WHERE header_has_rule = false", "header", "line", "warn", "section_index", "'false'") + " UNION ALL " + found("FROM (SELECT doc_id, bool_or(coalesce(header_has_rule, false)) AS a, bool_and(coalesce(header_has_rule, false)) AS b FROM s GROUP BY 1) WHERE a AND NOT b", "header", "line-mixed", "warn", "NULL", "'mixed'") + " UNION ALL "
-       + found("FROM s WHERE header_text <> '论文'", "header", "text", "warn", "section_index", "header_text") + " UNION ALL " + found("FROM (SELECT doc_id, count(DISTINCT header_text) AS n FROM s GROUP BY 1) WHERE n > 1", "header", "text-mixed", "warn", "NULL", "n"))
-def header_rules(spark, sf):
-    return brief(FR.header(spark.sql(L.SECTIONS), STD | {"header_rule": True, "header_content": "论文"}))
-
-
-@query(f"WITH p AS (SELECT doc_id, para_index, run_ord, size_pt FROM ({L.CITES})), f AS (SELECT doc_id, para_index, coalesce(first(size_pt ORDER BY run_ord) FILTER (size_pt IS NOT NULL), 12.0) AS size FROM p GROUP BY ALL) " + found("FROM (SELECT doc_id, list_sort(list(DISTINCT size)) AS v FROM f GROUP BY 1) WHERE len(v) > 1", "fonts", "size", "warn", "NULL", "'正文文本:' || array_to_string(v, '/')"))
-def fonts_mix(spark, sf):
-    runs = spark.sql(L.CITES).withColumn("font_ea", F.lit(None).cast("string"))
-    paras = runs.select("doc_id", "para_index", F.lit("正文文本").alias("style_name")).distinct()
-    styles = spark.sql("SELECT 1 AS doc_id, '正文文本' AS name, CAST(12.0 AS DOUBLE) AS size_pt, CAST(NULL AS STRING) AS font_ea")
-    return brief(FR.fonts(FR.effective(paras, runs, styles), STD))
-
-
-@query(f"WITH t AS ({L.TEXT}), r AS (SELECT * FROM ({L.CITES}) WHERE size_pt IS NOT NULL) " + found("FROM (SELECT DISTINCT doc_id, style_name FROM t WHERE style_name NOT IN ('正文文本', '一级标题'))", "style-compliance", "unknown", "warn", "NULL", "style_name") + " UNION ALL " + found("FROM r", "style-compliance", "direct-size", "warn", "para_index", "size_pt"))
-def style_compliance(spark, sf):
-    runs = spark.sql(L.CITES).withColumn("font_ea", F.lit(None).cast("string"))
-    return brief(FR.style_compliance(spark.sql(L.TEXT), runs.filter("doc_id = 1 and para_index = 4"), spark.sql("SELECT explode(array('正文文本', '一级标题')) AS name")))
-
-
-TOC = L.values("doc_id, kind, para_index, style_name, text, is_marker, has_toc_field, has_toc_anchor", "(1, 'p', 1, '目录标题', '目录', false, false, false)", "(1, 'p', 2, 'toc 1', '第1章 1', true, true, true)", "(1, 'p', 3, 'toc 1', '', false, false, false)", "(1, 'p', 4, 'toc 1', '错误!未定义书签。', true, false, true)", "(1, 'p', 5, '正文文本', '后文', false, false, false)", "(1, 'p', 6, '一级标题', '甲', false, false, false)", "(1, 'p', 7, '一级标题', '乙', false, false, false)", "(1, 'p', 8, '二级标题', '丙', false, false, false)", "(2, 'p', 1, '正文文本', '无', false, false, false)")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'toc', 'broken', 'error', NULL::BIGINT, 'broken'), (1, 'toc', 'mismatch', 'warn', NULL, '2<3'), (2, 'toc', 'none', 'info', NULL, 'none')) t(doc_id, rule, sub_check, severity, loc_index, actual)")
-def toc_rules(spark, sf):
-    paras = spark.sql(TOC)
-    return brief(FR.contents(paras, D.contents_region(paras)))
-
-
-# styles, conventions, standards
-
-
-@query(f"""WITH RECURSIVE s AS ({L.STYLES}), up AS (SELECT doc_id, style_id, style_id AS at, 0 AS depth FROM s UNION ALL SELECT u.doc_id, u.style_id, s.based_on, depth + 1 FROM up u JOIN s ON s.doc_id = u.doc_id AND s.style_id = u.at WHERE s.based_on IS NOT NULL AND depth < 32),
- v AS (SELECT u.doc_id, u.style_id, u.depth, size_pt, font_ea FROM up u JOIN s ON s.doc_id = u.doc_id AND s.style_id = u.at) SELECT doc_id::BIGINT AS doc_id, style_id, min_by(size_pt, depth) FILTER (size_pt IS NOT NULL) AS size_pt, min_by(font_ea, depth) FILTER (font_ea IS NOT NULL) AS font_ea FROM v GROUP BY ALL""")
-def style_inheritance(spark, sf):
-    return Y.inherited(spark, spark.sql(L.STYLES)).select(long("doc_id"), "style_id", "size_pt", "font_ea")
-
-
-@query("SELECT 1::BIGINT AS doc_id, unnest(['e', 'f']) AS style_id")
-def dead_styles(spark, sf):
-    return Y.dead(spark, spark.sql(L.STYLES), spark.sql("SELECT 1 AS doc_id, 'c' AS style_id")).select(long("doc_id"), "style_id")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, '一级标题', 'size_pt', '15.0', '16.0'), (1, '正文文本', 'size_pt', '12.0', NULL), (1, '新样式', 'size_pt', '9.0', NULL), (1, '新样式', 'font_ea', '宋体', NULL)) t(doc_id, name, field, want, have)")
-def style_verify_diff(spark, sf):
-    spec = spark.sql("SELECT * FROM (VALUES (1, '一级标题', 15.0e0, CAST(NULL AS STRING)), (1, '正文文本', 12.0e0, CAST(NULL AS STRING)), (1, 'Normal', 12.005e0, '宋体'), (1, '新样式', 9.0e0, '宋体')) AS t(doc_id, name, size_pt, font_ea)")
-    return Y.differences(spec, spark.sql(L.STYLES), ["size_pt", "font_ea"]).select(long("doc_id"), "name", "field", "want", "have")
-
-
-@query(f"WITH s AS ({L.STYLES}), t AS (SELECT DISTINCT style_name FROM ({L.TEXT}) WHERE doc_id = 1) SELECT doc_id::BIGINT AS doc_id, name, CASE WHEN name IN (SELECT style_name FROM t) THEN 'referenced' WHEN name = 'Normal' THEN 'reserved' ELSE 'unused' END AS state FROM s")
-def style_usage(spark, sf):
-    return Y.usage(spark.sql(L.STYLES), spark.sql(L.TEXT), ["Normal"]).select(long("doc_id"), "name", "state")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'superscript-square', 4::BIGINT, 'medium', 'before-punct', 'single'), (2, 'superscript-square', 1, 'low', 'mid-sentence', 'merged')) t(doc_id, form, n, confidence, position, multi)")
-def citation_convention(spark, sf):
-    return V.citation(cites(spark)).select(long("doc_id"), "form", "n", "confidence", "position", "multi")
-
-
-@query(f"SELECT doc_id::BIGINT AS doc_id, 'sequence' AS system, CASE WHEN count(*) FILTER (regexp_matches(text, '\\[(M|J)\\]')) * 2 >= count(*) THEN 'GB/T 7714' END AS standard, 'medium' AS confidence, count(*)::BIGINT AS n FROM ({L.ENTRIES}) GROUP BY 1")
-def bibliography_convention(spark, sf):
-    return V.bibliography(entries(spark)).select(long("doc_id"), "system", "standard", "confidence", "n")
-
-
-@query(f"WITH {_SEC} SELECT doc_id::BIGINT AS doc_id, CASE count(DISTINCT page_fmt) WHEN 0 THEN 'unknown' WHEN 1 THEN 'single' ELSE 'multi-section' END AS scheme FROM s GROUP BY 1")
-def page_numbering_convention(spark, sf):
-    return V.page_numbering(spark.sql(L.SECTIONS)).select(long("doc_id"), "scheme")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 10.5::DOUBLE, 14::BIGINT, 'body', false), (1, 16.0, 3, 'h1', true), (1, 14.0, 3, 'h2', true), (1, 10.8, 1, 'other', true), (1, 9.0, 2, 'other', false)) t(doc_id, size, chars, role, bold)")
-def pdf_size_histogram(spark, sf):
-    return V.sizes_of_spans(spark.sql(L.SPANS)).select(long("doc_id"), "size", long("chars"), "role", "bold")
-
-
-@query("""WITH d(key, value) AS (VALUES ('cite_style', 'superscript-bracket'), ('cite_position', 'before-punct'), ('cite_allow_explicit_size', 'false'), ('bib_system', 'sequence'), ('bib_standard', 'GB/T 7714'), ('page_size', 'A4'), ('page_margins_cm', NULL), ('page_numbering_scheme', NULL), ('header_content', NULL), ('header_rule', NULL), ('body_font_cn', NULL), ('body_size_pt', NULL), ('body_line_spacing', NULL), ('quote_style', 'straight'), ('dash_per_1000_max', '6.0'), ('heading_max_chars', '25'), ('max_h3_per_h2', '3'), ('abstract_cn_max_chars', '1000'), ('abstract_en_max_words', '500'), ('caption_figure_position', 'below'), ('caption_table_position', 'above'), ('body_min_chars', NULL)),
- o(doc_id, key, value, source) AS (VALUES (1, 'cite_style', 'bracket', 'template'), (1, 'header_rule', 'false', 'template'), (1, 'heading_max_chars', '30', 'config'), (3, 'cite_allow_explicit_size', 'true', 'template'), (3, 'body_min_chars', '0', 'template')), i(doc_id) AS (VALUES (1), (2), (3))
- SELECT i.doc_id::BIGINT AS doc_id, d.key, coalesce(o.value, d.value) AS value, coalesce(o.source, CASE WHEN d.value IS NOT NULL THEN 'default' END) AS source FROM i CROSS JOIN d LEFT JOIN o ON o.doc_id = i.doc_id AND o.key = d.key""")
-def standards_resolution(spark, sf):
-    return S.resolve(spark.sql(L.SPECS)).select(long("doc_id"), "key", "value", "source")
-
-
-# issues and repair
-
-
-_IS = f"i AS ({L.ISSUES})"
-
-
-@query(f"WITH {_IS} SELECT issue_key, suppressible AND (id IN ('cite-form-0002') OR rule IN ('dash-density', 'toc')) AS suppressed FROM i")
-def suppress_split(spark, sf):
-    return I.suppressed(spark.sql(L.ISSUES), spark.sql(L.IGNORE)).select("issue_key", "suppressed")
-
-
-@query(f"WITH {_IS} SELECT issue_key, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END, coalesce(loc_index, 0), issue_key)::BIGINT AS k FROM i")
-def severity_order(spark, sf):
-    w = Window.orderBy(I.rank(), F.coalesce("loc_index", F.lit(0)), "issue_key")
-    return spark.sql(L.ISSUES).select("issue_key", long(F.row_number().over(w), "k"))
-
-
-@query(f"WITH {_IS} SELECT rule, count(*)::BIGINT AS n FROM i GROUP BY 1")
-def rule_distribution(spark, sf):
-    return I.by_rule(spark.sql(L.ISSUES))
-
-
-def plan_items(spark) -> DataFrame:
-    return R.plan(spark.sql(L.ISSUES).withColumn("params", F.create_map().cast("map<string,string>")))
-
-
-@query(f"WITH {_IS} SELECT doc_id::BIGINT AS doc_id, issue_key, action, (NOT suppressible OR severity = 'error') AS enabled FROM i WHERE action IS NOT NULL")
-def repair_plan(spark, sf):
-    return plan_items(spark).select(long("doc_id"), "issue_key", "action", "enabled")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'changed document'), (3, 'missing document'), (4, 'warn: no hash'), (1, 'unknown action: para.fold')) t(doc_id, reason)")
-def guard_rejects(spark, sf):
-    heads = spark.sql("SELECT * FROM (VALUES (1, 'aa'), (2, 'bb'), (3, 'cc'), (4, CAST(NULL AS STRING))) AS t(doc_id, sha256)")
-    docs = spark.sql("SELECT * FROM (VALUES (1, 'xx'), (2, 'bb'), (4, 'dd')) AS t(doc_id, sha256)")
-    items = plan_items(spark).select("doc_id", "action").union(spark.sql("SELECT 1 AS doc_id, 'para.fold' AS action"))
-    return R.guard(items, heads, docs).select(long("doc_id"), "reason")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'i3', 1::BIGINT), (1, 'i2', 2), (1, 'i1', 3), (2, 'i5', 1)) t(doc_id, issue_key, step)")
-def apply_order(spark, sf):
-    return R.ordered(plan_items(spark).withColumn("enabled", F.lit(True))).select(long("doc_id"), "issue_key", long("step"))
-
-
-@query("SELECT unnest(['i2', 'i3', 'i5']) AS issue_key")
-def ledger_skip(spark, sf):
-    ledger = spark.sql("SELECT * FROM (VALUES (1, 'i1', 'now'), (1, 'i2', 'old')) AS t(doc_id, issue_key, result_sha)")
-    return R.pending(plan_items(spark).withColumn("sha256", F.lit("now")), ledger).select("issue_key")
-
-
-@query(f"SELECT doc_id::BIGINT AS doc_id, stamp FROM ({L.SNAPSHOTS}) ORDER BY stamp DESC LIMIT 12")
-def snapshots_kept(spark, sf):
-    return R.kept_snapshots(spark.sql(L.SNAPSHOTS)).select(long("doc_id"), "stamp")
-
-
-PLACES = L.values("key, doc_id, hint, text", "('same', 1, 3, '第三段')", "('shifted', 1, 1, '第五段')", "('several', 1, 8, '重复')", "('edited', 1, 4, '012345678901234567890123456789旧')", "('gone', 1, 2, '不在了')")
-NOW = L.values("doc_id, para_index, text", "(1, 2, '重复')", "(1, 3, '第三段')", "(1, 4, '012345678901234567890123456789新')", "(1, 5, '第五段')", "(1, 9, '重复')")
-
-
-@query("SELECT * FROM (VALUES ('same', 3::BIGINT, 'same place'), ('shifted', 5, 'unique'), ('several', 9, 'ambiguous'), ('edited', 4, 'prefix'), ('gone', NULL, 'gone')) t(key, para_index, how)")
-def relocation(spark, sf):
-    return R.relocated(spark.sql(PLACES).withColumn("fp", T.fingerprint("text")), spark.sql(NOW)).select("key", long("para_index"), "how")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0::BIGINT, '前人指出', false), (1, 1, 1, '[1]', false), (1, 1, 2, '。后文', false), (1, 2, 0, '又有研究', false), (1, 2, 1, '[3]', true), (1, 2, 2, '。', false), (1, 2, 3, '后续', false), (1, 3, 0, '再有', false), (1, 3, 1, '[9]', true), (1, 3, 2, '；末', false)) t(doc_id, para_index, run_ord, text, superscript)")
-def apply_edits(spark, sf):
-    items = spark.sql("""SELECT * FROM (VALUES (1L, 'k1', 1, 'cite.superscript', map('on', 'false', 'run_ord', '1')), (1L, 'k2', 2, 'cite.move_before_punct', map('run_ord', '1')), (1L, 'k3', 3, 'para.delete', map('x', 'y'))) AS t(doc_id, issue_key, loc_index, action, params)""").withColumn("enabled", F.lit(True))
-    runs = spark.sql(L.CITES).filter("doc_id = 1").withColumn("font_ea", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return R.apply_plan(runs, items)[0].select(long("doc_id"), long("para_index"), long("run_ord"), "text", "superscript")
-
-
-# proposal, routing, scalars
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'A1', 'passed', '乡村教育'), (2, 'A1', 'undecidable', ''), (3, 'A1', 'undecidable', ''), (1, 'A4', 'changed', '30-40:15'), (2, 'A4', 'passed', '15-15:15'), (3, 'A4', 'undecidable', '?-?:?'), (1, 'A7', 'passed', '4/3'), (2, 'A7', 'passed', '0/-'), (3, 'A7', 'passed', '0/-')) t(doc_id, anchor, conclusion, value)")
-def proposal_consistency(spark, sf):
-    pairs = spark.sql(L.PROPOSALS)
-    none = spark.createDataFrame([], "section string, field string, tokens array<string>")
-    out = P.topic(pairs, none).unionByName(P.sample(pairs)).unionByName(P.promised_entries(pairs, entries(spark)))
-    return out.select(long("doc_id"), "anchor", "conclusion", "value")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'A5', 'passed', '绪论'), (1, 'A5', 'changed', '文献综述'), (1, 'A5', 'missing', '讨论'), (1, 'A5', 'deviates', '补充材料')) t(doc_id, anchor, conclusion, value)")
-def proposal_outline(spark, sf):
-    text = spark.sql("SELECT 1 AS doc_id, concat_ws(char(10), '题目', '论文提纲', '一、绪论', '（一）背景', '二、文献综述', '三、讨论', '进度安排', '四、不算') AS text")
-    plan = P.outline(text, "论文提纲", "进度安排")
-    heads = spark.sql("SELECT * FROM (VALUES (1, 1, 1, '第1章 绪论与综述'), (1, 2, 2, '1.1 背景'), (1, 3, 2, '补充材料')) AS t(doc_id, para_index, style_level, text)")
-    anchors = spark.createDataFrame([("A5_outline", "merged_chapter", ["文献综述"]), ("A5_outline", "merged_target", ["绪论"])], "section string, field string, tokens array<string>")
-    return P.chapters(plan, heads, anchors).unionByName(P.extra_sections(plan, heads)).select(long("doc_id"), "anchor", "conclusion", "value")
-
-
-@query(f"""WITH p AS ({L.PHRASES}), g AS (SELECT DISTINCT phrase, g FROM (SELECT phrase, unnest(list_transform(range(1, length(phrase)), lambda i: substr(phrase, i, 2))) AS g FROM p)) SELECT g, count(*)::BIGINT AS df FROM g GROUP BY 1""")
-def bigram_frequencies(spark, sf):
-    return spark.sql(L.PHRASES).select(F.explode(T.bigrams(F.col("phrase"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-
-
-@query("SELECT * FROM (VALUES ('引用序号放右上角，能跳过去', 'cite-doctor'), ('我这章的破折号是不是太多了', 'text-style'), ('页眉是不是该有根横线', 'format-audit'), ('字数超出要求了', 'structure-length'), ('帮我查重', 'not_covered'), ('完全无关的话', 'not_covered')) t(prompt, choice)")
-def route_prompts(spark, sf):
-    return RT.route(spark.sql(L.PROMPTS), spark.sql(L.PHRASES))
-
-
-@query("SELECT * FROM (VALUES ('十', 10::BIGINT), ('二十三', 23), ('一百零五', 105), ('两千零一', 2001), ('17', 17), ('三x', NULL), ('', NULL)) t(s, n)")
-def chinese_numbers(spark, sf):
-    return spark.sql("SELECT explode(array('十', '二十三', '一百零五', '两千零一', '17', '三x', '')) AS s").select("s", long(T.cn_int("s"), "n"))
-
-
 @query("SELECT doc_id, substr(sha1(lower(regexp_replace(text, '\\s+', '', 'g'))), 1, 12) AS fp, 'doc-' || lpad((('0x' || substr(sha1('doc|' || doc_id), 1, 8))::BIGINT % 10000)::VARCHAR, 4, '0') AS id FROM documents")
 def fingerprints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.fingerprint("text").alias("fp"), T.issue_id(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"))
 
 
-@query("SELECT * FROM (VALUES ('三号', 16.0::DOUBLE, '三号'), ('小 四', 12.0, '小四'), ('没有', NULL, NULL)) t(label, points, name)")
-def named_sizes(spark, sf):
-    s = spark.sql("SELECT explode(array('三号', '小 四', '没有')) AS label").withColumn("points", T.size_in_points(F.col("label")))
-    return s.withColumn("name", T.size_name(F.col("points")))
-
-
-@query("SELECT * FROM (VALUES ('居中', 'CENTER', 'ABCDEF+宋体', '宋体'), (' Left ', 'LEFT', 'Times', 'Times'), ('?', 'JUSTIFY', 'abcdef+X', 'abcdef+X')) t(a, alignment, f, font)")
-def alignments_and_fonts(spark, sf):
-    s = spark.sql("SELECT * FROM (VALUES ('居中', 'ABCDEF+宋体'), (' Left ', 'Times'), ('?', 'abcdef+X')) AS t(a, f)")
-    return s.select("a", T.alignment(F.col("a")).alias("alignment"), "f", T.font_name(F.col("f")).alias("font"))
-
-
-@query("SELECT * FROM (VALUES ('关键词：甲；乙,丙', '甲|乙|丙'), ('Key words: a, b', 'a|b'), ('甲', '甲')) t(line, words)")
-def keyword_split(spark, sf):
-    return spark.sql("SELECT explode(array('关键词：甲；乙,丙', 'Key words: a, b', '甲')) AS line").select("line", F.array_join(T.keywords("line"), "|").alias("words"))
-
-
-@query("SELECT * FROM (VALUES ('a/10.docx', 'docx', 'a/000000000010.docx'), ('a/9.PDF', 'pdf', 'a/000000000009.pdf'), ('b', 'other', 'b')) t(path, kind, natural_key)")
-def input_probe(spark, sf):
-    return B.probe(spark.sql("SELECT explode(array('a/10.docx', 'a/9.PDF', 'b')) AS path"))
+from vellum.plans import document_queries  # noqa: E402, F401  registers its queries
