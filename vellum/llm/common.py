@@ -175,6 +175,25 @@ def settled(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns memory that was freed to the system. Python workers are used again and would keep it beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere the allocator does so itself
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(batches: Iterable) -> Iterator:
+    """Hands on what a task makes, and at its end gives back its memory."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def planes(values: np.ndarray) -> bytes:
     """The bytes of whole numbers, those of equal weight together, so that leading zeros compress to nothing."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_chunks, joined, mixed, run_hashes, settled, small_batches, word_table
+from vellum.llm.common import in_chunks, joined, lean, mixed, run_hashes, settled, small_batches, word_table
 
 #: Fixed masks; each looks at six words.
 MASKS = ("111111", "11101011", "110100111", "1100101011", "11010001011")
@@ -177,7 +177,7 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         words = ((r["item_id"], words_of(folded(r["text"]).encode("utf-8", "replace"))[1]) for r in block.toLocalIterator())
         sent = spark.sparkContext.broadcast([(i, w.tobytes()) for i, w in words if len(w) >= LEAST_ITEM])
-        part = texts.mapInPandas(lambda it, s=sent: search(it, Index({k: np.frombuffer(w, np.uint64) for k, (_, w) in enumerate(s.value)}), [i for i, _ in s.value]), FOUND)
+        part = texts.mapInPandas(lambda it, s=sent: lean(search(it, Index({k: np.frombuffer(w, np.uint64) for k, (_, w) in enumerate(s.value)}), [i for i, _ in s.value])), FOUND)
         found = part if found is None else found.union(part)
     return found
 

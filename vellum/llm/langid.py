@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import run_hashes, settled, small_batches
+from vellum.llm.common import give_back, lean, run_hashes, settled, small_batches
 
 #: The classifier is fitted on about so many labelled rows of each language, chosen by a hash of the id. Every language is
 #: learned. The most frequent words and n-grams of each language are kept, so many in all as long as each language has FEWEST.
@@ -156,7 +156,7 @@ def fit(docs: DataFrame) -> Model:
     share = sizes.select("lang", (F.lit(SAMPLE_ROWS) / F.col("count")).alias("share"))
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = train.join(F.broadcast(share), "lang").filter(bucket < F.col("share")).select("text", "lang")
-    counted = sample.mapInPandas(counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(lambda it: lean(counts(it)), "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     by_item = settled(counted.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("total")).filter("total > 1").drop("total"))
     # the count from which on entries are among the most frequent ones of a language; of those with just that count, a part by hash
     quota = F.when(F.col("kind") > 0, max(FEWEST, SAMPLE_GRAMS // languages)).otherwise(max(FEWEST, SAMPLE_WORDS // languages))
@@ -197,6 +197,8 @@ def predictor(docs: DataFrame, model: Model | None):
         own = Model(*sent.value)
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        del own
+        give_back()
 
     return F.pandas_udf(predicted, "lang_pred string, score double"), model
 

@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, blob, in_chunks, joined, mixed, run_hashes, settled, unblob, word_table
+from vellum.llm.common import Scratch, blob, in_chunks, joined, lean, mixed, run_hashes, settled, unblob, word_table
 
 PERCENT, RUN, PARTNERS = 80, 2, 4
 #: So many of the most frequent words are broadcast, with their order, 8 bytes each. All others come before them, by hash.
 FREQUENT, SLOTS = 1 << 19, 1 << 22
 #: Steps of the logarithm by which words are ordered, to a doubling of their count.
 STEPS = 8
-#: Rows that a task packs, or takes apart, at a time, and words that it counts; rows for each partition of the join, and ranges of keys in it.
-ROWS, COUNTED, PER_TASK, RANGES = 1 << 19, 1 << 20, 1 << 24, 8
+#: Rows that a task packs, or takes apart, at a time, and words that it counts; words of sets for each partition of the join, and
+#: for each range of keys in it, which is what a task holds at a time; and ranges of words in a partition.
+ROWS, COUNTED, PER_TASK, PER_RANGE, WORD_RANGES = 1 << 18, 1 << 19, 1 << 24, 1 << 19, 2
 #: Lines of which a task remembers the first place, and rows in a frame that it hands on.
 SEEN, FRAME = 100_000, 20_000
 #: Rows of one run of words from which on they needn't be held together.
@@ -150,7 +151,7 @@ def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def frequent_words(texts: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
     """Hashes of at most so many words, rarest first: those of all the highest levels that they hold whole."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInArrow(lambda it: counted(it, parts * RANGES), "range int, data binary")
+    words = texts.mapInArrow(lambda it: lean(counted(it, parts * WORD_RANGES)), "range int, data binary")
     found = scratch.keep(words.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(levels, "level int, n long, data binary"), "words")
     chosen, total = [], 0
     for row in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
@@ -404,7 +405,7 @@ def partnered(x: dict[str, np.ndarray], percent: int, partners: int) -> tuple[np
     rows, met_again = np.flatnonzero(further & (size <= HELD) & ~tie), (size > HELD) | tie
     width = place[rows] - partners
     total = np.cumsum(width)
-    for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(1 << 20, total[-1], 1 << 20)) if len(rows) else []):
+    for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(1 << 17, total[-1], 1 << 17)) if len(rows) else []):
         b = np.repeat(rows[part], width[part])
         a = b - 1 - (np.arange(len(b)) - np.repeat(np.cumsum(width[part]) - width[part], width[part]))
         pass_ = fits(a, b)
@@ -596,7 +597,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = marked(docs.select("doc_id", "text").filter("text is not null")).drop("doc_id")
     sent = spark.sparkContext.broadcast(frequent_words(texts, scratch, FREQUENT).tobytes())
-    lines = texts.mapInArrow(lambda it: scan(it, sent.value, fewest), LINE)
+    lines = texts.mapInArrow(lambda it: lean(scan(it, sent.value, fewest)), LINE)
     placed = Window.partitionBy("a", "b").orderBy("doc", "mark", "line")
     ranked = lines.withColumn("later", F.col("repeat") | (F.rank().over(placed) > 1)).withColumn("nth", F.row_number().over(placed))
     known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", "n", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
@@ -605,9 +606,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
 
     size = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_TASK))
-    partners = PARTNERS
-    runs = classes.mapInArrow(lambda it: packed_runs(it, percent, parts * RANGES), "range int, data binary")
-    found = runs.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(lambda it: met(it, percent, parts, partners), MET)
+    partners, ranges = PARTNERS, parts * max(1, -(-size // parts // PER_RANGE))
+    runs = classes.mapInArrow(lambda it: lean(packed_runs(it, percent, ranges)), "range int, data binary")
+    found = runs.repartitionById(parts, F.col("range") % parts).sortWithinPartitions("range").mapInPandas(lambda it: lean(met(it, percent, parts, partners)), MET)
     found = scratch.keep(found, "met")
     pairs = found.filter("part is not null").select("part", "data").repartitionById(parts, F.col("part")).mapInPandas(pairs_of, "x long, y long")
     pairs = scratch.keep(pairs, "pairs")
@@ -627,7 +628,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
         rows = crowd.select("key", "uid").join(left.select("key").distinct(), "key", "left_semi")
         rows = rows.join(sets.join(asked, "uid", "left").fillna(False, ["asked"]), "uid")
         near = rows.repartition("key").sortWithinPartitions("key", "n")
-        gone = settled(gone.union(near.mapInPandas(lambda it: settle(it, percent), "uid long").distinct()))
+        gone = settled(gone.union(near.mapInPandas(lambda it: lean(settle(it, percent)), "uid long").distinct()))
     out = settled(classes.join(gone.distinct(), "uid", "left_semi").select("doc", "mark", "line").union(repeats).distinct())
     scratch.drop()
     return out

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, settled, shingle_sets
+from vellum.llm.common import Scratch, lean, settled, shingle_sets
 from vellum.llm.components import components
 
 WIDTH = 5
@@ -176,7 +176,7 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     scratch, threshold = Scratch(spark), percent / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = scratch.keep(
-        texts.filter("doc_id is not null").mapInPandas(lambda it: signed(it, width), "doc_id long, n int, key binary, sig binary, bands array<long>"), "signed"
+        texts.filter("doc_id is not null").mapInPandas(lambda it: lean(signed(it, width)), "doc_id long, n int, key binary, sig binary, bands array<long>"), "signed"
     )
     rows = known.filter("n > 0")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("cid"))
@@ -209,7 +209,7 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The links among pairs(a, b), by the full sets."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.keep(of(ids).mapInPandas(lambda it: set_rows(it, width), "id long, shingles array<long>"), f"sets{name}")
+        sets = scratch.keep(of(ids).mapInPandas(lambda it: lean(set_rows(it, width)), "id long, shingles array<long>"), f"sets{name}")
         b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         both = b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").withColumn("common", F.size(F.array_intersect("x", "y")))
         links = settled(both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct())
@@ -236,7 +236,7 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         tested = tested.union(pairs) if k else pairs
         links = settled(links.union(verified(pairs, str(k))))
         roots, mixed = resolved(links)
-    sigs = of(mixed.select("id").distinct()).mapInPandas(lambda it: long_signatures(it, width), "id long, sig binary, bands binary")
+    sigs = of(mixed.select("id").distinct()).mapInPandas(lambda it: lean(long_signatures(it, width)), "id long, sig binary, bands binary")
     side = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
     blocks = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("bucket", "id", "root", "n", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     meeting = blocks.join(sigs, "id").select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "root", "n", "sig", "bands")
@@ -248,7 +248,7 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         roots = settled(components(links))
     by_doc = placed.select("doc_id", "n", F.col("cid")).join(roots, F.col("cid") == roots["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "cid").alias("component_id"))
     wordless = known.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    nameless = texts.filter("doc_id is null").mapInPandas(lambda it: signed(it, width), "doc_id long, n int, key binary, sig binary, bands array<long>").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "doc_id")
+    nameless = texts.filter("doc_id is null").mapInPandas(lambda it: lean(signed(it, width)), "doc_id long, n int, key binary, sig binary, bands array<long>").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "doc_id")
     out = settled(by_doc.union(wordless).union(nameless))
     scratch.drop()
     return out

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches
+from vellum.llm.common import lean, small_batches
 
 #: Documents that are packed together at most. A group holds one rest of less than `capacity` tokens of each.
 GROUP_DOCS = 4096
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic:
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").coalesce(groups)
     # ids pass through pandas as strings, where a null would turn whole numbers into floating ones
-    pieces = texts.mapInPandas(lambda it: packed(it, paths, capacity, linear, quadratic, group_docs), PIECE)
+    pieces = texts.mapInPandas(lambda it: lean(packed(it, paths, capacity, linear, quadratic, group_docs)), PIECE)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

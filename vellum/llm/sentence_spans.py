@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, in_chunks, joined, run_hashes, settled, word_table
+from vellum.llm.common import Scratch, in_chunks, joined, lean, run_hashes, settled, word_table
 
 SENTENCES, WORDS, LONG, ZEROS = 2, 20, 30, 3
 #: Long sentences are cut at least every so many words.
@@ -124,7 +124,7 @@ def later_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS,
     """
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).filter("text is not null")
     schema = "hash long, doc_id string, mark long, at int"
-    spans = texts.mapInPandas(lambda it: hashed(it, sentences, words, window), schema).select("hash", F.struct(F.col("doc_id").cast("long").alias("doc_id"), "mark", "at").alias("place"))
+    spans = texts.mapInPandas(lambda it: lean(hashed(it, sentences, words, window)), schema).select("hash", F.struct(F.col("doc_id").cast("long").alias("doc_id"), "mark", "at").alias("place"))
     scratch = Scratch(docs.sparkSession)
     repeated = scratch.keep(spans.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("hash", "first"), "repeated")
     later = spans.join(repeated, "hash").filter("place > first")
@@ -143,5 +143,5 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     both = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.mark")), "left").select("d.doc_id", "d.text", "s.mark", "s.later")
     same = both.filter("later is null").select("doc_id", "text", F.lit(0).cast("long").alias("removed"))
     named = both.filter("later is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
-    cut = named.mapInPandas(lambda it: cleaned(it, sentences, words, window), "doc_id string, mark long, rest string, removed long")
+    cut = named.mapInPandas(lambda it: lean(cleaned(it, sentences, words, window)), "doc_id string, mark long, rest string, removed long")
     return same.union(cut.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]), "rest", "removed"))
