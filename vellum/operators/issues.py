@@ -13,21 +13,21 @@ COLUMNS = ("issue_key", "id", "doc_id", "rule", "sub_check", "layer", "skill", "
 SKILL_OF = {"L1": "format-audit", "L2": "cite-doctor", "L3": "text-style", "L4": "structure-length", "L4·26": "proposal-consistency"}
 
 
-def as_issues(found: DataFrame, rule: str, sub: str, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str = "paragraph", suppressible: bool = True, action: str | None = None, params: Column | None = None, source: str = "default") -> DataFrame:
+def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str | Column = "paragraph", suppressible: bool = True, action: str | None = None, params: Column | None = None, source: str = "default") -> DataFrame:
     """found as issues. Each row of found is one finding; it needs doc_id, and what the given columns refer to."""
     lit = lambda v, t="string": v if isinstance(v, Column) else F.lit(v).cast(t)
     where = (index if index is not None else F.lit(None)).cast("int")
     doc, said = F.col("doc_id").cast("string"), actual.cast("string")
     return found.select(
-        T.issue_key(doc, F.lit(rule), F.lit(sub), where, said).alias("issue_key"),
-        T.issue_id(F.lit(rule), doc, F.lit(sub), where.cast("string"), said).alias("id"),
+        T.issue_key(doc, F.lit(rule), lit(sub), where, said).alias("issue_key"),
+        T.issue_id(F.lit(rule), doc, lit(sub), where.cast("string"), said).alias("id"),
         "doc_id",
         F.lit(rule).alias("rule"),
-        F.lit(sub).alias("sub_check"),
+        lit(sub).alias("sub_check"),
         F.lit(layer).alias("layer"),
         F.lit(SKILL_OF[layer]).alias("skill"),
         lit(severity).alias("severity"),
-        F.lit(kind).alias("loc_kind"),
+        lit(kind).alias("loc_kind"),
         where.alias("loc_index"),
         F.substring(lit(text), 1, 46).alias("excerpt"),
         lit(expected).alias("expected"),
@@ -39,6 +39,28 @@ def as_issues(found: DataFrame, rule: str, sub: str, layer: str, severity: str |
     )
 
 
+FINDING = "rule string, sub string, severity string, expected string, actual string"
+
+
+def finding(rule: str, sub: str, severity: str, actual: Column, expected: str | None = None) -> Column:
+    """One finding about a row, as a struct of FINDING."""
+    return F.struct(F.lit(rule).alias("rule"), F.lit(sub).alias("sub"), F.lit(severity).alias("severity"), F.lit(expected).cast("string").alias("expected"), actual.cast("string").alias("actual"))
+
+
+def of_findings(rows: DataFrame, findings: list[tuple[Column, Column]], layer: str) -> DataFrame:
+    """Issues of rows(doc_id, para_index, text), with findings as (condition, finding): each row is looked at once, by all of them."""
+    each = F.explode(F.array_compact(F.array(*[F.when(c, f) for c, f in findings])))
+    found = rows.select("doc_id", "para_index", "text", each.alias("f"))
+    doc, where = F.col("doc_id").cast("string"), F.col("para_index").cast("int")
+    return found.select(
+        T.issue_key(doc, F.col("f.rule"), F.col("f.sub"), where, F.col("f.actual")).alias("issue_key"),
+        F.format_string("%s-%04d", F.col("f.rule"), T.hex_mod(F.sha1(F.concat_ws("|", F.col("f.rule"), doc, F.col("f.sub"), where.cast("string"), F.col("f.actual")).cast("binary")), 10000)).alias("id"),
+        "doc_id", F.col("f.rule").alias("rule"), F.col("f.sub").alias("sub_check"), F.lit(layer).alias("layer"), F.lit(SKILL_OF[layer]).alias("skill"), F.col("f.severity").alias("severity"),
+        F.lit("paragraph").alias("loc_kind"), where.alias("loc_index"), F.substring("text", 1, 46).alias("excerpt"), F.col("f.expected").alias("expected"), F.col("f.actual").alias("actual"),
+        F.lit("default").alias("standard_source"), F.lit(True).alias("suppressible"), F.lit(None).cast("string").alias("action"), F.create_map().cast("map<string,string>").alias("params"),
+    )
+
+
 def merged(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

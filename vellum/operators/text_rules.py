@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators.issues import as_issues
+from vellum.operators.issues import as_issues, finding, of_findings
 
 # Fixed values of the checks.
 CURVED, EM_DASH = "[“”‘’]", "—"
@@ -28,43 +28,90 @@ def labelled(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
 
 
-def quote_style(body: DataFrame, std: dict) -> DataFrame:
-    if std.get("quote_style") != "straight":
-        body = body.limit(0)
-    n = F.regexp_count("text", F.lit(CURVED))
-    found = body.filter(F.col("text").rlike(CURVED)).withColumn("at", F.regexp_instr("text", F.lit(CURVED)) - 1)
-    return as_issues(found, "quote-style", "curved", "L3", "warn", F.concat(n.cast("string"), F.lit("@"), F.col("at").cast("string")), F.col("para_index"), "straight", F.col("text"))
+def curved() -> tuple[Column, Column]:
+    n, at = F.regexp_count("text", F.lit(CURVED)), F.regexp_instr("text", F.lit(CURVED)) - 1
+    return F.col("text").rlike(CURVED), finding("quote-style", "curved", "warn", F.concat(n.cast("string"), F.lit("@"), at.cast("string")), "straight")
 
 
 PUNCTUATION = {"repeated": REPEATED, "crossed": CROSSED, "half-width": HALF_BETWEEN, "dots": DOTS, "stops": STOPS}
+#: Any of the detectors, or any bracket: what most paragraphs lack, so that one pattern settles them.
+SUSPECT = "|".join(["([。，！？；：、])\\1+" if n == "repeated" else p for n, p in PUNCTUATION.items()] + ["[（）]"])
 
 
-def punctuation(body: DataFrame, std: dict, profile: str = "cjk") -> DataFrame:
-    """One issue a paragraph: which detectors hit, and the first place. Profile latin looks for repeated Latin marks only."""
+def marks(profile: str = "cjk") -> tuple[Column, Column]:
+    """Which detectors hit a paragraph, and the first place. Profile latin looks for repeated Latin marks only."""
     if profile == "latin":
-        found = body.filter(F.col("text").rlike(LATIN_REPEATED)).withColumn("m", first_match(LATIN_REPEATED))
-        return as_issues(found, "punctuation", "repeated", "L3", "warn", F.concat(F.col("m.hit"), F.lit("@"), F.col("m.at").cast("string")), F.col("para_index"), None, F.col("text"))
+        m = first_match(LATIN_REPEATED)
+        return F.col("text").rlike(LATIN_REPEATED), finding("punctuation", "repeated", "warn", F.concat(m["hit"], F.lit("@"), m["at"].cast("string")))
     checks = {name: F.col("text").rlike(p) for name, p in PUNCTUATION.items()}
     checks["mixed-brackets"] = F.col("text").rlike("[（）]") & F.col("text").rlike("[()]")
-    at = F.least(*[first_match(p)["at"] for p in PUNCTUATION.values()])
-    found = body.withColumn("labels", labelled(checks)).filter(F.size("labels") > 0).withColumn("at", at)
-    actual = F.concat(F.array_join("labels", ","), F.lit("@"), F.coalesce(F.col("at").cast("string"), F.lit("-")))
-    return as_issues(found, "punctuation", "marks", "L3", "warn", actual, F.col("para_index"), None, F.col("text"))
+    any_ = checks["mixed-brackets"]
+    for name in PUNCTUATION:
+        any_ = any_ | checks[name]
+    at = F.least(*[F.when(F.col("text").rlike(p), F.regexp_instr("text", F.lit(p)) - 1) for p in PUNCTUATION.values()])
+    actual = F.concat(F.array_join(labelled(checks), ","), F.lit("@"), F.coalesce(at.cast("string"), F.lit("-")))
+    return F.col("text").rlike(SUSPECT) & any_, finding("punctuation", "marks", "warn", actual)
+
+
+def traces() -> tuple[Column, Column]:
+    """Tokens of unfinished work, in the order in which they stand."""
+    places = F.array(*[F.struct(F.instr("text", token).alias("at"), F.lit(token).alias("token")) for token in TRACES])
+    hits = F.array_sort(F.filter(places, lambda x: x["at"] > 0))
+    return F.greatest(*[F.contains("text", F.lit(t)) for t in TRACES]), finding("process-trace", "token", "warn", F.array_join(F.transform(hits, lambda x: x["token"]), ","))
+
+
+def spacing() -> tuple[Column, Column]:
+    """A space between Han and Latin in one place and none in another."""
+    tight, spaced = F.regexp_count("text", F.lit(HAN_ASCII)), F.regexp_count("text", F.lit(HAN_SPACE_ASCII))
+    return F.col("text").rlike(HAN_ASCII) & F.col("text").rlike(HAN_SPACE_ASCII), finding("cjk-spacing", "mixed", "info", F.concat_ws(":", tight, spaced))
+
+
+def widths() -> tuple[Column, Column]:
+    return F.col("text").rlike("[０-９Ａ-Ｚａ-ｚ]") & F.col("text").rlike("[0-9A-Za-z]"), finding("fullwidth-halfwidth", "mixed", "info", F.lit("both"))
+
+
+#: Rules about one paragraph: a condition and a finding each, from the standards.
+ROW_RULES = {
+    "quote-style": lambda std: curved() if std.get("quote_style") == "straight" else None,
+    "punctuation": lambda std: marks(std.get("profile", "cjk")),
+    "process-trace": lambda std: traces(),
+    "cjk-spacing": lambda std: spacing(),
+    "fullwidth-halfwidth": lambda std: widths(),
+}
+
+
+def row_rules(body: DataFrame, std: dict, names: list[str]) -> DataFrame:
+    """Issues of the named rules about single paragraphs, in one look at each."""
+    findings = [f for n in names if (f := ROW_RULES[n](std)) is not None]
+    return of_findings(body if findings else body.limit(0), findings or [widths()], "L3")
+
+
+def quote_style(body: DataFrame, std: dict) -> DataFrame:
+    return row_rules(body, std, ["quote-style"])
+
+
+def punctuation(body: DataFrame, std: dict, profile: str = "cjk") -> DataFrame:
+    """One issue a paragraph: which detectors hit, and the first place."""
+    return row_rules(body, std | {"profile": profile}, ["punctuation"])
 
 
 def dash_density(body: DataFrame, std: dict, profile: str = "cjk") -> DataFrame:
-    """Paragraphs of three dashes or more; and documents whose dashes per 1000 Han (or letters) exceed the standard."""
-    dashes = F.regexp_count("text", F.lit(EM_DASH))
-    chars = T.han_count("text") if profile == "cjk" else F.regexp_count("text", F.lit(r"\p{L}"))
-    counted = body.select("doc_id", "para_index", "text", dashes.alias("d"), chars.alias("c"))
-    para = as_issues(counted.filter("d >= 3"), "dash-density", "paragraph", "L3", "info", F.col("d"), F.col("para_index"), None, F.col("text"))
+    """Paragraphs of three dashes or more; and documents whose dashes per 1000 Han (or letters) exceed the standard.
+
+    Each text is counted once: a document's paragraphs with dashes are gathered, as numbers, beside its sums.
+    """
     limit = std.get("dash_per_1000_max")
-    if limit is None:
-        return para
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.col("d") / F.greatest("c", F.lit(1))), "para_index")
-    top = counted.filter("d > 0").withColumn("k", F.row_number().over(w)).filter("k <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "para_index"))), lambda x: x["para_index"].cast("string")), ",").alias("top"))
-    doc = counted.groupBy("doc_id").agg(F.sum("d").alias("d"), F.sum("c").alias("c")).filter((F.col("c") > 0) & (F.col("d") * 1000 > limit * F.col("c"))).join(top, "doc_id")
-    return para.unionByName(as_issues(doc, "dash-density", "document", "L3", "warn", F.concat_ws(":", "d", "c", "top"), kind="document", expected=str(limit)))
+    chars = T.han_count("text") if profile == "cjk" else F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    dashes = F.length("text") - F.length(F.replace("text", F.lit(EM_DASH), F.lit("")))
+    counted = body.select("doc_id", "para_index", F.when(dashes >= 3, F.substring("text", 1, 46)).alias("text"), dashes.alias("d"), (chars if limit is not None else F.lit(0)).alias("c"))
+    dense = F.struct((-F.col("d") / F.greatest("c", F.lit(1))).alias("rate"), "para_index", "d", "text")
+    doc = counted.groupBy("doc_id").agg(F.sum("d").alias("d"), F.sum("c").alias("c"), F.array_sort(F.collect_list(F.when(F.col("d") > 0, dense))).alias("rows")).filter("d > 0")
+    top = F.array_join(F.transform(F.slice("rows", 1, 3), lambda x: x["para_index"].cast("string")), ",")
+    over = F.lit(False) if limit is None else (F.col("c") > 0) & (F.col("d") * 1000 > F.lit(limit) * F.col("c"))
+    paras = F.transform(F.filter("rows", lambda x: x["d"] >= 3), lambda x: F.struct(F.lit("paragraph").alias("sub"), F.lit("info").alias("severity"), F.lit("paragraph").alias("kind"), x["para_index"].cast("int").alias("i"), x["text"].alias("text"), x["d"].cast("string").alias("actual"), F.lit(None).cast("string").alias("expected")))
+    whole = F.struct(F.lit("document").alias("sub"), F.lit("warn").alias("severity"), F.lit("document").alias("kind"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("text"), F.concat_ws(":", "d", "c", top).alias("actual"), F.lit(str(limit)).alias("expected"))
+    found = doc.select("doc_id", F.explode(F.concat(paras, F.when(over, F.array(whole)).otherwise(F.array().cast("array<struct<sub:string,severity:string,kind:string,i:int,text:string,actual:string,expected:string>>")))).alias("f")).select("doc_id", "f.*")
+    return as_issues(found, "dash-density", F.col("sub"), "L3", F.col("severity"), F.col("actual"), F.col("i"), F.col("expected"), F.col("text"), kind=F.col("kind"))
 
 
 def heading_style(heads: DataFrame, std: dict) -> DataFrame:
@@ -85,34 +132,34 @@ def heading_style(heads: DataFrame, std: dict) -> DataFrame:
 
 
 def process_trace(body: DataFrame, std: dict) -> DataFrame:
-    """Paragraphs with tokens of unfinished work, in the order in which they stand."""
-    places = F.array(*[F.struct(F.instr("text", token).alias("at"), F.lit(token).alias("token")) for token in TRACES])
-    found = body.withColumn("hits", F.array_sort(F.filter(places, lambda x: x["at"] > 0))).filter(F.size("hits") > 0)
-    return as_issues(found, "process-trace", "token", "L3", "warn", F.array_join(F.transform("hits", lambda x: x["token"]), ","), F.col("para_index"), None, F.col("text"))
+    return row_rules(body, std, ["process-trace"])
 
 
 def cjk_spacing(body: DataFrame, std: dict) -> DataFrame:
-    """Paragraphs that put a space between Han and Latin in one place and none in another."""
-    tight, spaced = F.regexp_count("text", F.lit(HAN_ASCII)), F.regexp_count("text", F.lit(HAN_SPACE_ASCII))
-    found = body.filter(F.col("text").rlike(HAN_ASCII) & F.col("text").rlike(HAN_SPACE_ASCII))
-    return as_issues(found, "cjk-spacing", "mixed", "L3", "info", F.concat_ws(":", tight, spaced), F.col("para_index"), None, F.col("text"))
+    return row_rules(body, std, ["cjk-spacing"])
 
 
 def width_mix(body: DataFrame, std: dict) -> DataFrame:
-    found = body.filter(F.col("text").rlike("[０-９Ａ-Ｚａ-ｚ]") & F.col("text").rlike("[0-9A-Za-z]"))
-    return as_issues(found, "fullwidth-halfwidth", "mixed", "L3", "info", F.lit("both"), F.col("para_index"), None, F.col("text"))
+    return row_rules(body, std, ["fullwidth-halfwidth"])
 
 
-def term_consistency(body: DataFrame, variants: DataFrame) -> DataFrame:
+def term_consistency(body: DataFrame, variants: DataFrame, inline: int = 200) -> DataFrame:
     """Concepts of which a document uses several variants: variants(concept, variant). Lists the first paragraphs of each.
 
-    The term map is a person's file. Its variants become one expression, so each paragraph is looked at once.
+    The term map is a person's file. Up to so many variants become one expression, so that each paragraph is looked at once;
+    more are broadcast as one array, which is read once a paragraph, too.
     """
-    terms = [(r["concept"], r["variant"]) for r in variants.select("concept", "variant").distinct().orderBy("concept", "variant").collect()]
+    known = variants.select("concept", "variant").distinct()
+    terms = [(r["concept"], r["variant"]) for r in known.orderBy("concept", "variant").limit(inline + 1).collect()]
     if not terms:
         return as_issues(body.limit(0), "term-consistency", "variants", "L3", "warn", F.lit(""), kind="document")
-    hits = F.array_compact(F.array(*[F.when(F.col("text").contains(v), F.struct(F.lit(c).alias("concept"), F.lit(v).alias("variant"))) for c, v in terms]))
-    used = body.select("doc_id", "para_index", F.explode(hits).alias("t")).groupBy("doc_id", "t.concept", "t.variant").agg(F.slice(F.array_sort(F.collect_set("para_index")), 1, 3).alias("paras"))
+    if len(terms) <= inline:
+        hits = F.array_compact(F.array(*[F.when(F.col("text").contains(v), F.struct(F.lit(c).alias("concept"), F.lit(v).alias("variant"))) for c, v in terms]))
+        used = body.select("doc_id", "para_index", F.explode(hits).alias("t"))
+    else:
+        all_ = known.agg(F.collect_list(F.struct("concept", "variant")).alias("terms"))
+        used = body.join(F.broadcast(all_)).select("doc_id", "para_index", F.explode(F.filter("terms", lambda t: F.contains(F.col("text"), t["variant"]))).alias("t"))
+    used = used.groupBy("doc_id", "t.concept", "t.variant").agg(F.slice(F.array_sort(F.collect_set("para_index")), 1, 3).alias("paras"))
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "paras"))), lambda x: F.concat(x["variant"], F.lit("@"), F.array_join(x["paras"].cast("array<string>"), "/"))), ",")
     several = used.groupBy("doc_id", "concept").agg(F.count(F.lit(1)).alias("n"), shown.alias("shown")).filter("n > 1")
     return as_issues(several, "term-consistency", "variants", "L3", "warn", F.concat_ws("=", "concept", "shown"), kind="document")

@@ -12,6 +12,7 @@ from vellum.operators import cite_rules as C
 from vellum.operators import derive as D
 from vellum.operators import format_rules as FR
 from vellum.operators import issues as I
+from vellum.operators import proposal_rules as P
 from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
 from vellum.operators import text_rules as X
@@ -35,13 +36,28 @@ class Tables:
         return name in self.given or name in DERIVED and all(n in self for n in DERIVED[name][0])
 
 
+def uncited(t: Tables) -> DataFrame | None:
+    """Paragraphs in which numbers in brackets are no citations: the reference list and the table of contents."""
+    if "blocks" not in t:
+        return None
+    listed = t["entries"].select("doc_id", "para_index")
+    return listed.union(D.contents_region(t["blocks"])) if "is_marker" in t["blocks"].columns else listed
+
+
+def proposal_pairs(t: Tables) -> DataFrame:
+    """(doc_id, proposal, thesis): proposals(doc_id, proposal) beside the whole text of the documents that they are of."""
+    whole = t["blocks"].filter("kind = 'p'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("thesis"))
+    return t["proposals"].select("doc_id", "proposal").join(whole, "doc_id")
+
+
 DERIVED: dict[str, tuple[tuple[str, ...], Callable[[Tables], DataFrame]]] = {
     "entries": (("blocks",), lambda t: D.references(t["blocks"])),
     "regions": (("blocks",), lambda t: D.regions(t["blocks"])),
     "body": (("blocks",), lambda t: D.body_only(t["blocks"], t["entries"])),
     "headings": (("blocks",), lambda t: D.headings(t["blocks"])),
     "captions": (("blocks",), lambda t: D.captions(t["blocks"])),
-    "citations": (("runs",), lambda t: D.citations(t["runs"], t["entries"].select("doc_id", "para_index") if "blocks" in t else None)),
+    "citations": (("runs",), lambda t: D.citations(t["runs"], uncited(t))),
+    "pairs": (("proposals", "blocks"), proposal_pairs),
     "toc": (("blocks", "runs"), lambda t: D.contents_region(t["blocks"])),
     "paras": (("blocks", "runs", "styles"), lambda t: FR.effective(D.section_of(t["blocks"]), t["runs"], t["styles"].drop("path", "sha256"))),
     "section_kinds": (("blocks", "sections"), lambda t: t["sections"].join(D.section_of(t["blocks"]).select("doc_id", "section_index", "is_front").distinct(), ["doc_id", "section_index"], "left").fillna(False, ["is_front"])),
@@ -82,13 +98,10 @@ rule("cite-numbering", "L2", "citations", "entries")(lambda t, s: C.cite_numberi
 rule("ref-coverage", "L2", "citations", "entries")(lambda t, s: C.ref_coverage(t["citations"], t["entries"]))
 rule("ref-format", "L2", "entries")(lambda t, s: C.ref_format(t["entries"]))
 rule("ref-duplicate", "L2", "entries")(lambda t, s: C.ref_duplicate(t["entries"]))
-rule("quote-style", "L3", "body")(lambda t, s: X.quote_style(t["body"], s))
-rule("punctuation", "L3", "body")(lambda t, s: X.punctuation(t["body"], s, s.get("profile", "cjk")))
+for _name in X.ROW_RULES:
+    rule(_name, "L3", "body", optional=_name in ("cjk-spacing", "fullwidth-halfwidth"))(lambda t, s, n=_name: X.row_rules(t["body"], s, [n]))
 rule("dash-density", "L3", "body")(lambda t, s: X.dash_density(t["body"], s, s.get("profile", "cjk")))
 rule("heading-style", "L3", "headings")(lambda t, s: X.heading_style(t["headings"], s))
-rule("process-trace", "L3", "body")(lambda t, s: X.process_trace(t["body"], s))
-rule("cjk-spacing", "L3", "body", optional=True)(lambda t, s: X.cjk_spacing(t["body"], s))
-rule("fullwidth-halfwidth", "L3", "body", optional=True)(lambda t, s: X.width_mix(t["body"], s))
 rule("term-consistency", "L3", "body", "terms", optional=True)(lambda t, s: X.term_consistency(t["body"], t["terms"]))
 rule("heading-sequence", "L4", "headings")(lambda t, s: ST.heading_sequence(t["headings"]))
 rule("figure-table", "L4", "captions")(lambda t, s: ST.figure_table(t["blocks"], t["captions"], s))
@@ -96,6 +109,16 @@ rule("abstract-layout", "L4", "blocks")(lambda t, s: ST.abstract_layout(t["block
 rule("length", "L4", "regions")(lambda t, s: ST.length(t["regions"], s))
 
 
+rule("prop-consistency", "L4·26", "pairs", "headings", "entries")(lambda t, s: P.proposal_issues(P.check(t["pairs"], t["headings"], t["entries"], anchors_of(t))))
+
+
+ROW_RUNS = {r.name: r.run for r in RULES if r.name in X.ROW_RULES}
+
+
+def anchors_of(t: Tables) -> DataFrame:
+    return t["anchors"] if "anchors" in t else next(iter(t.given.values())).sparkSession.createDataFrame([], "section string, field string, tokens array<string>")
+
+
 def audit(tables: dict[str, DataFrame], template: str | None = None, config: str | None = None, only: tuple[str, ...] = (), optional: bool = False, ignore: DataFrame | None = None, profile: str = "cjk") -> tuple[DataFrame, list[str]]:
     """(issues, notes): all rules that the tables allow, in one plan. A rule whose plan can't be built becomes an issue.
 
@@ -103,7 +126,7 @@ def audit(tables: dict[str, DataFrame], template: str | None = None, config: str
     """
     std = S.for_job(template, config) | {"profile": profile}
     notes = [f"not judged: {key}" for key, v in std.items() if v is None]
-    t, parts = Tables(tables), []
+    t, parts, rows = Tables(tables), [], []
     for r in RULES:
         if only and r.name not in only and r.layer not in only or r.optional and not optional:
             continue
@@ -111,11 +134,16 @@ def audit(tables: dict[str, DataFrame], template: str | None = None, config: str
         if lacking:
             notes.append(f"not run: {r.name} (no {', '.join(lacking)})")
             continue
+        if r.name in X.ROW_RULES and r.run is ROW_RUNS[r.name]:
+            rows.append(r.name)  # those of one paragraph share one pass over the body
+            continue
         try:
             parts.append(r.run(t, std))
         except Exception as e:  # one rule's fault is reported and doesn't end the others
             docs = next(iter(tables.values())).select("doc_id").distinct()
             parts.append(I.as_issues(docs, "audit-internal-error", r.name, r.layer, "error", F.lit(f"{type(e).__name__}: {str(e)[:200]}"), kind="document"))
+    if rows:
+        parts.append(X.row_rules(t["body"], std, rows))
     if not parts:
         return I.as_issues(next(iter(tables.values())).limit(0), "none", "none", "L3", "info", F.lit("")), notes
     out = I.merged(parts)
