@@ -156,7 +156,7 @@ class Scratch:
         """Writes df and returns a DataFrame that reads it, without df's lineage."""
         path = f"{self.root}/{name}"
         with shuffles_freed(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes and bytes: hardly a value comes twice
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -615,8 +615,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     crowd = found.filter("key is not null").drop("part", "data")
     # few classes are in any pair, so that their sets are picked out once
     compared = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).union(crowd.select("uid")).distinct()
-    sets = scratch.keep(classes.join(compared, "uid", "left_semi"), "sets")
-    side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k))
+    sets = scratch.keep(classes.join(compared.hint("shuffle_hash"), "uid", "left_semi"), "sets")
+    # a partition's share of the sets is looked up, as it is small beside the classes; sorting it and the pairs costs more
+    side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k)).hint("shuffle_hash")
     both = pairs.join(side("x"), "x").join(side("y"), "y").filter(similar(percent)("rare_x", "common_x", "rare_y", "common_y"))
     before = F.struct("doc_x", "mark_x", "line_x") < F.struct("doc_y", "mark_y", "line_y")
     gone = settled(both.select(F.when(before, F.col("y")).otherwise(F.col("x")).alias("uid")).distinct())
@@ -626,7 +627,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     if not left.isEmpty():
         asked = left.select("uid").distinct().withColumn("asked", F.lit(True))
         rows = crowd.select("key", "uid").join(left.select("key").distinct(), "key", "left_semi")
-        rows = rows.join(sets.join(asked, "uid", "left").fillna(False, ["asked"]), "uid")
+        rows = rows.join(sets.join(asked.hint("shuffle_hash"), "uid", "left").fillna(False, ["asked"]).hint("shuffle_hash"), "uid")
         near = rows.repartition("key").sortWithinPartitions("key", "n")
         gone = settled(gone.union(near.mapInPandas(lambda it: lean(settle(it, percent)), "uid long").distinct()))
     out = settled(classes.join(gone.distinct(), "uid", "left_semi").select("doc", "mark", "line").union(repeats).distinct())
