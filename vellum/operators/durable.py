@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder of spark.checkpoint.dir, which a lost executor doesn't take along.
-
-    A folder of this machine is taken only where none is set and Spark runs on this machine alone.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where none is set and Spark runs on this machine alone."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellum-"))
+    return context.getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder of spark.checkpoint.dir, which a lost executor doesn't take along."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -13,15 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.durable import scratch_folder
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-LINK = re.compile(r'HYPERLINK\s+\\l\s+"?([^"\s\\]+)"?', re.I)
+#: A link field: the word, then switches with or without an argument in any order; \\l names the place, which may be quoted.
+FIELD = re.compile(r'"([^"]*)"|(\S+)')
 RELATION = "kind string, path string, sha256 string, row string"
 
 SCHEMAS = {
-    "blocks": "ord int, kind string, para_index int, text string, style_id string, style_name string, ends_section boolean, is_marker boolean, has_toc_field boolean, has_toc_anchor boolean",
-    "runs": "para_index int, run_ord int, text string, superscript boolean, anchor string, link_kind string, size_pt double, font_ea string",
+    "blocks": "ord int, kind string, para_index int, text string, style_id string, style_name string, ends_section boolean, is_marker boolean, has_toc_field boolean, has_toc_anchor boolean, images int, border string",
+    "runs": "para_index int, run_ord int, text string, superscript boolean, anchor string, link_kind string, size_pt double, font_ea string, font_ascii string, bold boolean",
     "bookmarks": "para_index int, name string",
-    "styles": "style_id string, name string, type string, based_on string, link string, is_default boolean, size_pt double, font_ea string, outline_level int",
+    "styles": "style_id string, name string, type string, based_on string, link string, next string, is_default boolean, size_pt double, font_ea string, font_ascii string, bold boolean, align string, space_before_pt double, space_after_pt double, line_spacing double, first_line_indent_chars double, num_id string, outline_level int",
+    "numbering": "num_id string, abstract_id string",
+    "cells": "ord int, row int, col int, text string",
     "sections": "section_index int, page_fmt string, page_start int, has_pgnumtype boolean, has_page_field boolean, header_text string, header_has_rule boolean, width_cm double, height_cm double, top_cm double, right_cm double, bottom_cm double, left_cm double",
     "errors": "message string",
 }
@@ -39,8 +44,31 @@ def number(text, scale: float = 1.0):
         return None
 
 
+def on(node, path: str):
+    """Whether a switch is on: it is there, and not turned off; null if it isn't there."""
+    found = node.find(path) if node is not None else None
+    return None if found is None else found.get(f"{W}val") not in ("0", "false", "none", "off")
+
+
+def linked_place(code: str) -> str | None:
+    """The place that a field's code links to; null for other fields."""
+    words = [a or b for a, b in FIELD.findall(code)]
+    if not words or words[0].upper() != "HYPERLINK":
+        return None
+    at = next((k for k, w in enumerate(words) if w.lower() == "\\l"), None)
+    return words[at + 1] if at is not None and at + 1 < len(words) else None
+
+
+def spacing_of(p) -> dict:
+    """Alignment and spacing of a paragraph's properties."""
+    gap, indent = (p.find(f"{W}{t}") if p is not None else None for t in ("spacing", "ind"))
+    get = lambda node, a, scale=20: number(node.get(f"{W}{a}"), scale) if node is not None else None
+    exact = gap is not None and gap.get(f"{W}lineRule") in ("exact", "atLeast")
+    return {"align": value(p, f"{W}jc"), "space_before_pt": get(gap, "before"), "space_after_pt": get(gap, "after"), "line_spacing": get(gap, "line", 20 if exact else 240), "first_line_indent_chars": get(indent, "firstLineChars", 100)}
+
+
 def visible_runs(paragraph) -> Iterator[tuple]:
-    """(text, superscript, anchor, link kind, size, font) of the visible runs; field codes hide their instructions.
+    """(text, superscript, anchor, link kind, size, fonts, bold) of the visible runs; field codes hide their instructions.
 
     Inserted, tagged and wrapped content is looked into. Runs in the result of a HYPERLINK field carry its anchor.
     """
@@ -77,28 +105,48 @@ def visible_runs(paragraph) -> Iterator[tuple]:
         if not text:
             return
         p = run.find(f"{W}rPr")
-        linked = next((m[1] for f in reversed(fields) if (m := LINK.search(f["code"]))), None)
+        linked = next((place for f in reversed(fields) if (place := linked_place(f["code"]))), None)
         kind = "hyperlink" if anchor else "field" if linked else None
         size = value(p, f"{W}sz") or value(p, f"{W}szCs")
-        yield text, value(p, f"{W}vertAlign") == "superscript", anchor or linked, kind, number(size, 2), value(p, f"{W}rFonts", "eastAsia")
+        yield text, value(p, f"{W}vertAlign") == "superscript", anchor or linked, kind, number(size, 2), value(p, f"{W}rFonts", "eastAsia"), value(p, f"{W}rFonts", "ascii"), on(p, f"{W}b")
 
     yield from walk(paragraph, None)
 
 
+def pictures(node) -> int:
+    return sum(1 for t in node.iter() if t.tag in (f"{W}drawing", f"{W}pict"))
+
+
+def cell_text(cell) -> str:
+    """A cell's paragraphs, a line each, and behind them those of the tables in it."""
+    lines = lambda node: ["".join(t.text or "" for t in p.iter(f"{W}t")) for p in node.findall(f"{W}p")]
+    return "\n".join(lines(cell) + [x for table in cell.findall(f"{W}tbl") for inner in table.iter(f"{W}tc") for x in lines(inner)])
+
+
+def border_of(p) -> str | None:
+    """Borders of a paragraph, as repair writes them: edge=kind,size by edges."""
+    edges = p.find(f"{W}pPr/{W}pBdr")
+    return ";".join(f"{e.tag.removeprefix(W)}={e.get(f'{W}val')},{e.get(f'{W}sz')}" for e in edges) or None if edges is not None else None
+
+
 def parsed(content: bytes) -> Iterator[tuple[str, dict]]:
     """(relation, row) for everything that the rules need of one file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         root = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
-        body, styles = root("word/document.xml").find(f"{W}body"), root("word/styles.xml")
+        body, styles, numbering = root("word/document.xml").find(f"{W}body"), root("word/styles.xml"), root("word/numbering.xml")
         links = {r.get("Id"): r.get("Target") for r in root("word/_rels/document.xml.rels") or ()} if "word/_rels/document.xml.rels" in names else {}
         parts = {rid: root(f"word/{target}") for rid, target in links.items() if re.match(r"(header|footer)\d*\.xml$", target or "")}
     display = {}
     for s in styles.iter(f"{W}style") if styles is not None else ():
         p, row = s.find(f"{W}rPr"), {"style_id": s.get(f"{W}styleId"), "name": value(s, f"{W}name"), "type": s.get(f"{W}type"), "based_on": value(s, f"{W}basedOn"), "link": value(s, f"{W}link")}
         display[row["style_id"]] = row["name"]
-        outline = value(s.find(f"{W}pPr"), f"{W}outlineLvl")
-        yield "styles", row | {"is_default": s.get(f"{W}default") == "1", "size_pt": number(value(p, f"{W}sz"), 2), "font_ea": value(p, f"{W}rFonts", "eastAsia"), "outline_level": int(outline) if outline else None}
+        pp = s.find(f"{W}pPr")
+        outline = value(pp, f"{W}outlineLvl")
+        look = {"size_pt": number(value(p, f"{W}sz"), 2), "font_ea": value(p, f"{W}rFonts", "eastAsia"), "font_ascii": value(p, f"{W}rFonts", "ascii"), "bold": on(p, f"{W}b")}
+        yield "styles", row | look | spacing_of(pp) | {"is_default": s.get(f"{W}default") == "1", "next": value(s, f"{W}next"), "num_id": value(pp, f"{W}numPr/{W}numId"), "outline_level": int(outline) if outline else None}
+    for n in numbering.iter(f"{W}num") if numbering is not None else ():
+        yield "numbering", {"num_id": n.get(f"{W}numId"), "abstract_id": value(n, f"{W}abstractNumId")}
     sections, para = [], 0
     for k, child in enumerate(body, 1):
         tag = child.tag.removeprefix(W)
@@ -106,7 +154,10 @@ def parsed(content: bytes) -> Iterator[tuple[str, dict]]:
             sections.append(child)
         if tag == "tbl":
             cells = ["".join(t.text or "" for t in c.iter(f"{W}t")) for c in child.iter(f"{W}tc")]
-            yield "blocks", {"ord": k, "kind": "tbl", "text": "\n".join(cells)}
+            yield "blocks", {"ord": k, "kind": "tbl", "text": "\n".join(cells), "images": pictures(child)}
+            for i, tr in enumerate(child.findall(f"{W}tr")):
+                for j, tc in enumerate(tr.findall(f"{W}tc")):
+                    yield "cells", {"ord": k, "row": i, "col": j, "text": cell_text(tc)}
         if tag != "p":
             continue
         para += 1
@@ -121,10 +172,10 @@ def parsed(content: bytes) -> Iterator[tuple[str, dict]]:
         anchors = [h.get(f"{W}anchor") or "" for h in child.iter(f"{W}hyperlink")]
         yield "blocks", {
             "ord": k, "kind": "p", "para_index": para, "text": text, "style_id": style, "style_name": display.get(style, style), "ends_section": ends is not None,
-            "is_marker": dotted or bool(codes) or "\t" in text, "has_toc_field": bool(re.search(r"\bTOC\b", codes)), "has_toc_anchor": any(a.startswith("_Toc") for a in anchors) or "_Toc" in codes,
+            "is_marker": dotted or bool(codes) or "\t" in text, "has_toc_field": bool(re.search(r"\bTOC\b", codes)), "has_toc_anchor": any(a.startswith("_Toc") for a in anchors) or "_Toc" in codes, "images": pictures(child), "border": border_of(child),
         }
-        for n, (t, sup, anchor, kind, size, font) in enumerate(runs):
-            yield "runs", {"para_index": para, "run_ord": n, "text": t, "superscript": sup, "anchor": anchor, "link_kind": kind, "size_pt": size, "font_ea": font}
+        for n, (t, sup, anchor, kind, size, font, ascii_, bold) in enumerate(runs):
+            yield "runs", {"para_index": para, "run_ord": n, "text": t, "superscript": sup, "anchor": anchor, "link_kind": kind, "size_pt": size, "font_ea": font, "font_ascii": ascii_, "bold": bold}
         for mark in child.iter(f"{W}bookmarkStart"):
             yield "bookmarks", {"para_index": para, "name": mark.get(f"{W}name")}
     for k, s in enumerate(sections, 1):
@@ -157,15 +208,53 @@ def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["kind", "path", "sha256", "row"])
 
 
-def read_docx(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Relations by name (see SCHEMAS), each with doc_id (a hash of the path), path and sha256. Each file is parsed once.
+def read_docx(spark: SparkSession, path: str, folder: str | None = None) -> dict[str, DataFrame]:
+    """Relations by name (see SCHEMAS), each with doc_id (a hash of the path), path and sha256.
 
-    Persist the result of the parse if several relations are used: all come from one lazy scan.
+    Each file is parsed once: the rows are written to `folder` (by default one of the shared scratch folder), parted by
+    relation, and a relation reads its own part.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
-    all_ = files.mapInPandas(rows_of, RELATION).persist()
+    folder = folder or scratch_folder(spark, "parsed")
+    files.mapInPandas(rows_of, RELATION).write.partitionBy("kind").parquet(folder)
+    all_ = spark.read.schema(RELATION).parquet(folder)
     out = {}
     for kind, schema in SCHEMAS.items():
         rows = all_.filter(F.col("kind") == kind).select(F.xxhash64("path").alias("doc_id"), "path", "sha256", F.from_json("row", schema).alias("r"))
         out[kind] = rows.select("doc_id", "path", "sha256", "r.*")
     return out
+
+
+def proposal_text(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, text): a form's text, as people fill in proposals: table rows, their cells parted by bars, then the paragraphs."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ").alias("line")
+    rows = cells.groupBy("doc_id", "ord", "row").agg(line).select("doc_id", F.lit(0).alias("part"), "ord", "row", "line")
+    paras = blocks.filter("kind = 'p'").select("doc_id", F.lit(1).alias("part"), "ord", F.lit(0).alias("row"), F.coalesce("text", F.lit("")).alias("line"))
+    all_ = rows.unionByName(paras).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "row", "line"))).alias("rows"))
+    return all_.select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+
+
+def summary(relations: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, paragraphs, tables, images, chars, styles_used, sections, bookmarks): a line for each document."""
+    b = relations["blocks"].groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "tbl").alias("tables"), F.coalesce(F.sum("images"), F.lit(0)).alias("images"),
+        F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.array_sort(F.collect_set("style_name")).alias("styles_used"),
+    )
+    for name in ("sections", "bookmarks"):
+        b = b.join(relations[name].groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)), "doc_id", "left").fillna(0, [name])
+    return b
+
+
+def anchor_tally(runs: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """(doc_id, anchor, uses, there): how often each place is linked to, and whether it exists; places without links, too."""
+    used = runs.filter("anchor is not null").groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("uses"))
+    names = bookmarks.select("doc_id", F.col("name").alias("anchor")).distinct().withColumn("there", F.lit(True))
+    both = used.join(names, ["doc_id", "anchor"], "full")
+    return both.select("doc_id", "anchor", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def used_styles(styles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The styles that paragraphs of their document use, by id or name, and the default ones."""
+    used = blocks.select("doc_id", F.col("style_id")).filter("style_id is not null").distinct()
+    named = styles.join(used, ["doc_id", "style_id"], "left_semi")
+    return named.unionByName(styles.filter("is_default").join(named.select("doc_id", "style_id"), ["doc_id", "style_id"], "left_anti"))

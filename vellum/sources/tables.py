@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +58,56 @@ def read_ignore(spark: SparkSession, path: str) -> DataFrame:
     return ignore_list(spark.read.text(path).select(F.col("value").alias("line")))
 
 
+#: Where a specification may lie beside a document, the first that is there counts.
+SPEC_NAMES = ("paper-spec.json", "spec.json", ".vellum/spec.json", ".paper/spec.json")
+
+
+def first_there(spark: SparkSession, paths: Iterable[str | None]) -> str | None:
+    """The first of the paths at which a file is, in any file system that Spark knows; null if none is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p and (at := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(at):
+            return p
+    return None
+
+
+def find_spec(spark: SparkSession, folder: str) -> str | None:
+    return first_there(spark, [f"{folder}/{name}" for name in SPEC_NAMES])
+
+
+def load_spec(spark: SparkSession, path: str | None) -> str | None:
+    """The JSON text of a specification; null for no path or no file, which is no error: defaults hold then."""
+    if first_there(spark, [path]) is None:
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
 def read_spec(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's path) and spec: the whole JSON text of each spec file."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("spec"))
 
 
-def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    """(section, field, tokens) from a YAML file of anchors. It is small: a person wrote it."""
+def find_anchors(spark: SparkSession, given: str | None = None, configured: str | None = None, folder: str | None = None, default: str | None = None) -> str | None:
+    """The anchors file that counts: the one given, else the configured one, the one beside the document, the installed one."""
+    return first_there(spark, [given, configured, f"{folder}/.vellum/anchors.yaml" if folder else None, default])
+
+
+def read_anchors(spark: SparkSession, path: str | None) -> DataFrame:
+    """(section, field, tokens) from a YAML file of anchors. It is small: a person wrote it. No path, or no file, gives no rows.
+
+    Sections and fields that aren't a mapping, and empty values, are left out.
+    """
     import yaml
 
+    schema = "section string, field string, tokens array<string>"
+    if first_there(spark, [path]) is None:
+        return spark.createDataFrame([], schema)
     text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
     rows = []
-    for section, fields in (yaml.safe_load(text) or {}).items():
-        for field, value in (fields or {}).items():
-            rows.append((section, field, [str(v) for v in value] if isinstance(value, list) else [str(value)]))
-    return spark.createDataFrame(rows, "section string, field string, tokens array<string>")
+    known = yaml.safe_load(text)
+    for section, fields in (known if isinstance(known, dict) else {}).items():
+        for field, value in (fields if isinstance(fields, dict) else {}).items():
+            tokens = [str(v).strip() for v in (value if isinstance(value, list) else [value]) if v is not None and str(v).strip()]
+            if tokens:
+                rows.append((section, field, tokens))
+    return spark.createDataFrame(rows, schema)
