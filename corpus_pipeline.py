@@ -14,28 +14,31 @@ from vellum.llm.common import Scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told: null texts and those without a letter go. Repeated rows stay or go together."""
     return langid.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble an earlier one; those go that had lines of which none is left."""
-    rest = line_dup.deduplicated(docs)
-    return rest.filter(F.coalesce(F.col("text") != "", F.lit(True)))
+    """Documents without lines that resemble an earlier one; those go that lose lines and have no word left.
+
+    Null, empty and wordless texts stay, as they lose no line. Repeated rows lose the same lines; an empty table gives no rows.
+    """
+    rest = line_dup.without_lines(docs, line_dup.later_lines(docs), "__removed")
+    return rest.filter((F.size("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__removed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates, by its own text; texts without words, and null ones, resemble none and stay."""
     return near_dup.deduplicated(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item. Null and empty texts stay; each row is judged by its own text."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens. A null or empty text is its end token; an empty table gives no pieces."""
     return pack.digest(pack.pack(docs))
 
 
