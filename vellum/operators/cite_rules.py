@@ -121,8 +121,9 @@ def ref_format(entries: DataFrame) -> DataFrame:
 
 
 def duplicate_key(text="text"):
-    """The first 30 characters of the normalised text without its number."""
-    return F.substring(T.norm(F.regexp_replace(text, T.REF_NUM, "")), 1, 30)
+    """The first 30 characters of the normalised text without its number. Of a long text only its beginning is normalised."""
+    beginning = F.regexp_extract(F.regexp_replace(text, T.REF_NUM, ""), r"(?U)^[\s　]*(?:[^\s　][\s　]*+){0,30}+", 0)
+    return F.substring(T.norm(beginning), 1, 30)
 
 
 def ref_duplicate(entries: DataFrame) -> DataFrame:

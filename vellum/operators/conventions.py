@@ -28,6 +28,17 @@ def citation(cites: DataFrame) -> DataFrame:
     return out
 
 
+def size_ratio(cites: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, ratio, n): the mean size of raised citations against the commonest size of their paragraph's runs, over all that have both.
+
+    Of sizes that are equally common the larger counts. Documents whose raised citations have no size of their own have no row.
+    """
+    common = runs.filter("size_pt is not null").groupBy("doc_id", "para_index", "size_pt").agg(F.count(F.lit(1)).alias("c"))
+    base = common.groupBy("doc_id", "para_index").agg(F.max_by("size_pt", F.struct("c", "size_pt")).alias("base"))
+    sized = cites.filter("superscript and size_pt is not null").select("doc_id", "para_index", "size_pt").join(base, ["doc_id", "para_index"])
+    return sized.groupBy("doc_id").agg(F.round(F.avg(F.col("size_pt") / F.col("base")), 2).alias("ratio"), F.count(F.lit(1)).alias("n"))
+
+
 STYLE_OF_FORM = {"superscript-square": "superscript-bracket", "superscript-none": "superscript", "superscript-paren": "superscript", "inline-square": "bracket", "inline-paren": "bracket"}
 
 

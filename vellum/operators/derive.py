@@ -128,3 +128,14 @@ def occurrences(rows: DataFrame) -> DataFrame:
     """rows(doc_id, para_index, start, text) with nth: how often an equal text came before in the document."""
     w = Window.partitionBy("doc_id", T.norm("text")).orderBy("para_index", "start")
     return rows.withColumn("nth", F.row_number().over(w) - 1)
+
+
+def section_starts(paras: DataFrame) -> DataFrame:
+    """(doc_id, section_index, para_index): the first paragraph of each section, from section_of()."""
+    return paras.groupBy("doc_id", "section_index").agg(F.min("para_index").alias("para_index"))
+
+
+def first_holding(rows: DataFrame, piece: str) -> DataFrame:
+    """(doc_id, para_index, text): the first of each document's rows(doc_id, para_index, text) that holds a piece of text."""
+    found = rows.filter(F.contains("text", F.lit(piece))).groupBy("doc_id").agg(F.min(F.struct("para_index", "text")).alias("f"))
+    return found.select("doc_id", "f.*")

@@ -142,6 +142,14 @@ def locators(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("key", "doc_id", F.col("para_index").alias("hint"), T.fingerprint("text").alias("fp"), "text")
 
 
+def refreshed(places: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Locators after an edit: hint, fingerprint and text of the paragraph that each is at now; those without one as they were."""
+    now = relocated(places, paragraphs).filter("how not in ('gone', 'ambiguous')").select("key", "doc_id", F.col("para_index").alias("at"))
+    text = paragraphs.select("doc_id", F.col("para_index").alias("at"), F.col("text").alias("now"))
+    both = places.join(now, ["key", "doc_id"], "left").join(text, ["doc_id", "at"], "left")
+    return both.select("key", "doc_id", F.coalesce("at", "hint").alias("hint"), F.when(F.col("now").isNotNull(), T.fingerprint("now")).otherwise(F.col("fp")).alias("fp"), F.coalesce("now", "text").alias("text"))
+
+
 #: A document's parts, a row each: paragraphs, runs, bookmarks and, after an edit, the journal's entries.
 PARTS = (
     "kind string, doc_id long, para_index int, run_ord int, text string, superscript boolean, anchor string, link_kind string, size_pt double, font_ea string, font_ascii string, bold boolean, "

@@ -19,10 +19,12 @@ from vellum.operators import routing as RT
 from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
 from vellum.operators import styles as Y
+from vellum.operators import templates as TP
 from vellum.operators import text_rules as X
 from vellum.plans import fixtures as L
 from vellum.plans import generated as G
 from vellum.plans.registry import STD, brief, found, long, query, union
+from vellum.sources import docx as DX
 from vellum.sources import tables as B
 
 
@@ -704,3 +706,60 @@ def excerpts(spark, sf):
 def style_roles(spark, sf):
     s = G.STYLES.df(spark, sf).withColumn("outline", F.expr("CASE WHEN cast(substr(style_id, 2) AS int) % 6 = 5 THEN doc_id % 4 END"))
     return s.select("doc_id", "style_id", T.role_of_style(F.col("name"), F.col("outline")).alias("role"))
+
+
+@query(f"WITH l AS ({G.LABELS.sql()}), x AS (SELECT DISTINCT f, a FROM l), g AS (SELECT f, a, list_distinct(list_transform(range(1, length(f)), lambda i: substr(f, i, 2))) AS p, list_distinct(list_transform(range(1, length(trim(a))), lambda i: substr(trim(a), i, 2))) AS q FROM x WHERE length(trim(a)) > 1) SELECT f, a, 2.0 * len(list_intersect(p, q)) / (len(p) + len(q)) AS dice FROM g")
+def bigram_similarity(spark, sf):
+    return G.LABELS.df(spark, sf).select("f", "a").distinct().filter("length(trim(a)) > 1").select("f", "a", T.dice(F.col("f"), F.col("a")).alias("dice"))
+
+
+@query(f"""WITH s AS ({G.STYLES.sql()}), h AS ({G.HEADINGS.sql()}) SELECT doc_id, para_index::BIGINT AS para_index, CASE WHEN contains(n, '一级标题') OR regexp_matches(lower(n), 'heading\\s*1\\b') THEN 1 WHEN contains(n, '二级标题') THEN 2 WHEN contains(n, '三级标题') THEN 3 END::BIGINT AS by_name,
+ CASE WHEN n IN ('一级标题', 'h1') THEN 1 WHEN n = '二级标题' THEN 2 WHEN n = '三级标题' THEN 3 END::BIGINT AS by_chapter, CASE WHEN contains(n, '一级标题') THEN 1 WHEN contains(n, '二级标题') THEN 2 WHEN contains(n, '三级标题') THEN 3 WHEN regexp_matches(text, '^第[一二三四五六七八九十]+章') THEN 1 WHEN regexp_matches(text, '^\\d+[.、]') THEN 2 END::BIGINT AS by_outline
+ FROM (SELECT *, CASE para_index % 5 WHEN 0 THEN 'Heading 1x' WHEN 1 THEN 'h1' WHEN 2 THEN 'my heading 1' WHEN 3 THEN style_name || '（新）' ELSE style_name END AS n FROM h)""")
+def heading_levels_by_mode(spark, sf):
+    n = F.expr("CASE para_index % 5 WHEN 0 THEN 'Heading 1x' WHEN 1 THEN 'h1' WHEN 2 THEN 'my heading 1' WHEN 3 THEN style_name || '（新）' ELSE style_name END")
+    h = G.HEADINGS.df(spark, sf).withColumn("n", n)
+    level = lambda mode: long(T.heading_level(F.col("n"), F.col("text"), mode), f"by_{mode}")
+    return h.select("doc_id", long("para_index"), level("contains").alias("by_name"), level("chapter"), level("outline"))
+
+
+@query(f"""WITH {_CT}, c AS (SELECT doc_id, para_index, size_pt, count(*) AS n FROM r WHERE size_pt IS NOT NULL GROUP BY ALL), b AS (SELECT doc_id, para_index, arg_max(size_pt, n * 1000 + size_pt) AS base FROM c GROUP BY ALL)
+ SELECT cp.doc_id, round(avg(cp.size_pt / base), 2) AS ratio, count(*)::BIGINT AS n FROM cp JOIN b USING (doc_id, para_index) WHERE superscript AND cp.size_pt IS NOT NULL GROUP BY 1""")
+def citation_size_ratio(spark, sf):
+    return V.size_ratio(cites(spark, sf), G.RUNS.df(spark, sf)).select("doc_id", "ratio", long("n"))
+
+
+_FONTS = ["ABCDEF+SimSun", "NSimSun", "STKaiti-Regular", "MicrosoftYaHei Bold", "Arial", "FZ-FangSong_GB", "MSYH"]
+
+
+@query(f"WITH f AS (SELECT doc_id, {G.pick('doc_id', *G.q(*_FONTS))} AS font, {G.pick('doc_id', *G.q('完成 3次观察', '12 次机构观察，2次课', '没有'))} AS said FROM documents) SELECT doc_id, font, CASE WHEN contains(lower(font), 'simsun') THEN '宋体' WHEN contains(lower(font), 'kaiti') THEN '楷体' WHEN contains(lower(font), 'fangsong') THEN '仿宋' WHEN regexp_matches(lower(font), 'yahei|msyh') THEN '微软雅黑' ELSE font END AS cn, CASE WHEN contains(said, '观察') THEN regexp_extract(said, '\\d+')::BIGINT END AS observed FROM f")
+def fonts_and_observations(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", f"{G.pick('doc_id', *G.q(*_FONTS))} AS font", f"{G.pick('doc_id', *G.q('完成 3次观察', '12 次机构观察，2次课', '没有'))} AS said")
+    return docs.select("doc_id", "font", T.chinese_font(F.col("font")).alias("cn"), long(T.observations(F.col("said")), "observed"))
+
+
+@query(f"""WITH b AS ({G.CAPTIONS.sql()}), p AS (SELECT doc_id, para_index, coalesce(sum((para_index % 5 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY para_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS section_index FROM b WHERE kind = 'p')
+ SELECT doc_id, section_index::BIGINT AS section_index, min(para_index)::BIGINT AS para_index FROM p GROUP BY ALL""")
+def section_starts(spark, sf):
+    b = G.CAPTIONS.df(spark, sf).withColumn("ends_section", F.coalesce(F.col("para_index") % 5 == 0, F.lit(False)))
+    return D.section_starts(D.section_of(b)).select("doc_id", long("section_index"), long("para_index"))
+
+
+@query(f"WITH h AS ({G.THESIS_HEADS.sql()}) SELECT doc_id, min(para_index)::BIGINT AS para_index, arg_min(text, para_index) AS text FROM h WHERE contains(text, '讨论') GROUP BY 1")
+def first_headings(spark, sf):
+    return D.first_holding(G.THESIS_HEADS.df(spark, sf), "讨论").select("doc_id", long("para_index"), "text")
+
+
+@query(f"WITH {_CT} SELECT doc_id, coalesce(u.anchor, b.name) AS anchor, coalesce(uses, 0)::BIGINT AS uses, b.name IS NOT NULL AS there FROM (SELECT doc_id, anchor, count(*) AS uses FROM r WHERE anchor IS NOT NULL GROUP BY ALL) u FULL JOIN (SELECT DISTINCT doc_id, name, name AS anchor FROM bm) b USING (doc_id, anchor)")
+def anchor_tally(spark, sf):
+    return DX.anchor_tally(G.RUNS.df(spark, sf), G.BOOKMARKS.df(spark, sf)).select("doc_id", "anchor", long("uses"), "there")
+
+
+_STATES = f"SELECT concat('t', CAST(doc_id AS STRING)) AS template, {G.pick('doc_id', *G.q('draft', 'confirmed', 'applied'), G.NULL_S)} AS status, CAST(doc_id % 5 AS INT) % 2 AS open_questions, {G.pick('doc_id * 3', *G.q('confirmed', 'applied', 'draft', 'lost'), G.NULL_S, G.NULL_S, G.NULL_S)} AS want FROM documents"
+
+
+@query(f"WITH t AS ({_STATES}), r AS (SELECT *, coalesce(want IS NOT NULL AND (want NOT IN ('draft', 'confirmed', 'applied') OR (open_questions > 0 AND want <> 'draft')), false) AS refused FROM t) SELECT template, CASE WHEN want IS NOT NULL AND NOT refused THEN want WHEN want IS NULL AND open_questions > 0 THEN 'draft' ELSE coalesce(status, 'draft') END AS status, refused FROM r")
+def template_states(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    t = docs.selectExpr(*[e.strip() for e in ("concat('t', CAST(doc_id AS STRING)) AS template", f"{G.pick('doc_id', *G.q('draft', 'confirmed', 'applied'), G.NULL_S)} AS status", "CAST(doc_id % 5 AS INT) % 2 AS open_questions", f"{G.pick('doc_id * 3', *G.q('confirmed', 'applied', 'draft', 'lost'), G.NULL_S, G.NULL_S, G.NULL_S)} AS want")])
+    return TP.advanced(t.drop("want"), t.filter("want is not null").select("template", F.col("want").alias("status")))
