@@ -33,7 +33,7 @@ def named(df: DataFrame, content: str, suffix: str) -> DataFrame:
 def run_audit(spark: SparkSession, docs: str, work: str, spec: str | None = None, config: str | None = None, ignore: str | None = None, optional: bool = False) -> list[str]:
     relations = D.read_docx(spark, docs, f"{work}/parsed")
     listed = B.read_ignore(spark, ignore) if ignore else None
-    issues, notes = audit(relations, B.load_spec(spark, spec), B.load_spec(spark, config), ignore=listed, optional=optional)
+    issues, notes = audit(relations, B.load_spec(spark, spec), B.load_spec(spark, config), ignore=listed, optional=optional, settle=durable)
     issues.write.mode("overwrite").parquet(f"{work}/issues")
     issues = spark.read.parquet(f"{work}/issues")
     parts = R.parts_of(relations["runs"], relations["blocks"].filter("kind = 'p'"), relations["bookmarks"])

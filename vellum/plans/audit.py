@@ -23,13 +23,15 @@ class Tables:
     """Relations by name; those that a source doesn't have are absent, and rules that need them don't run."""
 
     given: dict[str, DataFrame]
+    settle: Callable[[DataFrame], DataFrame] | None = None
     known: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.given:
             return self.given[name]
         if name not in self.known:
-            self.known[name] = DERIVED[name][1](self)
+            made = DERIVED[name][1](self)
+            self.known[name] = self.settle(made) if self.settle else made
         return self.known[name]
 
     def __contains__(self, name: str) -> bool:
@@ -119,14 +121,15 @@ def anchors_of(t: Tables) -> DataFrame:
     return t["anchors"] if "anchors" in t else next(iter(t.given.values())).sparkSession.createDataFrame([], "section string, field string, tokens array<string>")
 
 
-def audit(tables: dict[str, DataFrame], template: str | None = None, config: str | None = None, only: tuple[str, ...] = (), optional: bool = False, ignore: DataFrame | None = None, profile: str = "cjk") -> tuple[DataFrame, list[str]]:
+def audit(tables: dict[str, DataFrame], template: str | None = None, config: str | None = None, only: tuple[str, ...] = (), optional: bool = False, ignore: DataFrame | None = None, profile: str = "cjk", settle: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """(issues, notes): all rules that the tables allow, in one plan. A rule whose plan can't be built becomes an issue.
 
-    `only` names rules or layers. Notes say what wasn't judged: rules without their relations and standards that are unset.
+    With `settle`, such as operators.durable.durable, each derived relation is worked out once and kept, rather than in every
+    rule that reads it: the better way for a corpus. `only` names rules or layers. Notes say what wasn't judged: rules without their relations and standards that are unset.
     """
     std = S.for_job(template, config) | {"profile": profile}
     notes = [f"not judged: {key}" for key, v in std.items() if v is None]
-    t, parts, rows = Tables(tables), [], []
+    t, parts, rows = Tables(tables, settle), [], []
     for r in RULES:
         if only and r.name not in only and r.layer not in only or r.optional and not optional:
             continue
