@@ -69,8 +69,8 @@ class Index:
         self.hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, *_ in parts)])
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
-        self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(h), i) for h, i, *_ in parts)])[order]
-        self.at = np.concatenate([np.zeros(0, np.int64), *(k for _, _, k, _ in parts)])[order]
+        self.item = np.concatenate([np.zeros(0, np.int32), *(np.full(len(h), i, np.int32) for h, i, *_ in parts)])[order]
+        self.at = np.concatenate([np.zeros(0, np.int32), *(k.astype(np.int32) for _, _, k, _ in parts)])[order]
         self.before = np.concatenate([np.zeros(0, np.uint64), *(b for *_, b in parts)])[order]  # the item's seed one place before
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
