@@ -152,11 +152,11 @@ class Scratch:
         small_batches(spark)
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns a DataFrame that reads it, without df's lineage."""
+    def keep(self, df: DataFrame, name: str, distinct: bool = False) -> DataFrame:
+        """Writes df and returns a DataFrame that reads it, without df's lineage. If hardly a value comes twice, no dictionaries are tried."""
         path = f"{self.root}/{name}"
         with shuffles_freed(self.spark):
-            df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes and bytes: hardly a value comes twice
+            df.write.option("parquet.enable.dictionary", str(not distinct).lower()).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -601,7 +601,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     placed = Window.partitionBy("a", "b").orderBy("doc", "mark", "line")
     ranked = lines.withColumn("later", F.col("repeat") | (F.rank().over(placed) > 1)).withColumn("nth", F.row_number().over(placed))
     known = ranked.filter("later or nth = 1").select("later", "doc", "mark", "line", "n", *[F.when(~F.col("later"), F.col(c)).alias(c) for c in ("rare", "common")])
-    known = scratch.keep(known.withColumn("uid", F.monotonically_increasing_id()), "lines")
+    known = scratch.keep(known.withColumn("uid", F.monotonically_increasing_id()), "lines", distinct=True)
     classes, repeats = known.filter("not later").drop("later"), known.filter("later").select("doc", "mark", "line")
 
     size = classes.agg(F.sum("n")).first()[0] or 0
@@ -615,7 +615,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, fewest: int = 1) -> Dat
     crowd = found.filter("key is not null").drop("part", "data")
     # few classes are in any pair, so that their sets are picked out once
     compared = pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).union(crowd.select("uid")).distinct()
-    sets = scratch.keep(classes.join(compared.hint("shuffle_hash"), "uid", "left_semi"), "sets")
+    sets = scratch.keep(classes.join(compared.hint("shuffle_hash"), "uid", "left_semi"), "sets", distinct=True)
     # a partition's share of the sets is looked up, as it is small beside the classes; sorting it and the pairs costs more
     side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "mark", "line", "rare", "common")], F.col("uid").alias(k)).hint("shuffle_hash")
     both = pairs.join(side("x"), "x").join(side("y"), "y").filter(similar(percent)("rare_x", "common_x", "rare_y", "common_y"))
