@@ -59,7 +59,8 @@ class Model:
         self.scores = np.zeros((self.known + self.most, len(langs)), np.float32)
         self.scores[: self.known] = scores
         self.gram_scores = np.asarray(gram_scores, np.float32)  # the last row is that of an unknown letter
-        hashes = np.array([self.hashed(g, [0], [len(g)])[0] for g in grams], np.uint64)
+        ends = np.cumsum([len(g) for g in grams], dtype=np.int64)
+        hashes = self.hashed("".join(grams), np.concatenate((np.zeros(1, np.int64), ends))[: len(grams)], ends) if grams else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.gram_hashes, self.gram_rows = hashes[order], order
         self.bits = np.zeros(1 << 20, bool)
