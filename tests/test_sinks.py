@@ -200,3 +200,18 @@ def test_a_template_is_built_from_a_specification(spark, tmp_path):
 def test_cards_as_a_report(spark):
     cards = spark.createDataFrame([(1, "A2", "pending", "same?", "前文", None, "概念", 3), (1, "A6", "undecidable", "same?", None, None, None, None)], "doc_id long, anchor string, verdict string, question string, proposal_excerpt string, thesis_excerpt string, thesis_heading string, para_index int")
     assert P.evidence(cards).first().report == "## A2 (pending)\nsame?\n> 前文\n> -\n@3 概念\n\n## A6 (undecidable)\nsame?\n> -\n> -\n"
+
+
+def test_unions_are_gathered_whole(spark):
+    """Parts of a union that were dealt out by document before meet whole, however adaptive execution joins their partitions."""
+    ids = spark.range(600).select(F.col("id").alias("doc_id"))
+    runs = ids.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("para_index"), F.lit(0).alias("run_ord"), F.lit("text").alias("text"))
+    paras, marks = ids.select("doc_id", F.lit(1).alias("para_index"), F.lit("Normal").alias("style_name")), ids.select("doc_id", F.lit(1).alias("para_index"), F.lit("m").alias("name"))
+    parts = R.parts_of(runs, paras, marks)
+    some = ids.filter("doc_id % 2 = 0").withColumn("k", F.rand(3)).repartition(3, "doc_id").select("doc_id")
+    joined = parts.join(some.hint("merge"), "doc_id", "left_semi")
+    whole, part = ({r.doc_id: r.sha256 for r in R.state_hash(p).collect()} for p in (parts, joined))
+    assert R.state_hash(joined).count() == 300 and part == {i: h for i, h in whole.items() if i % 2 == 0}
+    items = ids.select("doc_id", F.col("doc_id").cast("string").alias("issue_key"), F.lit("para.delete").alias("action"), F.lit(2).alias("loc_index"), F.lit(None).cast("map<string,string>").alias("params"), F.lit(True).alias("enabled"))
+    out = R.edited(joined, items.join(some.hint("merge"), "doc_id", "left_semi"))
+    assert out.filter("kind = 'journal' and status = 'applied'").count() == 300 and out.filter("kind = 'run'").count() == 1200

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.durable import dealt_anew
+
 
 def most_used(rows: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
     """For each group the value met most, the smallest among equals, with its count and the group's total."""
@@ -87,7 +89,7 @@ def abstract(parts: DataFrame, words) -> DataFrame:
 
 def roll_up(groups: DataFrame) -> DataFrame:
     """What to ask a person: groups(doc_id, name, confidence) to the low ones, and an overall confidence."""
-    sums = groups.groupBy("doc_id").agg(
+    sums = dealt_anew(groups).groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("confidence") == "low", F.col("name")))), ",").alias("ask"), F.count_if(F.col("confidence") == "low").alias("low"), F.count_if(F.col("confidence") == "high").alias("high"), F.count(F.lit(1)).alias("n")
     )
     return sums.select("doc_id", "ask", F.when(F.col("low") * 2 > F.col("n"), "low").when(F.col("high") == F.col("n"), "high").otherwise("medium").alias("confidence"))

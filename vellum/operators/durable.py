@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,16 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by a hash of the keys, doc_id unless given, as what a union needs before rows of a key are gathered.
+
+    Spark 4.1 takes a union of parts that are each dealt out by a key for one that is, too, and gathers without a shuffle; but
+    adaptive execution may have joined the partitions of each part otherwise, so that rows of a key lie in several. It can't
+    know that of another hash.
+    """
+    return df.repartition(F.xxhash64(*(keys or ("doc_id",))))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df without its lineage, in the folder of spark.checkpoint.dir, which a lost executor doesn't take along."""
     shared_folder(df.sparkSession)

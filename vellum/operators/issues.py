@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators.durable import dealt_anew
 
 LAYERS, SEVERITIES = ("L1", "L2", "L3", "L4", "L4·26"), ("error", "warn", "info")
 SOURCES = ("template", "config", "default")
@@ -65,7 +66,7 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return dealt_anew(out)
 
 
 def broken(issues: DataFrame) -> DataFrame:

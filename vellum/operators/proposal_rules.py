@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators.durable import dealt_anew
 from vellum.operators.issues import as_issues
 
 SEVERITY = {"missing": "error", "changed": "warn", "deviates": "warn", "undecidable": "info"}
@@ -190,7 +191,7 @@ def check(pairs: DataFrame, heads: DataFrame, entries: DataFrame, anchors: DataF
 
 def by_conclusion(all_: DataFrame) -> DataFrame:
     """(doc_id, conclusion, n): how many anchors of each document ended how."""
-    return all_.groupBy("doc_id", "conclusion").agg(F.count(F.lit(1)).alias("n"))
+    return dealt_anew(all_).groupBy("doc_id", "conclusion").agg(F.count(F.lit(1)).alias("n"))
 
 
 def proposal_issues(all_: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators.durable import durable
+from vellum.operators.durable import dealt_anew, durable
 
 IN_PLACE = ("cite.superscript", "cite.size", "run.clear_size", "cite.link", "cite.rewrite", "cite.move_before_punct", "run.font", "para.style", "para.border")
 STRUCTURAL = ("para.delete", "para.merge_into", "para.insert_after")
@@ -118,7 +118,7 @@ def relocated(locators: DataFrame, paragraphs: DataFrame) -> DataFrame:
     by_fp = same.select("key", "doc_id", "para_index", F.when(F.col("d") == 0, 0).when(F.col("n") == 1, 1).otherwise(2).alias("p"), "d")
     starts = locators.withColumn("prefix", F.substring(T.strip("text"), 1, 30)).filter("prefix <> ''").join(now.select("doc_id", "para_index", "prefix"), ["doc_id", "prefix"])
     by_start = starts.withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1").select("key", "doc_id", "para_index", F.lit(3).alias("p"), F.lit(0).alias("d"))
-    placed = by_fp.unionByName(by_start).groupBy("key", "doc_id").agg(F.min(F.struct("p", "d", "para_index")).alias("b"))
+    placed = dealt_anew(by_fp.unionByName(by_start)).groupBy("key", "doc_id").agg(F.min(F.struct("p", "d", "para_index")).alias("b"))
     known = locators.join(placed, ["key", "doc_id"], "left")
     lost = known.filter("b is null").withColumn("want", T.strip("text")).filter("want <> ''")
     holds = lost.select("key", "doc_id", "want").join(now.select("doc_id", "para_index", "full"), "doc_id").filter(F.contains("full", "want")).withColumn("n", F.count(F.lit(1)).over(w)).filter("n = 1")
@@ -372,17 +372,42 @@ def folded(rows: list[dict], steps: list[dict]) -> list[dict]:
 def edited(parts: DataFrame, items: DataFrame) -> DataFrame:
     """PARTS after the enabled items, in their order, document by document, with the journal's entries among them.
 
-    A document's edits are a fold, as structural ones shift paragraphs, so one task holds one document's parts and items.
+    A document's edits are a fold, as structural ones shift paragraphs, so its parts and items come together by one shuffle,
+    and a task holds one document at a time.
     """
-    steps = ordered(items).select(F.col("doc_id").cast("long").alias("doc_id"), "step", "issue_key", "action", F.col("loc_index").cast("double").alias("loc_index"), "params")
-    names = [c for c, _ in _FIELDS]
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        as_rows = lambda df: [{c: plain(v) for c, v in zip(df.columns, row, strict=True)} for row in df.astype(object).itertuples(index=False)]
-        out = folded([r | {"para_index": None if r["para_index"] is None else int(r["para_index"])} for r in as_rows(left)], [{**r, "params": dict(p) if p is not None else None} for r, p in zip(as_rows(right.drop(columns="params")), right["params"], strict=True)])
-        return pd.DataFrame([[r.get(c) for c in names] for r in out], columns=names, dtype=object)
-
-    return parts.groupBy("doc_id").cogroup(steps.groupBy("doc_id")).applyInPandas(fold, PARTS)
+    names, whole = [c for c, _ in _FIELDS], {c for c, t in _FIELDS if t == "int"}
+    null = {c: F.lit(None).cast(t).alias(c) for c, t in _FIELDS}
+    given = {"kind": F.lit("item").alias("kind"), "doc_id": F.col("doc_id").cast("long").alias("doc_id"), "para_index": F.col("loc_index").cast("int").alias("para_index"), "step": "step", "issue_key": "issue_key", "action": "action"}
+    steps = ordered(items).select(*[given.get(c, null[c]) for c in names], "params")
+    rows = parts.select(*names, F.lit(None).cast("map<string,string>").alias("params")).unionByName(steps)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held, steps_, at = [], [], [], None
+
+        def done() -> None:
+            out.extend([r.get(c) for c in names] for r in folded(held, steps_))
+            held.clear()
+            steps_.clear()
+
+        for batch in batches:
+            columns = [[None if (v := plain(x)) is None else int(v) for x in batch[c].tolist()] if c in whole else [plain(x) for x in batch[c].tolist()] for c in names]
+            for *values, params in zip(*columns, batch["params"].tolist(), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if (held or steps_) and row["doc_id"] != at:
+                    done()
+                at = row["doc_id"]
+                if row["kind"] == "item":
+                    steps_.append({**row, "loc_index": row["para_index"], "params": dict(params) if params is not None else None})
+                else:
+                    held.append(row)
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out.clear()
+        if held or steps_:
+            done()
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return dealt_anew(rows).sortWithinPartitions("doc_id").mapInPandas(run, PARTS)
 
 
 def of_kind(parts: DataFrame, kind: str) -> DataFrame:
@@ -406,7 +431,7 @@ def run_hash(runs: DataFrame) -> DataFrame:
 def state_hash(parts: DataFrame) -> DataFrame:
     """(doc_id, sha256) of each document's parts, whichever order they come in."""
     rows = parts.filter("kind <> 'journal'").select("doc_id", F.struct(*[c for c, _ in _FIELDS if c not in ("doc_id", "step", "issue_key", "action", "status")]).alias("row"))
-    return rows.groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("row"))), 256).alias("sha256"))
+    return dealt_anew(rows).groupBy("doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("row"))), 256).alias("sha256"))
 
 
 @dataclass

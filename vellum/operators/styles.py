@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.durable import dealt_anew
+
 INHERITED = ("size_pt", "font_ea", "font_ascii", "bold", "align", "space_before_pt", "space_after_pt", "line_spacing", "first_line_indent_chars")
 
 
@@ -35,7 +37,7 @@ def by_document(rows: DataFrame, columns: str, step) -> DataFrame:
             out += step(held)
         yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, columns)
+    return dealt_anew(rows).sortWithinPartitions("doc_id").mapInPandas(run, columns)
 
 
 def known(value) -> bool:

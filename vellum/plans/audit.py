@@ -16,6 +16,7 @@ from vellum.operators import proposal_rules as P
 from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
 from vellum.operators import text_rules as X
+from vellum.operators.durable import dealt_anew
 
 
 @dataclass
@@ -43,7 +44,7 @@ def uncited(t: Tables) -> DataFrame | None:
     if "blocks" not in t:
         return None
     listed = t["entries"].select("doc_id", "para_index")
-    return listed.union(D.contents_region(t["blocks"])) if "is_marker" in t["blocks"].columns else listed
+    return dealt_anew(listed.union(D.contents_region(t["blocks"]))) if "is_marker" in t["blocks"].columns else listed
 
 
 def proposal_pairs(t: Tables) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.durable import dealt_anew
+
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 W, R = f"{{{NS}}}", f"{{{REL}}}"
@@ -195,7 +197,7 @@ def as_files(paragraphs: DataFrame, runs: DataFrame, styles: DataFrame, sections
             of[kind].append({c: None for c in TAKEN[kind]} | json.loads(row))
         return pd.DataFrame({"doc_id": [key[0]], "content": [file_of(of)]})
 
-    return rows.groupBy("doc_id").applyInPandas(build, "doc_id long, content binary")
+    return dealt_anew(rows).groupBy("doc_id").applyInPandas(build, "doc_id long, content binary")
 
 
 def save_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:

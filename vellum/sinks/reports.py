@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.durable import dealt_anew
 from vellum.operators.issues import COLUMNS, rank
 
 ISSUE = "struct<issue_key:string,id:string,rule:string,sub_check:string,layer:string,skill:string,severity:string,loc_kind:string,loc_index:int,excerpt:string,expected:string,actual:string,standard_source:string,suppressible:boolean,action:string,params:map<string,string>>"
@@ -94,4 +95,4 @@ def evidence(cards: DataFrame) -> DataFrame:
     """(doc_id, report): the cards of a document as one Markdown text, for a person to judge."""
     show = lambda c: F.coalesce(F.concat(F.lit("> "), F.col(c)), F.lit("> -"))
     card = F.concat(F.lit("## "), "anchor", F.lit(" ("), "verdict", F.lit(")\n"), "question", F.lit("\n"), show("proposal_excerpt"), F.lit("\n"), show("thesis_excerpt"), F.lit("\n"), F.coalesce(F.concat(F.lit("@"), F.col("para_index").cast("string"), F.lit(" "), "thesis_heading", F.lit("\n")), F.lit("")))
-    return cards.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("anchor", card.alias("card")))).alias("cards")).select("doc_id", F.array_join(F.transform("cards", lambda c: c["card"]), "\n").alias("report"))
+    return dealt_anew(cards).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("anchor", card.alias("card")))).alias("cards")).select("doc_id", F.array_join(F.transform("cards", lambda c: c["card"]), "\n").alias("report"))
