@@ -126,7 +126,7 @@ WORDINGS = [
     ("upl-1.0", "larger work", r"the software a larger work to which the software is contributed"),
     ("sspl-1.0", "service source code", r"make the service source code available via network download to everyone"),
     ("busl-1.1", "change date", r"effective on the change date .. the licensor hereby grants you rights under the terms of the change license"),
-    ("commons-clause", "does not include", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("commons-clause", "will not include", r"the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|put) (?:in ?to|to|in) the public domain"),
     ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
     ("lppl", "latex project public", r"this work may be distributed and or modified under the conditions of the latex project public license"),
