@@ -178,12 +178,18 @@ class Paragraph:
     listed: bool = False
     runs: list[dict] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
+    parts: list = field(default_factory=list)  # elements of a file, where there is one
 
 
 class Failed(Exception):
     pass
 
 
+def halves(size: str) -> float:
+    """A size in points as files hold it, in half points."""
+    return round(2 * float(size)) / 2
+
+
 class Draft:
     """One document while it is edited. Items name paragraphs by the numbers that they had at first."""
 
@@ -233,7 +239,7 @@ class Draft:
         return self.put(self.run(index, params), superscript=params.get("on", "true") == "true")
 
     def cite_size(self, index, params):
-        return self.put(self.run(index, params), size_pt=float(params["size"]))
+        return self.put(self.run(index, params), size_pt=halves(params["size"]))
 
     def run_clear_size(self, index, params):
         return self.put(self.run(index, params), size_pt=None)
@@ -250,7 +256,7 @@ class Draft:
         return self.put(self.run(index, params), anchor=anchor, link_kind=kind)
 
     def run_font(self, index, params):
-        given = {"font_ea": params.get("font"), "font_ascii": params.get("ascii"), "size_pt": float(params["size"]) if "size" in params else None, "bold": params["bold"] == "true" if "bold" in params else None}
+        given = {"font_ea": params.get("font"), "font_ascii": params.get("ascii"), "size_pt": halves(params["size"]) if "size" in params else None, "bold": params["bold"] == "true" if "bold" in params else None}
         if not (given := {c: v for c, v in given.items() if v is not None}):
             raise Failed("no font")
         return self.put(self.run(index, params), **given)
@@ -316,6 +322,7 @@ class Draft:
         first = at < self.paragraphs.index(into)
         into.runs = p.runs + into.runs if first else into.runs + p.runs
         into.names = p.names + into.names if first else into.names + p.names
+        into.parts = p.parts + into.parts if first else into.parts + p.parts
         return self.para_delete(index, params)
 
     def para_insert_after(self, index, params):
@@ -351,11 +358,9 @@ def plain(value):
     return None if value is None or value is pd.NA or value != value else value
 
 
-def folded(rows: list[dict], steps: list[dict]) -> list[dict]:
-    """PARTS rows of one document after its items, and the journal's. An item that fails changes nothing and doesn't stop the rest."""
-    draft, journal = Draft(rows), []
-    known = set(draft.of)
-    doc_id = (rows or steps)[0]["doc_id"]
+def stepped(draft: Draft, steps: list[dict]) -> list[dict]:
+    """The journal's PARTS rows of a document's items in order. An item that fails changes nothing and doesn't stop the rest."""
+    journal = []
     for item in sorted(steps, key=lambda s: s["step"]):
         params = dict(item["params"]) if item["params"] is not None else {}
         try:
@@ -366,6 +371,15 @@ def folded(rows: list[dict], steps: list[dict]) -> list[dict]:
         except (KeyError, ValueError, TypeError) as e:
             status = f"failed: {type(e).__name__}"
         journal.append({"kind": "journal", "step": int(item["step"]), "issue_key": item["issue_key"], "action": item["action"], "para_index": item["loc_index"], "status": status})
+    return journal
+
+
+def folded(rows: list[dict], steps: list[dict]) -> list[dict]:
+    """PARTS rows of one document after its items, and the journal's."""
+    draft = Draft(rows)
+    known = set(draft.of)
+    journal = stepped(draft, steps)
+    doc_id = (rows or steps)[0]["doc_id"]
     return [{"doc_id": doc_id, **r} for r in (*draft.rows(doc_id, list(known - set(draft.of))), *journal)]
 
 

@@ -6,7 +6,7 @@ import hashlib
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,7 +27,7 @@ SCHEMAS = {
     "styles": "style_id string, name string, type string, based_on string, link string, next string, is_default boolean, size_pt double, font_ea string, font_ascii string, bold boolean, align string, space_before_pt double, space_after_pt double, line_spacing double, first_line_indent_chars double, num_id string, outline_level int",
     "numbering": "num_id string, abstract_id string",
     "cells": "ord int, row int, col int, text string",
-    "sections": "section_index int, page_fmt string, page_start int, has_pgnumtype boolean, has_page_field boolean, header_text string, header_has_rule boolean, width_cm double, height_cm double, top_cm double, right_cm double, bottom_cm double, left_cm double",
+    "sections": "section_index int, page_fmt string, page_start int, has_pgnumtype boolean, has_page_field boolean, header_text string, first_header_text string, header_has_rule boolean, header_border string, width_cm double, height_cm double, top_cm double, right_cm double, bottom_cm double, left_cm double",
     "errors": "message string",
 }
 
@@ -44,6 +44,14 @@ def number(text, scale: float = 1.0):
         return None
 
 
+def counted(text) -> int | None:
+    """A whole number, null for anything else."""
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
 def on(node, path: str):
     """Whether a switch is on: it is there, and not turned off; null if it isn't there."""
     found = node.find(path) if node is not None else None
@@ -67,25 +75,26 @@ def spacing_of(p) -> dict:
     return {"align": value(p, f"{W}jc"), "space_before_pt": get(gap, "before"), "space_after_pt": get(gap, "after"), "line_spacing": get(gap, "line", 20 if exact else 240), "first_line_indent_chars": get(indent, "firstLineChars", 100)}
 
 
-def visible_runs(paragraph) -> Iterator[tuple]:
-    """(text, superscript, anchor, link kind, size, fonts, bold) of the visible runs; field codes hide their instructions.
+def placed_runs(paragraph) -> Iterator[tuple]:
+    """(run element, anchor, link kind) of the visible runs; field codes hide their instructions.
 
-    Inserted, tagged and wrapped content is looked into. Runs in the result of a HYPERLINK field carry its anchor.
+    Inserted, tagged and wrapped content is looked into, to any depth. Runs in the result of a HYPERLINK field carry its anchor.
     """
     fields: list[dict] = []
-
-    def walk(node, anchor):
-        for child in node:
-            tag = child.tag.removeprefix(W)
-            if tag == "hyperlink":
-                yield from walk(child, child.get(f"{W}anchor") or anchor)
-            elif tag in ("ins", "smartTag", "sdt", "sdtContent"):
-                yield from walk(child, anchor)
-            elif tag == "r":
-                yield from one(child, anchor)
-
-    def one(run, anchor):
-        mark, code = run.find(f"{W}fldChar"), run.find(f"{W}instrText")
+    stack = [(iter(paragraph), None)]
+    while stack:
+        child = next(stack[-1][0], None)
+        if child is None:
+            stack.pop()
+            continue
+        tag, anchor = child.tag.removeprefix(W) if isinstance(child.tag, str) else "", stack[-1][1]
+        if tag == "hyperlink":
+            stack.append((iter(child), child.get(f"{W}anchor") or anchor))
+        elif tag in ("ins", "smartTag", "sdt", "sdtContent"):
+            stack.append((iter(child), anchor))
+        if tag != "r":
+            continue
+        mark, code = child.find(f"{W}fldChar"), child.find(f"{W}instrText")
         if mark is not None:
             kind = mark.get(f"{W}fldCharType")
             if kind == "begin":
@@ -94,23 +103,54 @@ def visible_runs(paragraph) -> Iterator[tuple]:
                 fields[-1]["result"] = True
             elif kind == "end" and fields:
                 fields.pop()
-            return
-        if code is not None:
+        elif code is not None:
             if fields:
                 fields[-1]["code"] += code.text or ""
-            return
-        if any(not f["result"] for f in fields):
-            return
-        text = "".join("\t" if t.tag == f"{W}tab" else t.text or "" for t in run if t.tag in (f"{W}t", f"{W}tab"))
-        if not text:
-            return
-        p = run.find(f"{W}rPr")
-        linked = next((place for f in reversed(fields) if (place := linked_place(f["code"]))), None)
-        kind = "hyperlink" if anchor else "field" if linked else None
-        size = value(p, f"{W}sz") or value(p, f"{W}szCs")
-        yield text, value(p, f"{W}vertAlign") == "superscript", anchor or linked, kind, number(size, 2), value(p, f"{W}rFonts", "eastAsia"), value(p, f"{W}rFonts", "ascii"), on(p, f"{W}b")
+        elif all(f["result"] for f in fields) and run_text(child):
+            linked = next((place for f in reversed(fields) if (place := linked_place(f["code"]))), None)
+            yield child, anchor or linked, "hyperlink" if anchor else "field" if linked else None
+
+
+def run_text(run) -> str:
+    return "".join("\t" if t.tag == f"{W}tab" else t.text or "" for t in run if t.tag in (f"{W}t", f"{W}tab"))
 
-    yield from walk(paragraph, None)
+
+def run_values(run, anchor: str | None, kind: str | None) -> dict:
+    """Text, format and link of a visible run. The complex size and font stand in where the plain ones aren't given."""
+    p = run.find(f"{W}rPr")
+    size = value(p, f"{W}sz") or value(p, f"{W}szCs")
+    return {
+        "text": run_text(run), "superscript": value(p, f"{W}vertAlign") == "superscript", "anchor": anchor, "link_kind": kind, "size_pt": number(size, 2),
+        "font_ea": value(p, f"{W}rFonts", "eastAsia"), "font_ascii": value(p, f"{W}rFonts", "ascii") or value(p, f"{W}rFonts", "cs"), "bold": on(p, f"{W}b"),
+    }
+
+
+def sections_of(body) -> list:
+    """The section properties in order: those that end a paragraph's section, and the body's own."""
+    found = []
+    for child in body:
+        if child.tag == f"{W}sectPr":
+            found.append(child)
+        elif child.tag == f"{W}p" and (ends := child.find(f"{W}pPr/{W}sectPr")) is not None:
+            found.append(ends)
+    return found
+
+
+def relationships(package: zipfile.ZipFile, names: set[str]) -> dict[str, str]:
+    """The main part's links: id to target."""
+    name = "word/_rels/document.xml.rels"
+    return {r.get("Id"): r.get("Target") or "" for r in ElementTree.fromstring(package.read(name))} if name in names else {}
+
+
+def header_parts(section, links: dict[str, str], kind: str = "header") -> list[str]:
+    """Names of a section's header (or footer) parts."""
+    ids = [r.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id") for r in section.findall(f"{W}{kind}Reference")]
+    return [f"word/{links[i]}" for i in ids if re.fullmatch(kind + r"\w*\.xml", links.get(i) or "")]
+
+
+def style_names(styles) -> dict[str, str | None]:
+    """Names of styles by id."""
+    return {s.get(f"{W}styleId"): value(s, f"{W}name") for s in styles.iter(f"{W}style")} if styles is not None else {}
 
 
 def pictures(node) -> int:
@@ -129,100 +169,125 @@ def border_of(p) -> str | None:
     return ";".join(f"{e.tag.removeprefix(W)}={e.get(f'{W}val')},{e.get(f'{W}sz')}" for e in edges) or None if edges is not None else None
 
 
-def parsed(content: bytes) -> Iterator[tuple[str, dict]]:
-    """(relation, row) for everything that the rules need of one file."""
+def parsed(content: bytes, kinds: set[str] | None = None) -> Iterator[tuple[str, dict]]:
+    """(relation, row) for everything that the rules need of one file, or for the relations named."""
+    wanted = lambda *of: kinds is None or any(k in kinds for k in of)
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         root = lambda name: ElementTree.fromstring(z.read(name)) if name in names else None
-        body, styles, numbering = root("word/document.xml").find(f"{W}body"), root("word/styles.xml"), root("word/numbering.xml")
-        links = {r.get("Id"): r.get("Target") for r in root("word/_rels/document.xml.rels") or ()} if "word/_rels/document.xml.rels" in names else {}
-        parts = {rid: root(f"word/{target}") for rid, target in links.items() if re.match(r"(header|footer)\d*\.xml$", target or "")}
-    display = {}
-    for s in styles.iter(f"{W}style") if styles is not None else ():
-        p, row = s.find(f"{W}rPr"), {"style_id": s.get(f"{W}styleId"), "name": value(s, f"{W}name"), "type": s.get(f"{W}type"), "based_on": value(s, f"{W}basedOn"), "link": value(s, f"{W}link")}
-        display[row["style_id"]] = row["name"]
-        pp = s.find(f"{W}pPr")
-        outline = value(pp, f"{W}outlineLvl")
-        look = {"size_pt": number(value(p, f"{W}sz"), 2), "font_ea": value(p, f"{W}rFonts", "eastAsia"), "font_ascii": value(p, f"{W}rFonts", "ascii"), "bold": on(p, f"{W}b")}
-        yield "styles", row | look | spacing_of(pp) | {"is_default": s.get(f"{W}default") == "1", "next": value(s, f"{W}next"), "num_id": value(pp, f"{W}numPr/{W}numId"), "outline_level": int(outline) if outline else None}
+        body = root("word/document.xml").find(f"{W}body") if wanted("blocks", "runs", "bookmarks", "cells", "sections") else ()
+        styles = root("word/styles.xml") if wanted("styles", "blocks") else None
+        numbering = root("word/numbering.xml") if wanted("numbering") else None
+        links = relationships(z, names) if wanted("sections") else {}
+        sections = sections_of(body) if wanted("sections") else []
+        parts = {name: root(name) for s in sections for kind in ("header", "footer") for name in header_parts(s, links, kind) if name in names}
+    if wanted("styles"):
+        yield from (("styles", row) for row in style_rows(styles))
     for n in numbering.iter(f"{W}num") if numbering is not None else ():
         yield "numbering", {"num_id": n.get(f"{W}numId"), "abstract_id": value(n, f"{W}abstractNumId")}
-    sections, para = [], 0
+    if wanted("blocks", "runs", "bookmarks", "cells"):
+        yield from body_rows(body, style_names(styles), wanted)
+    for k, s in enumerate(sections, 1):
+        yield "sections", {"section_index": k, **section_values(s, links, parts)}
+
+
+def style_rows(styles) -> Iterator[dict]:
+    for s in styles.iter(f"{W}style") if styles is not None else ():
+        p, pp = s.find(f"{W}rPr"), s.find(f"{W}pPr")
+        row = {"style_id": s.get(f"{W}styleId"), "name": value(s, f"{W}name"), "type": s.get(f"{W}type"), "based_on": value(s, f"{W}basedOn"), "link": value(s, f"{W}link")}
+        look = {"size_pt": number(value(p, f"{W}sz"), 2), "font_ea": value(p, f"{W}rFonts", "eastAsia"), "font_ascii": value(p, f"{W}rFonts", "ascii"), "bold": on(p, f"{W}b")}
+        yield row | look | spacing_of(pp) | {"is_default": s.get(f"{W}default") == "1", "next": value(s, f"{W}next"), "num_id": value(pp, f"{W}numPr/{W}numId"), "outline_level": counted(value(pp, f"{W}outlineLvl"))}
+
+
+def body_rows(body, display: dict[str, str | None], wanted: Callable[..., bool]) -> Iterator[tuple[str, dict]]:
+    para = 0
     for k, child in enumerate(body, 1):
-        tag = child.tag.removeprefix(W)
-        if tag == "sectPr":
-            sections.append(child)
-        if tag == "tbl":
-            cells = ["".join(t.text or "" for t in c.iter(f"{W}t")) for c in child.iter(f"{W}tc")]
-            yield "blocks", {"ord": k, "kind": "tbl", "text": "\n".join(cells), "images": pictures(child)}
-            for i, tr in enumerate(child.findall(f"{W}tr")):
+        if child.tag == f"{W}tbl":
+            if wanted("blocks"):
+                cells = ["".join(t.text or "" for t in c.iter(f"{W}t")) for c in child.iter(f"{W}tc")]
+                yield "blocks", {"ord": k, "kind": "tbl", "text": "\n".join(cells), "images": pictures(child)}
+            for i, tr in enumerate(child.findall(f"{W}tr") if wanted("cells") else ()):
                 for j, tc in enumerate(tr.findall(f"{W}tc")):
                     yield "cells", {"ord": k, "row": i, "col": j, "text": cell_text(tc)}
-        if tag != "p":
+        if child.tag != f"{W}p":
             continue
         para += 1
-        style = value(child.find(f"{W}pPr"), f"{W}pStyle")
-        runs = list(visible_runs(child))
-        ends = child.find(f"{W}pPr/{W}sectPr")
-        if ends is not None:
-            sections.append(ends)
-        codes = "".join(t.text or "" for t in child.iter(f"{W}instrText"))
-        dotted = any(t.get(f"{W}leader") == "dot" for t in child.iter(f"{W}tab"))
-        text = "".join(r[0] for r in runs)
-        anchors = [h.get(f"{W}anchor") or "" for h in child.iter(f"{W}hyperlink")]
-        yield "blocks", {
-            "ord": k, "kind": "p", "para_index": para, "text": text, "style_id": style, "style_name": display.get(style, style), "ends_section": ends is not None,
-            "is_marker": dotted or bool(codes) or "\t" in text, "has_toc_field": bool(re.search(r"\bTOC\b", codes)), "has_toc_anchor": any(a.startswith("_Toc") for a in anchors) or "_Toc" in codes, "images": pictures(child), "border": border_of(child),
-        }
-        for n, (t, sup, anchor, kind, size, font, ascii_, bold) in enumerate(runs):
-            yield "runs", {"para_index": para, "run_ord": n, "text": t, "superscript": sup, "anchor": anchor, "link_kind": kind, "size_pt": size, "font_ea": font, "font_ascii": ascii_, "bold": bold}
-        for mark in child.iter(f"{W}bookmarkStart"):
-            yield "bookmarks", {"para_index": para, "name": mark.get(f"{W}name")}
-    for k, s in enumerate(sections, 1):
-        size, margin, pages = s.find(f"{W}pgSz"), s.find(f"{W}pgMar"), s.find(f"{W}pgNumType")
-        get = lambda node, a: number(node.get(f"{W}{a}"), 567) if node is not None else None  # noqa: E731  twentieths of a point
-        rid = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-        heads = [parts[r.get(rid)] for r in s.findall(f"{W}headerReference") if parts.get(r.get(rid)) is not None]
-        feet = [parts[r.get(rid)] for r in s.findall(f"{W}footerReference") if parts.get(r.get(rid)) is not None]
-        lines = ["".join(t.text or "" for t in p.iter(f"{W}t")) for h in heads for p in h.iter(f"{W}p")]
-        borders = [value(b, f"{W}bottom") for h in heads for b in h.iter(f"{W}pBdr")]
-        start = pages.get(f"{W}start") if pages is not None else None
-        yield "sections", {
-            "section_index": k, "page_fmt": pages.get(f"{W}fmt") if pages is not None else None, "page_start": int(start) if start else None, "has_pgnumtype": pages is not None,
-            "has_page_field": any("PAGE" in (t.text or "") for f in feet for t in f.iter(f"{W}instrText")), "header_text": next((x for x in reversed(lines) if x.strip()), None),
-            "header_has_rule": any(b not in (None, "none", "nil") for b in borders) if heads else None,
-            "width_cm": get(size, "w"), "height_cm": get(size, "h"), **{f"{side}_cm": get(margin, side) for side in ("top", "right", "bottom", "left")},
-        }
-
-
-def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = [run_values(*r) for r in placed_runs(child)] if wanted("blocks", "runs") else []
+        if wanted("blocks"):
+            style = value(child.find(f"{W}pPr"), f"{W}pStyle")
+            codes = "".join(t.text or "" for t in child.iter(f"{W}instrText"))
+            dotted = any(t.get(f"{W}leader") == "dot" for t in child.iter(f"{W}tab"))
+            text = "".join(r["text"] for r in runs)
+            anchors = [h.get(f"{W}anchor") or "" for h in child.iter(f"{W}hyperlink")]
+            yield "blocks", {
+                "ord": k, "kind": "p", "para_index": para, "text": text, "style_id": style, "style_name": display.get(style, style), "ends_section": child.find(f"{W}pPr/{W}sectPr") is not None,
+                "is_marker": dotted or bool(codes) or "\t" in text, "has_toc_field": bool(re.search(r"\bTOC\b", codes)), "has_toc_anchor": any(a.startswith("_Toc") for a in anchors) or "_Toc" in codes, "images": pictures(child), "border": border_of(child),
+            }
+        if wanted("runs"):
+            yield from (("runs", {"para_index": para, "run_ord": n, **r}) for n, r in enumerate(runs))
+        if wanted("bookmarks"):
+            yield from (("bookmarks", {"para_index": para, "name": mark.get(f"{W}name")}) for mark in child.iter(f"{W}bookmarkStart"))
+
+
+def section_values(s, links: dict[str, str], parts: dict) -> dict:
+    size, margin, pages = s.find(f"{W}pgSz"), s.find(f"{W}pgMar"), s.find(f"{W}pgNumType")
+    get = lambda node, a: number(node.get(f"{W}{a}"), 567) if node is not None else None  # noqa: E731  twentieths of a point
+    heads, feet = ([parts[n] for n in header_parts(s, links, kind) if parts.get(n) is not None] for kind in ("header", "footer"))
+    lines = ["".join(t.text or "" for t in p.iter(f"{W}t")) for h in heads for p in h.iter(f"{W}p")]
+    borders = [value(b, f"{W}bottom") for h in heads for b in h.iter(f"{W}pBdr")]
+    edges = next((b for p in (heads[0].iter(f"{W}p") if heads else ()) if (b := border_of(p))), None)
+    return {
+        "page_fmt": pages.get(f"{W}fmt") if pages is not None else None, "page_start": counted(pages.get(f"{W}start")) if pages is not None else None, "has_pgnumtype": pages is not None,
+        "has_page_field": any("PAGE" in (t.text or "") for f in feet for t in f.iter(f"{W}instrText")), "header_text": next((x for x in reversed(lines) if x.strip()), None),
+        "first_header_text": next((x for x in lines if x.strip()), None), "header_has_rule": any(b not in (None, "none", "nil") for b in borders) if heads else None, "header_border": edges,
+        "width_cm": get(size, "w"), "height_cm": get(size, "h"), **{f"{side}_cm": get(margin, side) for side in ("top", "right", "bottom", "left")},
+    }
+
+
+def rows_of(batches: Iterator[pd.DataFrame], kinds: set[str] | None = None) -> Iterator[pd.DataFrame]:
     import json
 
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            sha, rows = hashlib.sha256(content).hexdigest(), []
+            sha, rows = hashlib.sha256(content or b"").hexdigest(), []
             try:
-                rows = [(kind, path, sha, json.dumps(row, ensure_ascii=False)) for kind, row in parsed(content)]
-            except (zipfile.BadZipFile, ElementTree.ParseError, AttributeError, KeyError) as e:  # an unreadable file is a finding, not the job's end
+                rows = [(kind, path, sha, json.dumps(row, ensure_ascii=False)) for kind, row in parsed(content, kinds) if kinds is None or kind in kinds]
+            except Exception as e:  # whatever is odd about a file is a finding, not the job's end
                 rows = [("errors", path, sha, json.dumps({"message": f"{type(e).__name__}: {e}"}))]
             yield pd.DataFrame(rows, columns=["kind", "path", "sha256", "row"])
 
 
-def read_docx(spark: SparkSession, path: str, folder: str | None = None) -> dict[str, DataFrame]:
-    """Relations by name (see SCHEMAS), each with doc_id (a hash of the path), path and sha256.
+def unpacked(rows: DataFrame, kind: str) -> DataFrame:
+    """One relation of rows_of(), with doc_id (a hash of the path), path and sha256."""
+    of = rows.filter(F.col("kind") == kind).select(F.xxhash64("path").alias("doc_id"), "path", "sha256", F.from_json("row", SCHEMAS[kind]).alias("r"))
+    return of.select("doc_id", "path", "sha256", "r.*")
+
+
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the word-processor files below a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+
+
+def relations_of(files: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
+    """Relations by name (see SCHEMAS) of files(path, content), wherever their content comes from.
 
     Each file is parsed once: the rows are written to `folder` (by default one of the shared scratch folder), parted by
-    relation, and a relation reads its own part.
+    relation, and a relation reads its own part. A file that can't be read is a row of `errors`.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
-    folder = folder or scratch_folder(spark, "parsed")
-    files.mapInPandas(rows_of, RELATION).write.partitionBy("kind").parquet(folder)
-    all_ = spark.read.schema(RELATION).parquet(folder)
-    out = {}
-    for kind, schema in SCHEMAS.items():
-        rows = all_.filter(F.col("kind") == kind).select(F.xxhash64("path").alias("doc_id"), "path", "sha256", F.from_json("row", schema).alias("r"))
-        out[kind] = rows.select("doc_id", "path", "sha256", "r.*")
-    return out
+    folder = folder or scratch_folder(files.sparkSession, "parsed")
+    files.select("path", "content").mapInPandas(rows_of, RELATION).write.partitionBy("kind").parquet(folder)
+    all_ = files.sparkSession.read.schema(RELATION).parquet(folder)
+    return {kind: unpacked(all_, kind) for kind in SCHEMAS}
+
+
+def relation_of(files: DataFrame, kind: str) -> DataFrame:
+    """One relation of files(path, content), in one pass that looks at the parts which it needs alone and writes nothing."""
+    return unpacked(files.select("path", "content").mapInPandas(lambda it: rows_of(it, {kind}), RELATION), kind)
+
+
+def read_docx(spark: SparkSession, path: str, folder: str | None = None) -> dict[str, DataFrame]:
+    """relations_of() the word-processor files below a path."""
+    return relations_of(files_at(spark, path), folder)
 
 
 def proposal_text(blocks: DataFrame, cells: DataFrame) -> DataFrame:
