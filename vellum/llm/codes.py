@@ -29,14 +29,21 @@ SENT_LABELS = 100_000
 SLACK = 1e-6
 
 
-def whole(vectors: DataFrame) -> DataFrame:
+def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id, label and the whole components x of rows whose vector has only finite ones, none too large for its squared
     distances to fit a long."""
-    vector = F.col("embedding")
-    finite = vector.isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    known = vectors.filter(F.coalesce(finite, F.lit(False))).select("vec_id", "label", F.transform(vector, lambda v: F.floor(v.cast("double") * SCALE)).alias("x"))
-    most = F.floor(F.lit(float(1 << 30)) / F.sqrt(F.greatest(F.size("x"), F.lit(1))))
-    return known.filter(F.forall("x", lambda v: v.between(-most, most)))
+    for batch in batches:
+        column = batch.column("embedding")
+        length = column.value_lengths().fill_null(0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(length)))
+        values = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(float) * SCALE)
+        most = np.floor((1 << 30) / np.sqrt(np.maximum(length, 1)))
+        with np.errstate(invalid="ignore"):
+            bad = np.concatenate(([0], np.cumsum(~(np.abs(values) <= np.repeat(most, length)))))
+        fits = (bad[ends[1:]] == bad[ends[:-1]]) & column.is_valid().to_numpy(zero_copy_only=False)
+        x = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length[fits]))).astype(np.int32), pa.array(values[np.repeat(fits, length)].astype(np.int64)))
+        mask = pa.array(fits)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(mask), batch.column("label").filter(mask), x], ["vec_id", "label", "x"])
 
 
 def grouped(book: np.ndarray) -> np.ndarray:
@@ -221,22 +228,22 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     own. Other columns aren't read.
     """
     scratch = Scratch(vectors.sparkSession)
-    known = whole(vectors)
-    label = known.schema["label"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in ("vec_id", "label"))
+    known = vectors.select("vec_id", "label", "embedding").mapInArrow(wholes, kinds + ", x array<long>")
     order = [F.asc_nulls_last("vec_id"), F.asc("x")]
-    smallest = known.orderBy(*order).first()
-    size = len(smallest["x"]) if smallest else 0
-    known = known.filter(F.size("x") == size)
     chosen = [r["x"] for r in known.orderBy(*order).limit(entries).collect()]
+    size = len(chosen[0]) if chosen else 0
+    known = known.filter(F.size("x") == size)
+    if any(len(x) != size for x in chosen):
+        chosen = [r["x"] for r in known.orderBy(*order).limit(entries).collect()]
     books = numbers(pa.array(chosen, pa.list_(pa.int64())), parts).transpose(1, 0, 2)
     if not chosen:
         return known.select("vec_id", "label", F.lit(b"").alias("codes"), F.lit(0).cast("long").alias("error")), books
     groups = [grouped(b) for b in books]
-    kind = f"vec_id {known.schema['vec_id'].dataType.simpleString()}, label {label}, "
     state, old = known, None
     for k in range(rounds + 1):
         coder, last = Coder(books, groups, old), k == rounds
-        made = state.mapInArrow(lambda it, c=coder, e=last: lean(assigned(it, c, e)), kind + ("codes binary, error long" if last else "x array<long>, codes binary, low binary"))
+        made = state.mapInArrow(lambda it, c=coder, e=last: lean(assigned(it, c, e)), kinds + ", " + ("codes binary, error long" if last else "x array<long>, codes binary, low binary"))
         state = scratch.keep(made, f"round{k}")
         if k:
             scratch.drop(f"round{k - 1}")
