@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.issues import as_issues
+from vellum.operators.standards import source_of
 
 # Fixed patterns of the checks.
 TYPE_CODE = r"\[(M|J|D|C|N|R|S|P|A|Z|G|EB/OL|DB/OL|J/OL|M/CD|C/OL|N/OL)\]"
@@ -18,26 +19,26 @@ STYLES = ("superscript-bracket", "superscript", "bracket")
 def cite_position(cites: DataFrame, std: dict) -> DataFrame:
     if std.get("cite_position") != "before-punct":
         cites = cites.limit(0)
-    after = as_issues(cites.filter("position = 'after-punct'"), "cite-position", "after", "L2", "error", F.col("text"), F.col("para_index"), "before-punct", kind="run", action="cite.move_before_punct")
-    end = as_issues(cites.filter("position = 'end-of-paragraph'"), "cite-position", "paragraph-end", "L2", "warn", F.col("text"), F.col("para_index"), "before-punct", kind="run")
+    after = as_issues(cites.filter("position = 'after-punct'"), "cite-position", "after", "L2", "error", F.col("text"), F.col("para_index"), "before-punct", kind="run", action="cite.move_before_punct", source=source_of(std, "cite_position"))
+    end = as_issues(cites.filter("position = 'end-of-paragraph'"), "cite-position", "paragraph-end", "L2", "warn", F.col("text"), F.col("para_index"), "before-punct", kind="run", source=source_of(std, "cite_position"))
     return after.unionByName(end)
 
 
 def cite_form(cites: DataFrame, std: dict) -> DataFrame:
     """Superscript and brackets as the style wants them; sizes set by hand, unless allowed."""
-    style = std.get("cite_style")
+    style, source = std.get("cite_style"), source_of(std, "cite_style")
     if style not in STYLES:
-        return as_issues(cites.select("doc_id").distinct(), "cite-form", "unsupported", "L2", "info", F.lit(str(style)), kind="document")
+        return as_issues(cites.select("doc_id").distinct(), "cite-form", "unsupported", "L2", "info", F.lit(str(style)), kind="document", source=source)
     raised, square = style.startswith("superscript"), style.endswith("bracket")
     wrong = cites.filter(F.col("superscript") != F.lit(raised))
-    out = as_issues(wrong, "cite-form", "superscript" if raised else "no-superscript", "L2", "error", F.col("text"), F.col("para_index"), style, kind="run", action="cite.superscript", params=F.create_map(F.lit("on"), F.lit(str(raised).lower())))
+    out = as_issues(wrong, "cite-form", "superscript" if raised else "no-superscript", "L2", "error", F.col("text"), F.col("para_index"), style, kind="run", action="cite.superscript", params=F.create_map(F.lit("on"), F.lit(str(raised).lower())), source=source)
     if square:
         other = cites.filter("bracket <> 'square'")
         params = F.create_map(F.lit("text"), F.concat(F.lit("["), F.array_join(F.col("refs").cast("array<string>"), ","), F.lit("]")))
-        out = out.unionByName(as_issues(other, "cite-form", "bracket", "L2", "error", F.concat_ws(":", "text", "bracket"), F.col("para_index"), style, kind="run", action="cite.rewrite", params=params))
+        out = out.unionByName(as_issues(other, "cite-form", "bracket", "L2", "error", F.concat_ws(":", "text", "bracket"), F.col("para_index"), style, kind="run", action="cite.rewrite", params=params, source=source))
     if not std.get("cite_allow_explicit_size") and "size_pt" in cites.columns:
         sized = cites.filter("size_pt is not null")
-        out = out.unionByName(as_issues(sized, "cite-form", "explicit-size", "L2", "warn", F.col("size_pt"), F.col("para_index"), style, kind="run", action="run.clear_size"))
+        out = out.unionByName(as_issues(sized, "cite-form", "explicit-size", "L2", "warn", F.col("size_pt"), F.col("para_index"), style, kind="run", action="run.clear_size", source=source_of(std, "cite_allow_explicit_size", "cite_style")))
     return out
 
 
@@ -94,7 +95,7 @@ def cite_numbering(cites: DataFrame, entries: DataFrame, std: dict) -> DataFrame
         w = Window.partitionBy("doc_id").orderBy("first")
         steps = cited(cites).withColumn("before", F.lag("number").over(w)).filter("before > number").withColumn("k", F.row_number().over(w)).filter("k <= 8")
         wrong = steps.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "before", "number"))), lambda x: F.concat(x["before"].cast("string"), F.lit(">"), x["number"].cast("string"))), ",").alias("shown"))
-        out = out.unionByName(as_issues(wrong, "cite-numbering", "first-cite-order", "L2", "warn", F.col("shown"), kind="document"))
+        out = out.unionByName(as_issues(wrong, "cite-numbering", "first-cite-order", "L2", "warn", F.col("shown"), kind="document", source=source_of(std, "bib_system")))
     return out
 
 

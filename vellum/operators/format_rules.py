@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.issues import as_issues
+from vellum.operators.standards import source_of
 
 # Fixed values of the checks.
 PAGES = {"A4": (21.0, 29.7), "A3": (29.7, 42.0), "A5": (14.8, 21.0), "B5": (17.6, 25.0), "Letter": (21.59, 27.94), "16K": (18.4, 26.0)}
@@ -28,13 +29,13 @@ def page_setup(sections: DataFrame, std: dict) -> DataFrame:
     paper = PAGES.get(std.get("page_size"))
     off = lambda c, v: F.abs(F.col(c) - F.lit(v)) > TOLERANCE_CM
     wrong = sections.filter(off("width_cm", paper[0]) | off("height_cm", paper[1])) if paper else sections.limit(0)
-    out = as_issues(wrong, "page-setup", "size", "L1", "error", F.concat_ws("x", "width_cm", "height_cm"), F.col("section_index"), std.get("page_size"), kind="section")
+    out = as_issues(wrong, "page-setup", "size", "L1", "error", F.concat_ws("x", "width_cm", "height_cm"), F.col("section_index"), std.get("page_size"), kind="section", source=source_of(std, "page_size"))
     margins = std.get("page_margins_cm")
     if not margins:
         return out
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_cm").alias("is"), F.lit(float(v)).alias("want")) for side, v in zip(("top", "right", "bottom", "left"), margins, strict=True)]))
     each = sections.select("doc_id", "section_index", sides.alias("m")).filter(F.abs(F.col("m.is") - F.col("m.want")) > TOLERANCE_CM)
-    return out.unionByName(as_issues(each, "page-setup", "margin", "L1", "error", F.concat_ws(":", "m.side", "m.is"), F.col("section_index"), F.col("m.want").cast("string"), kind="section"))
+    return out.unionByName(as_issues(each, "page-setup", "margin", "L1", "error", F.concat_ws(":", "m.side", "m.is"), F.col("section_index"), F.col("m.want").cast("string"), kind="section", source=source_of(std, "page_margins_cm")))
 
 
 def page_format(fmt: Column) -> Column:
@@ -53,7 +54,7 @@ def page_numbering(sections: DataFrame, std: dict) -> DataFrame:
     fmt = page_format(F.col("page_fmt"))
     scheme = std.get("page_numbering_scheme")
     if scheme is not None:
-        return out.unionByName(as_issues(sections.filter("has_pgnumtype").filter(fmt != scheme), "page-numbering", "format", "L1", "error", fmt, index, scheme, kind="section"))
+        return out.unionByName(as_issues(sections.filter("has_pgnumtype").filter(fmt != scheme), "page-numbering", "format", "L1", "error", fmt, index, scheme, kind="section", source=source_of(std, "page_numbering_scheme")))
     w = Window.partitionBy("doc_id")
     several = sections.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("any", F.max("has_pgnumtype").over(w)).filter("n > 1")
     arabic = F.coalesce(F.col("is_front") & F.col("has_pgnumtype") & (fmt == "arabic"), F.lit(False))
@@ -69,13 +70,13 @@ def header(sections: DataFrame, std: dict) -> DataFrame:
     judged = headed.filter("header_has_rule is not null")
     wrong = judged.filter(F.col("header_has_rule") != F.lit(bool(rule))) if rule is not None else judged.limit(0)
     action = "para.border" if rule else None
-    out = as_issues(wrong, "header", "line", "L1", "warn", F.col("header_has_rule"), index, str(rule).lower(), kind="section", action=action, params=F.create_map(F.lit("part"), F.lit("header")))
+    out = as_issues(wrong, "header", "line", "L1", "warn", F.col("header_has_rule"), index, str(rule).lower(), kind="section", action=action, params=F.create_map(F.lit("part"), F.lit("header")), source=source_of(std, "header_rule"))
     mixed = sections.groupBy("doc_id").agg(F.bool_or(F.coalesce("header_has_rule", F.lit(False))).alias("some"), F.bool_and(F.coalesce("header_has_rule", F.lit(False))).alias("all")).filter("some and not all")
     out = out.unionByName(as_issues(mixed, "header", "line-mixed", "L1", "warn", F.lit("mixed"), kind="document"))
     want = std.get("header_content")
     if want is not None:
         other = headed.filter(T.norm("header_text") != T.norm(F.lit(want)))
-        out = out.unionByName(as_issues(other, "header", "text", "L1", "warn", F.col("header_text"), index, want, kind="section"))
+        out = out.unionByName(as_issues(other, "header", "text", "L1", "warn", F.col("header_text"), index, want, kind="section", source=source_of(std, "header_content")))
     texts = headed.groupBy("doc_id").agg(F.countDistinct(T.norm("header_text")).alias("n")).filter("n > 1")
     return out.unionByName(as_issues(texts, "header", "text-mixed", "L1", "warn", F.col("n"), kind="document"))
 
@@ -101,7 +102,7 @@ def fonts(paras: DataFrame, std: dict) -> DataFrame:
     if want is None:
         return out
     off = body.filter(F.abs(F.col("size_pt") - F.lit(float(want))) > TOLERANCE_PT)
-    return out.unionByName(as_issues(off, "fonts", "standard", "L1", "warn", F.col("size_pt"), F.col("para_index"), str(want)))
+    return out.unionByName(as_issues(off, "fonts", "standard", "L1", "warn", F.col("size_pt"), F.col("para_index"), str(want), source=source_of(std, "body_size_pt")))
 
 
 def style_compliance(paras: DataFrame, runs: DataFrame, declared: DataFrame | None) -> DataFrame:

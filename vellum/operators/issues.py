@@ -14,7 +14,7 @@ COLUMNS = ("issue_key", "id", "doc_id", "rule", "sub_check", "layer", "skill", "
 SKILL_OF = {"L1": "format-audit", "L2": "cite-doctor", "L3": "text-style", "L4": "structure-length", "L4·26": "proposal-consistency"}
 
 
-def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str | Column = "paragraph", suppressible: bool = True, action: str | None = None, params: Column | None = None, source: str = "default") -> DataFrame:
+def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str | Column = "paragraph", suppressible: bool = True, action: str | None = None, params: Column | None = None, source: str | Column = "default") -> DataFrame:
     """found as issues. Each row of found is one finding; it needs doc_id, and what the given columns refer to."""
     lit = lambda v, t="string": v if isinstance(v, Column) else F.lit(v).cast(t)
     where = (index if index is not None else F.lit(None)).cast("int")
@@ -33,19 +33,19 @@ def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severi
         F.substring(lit(text), 1, 46).alias("excerpt"),
         lit(expected).alias("expected"),
         said.alias("actual"),
-        F.lit(source).alias("standard_source"),
+        lit(source).alias("standard_source"),
         F.lit(suppressible).alias("suppressible"),
         lit(action).alias("action"),
         (params if params is not None else F.create_map()).cast("map<string,string>").alias("params"),
     )
 
 
-FINDING = "rule string, sub string, severity string, expected string, actual string"
+FINDING = "rule string, sub string, severity string, expected string, actual string, source string"
 
 
-def finding(rule: str, sub: str, severity: str, actual: Column, expected: str | None = None) -> Column:
+def finding(rule: str, sub: str, severity: str, actual: Column, expected: str | None = None, source: str = "default") -> Column:
     """One finding about a row, as a struct of FINDING."""
-    return F.struct(F.lit(rule).alias("rule"), F.lit(sub).alias("sub"), F.lit(severity).alias("severity"), F.lit(expected).cast("string").alias("expected"), actual.cast("string").alias("actual"))
+    return F.struct(F.lit(rule).alias("rule"), F.lit(sub).alias("sub"), F.lit(severity).alias("severity"), F.lit(expected).cast("string").alias("expected"), actual.cast("string").alias("actual"), F.lit(source).alias("source"))
 
 
 def of_findings(rows: DataFrame, findings: list[tuple[Column, Column]], layer: str) -> DataFrame:
@@ -58,7 +58,7 @@ def of_findings(rows: DataFrame, findings: list[tuple[Column, Column]], layer: s
         F.format_string("%s-%04d", F.col("f.rule"), T.hex_mod(F.sha1(F.concat_ws("|", F.col("f.rule"), doc, F.col("f.sub"), where.cast("string"), F.col("f.actual")).cast("binary")), 10000)).alias("id"),
         "doc_id", F.col("f.rule").alias("rule"), F.col("f.sub").alias("sub_check"), F.lit(layer).alias("layer"), F.lit(SKILL_OF[layer]).alias("skill"), F.col("f.severity").alias("severity"),
         F.lit("paragraph").alias("loc_kind"), where.alias("loc_index"), F.substring("text", 1, 46).alias("excerpt"), F.col("f.expected").alias("expected"), F.col("f.actual").alias("actual"),
-        F.lit("default").alias("standard_source"), F.lit(True).alias("suppressible"), F.lit(None).cast("string").alias("action"), F.create_map().cast("map<string,string>").alias("params"),
+        F.col("f.source").alias("standard_source"), F.lit(True).alias("suppressible"), F.lit(None).cast("string").alias("action"), F.create_map().cast("map<string,string>").alias("params"),
     )
 
 

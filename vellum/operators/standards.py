@@ -72,17 +72,24 @@ def defaults() -> dict:
     return {key: json.loads(default) if default is not None else None for key, default, _ in STANDARDS}
 
 
+def source_of(std: dict, *keys: str) -> str:
+    """Which tier set a standard, of several the first that isn't the default; what for_job() didn't make is the default."""
+    found = [std.get("sources", {}).get(k) or "default" for k in keys]
+    return next((x for x in found if x != "default"), "default")
+
+
 def for_job(template: str | None = None, config: str | None = None) -> dict:
-    """The standards of one job as a dict, from the JSON texts of its template and configuration."""
+    """The standards of one job as a dict, from the JSON texts of its template and configuration; `sources` has each one's tier."""
     def dig(text: str | None, path: str):
         node = json.loads(text) if text else None
         for part in path.split("."):
             node = node.get(part) if isinstance(node, dict) else None
         return None if node in ("", [], {}) and node is not False and node != 0 else node
 
-    out = {}
+    out: dict = {"sources": {}}
     for key, default, path in STANDARDS:
-        found = next((v for v in (dig(config, path), dig(template, path)) if v is not None), None)
+        found, tier = next(((v, tier) for v, tier in ((dig(config, path), "config"), (dig(template, path), "template")) if v is not None), (None, "default"))
+        out["sources"][key] = tier if found is not None or default is not None else None
         if path.endswith("size_ratio") and found is not None:
             found = True
         out[key] = found if found is not None else json.loads(default) if default is not None else None

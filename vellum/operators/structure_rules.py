@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators.derive import FIGURE_REF
 from vellum.operators.issues import as_issues
+from vellum.operators.standards import source_of
 
 
 def dotted(num: str = "num"):
@@ -59,7 +60,7 @@ def figure_table(blocks: DataFrame, caps: DataFrame, std: dict) -> DataFrame:
     want = std.get("caption_table_position")
     placed = nearest_caption(blocks, caps).filter(F.lit(False) if want is None else F.col("position") != want)
     label = F.concat(F.col("type"), F.col("ch").cast("string"), F.lit("-"), F.col("seq").cast("string"))
-    out = as_issues(placed, "figure-table", "position", "L4", "warn", F.concat(F.col("ch").cast("string"), F.lit("-"), F.col("seq").cast("string"), F.lit(" "), F.col("position")), F.col("t_ord"), want, kind="table")
+    out = as_issues(placed, "figure-table", "position", "L4", "warn", F.concat(F.col("ch").cast("string"), F.lit("-"), F.col("seq").cast("string"), F.lit(" "), F.col("position")), F.col("t_ord"), want, kind="table", source=source_of(std, "caption_table_position"))
     missing = gaps(caps, ["doc_id", "type", "ch"], "seq").withColumn("seq", F.col("missing"))
     out = out.unionByName(as_issues(missing, "figure-table", "gap", "L4", "error", label, kind="document"))
     out = out.unionByName(as_issues(repeats(caps, ["doc_id", "type", "ch", "seq"]), "figure-table", "repeat", "L4", "error", label, kind="document"))
@@ -95,8 +96,9 @@ def abstract_layout(blocks: DataFrame, std: dict) -> DataFrame:
     words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x.rlike("[A-Za-z]")))
     sizes = parts.filter("part <> 'kw'").groupBy("doc_id", "part").agg(F.sum(F.when(F.col("part") == "cn", T.han_count("text")).otherwise(words)).alias("n"))
     limit = F.when(F.col("part") == "cn", F.lit(std.get("abstract_cn_max_chars"))).otherwise(F.lit(std.get("abstract_en_max_words")))
+    limit_source = F.when(F.col("part") == "cn", source_of(std, "abstract_cn_max_chars")).otherwise(source_of(std, "abstract_en_max_words"))
     judged = sizes.withColumn("limit", limit.cast("int")).filter("limit is not null")
-    out = as_issues(judged, "abstract-layout", "length", "L4", F.when(F.col("n") > F.col("limit"), "error").otherwise("info"), F.concat_ws(":", "part", "n"), kind="document", expected=F.col("limit").cast("string"))
+    out = as_issues(judged, "abstract-layout", "length", "L4", F.when(F.col("n") > F.col("limit"), "error").otherwise("info"), F.concat_ws(":", "part", "n"), kind="document", expected=F.col("limit").cast("string"), source=limit_source)
     keys = parts.filter("part = 'kw'").withColumn("marks", F.array_distinct(F.regexp_extract_all("text", F.lit("([；;，,])"), F.lit(1)))).withColumn("words", T.keywords("text"))
     out = out.unionByName(as_issues(keys, "abstract-layout", "keywords", "L4", F.when(F.size("marks") > 1, "warn").otherwise("info"), F.concat(F.size("words").cast("string"), F.lit(":"), F.array_join("marks", "")), F.col("para_index")))
     heads = blocks.filter("kind = 'p'").groupBy("doc_id").agg(F.bool_or(F.col("style_name").isin("摘要标题", "英文摘要标题")).alias("has"), F.bool_or(T.strip("text").startswith("关键词")).alias("kw")).filter("has and not kw")
@@ -130,4 +132,4 @@ def length(blocks: DataFrame, std: dict) -> DataFrame:
     least = std.get("body_min_chars")
     if least is None:
         return out
-    return out.unionByName(as_issues(whole.filter(F.col("han") < least), "length", "short", "L4", "warn", F.col("han"), kind="document", expected=str(least)))
+    return out.unionByName(as_issues(whole.filter(F.col("han") < least), "length", "short", "L4", "warn", F.col("han"), kind="document", expected=str(least), source=source_of(std, "body_min_chars")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.issues import as_issues, finding, of_findings
+from vellum.operators.standards import source_of
 
 # Fixed values of the checks.
 CURVED, EM_DASH = "[“”‘’]", "—"
@@ -28,9 +29,9 @@ def labelled(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
 
 
-def curved() -> tuple[Column, Column]:
+def curved(source: str = "default") -> tuple[Column, Column]:
     n, at = F.regexp_count("text", F.lit(CURVED)), F.regexp_instr("text", F.lit(CURVED)) - 1
-    return F.col("text").rlike(CURVED), finding("quote-style", "curved", "warn", F.concat(n.cast("string"), F.lit("@"), at.cast("string")), "straight")
+    return F.col("text").rlike(CURVED), finding("quote-style", "curved", "warn", F.concat(n.cast("string"), F.lit("@"), at.cast("string")), "straight", source)
 
 
 PUNCTUATION = {"repeated": REPEATED, "crossed": CROSSED, "half-width": HALF_BETWEEN, "dots": DOTS, "stops": STOPS}
@@ -72,7 +73,7 @@ def widths() -> tuple[Column, Column]:
 
 #: Rules about one paragraph: a condition and a finding each, from the standards.
 ROW_RULES = {
-    "quote-style": lambda std: curved() if std.get("quote_style") == "straight" else None,
+    "quote-style": lambda std: curved(source_of(std, "quote_style")) if std.get("quote_style") == "straight" else None,
     "punctuation": lambda std: marks(std.get("profile", "cjk")),
     "process-trace": lambda std: traces(),
     "cjk-spacing": lambda std: spacing(),
@@ -111,7 +112,7 @@ def dash_density(body: DataFrame, std: dict, profile: str = "cjk") -> DataFrame:
     paras = F.transform(F.filter("rows", lambda x: x["d"] >= 3), lambda x: F.struct(F.lit("paragraph").alias("sub"), F.lit("info").alias("severity"), F.lit("paragraph").alias("kind"), x["para_index"].cast("int").alias("i"), x["text"].alias("text"), x["d"].cast("string").alias("actual"), F.lit(None).cast("string").alias("expected")))
     whole = F.struct(F.lit("document").alias("sub"), F.lit("warn").alias("severity"), F.lit("document").alias("kind"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("text"), F.concat_ws(":", "d", "c", top).alias("actual"), F.lit(str(limit)).alias("expected"))
     found = doc.select("doc_id", F.explode(F.concat(paras, F.when(over, F.array(whole)).otherwise(F.array().cast("array<struct<sub:string,severity:string,kind:string,i:int,text:string,actual:string,expected:string>>")))).alias("f")).select("doc_id", "f.*")
-    return as_issues(found, "dash-density", F.col("sub"), "L3", F.col("severity"), F.col("actual"), F.col("i"), F.col("expected"), F.col("text"), kind=F.col("kind"))
+    return as_issues(found, "dash-density", F.col("sub"), "L3", F.col("severity"), F.col("actual"), F.col("i"), F.col("expected"), F.col("text"), kind=F.col("kind"), source=F.when(F.col("kind") == "document", source_of(std, "dash_per_1000_max")).otherwise("default"))
 
 
 def heading_style(heads: DataFrame, std: dict) -> DataFrame:
@@ -121,14 +122,14 @@ def heading_style(heads: DataFrame, std: dict) -> DataFrame:
     if std.get("heading_max_chars") is not None:
         checks = {"long": F.length(t) > std["heading_max_chars"]} | checks
     each = heads.withColumn("labels", labelled(checks)).filter(F.size("labels") > 0)
-    out = as_issues(each, "heading-style", "each", "L3", "warn", F.array_join("labels", ","), F.col("para_index"), None, t)
+    out = as_issues(each, "heading-style", "each", "L3", "warn", F.array_join("labels", ","), F.col("para_index"), None, t, source=F.when(F.array_contains("labels", "long"), source_of(std, "heading_max_chars")).otherwise("default"))
     most = std.get("max_h3_per_h2")
     if most is None:
         return out
     w = Window.partitionBy("doc_id").orderBy("para_index").rowsBetween(Window.unboundedPreceding, 0)
     under = heads.withColumn("h2", F.last(F.when(F.col("style_level") == 2, F.col("para_index")), ignorenulls=True).over(w))
     many = under.filter("style_level = 3 and h2 is not null").groupBy("doc_id", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    return out.unionByName(as_issues(many, "heading-style", "h3-per-h2", "L3", "warn", F.col("n"), F.col("h2"), str(most)))
+    return out.unionByName(as_issues(many, "heading-style", "h3-per-h2", "L3", "warn", F.col("n"), F.col("h2"), str(most), source=source_of(std, "max_h3_per_h2")))
 
 
 def process_trace(body: DataFrame, std: dict) -> DataFrame:

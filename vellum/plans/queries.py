@@ -10,6 +10,7 @@ from vellum.operators import cite_rules as C
 from vellum.operators import derive as D
 from vellum.operators import issues as I
 from vellum.operators import proposal_rules as P
+from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
 from vellum.operators import text_rules as X
 from vellum.plans import fixtures as L
@@ -83,6 +84,17 @@ def dash_density(spark, sf):
     return brief(X.dash_density(injected(spark, sf), STD, "latin"))
 
 
+@query(f"""WITH {BI}, c AS (SELECT doc_id, {_COUNT.format('—')} AS d, length(regexp_replace(text, '[^\\pL]', '', 'g')) AS c FROM bl), s AS (SELECT doc_id, sum(d) AS d, sum(c) AS c FROM c GROUP BY doc_id),
+ i AS (SELECT 'quote-style' AS rule, 'warn' AS severity, 'template' AS source FROM bl WHERE regexp_matches(text, '[“”‘’]') UNION ALL SELECT 'dash-density', 'info', 'default' FROM c WHERE d >= 3 UNION ALL SELECT 'dash-density', 'warn', 'config' FROM s WHERE c > 0 AND d * 1000 > 9.5 * c UNION ALL SELECT rule, severity, 'default' FROM ({_PUNCT}))
+ SELECT 'severity' AS dimension, severity AS value, count(*)::BIGINT AS n FROM i GROUP BY severity UNION ALL SELECT 'skill', CASE WHEN rule IN ('quote-style', 'dash-density', 'punctuation') THEN 'text-style' END AS skill, count(*)::BIGINT FROM i GROUP BY skill
+ UNION ALL SELECT 'source', source, count(*)::BIGINT FROM i GROUP BY source UNION ALL SELECT 'all', '', count(*)::BIGINT FROM i""")
+def tallies_of_three_tiers(spark, sf):
+    """Findings by the tier that set their standard: a template's quotes, a configuration's dashes, the rest by default."""
+    std = S.for_job('{"text": {"quote_style": "straight", "dash_per_1000_max": 4}}', '{"text": {"dash_per_1000_max": 9.5}}')
+    body = injected(spark, sf)
+    return I.tallies(I.merged([X.quote_style(body, std), X.dash_density(body, std, "latin"), X.punctuation(body, std)]))
+
+
 _TRACE = ", ".join(f"{{'at': strpos(text, '{t}'), 'token': '{t}'}}" for t in X.TRACES)
 
 
@@ -183,4 +195,4 @@ def fingerprints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.fingerprint("text").alias("fp"), T.issue_id(F.lit("doc"), F.col("doc_id").cast("string")).alias("id"))
 
 
-from vellum.plans import document_queries  # noqa: E402, F401  registers its queries
+from vellum.plans import document_queries, file_queries  # noqa: E402, F401  register their queries

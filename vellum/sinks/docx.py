@@ -21,7 +21,8 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 TAKEN = {
     "para": ("para_index", "style_name", "border"), "run": ("para_index", "run_ord", "text", "superscript", "anchor", "link_kind", "size_pt", "font_ea", "font_ascii", "bold"), "bookmark": ("para_index", "name"),
     "style": ("style_id", "name", "based_on", "link", "next", "is_default", "size_pt", "font_ea", "font_ascii", "bold", "align", "space_before_pt", "space_after_pt", "line_spacing", "first_line_indent_chars", "outline_level"),
-    "section": ("section_index", "last_para", "page_fmt", "page_start", "has_pgnumtype", "header_text", "width_cm", "height_cm", "top_cm", "right_cm", "bottom_cm", "left_cm"),
+    "cell": ("after_para", "row", "col", "text"),
+    "section": ("section_index", "last_para", "page_fmt", "page_start", "has_pgnumtype", "has_page_field", "header_text", "header_has_rule", "width_cm", "height_cm", "top_cm", "right_cm", "bottom_cm", "left_cm"),
 }
 
 
@@ -74,10 +75,12 @@ def styles_xml(styles: list[dict]) -> bytes:
     return E.tostring(root, "utf-8", xml_declaration=True)
 
 
-def section_xml(parent, s: dict, header: str | None) -> None:
+def section_xml(parent, s: dict, links: dict[str, str]) -> None:
+    """links: ids of the section's header and footer parts, by kind."""
     node = add(parent, "sectPr")
-    if header:
-        E.SubElement(node, f"{W}headerReference", {f"{W}type": "default", f"{R}id": header})
+    for kind in ("header", "footer"):
+        if kind in links:
+            E.SubElement(node, f"{W}{kind}Reference", {f"{W}type": "default", f"{R}id": links[kind]})
     if s.get("width_cm"):
         add(node, "pgSz", w=whole(s["width_cm"], 567), h=whole(s.get("height_cm"), 567))
     if any(s.get(f"{side}_cm") is not None for side in ("top", "right", "bottom", "left")):
@@ -113,12 +116,33 @@ def linked_run(parent, row: dict) -> None:
         run_xml(add(parent, "hyperlink", anchor=row["anchor"]), row)
 
 
-def document_xml(rows: dict[str, list[dict]], headers: dict[int, str]) -> bytes:
+def table_xml(parent, cells: list[dict]) -> None:
+    """A table of text cells; a cell's lines are paragraphs of it."""
+    node = add(parent, "tbl")
+    add(node, "tblPr")
+    by_row: dict[int, list[dict]] = {}
+    for c in sorted(cells, key=lambda c: (c["row"], c["col"])):
+        by_row.setdefault(c["row"], []).append(c)
+    for of in by_row.values():
+        row = add(node, "tr")
+        for c in of:
+            cell = add(row, "tc")
+            for line in (c.get("text") or "").split("\n"):
+                run_xml(add(cell, "p"), {"text": line})
+
+
+def grouped(rows: list[dict], key: str = "para_index") -> dict[int, list[dict]]:
+    out: dict[int, list[dict]] = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def document_xml(rows: dict[str, list[dict]], links: dict[int, dict[str, str]]) -> bytes:
     root = E.Element(f"{W}document")
     body = add(root, "body")
     ids = {s["name"]: s["style_id"] for s in rows["style"]}
-    by = lambda kind: {i: [r for r in rows[kind] if r["para_index"] == i] for i in {r["para_index"] for r in rows[kind]}}
-    paras, runs, marks = by("para"), by("run"), by("bookmark")
+    paras, runs, marks, tables = grouped(rows["para"]), grouped(rows["run"]), grouped(rows["bookmark"]), grouped(rows["cell"], "after_para")
     sections = sorted(rows["section"], key=lambda s: s["section_index"])
     last = {s["last_para"]: s for s in sections[:-1] if s.get("last_para") is not None}
     number = 0
@@ -133,7 +157,7 @@ def document_xml(rows: dict[str, list[dict]], headers: dict[int, str]) -> bytes:
                 name, _, kind = edge.partition("=")
                 add(edges, name, val=kind.partition(",")[0], sz=kind.partition(",")[2], space="1", color="auto")
         if i in last:
-            section_xml(p, last[i], headers.get(last[i]["section_index"]))
+            section_xml(p, last[i], links.get(last[i]["section_index"], {}))
         if len(p):
             node.append(p)
         for m in marks.get(i, ()):
@@ -142,8 +166,10 @@ def document_xml(rows: dict[str, list[dict]], headers: dict[int, str]) -> bytes:
             number += 1
         for r in sorted(runs.get(i, ()), key=lambda r: r["run_ord"]):
             linked_run(node, r)
+        if i in tables:
+            table_xml(body, tables[i])
     if sections:
-        section_xml(body, sections[-1], headers.get(sections[-1]["section_index"]))
+        section_xml(body, sections[-1], links.get(sections[-1]["section_index"], {}))
     return E.tostring(root, "utf-8", xml_declaration=True)
 
 
@@ -151,20 +177,30 @@ def file_of(rows: dict[str, list[dict]]) -> bytes:
     """The file of one document's rows by kind. The same rows give the same bytes."""
     E.register_namespace("w", NS)
     E.register_namespace("r", REL)
-    heads = {s["section_index"]: s["header_text"] for s in rows["section"] if s.get("header_text")}
-    rid = {i: f"rIdH{i}" for i in heads}
+    heads = {s["section_index"]: s for s in rows["section"] if s.get("header_text") or s.get("header_has_rule") is not None}
+    feet = [s["section_index"] for s in rows["section"] if s.get("has_page_field")]
+    rid = {s["section_index"]: {kind: f"rId{kind[0].upper()}{s['section_index']}" for kind, of in (("header", heads), ("footer", feet)) if s["section_index"] in of} for s in rows["section"]}
     parts = {"word/document.xml": document_xml(rows, rid), "word/styles.xml": styles_xml(sorted(rows["style"], key=lambda s: s["style_id"]))}
-    for i, text in sorted(heads.items()):
+    for i, s in sorted(heads.items()):
         root = E.Element(f"{W}hdr")
-        run_xml(add(root, "p"), {"text": text})
+        node = add(root, "p")
+        if s.get("header_has_rule"):
+            add(add(add(node, "pPr"), "pBdr"), "bottom", val="single", sz=6, space="1", color="auto")
+        run_xml(node, {"text": s["header_text"]})
         parts[f"word/header{i}.xml"] = E.tostring(root, "utf-8", xml_declaration=True)
+    for i in feet:
+        root = E.Element(f"{W}ftr")
+        node = add(root, "p")
+        for kind in ("begin", "code", "separate", "end"):
+            add(add(node, "r"), "instrText", " PAGE ") if kind == "code" else add(add(node, "r"), "fldChar", fldCharType=kind)
+        parts[f"word/footer{i}.xml"] = E.tostring(root, "utf-8", xml_declaration=True)
     office = "application/vnd.openxmlformats-officedocument.wordprocessingml"
-    kinds = {"word/document.xml": "document.main", "word/styles.xml": "styles"} | {f"word/header{i}.xml": "header" for i in heads}
+    kinds = {"word/document.xml": "document.main", "word/styles.xml": "styles"} | {f"word/header{i}.xml": "header" for i in heads} | {f"word/footer{i}.xml": "footer" for i in feet}
     types = "".join(f'<Override PartName="/{name}" ContentType="{office}.{kind}+xml"/>' for name, kind in kinds.items())
     parts["[Content_Types].xml"] = f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>'.encode()
     links = lambda *of: ('<?xml version="1.0" encoding="UTF-8"?>' + f'<Relationships xmlns="{PACKAGE}/relationships">' + "".join(f'<Relationship Id="{i}" Type="{REL}/{t}" Target="{target}"/>' for i, t, target in of) + "</Relationships>").encode()
     parts["_rels/.rels"] = links(("rId1", "officeDocument", "word/document.xml"))
-    parts["word/_rels/document.xml.rels"] = links(("rId1", "styles", "styles.xml"), *((rid[i], "header", f"header{i}.xml") for i in sorted(heads)))
+    parts["word/_rels/document.xml.rels"] = links(("rId1", "styles", "styles.xml"), *((rid[i]["header"], "header", f"header{i}.xml") for i in sorted(heads)), *((rid[i]["footer"], "footer", f"footer{i}.xml") for i in feet))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name in sorted(parts):
@@ -177,11 +213,12 @@ def tagged(kind: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(kind).alias("kind"), F.to_json(F.struct(*there)).alias("row"))
 
 
-def as_files(paragraphs: DataFrame, runs: DataFrame, styles: DataFrame, sections: DataFrame | None = None, bookmarks: DataFrame | None = None) -> DataFrame:
+def as_files(paragraphs: DataFrame, runs: DataFrame, styles: DataFrame, sections: DataFrame | None = None, bookmarks: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(doc_id, content): each document's file, from paragraphs(doc_id, para_index, style_name, border) and the like.
 
     A document's rows meet in one task, as its file is one value. sections(.., last_para) name the paragraph that ends each but
-    the last of them. Text, character formats, links, bookmarks, styles and pages are written; what no relation holds isn't.
+    the last of them; cells(.., after_para, row, col, text) make a table behind that paragraph. Text, character formats, links,
+    bookmarks, styles, tables and pages are written; what no relation holds isn't.
     """
     import json
 
@@ -190,6 +227,8 @@ def as_files(paragraphs: DataFrame, runs: DataFrame, styles: DataFrame, sections
         rows = rows.union(tagged("section", sections))
     if bookmarks is not None:
         rows = rows.union(tagged("bookmark", bookmarks))
+    if cells is not None:
+        rows = rows.union(tagged("cell", cells))
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         of: dict[str, list[dict]] = {kind: [] for kind in TAKEN}
