@@ -4,7 +4,8 @@ The cost of a piece of n tokens is estimated as linear * n + quadratic * n * n,
 a segment and all else with its length. Whole runs of `capacity` tokens make sequences of their own. The rests are
 gathered in groups of bounded size; in a group, pieces go in descending order to the sequence of lowest cost that can
 still hold them. What fits nowhere whole is cut to fill the room that is left, so that a group pads fewer than
-`capacity` tokens in all. Groups are formed where the documents are read, so that nothing is shuffled.
+`capacity` tokens in all. Groups are formed where the documents are read, so that nothing is shuffled, unless there are
+fewer partitions than cores.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from vellum.llm.common import lean, small_batches
 
 #: Documents that are packed together at most. A group holds one rest of less than `capacity` tokens of each.
 GROUP_DOCS = 4096
+#: Bytes of text that a task gets at least, where there are so many: then the padding of its last group is under half a percent.
+TASK_BYTES = 2 << 20
 END_ID = 1
 SPECIAL = "<|endoftext|>"
 PIECE = "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -124,6 +127,15 @@ def packed(batches: Iterator[pd.DataFrame], paths: tuple[str, str, str], capacit
         yield pd.DataFrame(rows, columns=names)
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs in as many tasks as their bytes allow: partitions are joined without a shuffle, or dealt out anew if cores would idle."""
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
+    most, there, cores = max(1, size // TASK_BYTES), docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    if there < min(most, cores):
+        return docs.repartition(min(most, cores))
+    return docs.coalesce(min(most, there))
+
+
 def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 6144, group_docs: int = GROUP_DOCS, paths: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of docs(doc_id, text).
 
@@ -131,12 +143,11 @@ def pack(docs: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic:
     null doc_id stays null; an empty table gives no pieces. Only doc_id and text are read, so other columns can't clash.
     ids holds the token ids as little-endian unsigned 16-bit values. A very long text is encoded whole and cut into runs. Of
     pieces of equal size the one read first goes first, and of sequences of equal cost the first takes it. A group has at most
-    group_docs documents of one task, whichever source they are of; small tasks are joined, so that few groups stay small.
+    group_docs documents of one task, whichever source they are of.
     """
     small_batches(docs.sparkSession)
     paths = paths or vocabulary()
-    groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").coalesce(groups)
+    texts = dealt(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     # ids pass through pandas as strings, where a null would turn whole numbers into floating ones
     pieces = texts.mapInPandas(lambda it: lean(packed(it, paths, capacity, linear, quadratic, group_docs)), PIECE)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
