@@ -126,11 +126,12 @@ def test_guarded_apply(spark, relations):
     assert [(r.stamp, r.dup_no) for r in R.listed(kept).collect()] == [("s1-pre-restore", 0), ("s1", 0)]
 
 
-def test_saving_replaces_whole(spark, relations, tmp_path):
-    parts = R.parts_of(relations[1])
-    R.save(parts, f"{tmp_path}/state")
-    R.save(parts.filter("doc_id = 1"), f"{tmp_path}/state")
-    assert spark.read.parquet(f"{tmp_path}/state").count() == 5 and spark.read.parquet(f"{tmp_path}/state.old").count() == 6
+def test_files_are_written_by_executors(spark, tmp_path):
+    files = spark.range(20).select(F.format_string("f%d.bin", "id").alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content")).repartition(3)
+    for _ in range(2):
+        assert X.write_files(files, f"{tmp_path}/deep/er") == 20
+    assert {p.name: p.read_bytes() for p in (tmp_path / "deep" / "er").iterdir() if p.suffix == ".bin"} == {f"f{k}.bin": str(k).encode() for k in range(20)}
+    assert not list((tmp_path / "deep" / "er").glob(".*.part")) and X.write_files(files.limit(0), f"{tmp_path}/none") == 0
 
 
 ISSUES = [(1, "i1", "cite-form", "error", 5, "cite.superscript", {"on": "true"}), (1, "i2", "toc", "warn", None, None, {}), (2, 'odd "key"', "dash", "info", 3, "para.delete", {})]

@@ -462,13 +462,14 @@ class Applied:
 LEDGER = "doc_id long, issue_key string, action string, result_sha string"
 
 
-def apply(parts: DataFrame, items: DataFrame, headers: DataFrame, stamp: str, ledger: DataFrame | None = None, snapshots: DataFrame | None = None, dry_run: bool = False, strict: bool = True, keep: int = KEEP, settle=durable) -> Applied:
+def apply(parts: DataFrame, items: DataFrame, headers: DataFrame, stamp: str, ledger: DataFrame | None = None, snapshots: DataFrame | None = None, dry_run: bool = False, strict: bool = True, keep: int = KEEP, settle=durable, edit=edited) -> Applied:
     """Guarded edits: the one way by which documents change.
 
     parts: PARTS; items: a plan's, with params; headers(doc_id, sha256): the documents that the plan was made for. A plan that
     the guard refuses changes nothing, nor does an item that the ledger has for the document as it is. Documents that change
     are kept as they were among the snapshots, under `stamp`. A dry run returns the journal and changes nothing. `settle`
-    makes intermediate results durable; they are used more than once.
+    makes intermediate results durable; they are used more than once. `edit` makes PARTS with the journal of parts and items:
+    the fold, or what edits files and parses them.
     """
     spark = parts.sparkSession
     ledger = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
@@ -482,7 +483,7 @@ def apply(parts: DataFrame, items: DataFrame, headers: DataFrame, stamp: str, le
     todo = settle(pending(free, ledger).drop("sha256"))
     noted = free.join(todo.select("doc_id", "issue_key"), ["doc_id", "issue_key"], "left_anti").select("doc_id", F.lit(0).alias("step"), "issue_key", "action", F.lit("skipped: in ledger").alias("status"))
     touched = todo.select("doc_id").distinct()
-    out = settle(edited(parts.join(touched, "doc_id", "left_semi"), todo))
+    out = settle(edit(parts.join(touched, "doc_id", "left_semi"), todo))
     journal = of_kind(out, "journal").unionByName(stopped).unionByName(noted)
     if dry_run:
         return Applied(parts, journal, ledger, snapshots, checks)
@@ -494,16 +495,3 @@ def apply(parts: DataFrame, items: DataFrame, headers: DataFrame, stamp: str, le
     # what was done before still holds for the document as it is now
     carried = ledger.join(changed, "doc_id").join(state_hash(now), "doc_id").select("doc_id", "issue_key", "action", F.col("sha256").alias("result_sha"))
     return Applied(now, journal, ledger.unionByName(marks).unionByName(carried).distinct(), kept_snapshots(snapshots.unionByName(old), keep), checks)
-
-
-def save(parts: DataFrame, folder: str) -> None:
-    """Writes parts beside the folder and then puts them in its place, so that a reader sees the old or the new ones whole."""
-    spark = parts.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts.write.mode("overwrite").parquet(f"{folder}.new")
-    if files.exists(path(folder)):
-        files.delete(path(f"{folder}.old"), True)
-        files.rename(path(folder), path(f"{folder}.old"))
-    if not files.rename(path(f"{folder}.new"), path(folder)):
-        raise OSError(f"can't put {folder}.new in the place of {folder}")

@@ -122,11 +122,66 @@ def anchors_of(t: Tables) -> DataFrame:
     return t["anchors"] if "anchors" in t else next(iter(t.given.values())).sparkSession.createDataFrame([], "section string, field string, tokens array<string>")
 
 
+#: Attempts to find the documents at which one rule fails; beyond, whole groups of documents are reported.
+ATTEMPTS = 64
+
+
+def fault(docs: DataFrame, r: Rule, e: Exception) -> DataFrame:
+    """The finding that a rule failed at each of docs(doc_id)."""
+    reason = str(e).strip().split("\n")[0]
+    return I.as_issues(docs.select("doc_id").distinct(), "audit-internal-error", r.name, r.layer, "error", F.lit(f"{type(e).__name__}: {reason[:200]}"), kind="document")
+
+
+def part_of(t: Tables, bits: int, value: int) -> Tables:
+    """The relations of those documents whose hash ends in these bits; tables that belong to no document stay whole."""
+    here = (F.xxhash64("doc_id", F.lit("fault")).bitwiseAND(F.lit((1 << bits) - 1))) == value
+    return Tables({n: df.filter(here) if "doc_id" in df.columns else df for n, df in {**t.given, **t.known}.items()})
+
+
+def located(r: Rule, t: Tables, std: dict, settle: Callable[[DataFrame], DataFrame], e: Exception) -> list[DataFrame]:
+    """What a rule that failed finds in the documents at which it doesn't, and a finding for each at which it does.
+
+    Groups of documents, halved by a hash of their id, are tried until those that fail hold one document each.
+    """
+    out, left, tried = [], [(0, 0, e)], 0
+    documents = lambda of: next(df for df in of.given.values() if "doc_id" in df.columns).select("doc_id").distinct()
+    while left:
+        bits, value, e = left.pop(0)
+        if tried >= ATTEMPTS:
+            out.append(fault(documents(part_of(t, bits, value)), r, e))
+            continue
+        for half in (value, value | 1 << bits):
+            tried += 1
+            some = part_of(t, bits + 1, half)
+            try:
+                out.append(settle(r.run(some, std)))
+            except Exception as again:
+                if documents(some).limit(2).count() == 1:
+                    out.append(fault(documents(some), r, again))
+                else:
+                    left.append((bits + 1, half, again))
+    return out
+
+
+def guarded(rules: list[tuple[Rule, DataFrame]], t: Tables, std: dict, settle: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """The rules' findings, worked out in one job; if that fails, in halves, until a rule that fails stands alone."""
+    if not rules:
+        return []
+    try:
+        return [settle(I.merged([p for _, p in rules]))]
+    except Exception as e:
+        if len(rules) == 1:
+            return located(rules[0][0], t, std, settle, e)
+        half = len(rules) // 2
+        return guarded(rules[:half], t, std, settle) + guarded(rules[half:], t, std, settle)
+
+
 def audit(tables: dict[str, DataFrame], template: str | None = None, config: str | None = None, only: tuple[str, ...] = (), optional: bool = False, ignore: DataFrame | None = None, profile: str = "cjk", settle: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """(issues, notes): all rules that the tables allow, in one plan. A rule whose plan can't be built becomes an issue.
 
     With `settle`, such as operators.durable.durable, each derived relation is worked out once and kept, rather than in every
-    rule that reads it: the better way for a corpus. `only` names rules or layers. Notes say what wasn't judged: rules without their relations and standards that are unset.
+    rule that reads it: the better way for a corpus. The findings are settled, too, so that a rule that fails on an executor
+    is found out: it becomes an issue of the documents at which it fails, and all else stands. `only` names rules or layers. Notes say what wasn't judged: rules without their relations and standards that are unset.
     """
     std = S.for_job(template, config) | {"profile": profile}
     notes = [f"not judged: {key}" for key, v in std.items() if v is None]
@@ -142,13 +197,13 @@ def audit(tables: dict[str, DataFrame], template: str | None = None, config: str
             rows.append(r.name)  # those of one paragraph share one pass over the body
             continue
         try:
-            parts.append(r.run(t, std))
+            parts.append((r, r.run(t, std)))
         except Exception as e:  # one rule's fault is reported and doesn't end the others
-            docs = next(iter(tables.values())).select("doc_id").distinct()
-            parts.append(I.as_issues(docs, "audit-internal-error", r.name, r.layer, "error", F.lit(f"{type(e).__name__}: {str(e)[:200]}"), kind="document"))
+            parts.append((r, fault(next(iter(tables.values())), r, e)))
     if rows:
-        parts.append(X.row_rules(t["body"], std, rows))
+        together = Rule("+".join(rows), "L3", ("body",), lambda t, s: X.row_rules(t["body"], s, rows))
+        parts.append((together, X.row_rules(t["body"], std, rows)))
     if not parts:
         return I.as_issues(next(iter(tables.values())).limit(0), "none", "none", "L3", "info", F.lit("")), notes
-    out = I.merged(parts)
+    out = I.merged(guarded(parts, t, std, settle) if settle else [p for _, p in parts])
     return I.suppressed(out, ignore) if ignore is not None else out.withColumn("suppressed", F.lit(False)), notes

@@ -13,9 +13,11 @@ from vellum.operators import proposal_rules as P
 from vellum.operators import standards as S
 from vellum.operators import structure_rules as ST
 from vellum.operators import text_rules as X
+from vellum.operators.durable import scratch_folder
 from vellum.plans import fixtures as L
 from vellum.plans.registry import ORACLES, QUERIES, STD, brief, found, long, query, table
 from vellum.sources import tables as B
+from vellum.streaming import incremental as N
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,20 @@ def tallies_of_three_tiers(spark, sf):
     return I.tallies(I.merged([X.quote_style(body, std), X.dash_density(body, std, "latin"), X.punctuation(body, std)]))
 
 
+_LAST = "CASE WHEN doc_id % 3 = 0 THEN concat('neu。。', CAST(doc_id AS STRING)) ELSE text END"
+
+
+@query(f"WITH bi AS (SELECT doc_id, {L.INJECTED} AS text FROM documents), v AS (SELECT doc_id, {_LAST} AS text FROM bi WHERE doc_id % 5 <> 1), bl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM v) {_PUNCT}")
+def incremental_audit(spark, sf):
+    """Findings after three batches of versions: all documents; a third changed, all others again; a fifth deleted."""
+    first = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("version"), F.expr(L.INJECTED).alias("text"), F.lit(False).alias("deleted"))
+    folder = scratch_folder(spark, "incremental")
+    N.absorb(first, 0, folder, only=("punctuation",))
+    N.absorb(first.withColumn("version", F.lit(2)).withColumn("text", F.expr(_LAST)), 1, folder, only=("punctuation",))
+    N.absorb(first.filter("doc_id % 5 = 1").withColumn("version", F.lit(3)).withColumn("deleted", F.lit(True)), 2, folder, only=("punctuation",))
+    return brief(N.current(spark, folder))
+
+
 _TRACE = ", ".join(f"{{'at': strpos(text, '{t}'), 'token': '{t}'}}" for t in X.TRACES)
 
 

@@ -239,11 +239,51 @@ def as_files(paragraphs: DataFrame, runs: DataFrame, styles: DataFrame, sections
     return dealt_anew(rows).groupBy("doc_id").applyInPandas(build, "doc_id long, content binary")
 
 
+def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Writes files(name, content) to a folder, each by the executor that has it, and says how many.
+
+    Each is written beside its place and then moved there, so that a reader never sees half a file and a repeated task changes
+    nothing. The folder is one of a file system that pyarrow knows (local ones are shared by all executors); others are written
+    to by save_files().
+    """
+    spark = files.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toString()
+    local = uri.removeprefix("file:") if uri.startswith("file:") else None
+    if local is None:
+        from pyarrow import fs
+
+        try:
+            fs.FileSystem.from_uri(uri)
+        except Exception:  # a file system that only Spark knows
+            return save_files(files, folder, name, content)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        there, base = (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local is not None else fs.FileSystem.from_uri(uri)
+        there.create_dir(base, recursive=True)
+        for batch in batches:
+            for file, data in zip(batch["name"], batch["content"], strict=True):
+                part = f"{base}/.{uuid.uuid4().hex}.part"
+                with there.open_output_stream(part) as out:
+                    out.write(data)
+                there.move(part, f"{base}/{file}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    system.mkdirs(path)
+    written = files.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).mapInPandas(run, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def save_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
     """Writes files(name, content) to a folder of any file system that Spark knows, one at a time, and says how many.
 
     Each is written beside its place and then moved there, so that a reader never sees half a file. Rows pass the driver one by
-    one; a person's repaired documents are few. A corpus stays a table of contents.
+    one, which is for few files: write_files() is the way for a corpus.
     """
     spark = files.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

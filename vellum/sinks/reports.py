@@ -15,12 +15,16 @@ ISSUE = "struct<issue_key:string,id:string,rule:string,sub_check:string,layer:st
 PLAN = "doc_id long, sha256 string, issue_key string, enabled boolean"
 
 
-def audit_json(issues: DataFrame) -> DataFrame:
-    """(doc_id, json): one object for each document, its issues by severity and place."""
+def audit_json(issues: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json): one object for each document, its issues by severity and place; also for documents(doc_id) without any."""
     place = F.struct(rank().alias("r"), F.coalesce("loc_index", F.lit(0)).alias("i"), "issue_key")
     in_order = F.transform(F.sort_array(F.collect_list(place)), lambda x: x["issue_key"])
     keyed = F.map_from_entries(F.collect_list(F.struct(F.col("issue_key").alias("key"), F.struct(*[c for c in COLUMNS if c != "doc_id"]).alias("issue"))))
-    return issues.groupBy("doc_id").agg(in_order.alias("keys"), keyed.alias("of")).select("doc_id", F.to_json(F.struct(F.col("doc_id"), F.transform("keys", lambda k: F.element_at("of", k)).alias("issues"))).alias("json"))
+    known = issues.groupBy("doc_id").agg(in_order.alias("keys"), keyed.alias("of")).select("doc_id", F.to_json(F.struct(F.col("doc_id"), F.transform("keys", lambda k: F.element_at("of", k)).alias("issues"))).alias("json"))
+    if documents is None:
+        return known
+    none = F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"issues":[]}'))
+    return documents.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("json", none).alias("json"))
 
 
 def issues_of_json(audits: DataFrame) -> DataFrame:

@@ -111,3 +111,14 @@ def read_anchors(spark: SparkSession, path: str | None) -> DataFrame:
             if tokens:
                 rows.append((section, field, tokens))
     return spark.createDataFrame(rows, schema)
+
+
+def read_terms(spark: SparkSession, path: str | None) -> DataFrame:
+    """(concept, variant) from a YAML file of concepts, each with a list of its variants. It is small: a person wrote it."""
+    import yaml
+
+    known = {}
+    if first_there(spark, [path]) is not None:
+        known = yaml.safe_load("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    rows = [(str(c), str(v).strip()) for c, of in (known if isinstance(known, dict) else {}).items() for v in (of if isinstance(of, list) else [of]) if v is not None and str(v).strip()]
+    return spark.createDataFrame(rows, "concept string, variant string")
