@@ -23,7 +23,7 @@ from vellum.operators import templates as TP
 from vellum.operators import text_rules as X
 from vellum.plans import fixtures as L
 from vellum.plans import generated as G
-from vellum.plans.registry import STD, brief, found, long, query, union
+from vellum.plans.registry import STD, brief, found, long, query, table, union
 from vellum.sources import docx as DX
 from vellum.sources import tables as B
 
@@ -129,7 +129,8 @@ def reference_list(spark, sf):
     return D.references(G.ABSTRACT.df(spark, sf)).select("doc_id", long("order", "nr"), long("number"), "text", long("para_index"))
 
 
-@query(f"""WITH b AS ({G.ABSTRACT.sql()}), e AS (SELECT doc_id, para_index FROM b WHERE para_index = 12) SELECT doc_id, para_index::BIGINT AS para_index FROM b ANTI JOIN e USING (doc_id, para_index)""")
+@query(f"""WITH b AS ({G.ABSTRACT.sql()}), h AS (SELECT doc_id, min(para_index) AS h FROM b WHERE length(trim(text)) <= 20 AND {norm('text')} = '参考文献' GROUP BY 1), x AS (SELECT doc_id, min(para_index) AS x FROM b JOIN h USING (doc_id) WHERE para_index > h AND text LIKE '附录%' GROUP BY 1), r AS (SELECT b.doc_id, min(para_index) AS lo, max(para_index) AS hi FROM b JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) WHERE para_index > h AND (x IS NULL OR para_index < x) AND text <> '' GROUP BY 1)
+ SELECT b.doc_id, para_index::BIGINT AS para_index FROM b LEFT JOIN r USING (doc_id) WHERE (lo IS NULL OR para_index NOT BETWEEN lo AND hi) AND style_name <> '目录标题' AND NOT contains(lower(style_name), 'toc')""")
 def body_without_references(spark, sf):
     b = G.ABSTRACT.df(spark, sf)
     return D.body_only(b, D.references(b)).select("doc_id", long("para_index"))
@@ -378,9 +379,12 @@ def convention_roll_up(spark, sf):
     return V.roll_up(a.unionByName(b))
 
 
-@query(f"""WITH p AS (SELECT *, round(size, 1) AS z, length(text) AS c, regexp_replace(font, '^[A-Z]{{6}}\\+', '') AS fn, abs((x0 + x1) / 2 - page_width / 2) <= 0.02 * page_width AND x1 - x0 < 0.6 * page_width AS mid FROM ({G.SPANS.sql()})), g AS (SELECT doc_id, z, sum(c) AS chars, sum(c) FILTER (bold) AS bold, sum(c) FILTER (mid) AS mid FROM p GROUP BY ALL),
+_SIZES = f"""WITH p AS (SELECT *, round(size, 1) AS z, length(text) AS c, regexp_replace(font, '^[A-Z]{{6}}\\+', '') AS fn, abs((x0 + x1) / 2 - page_width / 2) <= 0.02 * page_width AND x1 - x0 < 0.6 * page_width AS mid FROM ({G.SPANS.sql()})), g AS (SELECT doc_id, z, sum(c) AS chars, sum(c) FILTER (bold) AS bold, sum(c) FILTER (mid) AS mid FROM p GROUP BY ALL),
  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, z ORDER BY c DESC, fn) AS k FROM (SELECT doc_id, z, fn, sum(c) AS c FROM p GROUP BY ALL)), b AS (SELECT *, first_value(z) OVER (PARTITION BY doc_id ORDER BY chars DESC, z) AS body FROM g), r AS (SELECT *, CASE WHEN z > body + 0.4 THEN row_number() OVER (PARTITION BY doc_id, z > body + 0.4 ORDER BY z DESC) END AS k FROM b)
- SELECT r.doc_id, r.z AS size, chars::BIGINT AS chars, CASE WHEN r.z = body THEN 'body' WHEN r.k <= 4 THEN 'h' || r.k ELSE 'other' END AS role, coalesce(bold, 0) * 2 > chars AS bold, fn AS font, coalesce(mid, 0) * 2 > chars AS centred FROM r JOIN f ON f.doc_id = r.doc_id AND f.z = r.z AND f.k = 1""")
+ SELECT r.doc_id, r.z AS size, chars::BIGINT AS chars, CASE WHEN r.z = body THEN 'body' WHEN r.k <= 4 THEN 'h' || r.k ELSE 'other' END AS role, coalesce(bold, 0) * 2 > chars AS bold, fn AS font, coalesce(mid, 0) * 2 > chars AS centred FROM r JOIN f ON f.doc_id = r.doc_id AND f.z = r.z AND f.k = 1"""
+
+
+@query(_SIZES)
 def pdf_size_histogram(spark, sf):
     return V.sizes_of_spans(G.SPANS.df(spark, sf)).select(long("doc_id"), "size", long("chars"), "role", "bold", "font", "centred")
 
@@ -632,9 +636,10 @@ def proposal_scores(spark, sf):
     return P.scores(proposal_consistency(spark, sf).filter("conclusion <> 'passed'"), golden, ["doc_id", "anchor"])
 
 
-@query(f"""WITH p AS ({L.PHRASES}), g AS (SELECT DISTINCT phrase, g FROM (SELECT phrase, unnest(list_transform(range(1, length(phrase)), lambda i: substr(phrase, i, 2))) AS g FROM p)) SELECT g, count(*)::BIGINT AS df FROM g GROUP BY 1""")
+@query("""WITH p AS (SELECT DISTINCT lower(regexp_replace(p_name, '\\s+', '', 'g')) AS phrase FROM part), g AS (SELECT DISTINCT phrase, g FROM (SELECT phrase, unnest(list_transform(range(1, length(phrase)), lambda i: substr(phrase, i, 2))) AS g FROM p)) SELECT g, count(*)::BIGINT AS df FROM g GROUP BY 1""")
 def bigram_frequencies(spark, sf):
-    return spark.sql(L.PHRASES).select(F.explode(T.bigrams(F.col("phrase"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    phrases = table(spark, sf, "part").select(T.norm("p_name").alias("phrase")).distinct()
+    return phrases.select(F.explode(T.bigrams(F.col("phrase"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
 
 #: Prompts for every document: one of those given, with a number behind it.

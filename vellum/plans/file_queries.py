@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import conventions as V
 from vellum.operators import derive as D
 from vellum.plans import generated as G
-from vellum.plans.document_queries import _AFTER
+from vellum.plans.document_queries import _AFTER, _SIZES
 from vellum.plans.registry import long, query
 from vellum.sinks import docx as X
 from vellum.sinks import patch
+from vellum.sinks import pdf as PX
 from vellum.sources import docx as S
+from vellum.sources import pdf as PS
 
 #: Paragraphs of one run: from none to some hundred a document; of a few documents many more.
 SIZED = G.Made(400, {
@@ -137,3 +140,21 @@ def file_repair(spark, sf):
 def file_repair_journal(spark, sf):
     each = repaired_runs(spark, sf).select("doc_id", F.explode("journal").alias("j"))
     return each.groupBy("doc_id").agg(long(F.count(F.lit(1)), "items"), long(F.count_if(F.col("j.status") == "failed: no such paragraph"), "failed"))
+
+
+def page_spans(spark, sf) -> DataFrame:
+    """Spans read from the bytes of page documents, one of each document."""
+    given = G.SPANS.df(spark, sf)
+    files = PX.as_pages(given.withColumn("ord", F.monotonically_increasing_id()))
+    return PS.spans(files.select(F.col("doc_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
+
+
+@query(f"SELECT doc_id, text, font, size, bold, round(x0, 3) AS x0, round(x1, 3) AS x1, page_width FROM ({G.SPANS.sql()})")
+def file_page_spans(spark, sf):
+    return page_spans(spark, sf).select("doc_id", "text", "font", "size", "bold", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "page_width")
+
+
+@query(_SIZES)
+def file_page_sizes(spark, sf):
+    """A12 over page documents: roles of the sizes that their spans have."""
+    return V.sizes_of_spans(page_spans(spark, sf)).select(long("doc_id"), "size", long("chars"), "role", "bold", "font", "centred")
