@@ -77,7 +77,7 @@ def test_spans(spark):
 def test_overlaps(spark):
     bench = spark.createDataFrame(TESTS, "item_id long, text string").withColumn("doc_id", F.lit(1))
     out = decontaminate.overlaps(documents(spark), bench).collect()
-    assert [(r.doc_id, r.item_id) for r in out] == [(8, 1)]
+    assert sorted((r.doc_id, r.item_id, r.short_item) for r in out) == [(4, 4, True), (8, 1, False)]
     assert sorted(r.doc_id or 0 for r in decontaminate.clean(documents(spark), bench).collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 9]
 
 

@@ -22,7 +22,8 @@ from vellum.llm.common import in_chunks, joined, lean, mixed, run_hashes, settle
 MASKS = ("111111", "11101011", "110100111", "1100101011", "11010001011")
 #: An overlap counts from so many equal words on (or this share of a shorter item's), with this share of equal words.
 MATCHED, ITEM_SHARE, EQUAL_SHARE = 13, 0.8, 0.75
-#: Items of fewer words aren't searched: a few common words prove nothing.
+#: Items of fewer words are found where they stand word for word, and flagged; clean() removes nothing for them, as a few common
+#: words prove nothing.
 LEAST_ITEM = 5
 #: Words of test items that are looked for at a time. Larger test sets are searched in several passes.
 BLOCK_WORDS = 1_000_000
@@ -62,7 +63,7 @@ class Index:
         parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
         for item, hashes in items.items():
             if len(hashes) < max(map(len, MASKS)):  # a short item must be there whole
-                self.short.setdefault(len(hashes), {})[int(run_hashes(hashes, np.array([0]), np.array([len(hashes)]))[0])] = item
+                self.short.setdefault(len(hashes), {}).setdefault(int(run_hashes(hashes, np.array([0]), np.array([len(hashes)]))[0]), []).append(item)
             for mask in MASKS:
                 h = seeds(hashes, mask)
                 parts.append((h, item, np.arange(len(h)), np.concatenate(([np.uint64(0)], h[:-1]))[: len(h)]))
@@ -146,7 +147,7 @@ def search(batches: Iterator[pd.DataFrame], index: Index, names: list[int | None
             for size, of in index.short.items():
                 at = np.arange(max(0, len(hashes) - size + 1))
                 h = run_hashes(hashes, at, at + size) if len(at) else np.zeros(0, np.uint64)
-                hit |= {(of[int(h[k])], int(k)) for k in np.flatnonzero(np.isin(h, np.fromiter(of, np.uint64, len(of))))}
+                hit |= {(item, int(k)) for k in np.flatnonzero(np.isin(h, np.fromiter(of, np.uint64, len(of)))) for item in of[int(h[k])]}
             done = set()
             for item, diagonal in hit:
                 words = index.items[item]
@@ -163,8 +164,8 @@ def search(batches: Iterator[pd.DataFrame], index: Index, names: list[int | None
 FOUND = "doc_id string, mark long, item_id long, matched long, overlap_words long, start_word long, item_words long"
 
 
-def found_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """FOUND rows of every document (mark: its text's hash) and every text of an item. Blocks are shared out by id and text."""
+def found_overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
+    """FOUND rows of every document (mark: its text's hash) and every text of an item of `least` words. Blocks are shared out by id and text."""
     spark = docs.sparkSession
     small_batches(spark)
     n_words = F.size(F.split(F.trim("text"), "\\s+"))
@@ -176,14 +177,14 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         words = ((r["item_id"], words_of(folded(r["text"]).encode("utf-8", "replace"))[1]) for r in block.toLocalIterator())
-        sent = spark.sparkContext.broadcast([(i, w.tobytes()) for i, w in words if len(w) >= LEAST_ITEM])
+        sent = spark.sparkContext.broadcast([(i, w.tobytes()) for i, w in words if len(w) >= least])
         part = texts.mapInPandas(lambda it, s=sent: lean(search(it, Index({k: np.frombuffer(w, np.uint64) for k, (_, w) in enumerate(s.value)}), [i for i, _ in s.value])), FOUND)
         found = part if found is None else found.union(part)
     return found
 
 
 def not_searched(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
-    """(item_id, n_words) of the texts of benchmark(item_id, text) that are too short to be looked for, those without a word included."""
+    """(item_id, n_words) of the texts of benchmark(item_id, text) that are too short for clean(), those without a word included."""
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,10 +195,10 @@ def not_searched(benchmark: DataFrame, least: int = LEAST_ITEM) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, overlap_words, start_word, item_words): the best overlap of each document and test item.
+    """(doc_id, item_id, matched, overlap_words, start_word, item_words, short_item): the best overlap of each document and test item.
 
-    docs(doc_id, text), benchmark(item_id, text). Null, empty and wordless texts overlap with nothing, nor do items of
-    fewer than LEAST_ITEM words, which not_searched() names. All texts of an item are looked for, and the best overlap of any
+    docs(doc_id, text), benchmark(item_id, text). Null, empty and wordless texts overlap with nothing. Items of fewer than
+    LEAST_ITEM words overlap only where all their words stand, and are flagged as short_item. All texts of an item are looked for, and the best overlap of any
     counts; items without an id are one. Very long texts are searched whole, piece by piece of several texts. Of equal overlaps the first counts; repeated rows count once. Empty tables on either side give no rows, null
     ids stay null, and other columns aren't read.
 
@@ -205,8 +206,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents, each for its own share of the items.
     """
     best = F.max(F.struct("matched", (-F.col("overlap_words")).alias("o"), (-F.col("start_word")).alias("s"), "item_words"))
-    return found_overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(best.alias("m")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "item_id", "m.matched", (-F.col("m.o")).alias("overlap_words"), (-F.col("m.s")).alias("start_word"), "m.item_words"
+    return found_overlaps(docs, benchmark, 1).groupBy("doc_id", "item_id").agg(best.alias("m")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "item_id", "m.matched", (-F.col("m.o")).alias("overlap_words"), (-F.col("m.s")).alias("start_word"), "m.item_words", (F.col("m.item_words") < LEAST_ITEM).alias("short_item")
     )
 
 

@@ -22,17 +22,21 @@ MAP = "vslot int, part int, bytes long, n long, shard int"
 #: Parts of a hot slot. A slot is hot if it outweighs a quarter of an even shard, so fewer than 4 per shard are.
 PARTS = 64
 PER_RECORD = 16
+#: Equal rows that are numbered in one task at a time.
+CHUNK = 100_000
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot, salt) of docs(doc_id, text). A null text has no bytes and the crc 0."""
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(PER_RECORD)).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int").alias("salt"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(PER_RECORD)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    # equal rows are counted and numbered, so that the salt depends on what the table holds and not on how it lies in files
+    same = ["doc_id", "size", "text_crc32"]
+    chunks = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("times")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))))
+    first = F.col("chunk") * CHUNK
+    numbered = chunks.repartition("doc_id", "chunk").select(*same, F.explode(F.sequence(first, F.least(first + CHUNK, F.col("times")) - 1)).alias("nth"))
+    return numbered.select(
+        *same, F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.xxhash64(*same, "nth"), F.lit(PARTS)).cast("int").alias("salt")
     )
 
 
