@@ -205,3 +205,26 @@ def scores(reported: DataFrame, golden: DataFrame, keys: list[str]) -> DataFrame
     r, g = reported.select(*keys).distinct().withColumn("r", F.lit(1)), golden.select(*keys).distinct().withColumn("g", F.lit(1))
     both = r.join(g, keys, "full")
     return both.agg(F.count_if(F.col("r").isNotNull() & F.col("g").isNotNull()).alias("hits"), F.count("g").alias("golden"), F.count("r").alias("reported"), F.count_if(F.col("g").isNull()).alias("extra"), F.count_if(F.col("r").isNull()).alias("missed"))
+
+
+def located_scores(reported: DataFrame, golden: DataFrame, paragraphs: DataFrame, reach: int = 2) -> DataFrame:
+    """Recall, false findings and right places of reported(doc_id, anchor, conclusion, para_index) against golden(doc_id, anchor,
+    conclusion, keywords).
+
+    A hit is in the right place if a keyword stands in paragraphs(doc_id, para_index, text) at most `reach` from where it says. The
+    interval join is an equi-join on buckets of 2 * reach + 1 paragraphs, of which a place lies in its own and both neighbours.
+    Findings without a place have no right one, and neither have those whose golden entry has no keyword. Rates over nothing are null.
+    """
+    keys, width = ["doc_id", "anchor", "conclusion"], 2 * reach + 1
+    said = reported.select(*keys, "para_index").distinct()
+    wanted = golden.select(*keys, "keywords").dropDuplicates(keys)
+    around = F.explode(F.array(*[F.floor(F.col("para_index") / width) + d for d in (-1, 0, 1)])).alias("bucket")
+    places = said.filter("para_index is not null").join(wanted, keys).select(*keys, "keywords", F.col("para_index").alias("at"), around)
+    texts = paragraphs.select("doc_id", "para_index", "text", F.floor(F.col("para_index") / width).alias("bucket"))
+    near = places.join(texts, ["doc_id", "bucket"]).filter(F.abs(F.col("para_index") - F.col("at")) <= reach)
+    right = near.filter(F.exists("keywords", lambda k: F.contains(F.col("text"), k))).select(*keys).distinct().withColumn("right", F.lit(True))
+    both = said.select(*keys).distinct().withColumn("r", F.lit(1)).join(wanted.select(*keys).withColumn("g", F.lit(1)), keys, "full").join(right, keys, "left")
+    hit = F.col("r").isNotNull() & F.col("g").isNotNull()
+    sums = both.agg(F.count_if(hit).alias("hits"), F.count("g").alias("golden"), F.count("r").alias("reported"), F.count_if(F.col("g").isNull()).alias("extra"), F.count_if(hit & F.col("right")).alias("located"))
+    rate = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return sums.select("*", rate("hits", "golden").alias("recall"), rate("extra", "reported").alias("false_rate"), rate("located", "hits").alias("located_rate"))

@@ -636,6 +636,13 @@ def proposal_scores(spark, sf):
     return P.scores(proposal_consistency(spark, sf).filter("conclusion <> 'passed'"), golden, ["doc_id", "anchor"])
 
 
+@query(f"""WITH r AS (SELECT DISTINCT * FROM ({G.REPORTED.sql()})), g AS ({G.GOLDEN.sql()}), t AS ({G.THESIS_HEADS.sql()}), h AS (SELECT r.doc_id, r.anchor, r.conclusion, EXISTS (SELECT 1 FROM t WHERE t.doc_id = r.doc_id AND abs(t.para_index - r.para_index) <= 1 AND contains(t.text, g.keyword)) AS located FROM r JOIN g ON g.doc_id = r.doc_id AND g.anchor = r.anchor AND g.conclusion = r.conclusion),
+ n AS (SELECT (SELECT count(*) FROM h) AS hits, (SELECT count(*) FROM g) AS golden, (SELECT count(*) FROM r) AS reported, (SELECT count(*) FROM h WHERE located) AS located) SELECT hits, golden, reported, reported - hits AS extra, located, hits / golden AS recall, (reported - hits) / reported AS false_rate, located / hits AS located_rate FROM n""")
+def golden_locations(spark, sf):
+    golden = G.GOLDEN.df(spark, sf).withColumn("keywords", F.array("keyword"))
+    return P.located_scores(G.REPORTED.df(spark, sf), golden, G.THESIS_HEADS.df(spark, sf), reach=1)
+
+
 @query("""WITH p AS (SELECT DISTINCT lower(regexp_replace(p_name, '\\s+', '', 'g')) AS phrase FROM part), g AS (SELECT DISTINCT phrase, g FROM (SELECT phrase, unnest(list_transform(range(1, length(phrase)), lambda i: substr(phrase, i, 2))) AS g FROM p)) SELECT g, count(*)::BIGINT AS df FROM g GROUP BY 1""")
 def bigram_frequencies(spark, sf):
     phrases = table(spark, sf, "part").select(T.norm("p_name").alias("phrase")).distinct()

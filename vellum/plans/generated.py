@@ -161,3 +161,6 @@ SIZES = Made(6, {"points": "CAST(4.0e0 + (doc_id * 3 + k * 7) % 160 * 0.25e0 AS
 LABELS = Made(8, {"a": pick("doc_id + k", *q("居中", " Left ", "?", "右对齐", "Justify", "顶格", "CENTRE", "兩端對齊")), "f": pick("doc_id * 3 + k", *q("ABCDEF+宋体", "Times", "abcdef+X", "QWERTY+Arial", "AB+C"))})
 KEYLINES = Made(5, {"line": "CASE k WHEN 0 THEN concat('关键词：甲；乙', " + text("doc_id") + ", ',丙') WHEN 1 THEN 'Key words: a, b' WHEN 2 THEN concat('甲', " + text("doc_id % 7") + ") WHEN 3 THEN '关键字 ;; 甲 ， 乙;' ELSE 'KEYWORDS:x;y，z' END"})
 PATHS = Made(6, {"path": "concat('a', " + text("doc_id % 3") + ", '/b', " + text("doc_id * 7 + k") + ", " + pick("doc_id + k", *q(".docx", ".PDF", "", ".txt", ".Jpeg", ".json", ".docm")) + ")"})
+#: Findings about a thesis with the paragraph that they name (none in some), and those that a person found, with a keyword.
+REPORTED = Made(3, {"anchor": pick("k", *q("A4", "A5", "A6")), "conclusion": pick("doc_id + k", *q("changed", "deviates")), "para_index": "CASE WHEN doc_id % 11 <> 3 THEN 1 + CAST((doc_id * 5 + k * 3) % 6 AS INT) END"}, "(doc_id + k) % 4 <> 1")
+GOLDEN = Made(3, {"anchor": pick("k", *q("A4", "A5", "A6")), "conclusion": pick("doc_id + k + CASE WHEN doc_id % 9 = 2 THEN 1 ELSE 0 END", *q("changed", "deviates")), "keyword": pick("doc_id * 2 + k", *q("综述", "临时小节", "方法", "细目", "没有的"))}, "(doc_id + k) % 5 <> 2")
