@@ -69,12 +69,11 @@ def cite_jump(cites: DataFrame, entries: DataFrame, bookmarks: DataFrame) -> Dat
     missing = numbered.join(own, ["doc_id", "para_index", "own"], "left_anti")
     out = as_issues(missing, "cite-jump", "bookmark", "L2", "error", F.col("own"), F.col("para_index"), suppressible=False, action="ref.bookmark", params=F.create_map(F.lit("name"), F.col("own")))
     states = jump_state(cites, bookmarks).join(link_kind(cites), "doc_id")
-    token = F.col("text")
-    out = out.unionByName(as_issues(states.filter("state = 'multi'"), "cite-jump", "multi", "L2", "warn", token, F.col("para_index"), kind="run"))
-    link = F.create_map(F.lit("anchor"), F.col("target"), F.lit("kind"), F.col("kind"))
-    for state in ("wrong", "nolink"):
-        out = out.unionByName(as_issues(states.filter(F.col("state") == state), "cite-jump", state, "L2", "error", token, F.col("para_index"), kind="run", suppressible=False, action="cite.link", params=link))
-    return out.unionByName(as_issues(states.filter("state = 'dangling'"), "cite-jump", "dangling", "L2", "error", token, F.col("para_index"), kind="run", suppressible=False))
+    # one look at each citation: the joins above aren't worked out for every state
+    state, multi, mendable = F.col("state"), F.col("state") == "multi", F.col("state").isin("wrong", "nolink")
+    link = F.when(mendable, F.create_map(F.lit("anchor"), F.col("target"), F.lit("kind"), F.col("kind"))).otherwise(F.create_map().cast("map<string,string>"))
+    severity = F.when(multi, "warn").otherwise("error")
+    return out.unionByName(as_issues(states.filter("state <> 'ok'"), "cite-jump", state, "L2", severity, F.col("text"), F.col("para_index"), kind="run", suppressible=multi, action=F.when(mendable, "cite.link"), params=link))
 
 
 def cited(cites: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ COLUMNS = ("issue_key", "id", "doc_id", "rule", "sub_check", "layer", "skill", "
 SKILL_OF = {"L1": "format-audit", "L2": "cite-doctor", "L3": "text-style", "L4": "structure-length", "L4·26": "proposal-consistency"}
 
 
-def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str | Column = "paragraph", suppressible: bool = True, action: str | None = None, params: Column | None = None, source: str | Column = "default") -> DataFrame:
+def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severity: str | Column, actual: Column, index: Column | None = None, expected: str | Column | None = None, text: Column | None = None, kind: str | Column = "paragraph", suppressible: bool | Column = True, action: str | Column | None = None, params: Column | None = None, source: str | Column = "default") -> DataFrame:
     """found as issues. Each row of found is one finding; it needs doc_id, and what the given columns refer to."""
     lit = lambda v, t="string": v if isinstance(v, Column) else F.lit(v).cast(t)
     where = (index if index is not None else F.lit(None)).cast("int")
@@ -34,7 +34,7 @@ def as_issues(found: DataFrame, rule: str, sub: str | Column, layer: str, severi
         lit(expected).alias("expected"),
         said.alias("actual"),
         lit(source).alias("standard_source"),
-        F.lit(suppressible).alias("suppressible"),
+        lit(suppressible, "boolean").alias("suppressible"),
         lit(action).alias("action"),
         (params if params is not None else F.create_map()).cast("map<string,string>").alias("params"),
     )
