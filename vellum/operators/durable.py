@@ -34,6 +34,16 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*(keys or ("doc_id",))))
 
 
+def dealt_for_work(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by the keys into spark.sql.shuffle.partitions parts, for work that weighs more than its bytes.
+
+    Adaptive execution joins parts by their bytes; a document's file takes milliseconds for some hundred of these, and a few
+    tasks would do all the work. As the shuffle is asked for by number, it is done whatever a union claims (see dealt_anew), and
+    rows of a key are gathered without another.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or ("doc_id",)))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df without its lineage, in the folder of spark.checkpoint.dir, which a lost executor doesn't take along."""
     shared_folder(df.sparkSession)
