@@ -31,9 +31,18 @@ ENDS = "CAST(CASE WHEN section_index < 3 THEN section_index * 2 - 1 END AS INT)"
 MARKS = G.Made(4, {"para_index": "1 + k", "name": f"concat('ref', {G.text('k * 2')})"}, "(doc_id + k) % 3 <> 0")
 
 
+def named(files: DataFrame) -> DataFrame:
+    return files.select(F.col("doc_id").cast("string").alias("path"), "content")
+
+
 def parsed(files: DataFrame, kind: str) -> DataFrame:
     """One relation of files(doc_id, content), with the document that each was made of."""
-    return S.relation_of(files.select(F.col("doc_id").cast("string").alias("path"), "content"), kind).withColumn("doc_id", F.col("path").cast("long"))
+    return S.relation_of(named(files), kind).withColumn("doc_id", F.col("path").cast("long"))
+
+
+def parsed_once(files: DataFrame, *kinds: str) -> dict[str, DataFrame]:
+    """Several relations of files(doc_id, content), by one making and one parse of each file."""
+    return {kind: rows.withColumn("doc_id", F.col("path").cast("long")) for kind, rows in S.relations_of(named(files), kinds=set(kinds)).items()}
 
 
 def no_styles(spark, sf) -> DataFrame:
@@ -89,16 +98,15 @@ def file_cells(spark, sf):
  SELECT doc_id, string_agg(line, chr(10) ORDER BY part, i) AS text FROM l GROUP BY doc_id""")
 def file_proposal_text(spark, sf):
     """A form's text, table rows first."""
-    files = sized_files(spark, sf)
-    return S.proposal_text(parsed(files, "blocks"), parsed(files, "cells"))
+    of = parsed_once(sized_files(spark, sf), "blocks", "cells")
+    return S.proposal_text(of["blocks"], of["cells"])
 
 
 @query(f"""WITH {_SIZED}, {_TABLES}, u AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT style_name)), ',') AS styles FROM p WHERE style_name IS NOT NULL GROUP BY 1), x AS (SELECT doc_id, sum(length(replace(text, chr(10), ''))) AS chars, sum(length(text)) AS with_ends FROM p GROUP BY 1)
  SELECT n.doc_id, n::BIGINT AS paragraphs, coalesce(tables, 0)::BIGINT AS tables, (with_ends + coalesce(table_chars, 0))::BIGINT AS chars, coalesce(styles, '') AS styles, coalesce(marks, 0)::BIGINT AS marks FROM n JOIN x USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS marks FROM m GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS tables, sum(length(text)) AS table_chars FROM t GROUP BY 1) USING (doc_id)""")
 def file_summary(spark, sf):
     """A line for each document."""
-    files = sized_files(spark, sf)
-    s = S.summary({k: parsed(files, k) for k in ("blocks", "sections", "bookmarks")})
+    s = S.summary(parsed_once(sized_files(spark, sf), "blocks", "sections", "bookmarks"))
     return s.select("doc_id", long("paragraphs"), long("tables"), long("chars"), F.array_join("styles_used", ",").alias("styles"), long("bookmarks", "marks"))
 
 
@@ -120,9 +128,8 @@ def file_styles(spark, sf):
 @query(f"""WITH {_SIZED}, s AS ({G.STYLES.sql()}), u AS (SELECT DISTINCT p.doc_id, s.style_id FROM p JOIN s ON s.doc_id = p.doc_id AND s.name = p.style_name) SELECT s.doc_id, s.name FROM s LEFT JOIN u ON u.doc_id = s.doc_id AND u.style_id = s.style_id WHERE u.style_id IS NOT NULL OR s.is_default""")
 def file_used_styles(spark, sf):
     """Styles that paragraphs use, and the default one."""
-    files = sized_files(spark, sf)
-    every = X.as_files(BODY.df(spark, sf).limit(0), BODY.df(spark, sf).limit(0), G.STYLES.df(spark, sf))
-    return S.used_styles(parsed(every, "styles"), parsed(files, "blocks")).select("doc_id", "name")
+    of = parsed_once(sized_files(spark, sf), "styles", "blocks")
+    return S.used_styles(of["styles"], of["blocks"]).select("doc_id", "name")
 
 
 def repaired_runs(spark, sf) -> DataFrame:
