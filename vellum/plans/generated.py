@@ -28,10 +28,12 @@ class Made:
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-        row = ", ".join(f"'{c}', {e}" for c, e in {"__where": self.where, **self.columns}.items())
+        row = ", ".join(f"'{c}', {e}" for c, e in self.columns.items())
+        # numbers first, and only those that the condition keeps are worked out, by compiled code (a lambda function isn't compiled);
         # the rows come out of explode, so that rules see plain columns and don't work out the expressions again and again
-        rows = docs.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {self.n - 1}), k -> named_struct({row}))")).alias("row"))
-        return rows.filter("row.__where").select("doc_id", *[F.col(f"row.{c}").alias(c) for c in self.columns])
+        numbers = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))).alias("k")).filter(self.where)
+        rows = numbers.select("doc_id", F.explode(F.array(F.expr(f"named_struct({row})"))).alias("row"))
+        return rows.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in self.columns])
 
 
 def pick(by: str, *values: str) -> str:
