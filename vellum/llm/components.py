@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settled
+from vellum.llm.common import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,13 +26,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b); root is the smallest node of its component.
 
-    Ends when a round changes no link; each round's links are kept in the checkpoint folder. No links give no rows.
+    Ends when a round changes no link; a round's links are kept in the shared folder, only until the next has its own. No links
+    give no rows.
     """
-    edges = settled(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    scratch, k = Scratch(links.sparkSession), 0
+    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "0")
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
     before = mark(edges)
     while before[0]:
-        edges = settled(_stars(_stars(edges, True), False))
+        edges, k = scratch.keep(_stars(_stars(edges, True), False), f"{k + 1}"), k + 1
+        scratch.drop(f"{k - 1}")
         if (now := mark(edges)) == before:
             break
         before = now

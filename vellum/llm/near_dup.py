@@ -216,12 +216,12 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         scratch.drop(f"sets{name}")
         return links
 
-    def resolved(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def resolved(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Roots of the linked classes, and members, with their roots, of the buckets where components differ."""
-        roots = settled(components(links))
+        roots = scratch.keep(components(links), f"roots{name}")
         rooted = members.join(roots, members["id"] == roots["node"], "left").select(members["*"], F.coalesce("root", "id").alias("root"))
         mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("bucket", "size")
-        return roots, settled(rooted.join(mixed, "bucket"))
+        return roots, scratch.keep(rooted.join(mixed, "bucket"), f"mixed{name}")
 
     links, tested, mixed = same_id, None, members.withColumn("root", F.col("id"))
     for k in range(2):
@@ -235,7 +235,10 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         pairs = settled(promising(pairs))
         tested = tested.union(pairs) if k else pairs
         links = settled(links.union(verified(pairs, str(k))))
-        roots, mixed = resolved(links)
+        roots, mixed = resolved(links, str(k))
+        if k:
+            for name in ("mixed0", "members", "reps"):  # nothing reads them any more
+                scratch.drop(name)
     sigs = of(mixed.select("id").distinct()).mapInPandas(lambda it: lean(long_signatures(it, width)), "id long, sig binary, bands binary")
     side = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
     blocks = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("bucket", "id", "root", "n", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -245,7 +248,7 @@ def component_table(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     pairs = settled(met.distinct().join(tested, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         links = links.union(verified(pairs, "last"))
-        roots = settled(components(links))
+        roots = scratch.keep(components(links), "roots")
     by_doc = placed.select("doc_id", "n", F.col("cid")).join(roots, F.col("cid") == roots["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "cid").alias("component_id"))
     wordless = known.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     nameless = texts.filter("doc_id is null").mapInPandas(lambda it: lean(signed(it, width)), "doc_id long, n int, key binary, sig binary, bands array<long>").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "doc_id")
